@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from lambertlake.llm.bpe_codec import op7_bpe_codec
+from lambertlake.llm.chat_format import op10_chat_format
+from lambertlake.llm.pii import op6_pii
 from lambertlake.llm.token_counts import op5_token_counts
 
 QUERIES = {
     "op5_token_counts": op5_token_counts,
+    "op6_pii": op6_pii,
     "op7_bpe_codec": op7_bpe_codec,
+    "op10_chat_format": op10_chat_format,
 }
 ORACLES: dict[str, str] = {}
