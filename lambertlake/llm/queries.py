@@ -6,11 +6,13 @@ from lambertlake.llm.bpe_codec import op7_bpe_codec
 from lambertlake.llm.chat_format import op10_chat_format
 from lambertlake.llm.pii import op6_pii
 from lambertlake.llm.token_counts import op5_token_counts
+from lambertlake.llm.toxicity import op9_toxicity
 
 QUERIES = {
     "op5_token_counts": op5_token_counts,
     "op6_pii": op6_pii,
     "op7_bpe_codec": op7_bpe_codec,
+    "op9_toxicity": op9_toxicity,
     "op10_chat_format": op10_chat_format,
 }
 ORACLES: dict[str, str] = {}
