@@ -5,11 +5,13 @@ from __future__ import annotations
 from lambertlake.llm.bpe_codec import op7_bpe_codec
 from lambertlake.llm.chat_format import op10_chat_format
 from lambertlake.llm.fingerprint import op2_fingerprints
+from lambertlake.llm.html_text import op1_html_text
 from lambertlake.llm.pii import op6_pii
 from lambertlake.llm.token_counts import op5_token_counts
 from lambertlake.llm.toxicity import op9_toxicity
 
 QUERIES = {
+    "op1_html_text": op1_html_text,
     "op2_fingerprints": op2_fingerprints,
     "op5_token_counts": op5_token_counts,
     "op6_pii": op6_pii,
