@@ -21,7 +21,9 @@ import functools
 import gc
 import itertools
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,8 +44,15 @@ class TrieCodec:
         self.rank = {pair: rank for pair, (rank, _) in bpe.merges.items()}
         parts = {joined: pair for pair, (_, joined) in bpe.merges.items()}
         self.single = {*bpe.byte, *(b + bpe.end for b in bpe.byte)}
-        self.tokens = {t for t in (*self.single, *parts) if t in bpe.ids}
+        # A token that merging doesn't give from its own symbols is never the last one of anything.
+        self.tokens = {t for t in (*self.single, *parts) if t in bpe.ids and self.reached(t)}
         self.longest = max(map(self.width, self.tokens))
+        #: By a token's last three symbols (and word end), the widths of tokens so ending, longest first.
+        self.widths: dict[str, list[int]] = {}
+        for t in self.tokens:
+            if (width := self.width(t)) > 2:
+                self.widths.setdefault(t[width - 3 :], []).append(width)
+        self.widths = {k: sorted({*v}, reverse=True) for k, v in self.widths.items()}
         # The symbols at an edge, from the whole token inwards, each with the rank at which it is merged on.
         self.right: dict[str, list[tuple[str, int]]] = {}
         self.left: dict[str, list[tuple[str, int]]] = {}
@@ -55,7 +64,6 @@ class TrieCodec:
                     until, at = self.rank[parts[at]], parts[at][side]
                 chain.append((at, until))
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.stands: dict[str, bool] = {}
         self.found: dict[str, tuple[int, ...]] = {}
 
     def width(self, token: str) -> int:
@@ -63,12 +71,9 @@ class TrieCodec:
 
     def reached(self, token: str) -> bool:
         """Whether merging the token's own symbols gives the token."""
-        known = self.stands.get(token)
-        if known is None:
-            symbols = list(token[: self.width(token)])
-            symbols[-1] += token[len(symbols) :]
-            known = self.stands[token] = merged_length(symbols, self.bpe.merges) == 1
-        return known
+        symbols = list(token[: self.width(token)])
+        symbols[-1] += token[len(symbols) :]
+        return merged_length(symbols, self.bpe.merges) == 1
 
     def apart(self, a: str, b: str) -> bool:
         """Whether merging leaves the neighbours ``a`` and ``b`` as they are."""
@@ -89,10 +94,16 @@ class TrieCodec:
 
         states[i] is the last token of the first i symbols.
         """
-        tokens, n = self.tokens, len(spelled)
-        for width in range(n, 1, -1):
-            t = spelled[n - width :] + suffix
-            if t in tokens and (width == depth or self.apart(states[depth - width], t)) and self.reached(t):
+        n = len(spelled)
+        end = spelled[-3:] + suffix
+        for width in self.widths.get(end, ()):
+            if width <= n:
+                t = spelled[n - width :] + suffix
+                if t in self.tokens and (width == depth or self.apart(states[depth - width], t)):
+                    return t
+        if n > 1:
+            t = spelled[-2:] + suffix
+            if t in self.tokens and (depth == 2 or self.apart(states[depth - 2], t)):
                 return t
         return spelled[-1] + suffix
 
@@ -105,16 +116,13 @@ class TrieCodec:
             for symbol in map(byte, word.encode("utf-8", "surrogatepass")):
                 node = node.setdefault(symbol, {})
             node[""] = word  # a word ends here
-        path: list[str] = []
-        states = [""]
+        states, longest, last_token = [""], self.longest, self.last_token
         stack = [(1, symbol, node) for symbol, node in root.items()]
         while stack:
-            depth, symbol, node = stack.pop()
-            del path[depth - 1 :], states[depth:]
-            path.append(symbol)
-            spelled = "".join(path[-self.longest :])
+            depth, spelled, node = stack.pop()
+            del states[depth:]
             if (word := node.pop("", None)) is not None:
-                t = self.last_token(spelled, states, depth, end)
+                t = last_token(spelled, states, depth, end)
                 out, at = [ids[t]], depth - self.width(t)
                 while at:
                     t = states[at]
@@ -123,10 +131,13 @@ class TrieCodec:
                 out.reverse()
                 found[word] = tuple(out)
             if node:
-                states.append(self.last_token(spelled, states, depth, ""))
-                stack += [(depth + 1, s, child) for s, child in node.items()]
+                states.append(last_token(spelled, states, depth, ""))
+                if depth >= longest:
+                    spelled = spelled[1 - longest :]
+                stack += [(depth + 1, spelled + s, child) for s, child in node.items()]
 
-    def encode(self, texts: list[str | None]) -> list[array.array]:
+    def encode(self, texts: list[str | None]) -> tuple[array.array, array.array]:
+        """The identifiers of all texts in a row, and where each text's begin, with the end."""
         found, looked, new = self.found, [], set()
         if len(found) > REMEMBERED:
             found.clear()
@@ -144,8 +155,11 @@ class TrieCodec:
             self.learn(new)
         finally:
             gc.enable()
-        flat = itertools.chain.from_iterable
-        return [array.array("i", flat(map(found.__getitem__, words) if words else got)) for words, got in looked]
+        values, ends, flat = array.array("i"), array.array("i", [0]), itertools.chain.from_iterable
+        for words, got in looked:
+            values.extend(flat(map(found.__getitem__, words) if words else got))
+            ends.append(len(values))
+        return values, ends
 
 
 @functools.lru_cache(maxsize=1)
@@ -178,10 +192,8 @@ def encode(df: DataFrame, text: str = "text", out: str = "ids", path: str | None
         codec = shared(path)
 
         def of(column):
-            got = codec.encode(column.to_pylist())
-            ends = [0, *itertools.accumulate(map(len, got))]
-            values = array.array("i", itertools.chain.from_iterable(got))
-            return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(memoryview(values), pa.int32()))
+            values, ends = (pa.array(np.frombuffer(x, np.int32)) for x in codec.encode(column.to_pylist()))
+            return pa.ListArray.from_arrays(ends, values)
 
         return of
 
@@ -196,8 +208,13 @@ def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", path: str | No
     path = path or wordbpe.default_path()
 
     def work():
-        string = wordbpe.load(path).strings.__getitem__
-        return lambda column: pa.array([None if x is None else " ".join(map(string, x)) for x in column.to_pylist()], pa.string())
+        strings = pa.array(wordbpe.load(path).strings)
+
+        def of(column):
+            tokens = strings.take(column.values)
+            return pc.binary_join(pa.ListArray.from_arrays(column.offsets, tokens, mask=column.is_null()), " ")
+
+        return of
 
     return _with(df, out, T.StringType(), ids, work)
 
