@@ -8,15 +8,19 @@ from lambertlake.llm.fingerprint import op2_fingerprints
 from lambertlake.llm.html_text import op1_html_text
 from lambertlake.llm.pii import op6_pii
 from lambertlake.llm.token_counts import op5_token_counts
+from lambertlake.llm.topk import OP4_SQL, op4_topk
 from lambertlake.llm.toxicity import op9_toxicity
 
 QUERIES = {
     "op1_html_text": op1_html_text,
     "op2_fingerprints": op2_fingerprints,
+    "op4_topk": op4_topk,
     "op5_token_counts": op5_token_counts,
     "op6_pii": op6_pii,
     "op7_bpe_codec": op7_bpe_codec,
     "op9_toxicity": op9_toxicity,
     "op10_chat_format": op10_chat_format,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_topk": OP4_SQL,
+}
