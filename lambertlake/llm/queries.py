@@ -6,6 +6,7 @@ from lambertlake.llm.bpe_codec import op7_bpe_codec
 from lambertlake.llm.chat_format import op10_chat_format
 from lambertlake.llm.fingerprint import op2_fingerprints
 from lambertlake.llm.html_text import op1_html_text
+from lambertlake.llm.near_dedup import op8_near_dedup
 from lambertlake.llm.pii import op6_pii
 from lambertlake.llm.token_counts import op5_token_counts
 from lambertlake.llm.topk import OP4_SQL, op4_topk
@@ -18,6 +19,7 @@ QUERIES = {
     "op5_token_counts": op5_token_counts,
     "op6_pii": op6_pii,
     "op7_bpe_codec": op7_bpe_codec,
+    "op8_near_dedup": op8_near_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_chat_format": op10_chat_format,
 }
