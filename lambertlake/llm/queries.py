@@ -6,6 +6,7 @@ from lambertlake.llm.bpe_codec import op7_bpe_codec
 from lambertlake.llm.chat_format import op10_chat_format
 from lambertlake.llm.fingerprint import op2_fingerprints
 from lambertlake.llm.html_text import op1_html_text
+from lambertlake.llm.mixing import OP3_SQL, op3_mixing
 from lambertlake.llm.near_dedup import op8_near_dedup
 from lambertlake.llm.pii import op6_pii
 from lambertlake.llm.token_counts import op5_token_counts
@@ -15,6 +16,7 @@ from lambertlake.llm.toxicity import op9_toxicity
 QUERIES = {
     "op1_html_text": op1_html_text,
     "op2_fingerprints": op2_fingerprints,
+    "op3_mixing": op3_mixing,
     "op4_topk": op4_topk,
     "op5_token_counts": op5_token_counts,
     "op6_pii": op6_pii,
@@ -24,5 +26,6 @@ QUERIES = {
     "op10_chat_format": op10_chat_format,
 }
 ORACLES: dict[str, str] = {
+    "op3_mixing": OP3_SQL,
     "op4_topk": OP4_SQL,
 }
