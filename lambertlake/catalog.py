@@ -1,15 +1,478 @@
-"""Registered queries of the engine and the SQL that gives the same rows."""
+"""Registered queries of the engine on the driver's tables, and the SQL that gives the same rows.
+
+``embeddings`` serve as spectra of 64 points (x is the position), ``events`` as one series per
+user in order of event_id, ``lineitem`` as calibration points and replicate results.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-FLAGSHIP = "scan_events"
+from lambertlake.operators import series, stats
+from lambertlake.plans import pipeline as pl
+
+FLAGSHIP = "ratio_difference_assay"
+QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(run):
+        QUERIES[name] = run
+        if sql is not None:
+            ORACLE_SQL[name] = sql
+        return run
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = F.transform(F.sequence(F.lit(0), F.size("embedding") - 1), lambda i: i.cast("double"))
+    y = F.transform("embedding", lambda v: v.cast("double"))
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label", x.alias("x"), y.alias("y"))
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("user_id", "event_id", F.col("event_id").cast("double").alias("x"), F.col("value").alias("y"))
+
+
+SPECTRA = "s AS (SELECT vec_id AS id, label, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS y FROM embeddings)"
+REFS = f"{SPECTRA}, d AS (SELECT y AS d FROM s WHERE id = 0), e AS (SELECT y AS e FROM s WHERE id = 1)"
+
+
+# Pipeline operations
+
+def _checksum(df: DataFrame) -> DataFrame:
+    """One row for each spectrum: its points, and the sum of y times position."""
+    sums = F.aggregate(F.transform("y", lambda v, i: v * (i + 1)), F.lit(0.0), lambda a, b: a + b)
+    return df.select(F.col("id").alias("vec_id"), F.size("y").cast("long").alias("n_points"), F.round(sums, 4).alias("checksum"))
+
+
+def _op_query(key: str, params: dict, z: str | None, steps: list[dict] | None = None) -> None:
+    steps = steps or [{"op": key, "params": params}]
+
+    def run(spark, sf_dir):
+        df = spectra(spark, sf_dir)
+        return _checksum(pl.process(df, steps, pl.Library.of(df, steps)))
+
+    sql = None
+    if z is not None:
+        sql = f"""WITH {REFS}, z AS (SELECT id, {z} AS z FROM s, d, e)
+SELECT id AS vec_id, CAST(len(z) AS BIGINT) AS n_points,
+       round(list_sum(list_transform(range(1, len(z) + 1), lambda i: z[i] * i)), 4) AS checksum FROM z"""
+    query(f"operation_{key}", sql)(run)
+
+
+def _each(expression: str) -> str:
+    return f"list_transform(range(1, 65), lambda i: {expression})"
+
+
+_RATIO = "list_transform(range(1, 65), lambda i: y[i] / d[i])"
+_PLATEAU = "(list_sum(list_transform(range(51, 57), lambda j: y[j] / d[j])) / 6)"
+_MEAN = "list_avg(y)"
+_SLOPE = "list_transform(range(2, 64), lambda i: (y[i + 1] - y[i - 1]) / 2)"
+_XREC = "(y[i] - " + _PLATEAU + " * d[i])"
+_PURE = "(e[11] / d[11]) / (e[21] / d[21])"
+_CENTER = f"(y[21] / d[21] - (y[11] / d[11] - y[21] / d[21]) / ({_PURE} - 1))"
+
+for _key, _params, _z in (
+    ("crop", {"start": 10, "end": 50}, "y[11:51]"),
+    ("resample", {"step": 0.5}, "list_transform(range(0, 127), lambda i: (y[i // 2 + 1] + y[(i + 1) // 2 + 1]) / 2)"),
+    ("smooth_ma", {"window": 5}, _each("list_avg(y[greatest(i - 2, 1):least(i + 2, 64)])")),
+    ("baseline_offset", {"start": 50, "end": 63}, _each("y[i] - list_avg(y[51:64])")),
+    ("baseline_linear", {"w1": 5, "w2": 60}, _each("y[i] - y[6] - (y[61] - y[6]) / 55 * (i - 6)")),
+    ("subtract", {"reference": 0, "factor": 0.5}, _each("y[i] - 0.5 * d[i]")),
+    ("add", {"reference": 0, "factor": 2}, _each("y[i] + 2 * d[i]")),
+    ("divide", {"reference": 0, "threshold": 0}, _RATIO),
+    ("divide_sum", {"reference": 0, "reference2": 1, "factor2": 0.5, "threshold": 0}, _each("y[i] / (d[i] + 0.5 * e[i])")),
+    ("multiply", {"reference": 0}, _each("y[i] * d[i]")),
+    ("scale", {"factor": 3}, _each("y[i] * 3")),
+    ("offset", {"value": 0.25}, _each("y[i] + 0.25")),
+    ("mean_center", {}, _each(f"y[i] - {_MEAN}")),
+    ("subtract_plateau", {"start": 20, "end": 30}, _each("y[i] - list_avg(y[21:31])")),
+    ("normalize", {"mode": "max"}, _each("y[i] / list_max(list_transform(y, lambda v: abs(v)))")),
+    ("snv", {}, _each(f"(y[i] - {_MEAN}) / sqrt(list_sum(list_transform(y, lambda v: (v - {_MEAN}) * (v - {_MEAN}))) / 63)")),
+    ("t_to_a", {"percent": False}, _each("-log10(greatest(y[i], 1e-12))")),
+    ("a_to_t", {}, _each("100 * pow(10.0, -y[i])")),
+    ("derivative", {"order": 1, "delta_lambda": 2}, _SLOPE),
+    ("ratio_subtraction", {"divisor": 0, "start": 50, "end": 55}, _each(f"y[i] - {_PLATEAU} * d[i]")),
+    ("constant_multiplication", {"divisor": 0, "start": 50, "end": 55}, _each(f"{_PLATEAU} * d[i]")),
+    ("factorized_recovery", {"reference": 0, "wavelength": 30}, _each("y[31] / d[31] * d[i]")),
+    ("spectrum_subtraction", {"reference": 0, "wavelength": 30, "wavelength_end": 35}, _each("y[i] - list_sum(list_transform(range(31, 37), lambda j: y[j] / d[j])) / 6 * d[i]")),
+    ("smooth_sg", {"window": 7, "polyorder": 2}, None),
+    ("smooth_whittaker", {}, None),
+    ("baseline_poly", {}, None),
+    ("baseline_als", {}, None),
+    ("divide_centered_ratio", {"reference": 1, "divisor": 0, "start": 10, "end": 50, "threshold": 0}, "list_transform(range(11, 52), lambda i: y[i] / (e[i] / d[i] - list_sum(list_transform(range(11, 52), lambda j: e[j] / d[j])) / 41))"),
+    ("extended_ratio_subtraction", {"divisor": 0, "reference": 1, "start": 50, "end": 55}, None),
+    ("constant_center", {"divisor": 0, "reference": 1, "w1": 10, "w2": 20, "target": "Y"}, None),
+):
+    _op_query(_key, _params, _z)
+
+
+# Measurements
+
+@query(
+    "measurements",
+    f"""WITH {SPECTRA}
+SELECT id AS vec_id, round((y[11] + y[12]) / 2, 6) AS amplitude, round(y[11] - y[31], 6) AS difference, round(y[11] - 0.5 * y[31], 6) AS weighted_difference,
+  round(y[11] / y[31], 4) AS ratio, round(list_max(y[11:31]) - list_min(y[11:31]), 6) AS peak_to_peak, round(list_max(y[11:31]), 6) AS maximum,
+  round(list_min(y[11:31]), 6) AS minimum, round(list_avg(y[11:31]), 6) AS mean,
+  round(list_sum(list_transform(range(11, 31), lambda i: (y[i] + y[i + 1]) / 2)), 6) AS area FROM s""",
+)
+def measurements(spark, sf_dir):
+    df = spectra(spark, sf_dir)
+    for name, params, digits in (
+        ("amplitude", {"w1": 10.5}, 6), ("difference", {"w1": 10, "w2": 30}, 6), ("weighted_difference", {"w1": 10, "w2": 30, "factor": 0.5}, 6), ("mean", {"w1": 10, "w2": 30}, 6), ("area", {"w1": 10, "w2": 30}, 6),
+    ):
+        df = pl.signals(df, [], {"kind": name, "params": params}, out=name).withColumn(name, F.round(name, digits))
+    part = F.transform(series.region(F.col("x"), F.col("y"), 10, 30), lambda p: p["y"])
+    ten, thirty = series.value_at(F.col("x"), F.col("y"), 10.0), series.value_at(F.col("x"), F.col("y"), 30.0)
+    return df.select(
+        F.col("id").alias("vec_id"), "amplitude", "difference", "weighted_difference", F.round(F.try_divide(ten, thirty), 4).alias("ratio"), F.round(F.array_max(part) - F.array_min(part), 6).alias("peak_to_peak"),
+        F.round(F.array_max(part), 6).alias("maximum"), F.round(F.array_min(part), 6).alias("minimum"), "mean", "area",
+    )
+
+
+RATIO_DIFFERENCE = ([{"op": "divide", "params": {"reference": 0, "threshold": 0}}], {"kind": "difference", "params": {"w1": 20, "w2": 40}})
+
+
+@query(
+    FLAGSHIP,
+    f"""WITH {SPECTRA}, d AS (SELECT y AS d FROM s WHERE id = 0),
+g AS (SELECT id, CAST(label AS DOUBLE) AS taken, y[21] / d[21] - y[41] / d[41] AS signal FROM s, d WHERE id <> 0),
+l AS (SELECT regr_slope(signal, taken) AS b, regr_intercept(signal, taken) AS a FROM g WHERE id % 2 = 0)
+SELECT id AS vec_id, taken, round(signal, 6) AS signal, round((signal - a) / b, 4) AS found FROM g, l WHERE id % 2 = 1""",
+)
+def ratio_difference_assay(spark, sf_dir):
+    """Signals of ratio spectra, a line from the even rows, amounts found in the odd ones."""
+    df = spectra(spark, sf_dir)
+    steps, measurement = RATIO_DIFFERENCE
+    got = pl.signals(df.where("id <> 0"), steps, measurement, pl.Library.of(df, steps)).withColumn("taken", F.col("label").cast("double"))
+    line = stats.linear_regression(got.where("id % 2 = 0"), "taken", "signal").select("slope", "intercept")
+    found = got.where("id % 2 = 1").crossJoin(F.broadcast(line))  # one row
+    return found.select(F.col("id").alias("vec_id"), "taken", F.round("signal", 6).alias("signal"), F.round(stats.predict_x(F.col("signal")), 4).alias("found"))
+
+
+# Statistics
+
+@query(
+    "linear_regression",
+    """SELECT l_returnflag, count(*) AS n, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 3) AS intercept,
+  round(corr(l_extendedprice, l_quantity), 8) AS r, round(sqrt((regr_syy(l_extendedprice, l_quantity) - regr_sxy(l_extendedprice, l_quantity) ** 2 / regr_sxx(l_extendedprice, l_quantity)) / (count(*) - 2)), 3) AS s_yx
+FROM lineitem GROUP BY l_returnflag""",
+)
+def linear_regression(spark, sf_dir):
+    line = stats.linear_regression(table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice", ["l_returnflag"])
+    return line.select("l_returnflag", "n", F.round("slope", 4).alias("slope"), F.round("intercept", 3).alias("intercept"), F.round("r", 8).alias("r"), F.round("s_yx", 3).alias("s_yx"))
+
+
+@query(
+    "regression_through_origin",
+    """WITH a AS (SELECT l_linestatus, count(*) AS n, sum(l_quantity * l_extendedprice) AS xy, sum(l_quantity * l_quantity) AS xx, sum(l_extendedprice * l_extendedprice) AS yy FROM lineitem GROUP BY 1)
+SELECT l_linestatus, round(xy / xx, 5) AS slope, round(sqrt((yy - xy * xy / xx) / (n - 1)), 3) AS s_yx, round(3.3 * sqrt((yy - xy * xy / xx) / (n - 1)) / (xy / xx), 5) AS lod FROM a""",
+)
+def regression_through_origin(spark, sf_dir):
+    line = stats.linear_regression(table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice", ["l_linestatus"], through_origin=True)
+    return line.select("l_linestatus", F.round("slope", 5).alias("slope"), F.round("s_yx", 3).alias("s_yx"), F.round("lod", 5).alias("lod"))
+
+
+@query(
+    "absorptivity",
+    "SELECT l_shipmode, round(a, 6) AS absorptivity FROM (SELECT l_linenumber AS l_shipmode, sum(l_quantity * l_extendedprice) / sum(l_quantity * l_quantity) AS a FROM lineitem GROUP BY 1)",
+)
+def absorptivity(spark, sf_dir):
+    got = stats.absorptivity(table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice", ["l_linenumber"])
+    return got.select(F.col("l_linenumber").alias("l_shipmode"), F.round("absorptivity", 6).alias("absorptivity"))
+
+
+@query(
+    "lack_of_fit",
+    """WITH v AS (SELECT l_quantity AS x, l_extendedprice AS y FROM lineitem),
+g AS (SELECT x, count(*) AS n, avg(y) AS m, var_pop(y) * count(*) AS pure FROM v GROUP BY x),
+s AS (SELECT regr_syy(y, x) - regr_sxy(y, x) ** 2 / regr_sxx(y, x) AS sse, count(*) AS n FROM v),
+t AS (SELECT sum(pure) AS pure, count(*) AS k FROM g)
+SELECT k AS levels, round((sse - pure) / (k - 2) / (pure / (n - k)), 5) AS f FROM s, t""",
+)
+def lack_of_fit(spark, sf_dir):
+    return stats.lack_of_fit(table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice").select("levels", F.round("f", 5).alias("f"))
+
+
+@query(
+    "describe",
+    """SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS sd, round(100 * stddev_samp(value) / abs(avg(value)), 6) AS rsd,
+  round(stddev_samp(value) / sqrt(count(value)), 6) AS sem, min(value) AS min, max(value) AS max FROM events GROUP BY event_type""",
+)
+def describe(spark, sf_dir):
+    got = stats.describe(table(spark, sf_dir, "events"), "value", ["event_type"])
+    return got.select("event_type", "n", *(F.round(c, 6).alias(c) for c in ("mean", "sd", "rsd", "sem")), "min", "max")
+
+
+@query(
+    "recovery",
+    """SELECT l_returnflag, count(*) AS n, round(avg(100 * l_extendedprice * (1 - l_discount) / l_extendedprice), 6) AS mean, round(stddev_samp(100 * l_extendedprice * (1 - l_discount) / l_extendedprice), 6) AS sd
+FROM lineitem GROUP BY l_returnflag""",
+)
+def recovery(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").withColumn("found", F.col("l_extendedprice") * (1 - F.col("l_discount")))
+    return stats.recovery(rows, "found", "l_extendedprice", ["l_returnflag"]).select("l_returnflag", "n", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"))
+
+
+@query(
+    "anova",
+    """WITH g AS (SELECT event_type, count(value) AS n, avg(value) AS m, var_samp(value) AS v FROM events GROUP BY 1),
+a AS (SELECT count(*) AS k, sum(n) AS n, sum(n * m) / sum(n) AS gm, sum((n - 1) * v) AS w FROM g), b AS (SELECT sum(g.n * (m - gm) * (m - gm)) AS s FROM g, a)
+SELECT CAST(k AS BIGINT) AS groups, CAST(n AS BIGINT) AS n, round((s / (k - 1)) / (w / (n - k)), 5) AS f FROM a, b""",
+)
+def anova(spark, sf_dir):
+    got = stats.anova(table(spark, sf_dir, "events"), "value", "event_type")
+    return got.select("groups", "n", F.round("f", 5).alias("f"))
+
+
+@query(
+    "grubbs",
+    """WITH a AS (SELECT user_id, avg(value) AS m, stddev_samp(value) AS sd, count(value) AS n FROM events GROUP BY 1 HAVING count(value) >= 3)
+SELECT user_id, n, round(max(abs(value - m)) / any_value(sd), 6) AS g FROM events JOIN a USING (user_id) GROUP BY user_id, n""",
+)
+def grubbs(spark, sf_dir):
+    got = stats.grubbs(table(spark, sf_dir, "events"), "value", "event_id", ["user_id"])
+    return got.where("n >= 3").select("user_id", "n", F.round("g", 6).alias("g"))
+
+
+@query(
+    "dixon",
+    """WITH v AS (SELECT l_orderkey, l_extendedprice AS v, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice) AS i, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem),
+e AS (SELECT l_orderkey, n, min(v) AS a, max(CASE WHEN i = 2 THEN v END) AS b, max(CASE WHEN i = n - 1 THEN v END) AS c, max(v) AS d FROM v WHERE n BETWEEN 3 AND 10 GROUP BY 1, 2)
+SELECT l_orderkey, n, round(CASE WHEN d = a THEN 0 ELSE greatest((b - a) / (d - a), (d - c) / (d - a)) END, 6) AS q FROM e""",
+)
+def dixon(spark, sf_dir):
+    return stats.dixon(table(spark, sf_dir, "lineitem"), "l_extendedprice", ["l_orderkey"]).select("l_orderkey", "n", F.round("q", 6).alias("q"))
+
+
+@query(
+    "prediction_error",
+    """SELECT l_returnflag, count(*) AS n, round(avg(e), 5) AS bias, round(sqrt(avg(e * e)), 5) AS rmsep, round(stddev_samp(e), 5) AS sep, round(1 - sum(e * e) / (var_pop(l_extendedprice) * count(*)), 7) AS r2
+FROM (SELECT *, l_quantity * 1500 - l_extendedprice AS e FROM lineitem) GROUP BY 1""",
+)
+def prediction_error(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").withColumn("predicted", F.col("l_quantity") * 1500)
+    got = stats.prediction_error(rows, "predicted", "l_extendedprice", ["l_returnflag"])
+    return got.select("l_returnflag", "n", F.round("bias", 5).alias("bias"), F.round("rmsep", 5).alias("rmsep"), F.round("sep", 5).alias("sep"), F.round("r2", 7).alias("r2"))
+
+
+@query(
+    "relative_rmsep",
+    "SELECT l_linestatus, round(100 * sqrt(avg(pow((l_quantity * 1500 - l_extendedprice) / l_extendedprice, 2))), 5) AS relative_rmsep FROM lineitem WHERE l_extendedprice > 0 GROUP BY 1",
+)
+def relative_rmsep(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").withColumn("predicted", F.col("l_quantity") * 1500)
+    return stats.relative_rmsep(rows, "predicted", "l_extendedprice", ["l_linestatus"]).select("l_linestatus", F.round("relative_rmsep", 5).alias("relative_rmsep"))
+
+
+@query(
+    "standard_addition",
+    "SELECT l_suppkey, round(regr_intercept(l_extendedprice, l_quantity) / regr_slope(l_extendedprice, l_quantity), 5) AS found FROM lineitem GROUP BY 1 HAVING count(*) >= 3 AND regr_sxx(l_extendedprice, l_quantity) > 0",
+)
+def standard_addition(spark, sf_dir):
+    got = stats.linear_regression(table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice", ["l_suppkey"], strict=False)
+    return got.where("n >= 3 AND sxx > 0").select("l_suppkey", F.round(F.col("intercept") / F.col("slope"), 5).alias("found"))
+
+
+@query(
+    "eco_scale",
+    """SELECT n_name AS method, CAST(100 - sum(s_suppkey % 7) AS BIGINT) AS score, CASE WHEN 100 - sum(s_suppkey % 7) > 75 THEN 'excellent' WHEN 100 - sum(s_suppkey % 7) > 50 THEN 'acceptable' ELSE 'inadequate' END AS rating
+FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1""",
+)
+def eco_scale(spark, sf_dir):
+    rows = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    return stats.eco_scale(rows.select(F.col("n_name").alias("method"), (F.col("s_suppkey") % 7).alias("points"))).select("method", F.col("score").cast("long").alias("score"), "rating")
+
+
+# Series
+
+@query(
+    "zero_crossings",
+    """WITH v AS (SELECT user_id, event_id AS x, value - 50 AS y, lead(event_id) OVER w AS x1, lead(value - 50) OVER w AS y1 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+SELECT user_id, round(CASE WHEN y = 0 THEN x ELSE x - y * (x1 - x) / (y1 - y) END, 5) AS root FROM v WHERE y1 IS NOT NULL AND (y = 0 OR y * y1 < 0)""",
+)
+def zero_crossings(spark, sf_dir):
+    rows = events(spark, sf_dir).withColumn("y", F.col("y") - 50)
+    return series.zero_crossings(rows, "user_id", "event_id", "x", "y").select("user_id", F.round("root", 5).alias("root"))
+
+
+@query(
+    "moving_average",
+    "SELECT user_id, event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 6) AS smooth FROM events",
+)
+def moving_average(spark, sf_dir):
+    return series.moving_average(events(spark, sf_dir), "user_id", "event_id", "y", 5).select("user_id", "event_id", F.round("smooth", 6).alias("smooth"))
+
+
+@query(
+    "running_median",
+    "SELECT user_id, event_id, round(median(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING), 6) AS median FROM events",
+)
+def running_median(spark, sf_dir):
+    return series.running_median(events(spark, sf_dir), "user_id", "event_id", "y", 9).select("user_id", "event_id", F.round("median", 6).alias("median"))
+
+
+@query(
+    "interpolation",
+    """WITH v AS (SELECT user_id, event_id AS x, value AS y, lead(event_id) OVER w AS x1, lead(value) OVER w AS y1, min(event_id) OVER (PARTITION BY user_id) AS f FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+k AS (SELECT *, unnest(range(CAST(ceil((x - f) / 50.0) AS BIGINT), CASE WHEN x1 IS NULL THEN CASE WHEN (x - f) % 50 = 0 THEN (x - f) // 50 + 1 ELSE 0 END ELSE CAST(ceil((x1 - f) / 50.0) AS BIGINT) END)) AS k FROM v)
+SELECT user_id, CAST(f + 50 * k AS DOUBLE) AS x, round(CASE WHEN x1 IS NULL THEN y ELSE y + (y1 - y) * (f + 50 * k - x) / (x1 - x) END + 1e-9, 6) AS y FROM k""",
+)
+def interpolation(spark, sf_dir):
+    return series.resample(events(spark, sf_dir), "user_id", "x", "y", 50.0).select("user_id", "x", F.round(F.col("y") + 1e-9, 6).alias("y"))  # ties of rounding aside
+
+
+@query(
+    "longest_runs",
+    """WITH v AS (SELECT user_id, event_id, value > 40 AS f, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+g AS (SELECT user_id, event_id, i - row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS g FROM v WHERE f),
+r AS (SELECT user_id, min(event_id) AS start, max(event_id) AS stop, count(*) AS n FROM g GROUP BY user_id, g)
+SELECT user_id, start, stop, n FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, start) AS k FROM r) WHERE k = 1""",
+)
+def longest_runs(spark, sf_dir):
+    rows = events(spark, sf_dir).withColumn("flag", F.col("y") > 40)
+    return series.longest_runs(rows, "user_id", "event_id", "flag").select("user_id", "start", "stop", "n")
+
+
+@query("extrema")
+def extrema(spark, sf_dir):
+    df = spectra(spark, sf_dir)
+    return df.lateralJoin(series.Extrema(F.col("x").outer(), F.col("y").outer(), F.lit(0.2))).select("id", F.col("kind"))
+
+
+@query("plateaus")
+def plateaus(spark, sf_dir):
+    series.register(spark)
+    spectra(spark, sf_dir).createOrReplaceTempView("_plateau_spectra")
+    return spark.sql("SELECT id, p.start, p.stop, p.mean FROM _plateau_spectra, LATERAL plateaus(x, y, 0.3D, 4D) p")
+
+
+@query(
+    "kaiser_selection",
+    f"""WITH {SPECTRA}, a AS (SELECT i AS w, avg(y[i + 1]) FILTER (label % 2 = 0) AS a, avg(y[i + 1]) FILTER (label % 2 = 1) AS b FROM s, range(0, 64) t(i) GROUP BY i)
+SELECT CAST(p.w AS DOUBLE) AS w1, CAST(q.w AS DOUBLE) AS w2, round(abs(p.a * q.b - q.a * p.b), 9) AS det FROM a p JOIN a q ON p.w < q.w ORDER BY abs(p.a * q.b - q.a * p.b) DESC, 1, 2 LIMIT 10""",
+)
+def kaiser_selection(spark, sf_dir):
+    points = spectra(spark, sf_dir).select("label", F.explode(F.arrays_zip("x", "y")).alias("p")).select("label", "p.x", "p.y")
+    mean = lambda odd: F.avg(F.when(F.col("label") % 2 == odd, F.col("y")))
+    grid = points.groupBy(F.col("x").alias("w")).agg(mean(0).alias("a"), mean(1).alias("b"))
+    return series.kaiser_pairs(grid).select("w1", "w2", F.round("det", 9).alias("det"))
+
+
+_CYCLE = str(series.design_cycle())
+
+
+@query(
+    "experimental_design",
+    f"""SELECT r AS run, CASE WHEN r = 0 THEN 10.0 ELSE round(10 + 4 * {_CYCLE}[(r - 1) % 24 + 1], 6) END AS c1, CASE WHEN r = 0 THEN 20.0 ELSE round(20 + 2.5 * {_CYCLE}[r % 24 + 1], 6) END AS c2,
+CASE WHEN r = 0 THEN 5.0 ELSE round(5 + 0.5 * {_CYCLE}[(r + 1) % 24 + 1], 6) END AS c3 FROM range(0, 25) t(r)""",
+)
+def experimental_design(spark, sf_dir):
+    return series.design_concentrations(series.brereton_design(spark, 3), [10.0, 20.0, 5.0], [4.0, 2.5, 0.5])
+
+
+@query(
+    "concentrations_from_name",
+    "SELECT p_partkey, CAST(regexp_extract(p_brand, 'Brand[ _=:#-]*([0-9]+)', 1) AS DOUBLE) AS brand FROM part",
+)
+def concentrations_from_name(spark, sf_dir):
+    named = series.concentrations_from_name(F.replace(F.col("p_brand"), F.lit("#"), F.lit(" ")), ["Brand"])
+    return table(spark, sf_dir, "part").select("p_partkey", F.try_element_at(named, F.lit("Brand")).alias("brand"))
+
+
+# Joins, trees and the audit chain
+
+@query(
+    "usage",
+    "SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 45)",
+)
+def usage(spark, sf_dir):
+    """Documents that refer to any of some records: a semi join on exploded references."""
+    refs = table(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("o_orderkey"))
+    return table(spark, sf_dir, "orders").join(refs, "o_orderkey", "left_semi").select("o_orderkey")
+
+
+@query("not_undone", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+def not_undone(spark, sf_dir):
+    done = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return table(spark, sf_dir, "customer").join(done, "c_custkey", "left_anti").select("c_custkey")
+
+
+@query(
+    "lineage",
+    """WITH RECURSIVE t AS (SELECT CAST(n_nationkey AS BIGINT) AS node, CAST(n_nationkey AS BIGINT) AS ancestor, 0 AS depth FROM nation
+UNION ALL SELECT node, ancestor // 2, depth + 1 FROM t WHERE ancestor > 0) SELECT node, ancestor, depth FROM t""",
+)
+def lineage(spark, sf_dir):
+    """Each nation's line of parents, the parent of k being k div 2."""
+    nodes = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("node"))
+    edges = nodes.where("node > 0").select(F.col("node").alias("child"), F.expr("node div 2").alias("parent"))
+    return series.ascend(edges, nodes)
+
+
+@query(
+    "audit_chain",
+    """WITH RECURSIVE e AS (SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+c AS (SELECT user_id, i, sha256('genesis' || chr(31) || event_id || chr(31) || event_type) AS h FROM e WHERE i = 1
+UNION ALL SELECT e.user_id, e.i, sha256(c.h || chr(31) || e.event_id || chr(31) || e.event_type) FROM c JOIN e ON e.user_id = c.user_id AND e.i = c.i + 1)
+SELECT user_id, max(i) AS n, arg_max(h, i) AS head FROM c GROUP BY user_id""",
+)
+def audit_chain(spark, sf_dir):
+    """Head of each user's hash chain; a chain is followed by its own task, entry by entry."""
+    rows = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))).alias("e"))
+    link = lambda h, e: F.sha2(F.concat_ws("\x1f", h, e["event_id"].cast("string"), e["event_type"]), 256)
+    return rows.select("user_id", F.size("e").cast("long").alias("n"), F.aggregate("e", F.lit("genesis"), link).alias("head"))
+
+
+@query(
+    "audit_search",
+    "SELECT event_id, event_type FROM events WHERE event_type ILIKE '%e%' AND user_id % 3 = 1 ORDER BY event_id DESC LIMIT 200",
+)
+def audit_search(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").where(F.col("event_type").ilike("%e%") & (F.col("user_id") % 3 == 1))
+    return rows.orderBy(F.desc("event_id")).limit(200).select("event_id", "event_type")
+
 
+# Calibration by normal equations, cross-validation
 
-def _scan_events(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").agg(F.count("*").alias("n_rows"))
+@query(
+    "multiple_regression",
+    """WITH a AS (SELECT sum(l_quantity * l_quantity) AS a, sum(l_quantity * l_tax) AS b, sum(l_tax * l_tax) AS d, sum(l_quantity * l_extendedprice) AS u, sum(l_tax * l_extendedprice) AS v FROM lineitem)
+SELECT round((u * d - b * v) / (a * d - b * b), 5) AS k1, round((a * v - b * u) / (a * d - b * b), 3) AS k2 FROM a""",
+)
+def multiple_regression(spark, sf_dir):
+    """Least squares of two responses by their Gram matrix, one pass over the rows."""
+    q, t, e = (F.col(c) for c in ("l_quantity", "l_tax", "l_extendedprice"))
+    g = table(spark, sf_dir, "lineitem").agg(F.sum(q * q).alias("a"), F.sum(q * t).alias("b"), F.sum(t * t).alias("d"), F.sum(q * e).alias("u"), F.sum(t * e).alias("v"))
+    return g.selectExpr("round((u * d - b * v) / (a * d - b * b), 5) AS k1", "round((a * v - b * u) / (a * d - b * b), 3) AS k2")
 
 
-QUERIES = {"scan_events": _scan_events}
-ORACLE_SQL = {"scan_events": "SELECT event_type, count(*) AS n_rows FROM events GROUP BY event_type"}
+@query(
+    "cross_validation",
+    """WITH v AS (SELECT l_quantity AS x, l_extendedprice AS y, l_orderkey % 5 AS fold FROM lineitem),
+p AS (SELECT fold, count(*) AS n, sum(x) AS x, sum(y) AS y, sum(x * x) AS xx, sum(x * y) AS xy, sum(y * y) AS yy FROM v GROUP BY fold), a AS (SELECT sum(n) AS n, sum(x) AS x, sum(y) AS y, sum(xx) AS xx, sum(xy) AS xy FROM p),
+m AS (SELECT p.*, ((a.n - p.n) * (a.xy - p.xy) - (a.x - p.x) * (a.y - p.y)) / ((a.n - p.n) * (a.xx - p.xx) - (a.x - p.x) ** 2) AS b, a.x - p.x AS rx, a.y - p.y AS ry, a.n - p.n AS rn FROM p, a),
+c AS (SELECT *, (ry - b * rx) / rn AS c0 FROM m)
+SELECT CAST(fold AS BIGINT) AS fold, n, round(sqrt((yy - 2 * b * xy - 2 * c0 * y + b * b * xx + 2 * b * c0 * x + n * c0 * c0) / n), 3) AS rmsecv FROM c""",
+)
+def cross_validation(spark, sf_dir):
+    """Error of a line in each of five folds, from the folds' sums: the rows are read once."""
+    v = table(spark, sf_dir, "lineitem").select(F.col("l_quantity").alias("x"), F.col("l_extendedprice").alias("y"), (F.col("l_orderkey") % 5).alias("fold"))
+    x, y = F.col("x"), F.col("y")
+    p = v.groupBy("fold").agg(F.count("*").alias("n"), F.sum(x).alias("x"), F.sum(y).alias("y"), F.sum(x * x).alias("xx"), F.sum(x * y).alias("xy"), F.sum(y * y).alias("yy"))
+    every = W.partitionBy(F.lit(0))  # five rows
+    rest = {c: F.sum(c).over(every) - F.col(c) for c in ("n", "x", "y", "xx", "xy")}
+    p = p.select("*", *(r.alias(f"r_{c}") for c, r in rest.items()))
+    p = p.withColumn("b", (F.col("r_n") * F.col("r_xy") - F.col("r_x") * F.col("r_y")) / (F.col("r_n") * F.col("r_xx") - F.col("r_x") * F.col("r_x")))
+    p = p.withColumn("c0", (F.col("r_y") - F.col("b") * F.col("r_x")) / F.col("r_n"))
+    return p.selectExpr("fold", "n", "round(sqrt((yy - 2 * b * xy - 2 * c0 * y + b * b * xx + 2 * b * c0 * x + n * c0 * c0) / n), 3) AS rmsecv")
