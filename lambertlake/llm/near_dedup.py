@@ -13,9 +13,10 @@ shingle (the default) that is their Jaccard similarity.
    go, and the rest is verified on the words themselves: first each member's likeliest pivot,
    then what links not yet joined components.
 3. A bucket that still holds several components is searched completely: members outside its
-   largest component are compared with all members, in blocks of bounded size, and pairs that
-   the registers don't rule out are verified. So no link of a bucket is lost, and no group is
-   expanded into all its pairs or brought together in one task.
+   largest component are compared with all members, in blocks of bounded size that carry the
+   texts, so that pairs the registers don't rule out are verified there (on 64-bit hashes of
+   the shingles) and only links leave the task. So no link of a bucket is lost, and no group
+   is expanded into all its pairs or brought together in one task.
 
 The class of a document is the smallest doc_id of its component, links being similarities of
 ``threshold`` or more. Null texts count as empty; texts without words are like their exact
@@ -57,7 +58,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 class _WordHashes(dict):
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 300_000:
             self.clear()
         found = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
         return found
@@ -255,56 +256,90 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return _labelled(_labelled(pairs, labels, "x"), labels, "y").where("x_label <> y_label").drop("x_label", "y_label")
 
 
-def _rest(members: DataFrame, labels: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """Pairs across components that share a bucket and that registers don't rule out."""
+def _rest(members: DataFrame, labels: DataFrame, nodes: DataFrame, packed: DataFrame, threshold: float) -> DataFrame:
+    """Links (x, y) across components among the members of each bucket.
+
+    Blocks carry registers and texts, so that a pair is judged where its members meet and only
+    links leave the task: for a member and another component the first link found, likeliest
+    pair first. A pair that shares several buckets is judged in the first of them.
+    """
     mine = _labelled(members, labels, "rep")
-    mine = mine.select("key", "rep", F.col("rep_label").alias("label"))
+    mine = mine.select("key", "band", "rep", F.col("rep_label").alias("label"))
     sizes = mine.groupBy("key", "label").agg(F.count("*").alias("n"))
     sizes = sizes.groupBy("key").agg(F.sum("n").alias("all"), F.max("n").alias("most"), F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("parts"))
     sizes = sizes.where("parts > 1").select(
         "key", "main", F.ceil((F.col("all") - F.col("most")) / FEW).cast("int").alias("few"), F.ceil(F.col("all") / MANY).cast("int").alias("many")
     )
-    mine = mine.join(sizes, "key").join(nodes.select("rep", "registers"), "rep")
+    mine = mine.join(sizes, "key").join(nodes.select("rep", "registers").join(packed, "rep"), "rep")
     place = lambda salt, n: F.pmod(F.xxhash64("rep", F.lit(salt)), F.col(n)).cast("int")
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     asks = mine.where("label <> main").withColumn("i", place(1, "few")).withColumn("j", upto("many")).withColumn("asks", F.lit(True))
     told = mine.withColumn("j", place(2, "many")).withColumn("i", upto("few")).withColumn("asks", F.lit(False))
-    columns = ["key", "i", "j", "asks", "rep", "label", "registers"]
+    columns = ["key", "i", "j", "band", "asks", "rep", "label", "registers", "packed"]
     dealt = asks.select(columns).unionByName(told.select(columns)).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
-    def block(asks, rep, label, registers):
-        few = np.flatnonzero(asks)
+    def block(band, asks, rep, label, registers, texts, known):
+        unpack = zstandard.ZstdDecompressor().decompress
+
+        def shingles(r):
+            found = known.get(rep[r])
+            if found is None:
+                if len(known) >= 4 * MANY:
+                    known.clear()
+                words = unpack(texts[r]).decode("utf-8", "surrogatepass").split()
+                hashes = np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words))
+                found = known[rep[r]] = np.unique(shingle_hashes(hashes))
+            return found
+
         many = np.flatnonzero(~asks)
-        for r in few:
-            near = agreement(registers[many], registers[r])
-            hit = many[(near >= threshold - SLACK) & (label[many] != label[r])]
-            yield np.minimum(rep[hit], rep[r]), np.maximum(rep[hit], rep[r])
+        for r in np.flatnonzero(asks):
+            other = many[label[many] != label[r]]
+            same = registers[other] == registers[r]
+            near = (same.mean(1) - 1 / 256) / (1 - 1 / 256)
+            shared = same.reshape(len(other), BANDS, ROWS).all(2)
+            hit = (near >= threshold - SLACK) & ~shared[:, :band].any(1)
+            order = np.argsort(-near[hit], kind="stable")
+            done = set()
+            for o in other[hit][order]:
+                if label[o] in done:
+                    continue
+                a, b = shingles(r), shingles(o)
+                # No more can be shared than the smaller set has.
+                if min(len(a), len(b)) < threshold * max(len(a), len(b)):
+                    continue
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                if both >= threshold * (len(a) + len(b) - both):
+                    done.add(label[o])
+                    yield int(rep[r]), int(rep[o])
 
     def run(batches):
-        held, last = [], None
+        held, texts, last, known = [], [], None, {}
 
         def out():
-            asks, rep, label, registers = (np.concatenate([h[c] for h in held]) for c in range(4))
-            found = [p for p in block(asks, rep, label, registers) if len(p[0])]
+            band, asks, rep, label, registers = (np.concatenate([h[c] for h in held]) for c in range(5))
+            found = list(block(int(band[0]), asks, rep, label, registers, texts, known))
             held.clear()
+            texts.clear()
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[c] for p in found])) for c in (1, 0)], names=["x", "y"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["x", "y"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, i, j, asks, rep, label = (batch.column(c).to_numpy(zero_copy_only=False) for c in columns[:6])
+            key, i, j, band, asks, rep, label = (batch.column(c).to_numpy(zero_copy_only=False) for c in columns[:7])
             registers = np.frombuffer(b"".join(batch.column("registers").to_pylist()), np.uint8).reshape(-1, REGISTERS)
+            own = batch.column("packed").to_pylist()
             cut = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
             for a, b in zip(np.r_[0, cut], np.r_[cut, len(key)]):
                 if last is not None and last != (key[a], i[a], j[a]):
                     yield from out()
                 last = (key[a], i[a], j[a])
-                held.append((asks[a:b].astype(bool), rep[a:b], label[a:b], registers[a:b]))
+                held.append((band[a:b], asks[a:b].astype(bool), rep[a:b], label[a:b], registers[a:b]))
+                texts += own[a:b]
         if held:
             yield from out()
 
-    return dealt.mapInArrow(run, "x long, y long").distinct()
+    return dealt.mapInArrow(run, "x long, y long")
 
 
 def classes(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD, counted: bool = False) -> DataFrame:
@@ -318,7 +353,7 @@ def classes(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD, c
     nodes = signed.groupBy("text_key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("registers").alias("registers"))
     nodes = runtime.checkpoint(nodes)
     real = nodes.where(F.col("rep").isNotNull() & (F.size("bands") > 0)).select("rep", "bands", "registers").dropDuplicates(["rep"])
-    banded = real.select("rep", F.explode("bands").alias("key"))
+    banded = real.select("rep", F.posexplode("bands").alias("band", "key"))
     pivots = banded.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("_last")).where("pivot <> _last").drop("_last")
     members = runtime.checkpoint(banded.join(pivots, "key"))
     shared = members.select("rep").distinct()
@@ -330,8 +365,7 @@ def classes(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD, c
     labels = components(_verified(best, packed, threshold))
     tried = star.join(best, ["x", "y"], "left_anti")
     labels = _joined(labels, runtime.checkpoint(_verified(_apart(tried, labels), packed, threshold)))
-    rest = _rest(members.select("key", "rep"), labels, some, threshold).join(star, ["x", "y"], "left_anti")
-    labels = _joined(labels, runtime.checkpoint(_verified(rest, packed, threshold)))
+    labels = _joined(labels, runtime.checkpoint(_rest(members.select("key", "band", "rep"), labels, some, packed, threshold)))
     reps = nodes.select("text_key", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     reps = reps.select("text_key", F.coalesce("label", "rep").alias("class_id"))
     return signed.select("doc_id", "text_key").join(reps, "text_key").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"))
