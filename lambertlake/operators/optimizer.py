@@ -1,0 +1,386 @@
+"""Search for the best method of each compound of a mixture.
+
+Signals of linear pipelines add up, so every candidate is judged from the processed unit spectra
+and processed noise alone: for each mixture of a set of scenarios, what the other compounds add
+(bias) and what noise does, relative to the compound's own signal, at the nominal wavelengths and
+with the wavelength scale off by its uncertainty either way. Jobs - a compound, a family, a
+pipeline - are rows of a table and run on the executors; noise is drawn once on the driver, so
+results don't depend on how jobs are dealt. The best candidates are then verified by a real
+calibration on the standards and the given mixtures.
+"""
+
+from __future__ import annotations
+
+import itertools
+import json
+from dataclasses import dataclass, field
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from lambertlake.functions import kernels as k
+from lambertlake.functions.kernels import SpectrumError
+from lambertlake.operators import methods as m
+from lambertlake.operators.chemometrics import SpectralModel
+from lambertlake.plans import measure
+from lambertlake.plans.ops import Batch, apply_pipeline
+
+FAMILIES = (
+    "zero", "derivative", "dual", "induced_dual", "ratio_difference", "derivative_ratio", "mean_centering", "ratio_subtraction",
+    "dual_amplitude", "double_divisor", "amplitude_centering", "absorption_factor", "vierordt", "bivariate", "cls", "pls",
+)
+#: What kinds of reading a family's jobs take.
+PAIRED = {"dual", "induced_dual", "ratio_difference", "dual_amplitude"}
+SCHEMA = "compound string, family string, steps string, measurement string, robust double, error double, bias double, noise double, sensitivity double, failure string"
+
+
+@dataclass
+class Mixture:
+    """What the search knows: unit spectra on one grid, noise, scenarios."""
+
+    grid: np.ndarray
+    units: dict[str, np.ndarray]
+    sigma: np.ndarray
+    offset: float
+    scenarios: list[dict[str, float]]
+    uncertainty: float = 0.2
+    pair_step: float = 2.0
+    keep: int = 3
+    seed: int = 0
+    smoothing: tuple[float, ...] = ()
+    noise: np.ndarray = field(init=False)
+
+    def __post_init__(self) -> None:
+        rng = np.random.default_rng(self.seed)
+        self.noise = rng.normal(size=(40, len(self.grid))) * self.sigma + rng.normal(size=(40, 1)) * self.offset
+
+    @classmethod
+    def of(cls, standards: DataFrame, compounds: list[str], mixtures: DataFrame | None = None, **options) -> Mixture:
+        """From pure standards (and mixtures): per-point slopes, pooled residuals, amounts of the mixtures or corners and centre."""
+        units, rest, lows = {}, [], {}
+        grid = None
+        for c in compounds:
+            rows = m.required(m.pure_standards(standards, c), [c]).select("x", "y", f"c_{c}").collect()
+            if len(rows) < 2:
+                raise SpectrumError(f"two pure standards of {c} are needed")
+            x = np.array(rows[0]["x"])
+            grid = x if grid is None else grid
+            y = np.stack([k.lerp(np.array(r["x"]), np.array(r["y"]), grid) for r in rows])
+            amount = np.array([r[f"c_{c}"] for r in rows])
+            units[c] = amount @ y / (amount @ amount)
+            rest.append(y - amount[:, None] * units[c])
+            lows[c] = (float(amount.min()), float(amount.max()))
+        left = np.concatenate(rest)
+        offset = float(left.mean(1).std())
+        sd = np.sqrt(((left - left.mean(1, keepdims=True)) ** 2).sum(0) / max(1, len(left) - len(compounds)))
+        sigma = np.array([np.median(sd[max(0, i - 4) : i + 5]) for i in range(len(sd))])
+        # The range in which the detector is quiet.
+        a, b = k.longest_run(sigma <= 3 * np.median(sigma) + 1e-15)
+        given = [] if mixtures is None else [{c: r["concentrations"].get(c) for c in compounds} for r in mixtures.select("concentrations").collect()]
+        scenarios = [s for s in given if all(v is not None for v in s.values())] or [
+            *(dict(zip(compounds, corner)) for corner in itertools.product(*lows.values())), {c: sum(v) / 2 for c, v in lows.items()},
+        ]
+        return cls(grid[a:b], {c: u[a:b] for c, u in units.items()}, sigma[a:b], offset, scenarios, **options)
+
+    def resolve(self, key):
+        """Divisors by the name div:<compound>: ten units of it."""
+        if isinstance(key, str) and key.startswith("div:"):
+            return self.grid, 10 * self.units[key[4:]]
+        raise SpectrumError(f"unknown reference {key}")
+
+    def regions(self, compound: str, share: float = 0.05, width: float = 20.0) -> list[tuple[float, float]]:
+        """Where a divisor is strong enough."""
+        ok = self.units[compound] >= share * self.units[compound].max()
+        edges = np.flatnonzero(np.diff(np.r_[0, ok.astype(int), 0])).reshape(-1, 2)
+        return [(float(self.grid[a]), float(self.grid[b - 1])) for a, b in edges if self.grid[b - 1] - self.grid[a] >= width]
+
+    def plateau(self, target: str, other: str, width: float = 8.0) -> tuple[float, float] | None:
+        """The longest stretch where ``other`` absorbs and ``target`` doesn't."""
+        t, o = np.abs(self.units[target]), self.units[other]
+        a, b = k.longest_run((t < 0.005 * t.max()) & (o > 0.03 * o.max()))
+        return (float(self.grid[a]), float(self.grid[b - 1])) if b > a and self.grid[b - 1] - self.grid[a] >= width else None
+
+    def band(self, compound: str) -> float:
+        u = self.units[compound]
+        found = [i for i in k.peaks(u, 0.05 * float(np.ptp(u))) if self.grid[i] - self.grid[0] > 5 and self.grid[-1] - self.grid[i] > 5]
+        return float(self.grid[max(found, key=lambda i: u[i]) if found else int(np.argmax(u))])
+
+
+def _step(op: str, **params) -> dict:
+    return {"op": op, "params": params}
+
+
+def jobs(mix: Mixture) -> list[dict]:
+    """Every pipeline worth screening, for each compound, with smoothing variants; no job twice."""
+    out = []
+    names = list(mix.units)
+    for target in names:
+        others = [c for c in names if c != target]
+        add = lambda family, steps, **extra: out.append({"compound": target, "family": family, "steps": steps, **extra})  # noqa: B023, E731
+        add("zero", [])
+        for order, delta in itertools.product((1, 2, 3, 4), (2.0, 4.0, 8.0)):
+            add("derivative", [_step("derivative", order=order, delta_lambda=delta)])
+        add("dual", [])
+        for other in others:
+            add("induced_dual", [], weight=other)
+            for lo, hi in mix.regions(other):
+                ratio = [_step("crop", start=lo, end=hi), _step("divide", reference=f"div:{other}")]
+                add("ratio_difference", ratio)
+                add("mean_centering", [*ratio, _step("mean_center")])
+                for delta in (2.0, 4.0, 8.0):
+                    add("derivative_ratio", [*ratio, _step("derivative", order=1, delta_lambda=delta)])
+                for third in others:
+                    if third != other:
+                        add("dual_amplitude", ratio, weight=third)
+            if flat := mix.plateau(target, other):
+                add("ratio_subtraction", [_step("ratio_subtraction", divisor=f"div:{other}", start=flat[0], end=flat[1])])
+            if flat := mix.plateau(other, target):
+                add("ratio_subtraction", [_step("constant_multiplication", divisor=f"div:{target}", start=flat[0], end=flat[1])])
+        if len(others) == 2:
+            lo, hi = float(mix.grid[0]), float(mix.grid[-1])
+            a, b = k.longest_run(sum(mix.units[c] for c in others) >= 0.05 * sum(mix.units[c] for c in others).max())
+            lo, hi = float(mix.grid[a]), float(mix.grid[b - 1])
+            for delta in (2.0, 4.0, 8.0):
+                add("double_divisor", [_step("crop", start=lo, end=hi), _step("divide_sum", reference=f"div:{others[0]}", reference2=f"div:{others[1]}"), _step("derivative", order=1, delta_lambda=delta)])
+    step = float(np.median(np.diff(mix.grid)))
+    for width in mix.smoothing:
+        points = max(5, int(round(width / step)) | 1)
+        for j in [j for j in out if not any(s["op"] == "smooth_sg" for s in j["steps"])]:
+            out.append(j | {"steps": [_step("smooth_sg", window=points), *j["steps"]]})
+            if j["steps"] and j["steps"][-1]["op"] == "derivative":
+                # All intervals become the same filter, so doubles drop out below.
+                last = j["steps"][-1]["params"]
+                out.append(j | {"steps": [*j["steps"][:-1], _step("derivative", order=last["order"], method="savitzky_golay", window=points, polyorder=max(3, last["order"]))]})
+    unique = {json.dumps(j, sort_keys=True): j for j in out}
+    return list(unique.values())
+
+
+def _screen(mix: Mixture, job: dict) -> list[dict]:
+    """The best readings of one job, worst case over the wavelength error, wavelengths apart."""
+    names = list(mix.units)
+    stack = Batch(mix.grid, np.vstack([*(mix.units[c] for c in names), mix.noise]))
+    done = apply_pipeline(stack, job["steps"], mix.resolve)
+    x, u = done.x, mix.uncertainty
+    if job["family"] in PAIRED:
+        g = np.arange(x[0] + u, x[-1] - u + 1e-9, max(mix.pair_step, float(np.median(np.diff(x)))))
+        i, j = np.triu_indices(len(g), 1)
+        at = np.stack([g[i], g[j]])
+    else:
+        at = x[(x >= x[0] + u) & (x <= x[-1] - u)][None]
+    if not at.size:
+        return []
+    target = names.index(job["compound"])
+    factor = 1.0
+    if job.get("weight"):
+        w = names.index(job["weight"])
+        ref = k.lerp(x, done.y[w], at.ravel()).reshape(at.shape)
+        with np.errstate(all="ignore"):
+            factor = np.where(np.abs(ref[1]) > 1e-12, ref[0] / ref[1], np.nan)
+
+    def read(shift: float) -> np.ndarray:
+        v = k.lerp(x, done.y, (at + shift).ravel()).reshape(len(done.y), *at.shape)
+        return v[:, 0] - factor * v[:, 1] if len(at) == 2 else v[:, 0]
+
+    def errors(signal: np.ndarray, sd: np.ndarray):
+        own = signal[target]
+        bias2, noise2, n = np.zeros(len(own)), np.zeros(len(own)), 0
+        with np.errstate(all="ignore"):
+            for s in mix.scenarios:
+                if s[job["compound"]] > 0:
+                    other = sum(s[c] * signal[i] for i, c in enumerate(names) if i != target)
+                    bias2 += (other / (s[job["compound"]] * own)) ** 2
+                    noise2 += (sd / (s[job["compound"]] * np.abs(own))) ** 2
+                    n += 1
+            bias, noise = 100 * np.sqrt(bias2 / max(n, 1)), 100 * np.sqrt(noise2 / max(n, 1))
+            total = np.sqrt(bias**2 + noise**2)
+        return np.where(np.isfinite(total), total, np.inf), bias, noise
+
+    nominal = read(0.0)
+    sd = nominal[len(names) :].std(0, ddof=1)
+    total, bias, noise = errors(nominal[: len(names)], sd)
+    worst = total
+    for shift in (-u, u) if u else ():
+        worst = np.maximum(worst, errors(read(shift)[: len(names)], sd)[0])
+    own = np.abs(nominal[target])
+    drop = own < 0.02 * np.nanmax(own)
+    if job.get("weight"):
+        drop |= ~np.isfinite(factor) | (np.abs(factor) > 20)
+    worst = np.where(drop, np.inf, worst)
+    out, used = [], []
+    for i in np.argsort(worst, kind="stable"):
+        if not np.isfinite(worst[i]) or len(out) >= mix.keep:
+            break
+        lam = at[:, i]
+        if any((np.abs(lam - other) < 5).all() for other in used):
+            continue
+        used.append(lam)
+        if len(at) == 2:
+            params = {"w1": float(lam[0]), "w2": float(lam[1])} | ({"factor": float(factor[i])} if job.get("weight") else {})
+            measurement = {"kind": "weighted_difference" if job.get("weight") else "difference", "params": params}
+        else:
+            measurement = {"kind": "amplitude", "params": {"w1": float(lam[0])}}
+        out.append({"compound": job["compound"], "family": job["family"], "steps": json.dumps(job["steps"]), "measurement": json.dumps(measurement), "robust": float(worst[i]), "error": float(total[i]), "bias": float(bias[i]), "noise": float(noise[i]), "sensitivity": float(own[i]), "failure": None})
+    return out
+
+
+def screen(spark: SparkSession, mix: Mixture) -> DataFrame:
+    """Candidates of every job; a job that fails is a row with the reason."""
+    todo = pd.DataFrame({"job": range(len(js := jobs(mix))), "spec": [json.dumps(j) for j in js]})
+    held = spark.sparkContext.broadcast(mix)
+
+    def run(frames):
+        for frame in frames:
+            rows = []
+            for spec in frame["spec"]:
+                job = json.loads(spec)
+                try:
+                    rows += _screen(held.value, job)
+                except SpectrumError as error:
+                    rows.append({"compound": job["compound"], "family": job["family"], "steps": json.dumps(job["steps"]), "failure": str(error)})
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
+
+    n = min(len(todo), 4 * spark.sparkContext.defaultParallelism)
+    return spark.createDataFrame(todo).repartition(n, "job").mapInPandas(run, SCHEMA)
+
+
+def best(candidates: DataFrame, keep: int = 3) -> DataFrame:
+    """The best of each compound and family, in order of robust error."""
+    w = W.partitionBy("compound", "family").orderBy("robust", "steps", "measurement")
+    return candidates.where("failure IS NULL").withColumn("place", F.row_number().over(w)).where(F.col("place") <= keep).drop("place")
+
+
+def simulated(mix: Mixture, repeats: int = 3) -> tuple[np.ndarray, list[dict[str, float]]]:
+    """Noisy mixtures of the scenarios."""
+    rng = np.random.default_rng(mix.seed + 1)
+    rows = [s for s in mix.scenarios for _ in range(repeats)]
+    pure = np.stack([sum(s[c] * mix.units[c] for c in mix.units) for s in rows])
+    return pure + rng.normal(size=pure.shape) * mix.sigma + rng.normal(size=(len(rows), 1)) * mix.offset, rows
+
+
+def _relative(found: np.ndarray, taken: np.ndarray) -> float:
+    on = taken > 0
+    return float(100 * np.sqrt(np.mean(((found[on] - taken[on]) / taken[on]) ** 2))) if on.any() else float("nan")
+
+
+def verify(spark: SparkSession, mix: Mixture, candidates: DataFrame, standards: dict[str, tuple[np.ndarray, np.ndarray]], real: tuple[np.ndarray, list[dict]] | None = None) -> DataFrame:
+    """Candidates with the errors of a real calibration: ``simulated`` and, with mixtures, ``real``; score is the worst of all.
+
+    ``standards`` holds, on the mixture's grid, spectra and amounts of each compound's pure standards.
+    """
+    held = spark.sparkContext.broadcast((mix, standards, simulated(mix), real))
+    schema = SCHEMA + ", simulated double, real double"
+
+    def run(frames):
+        mix, standards, (sim, amounts), real = held.value
+        for frame in frames:
+            a, b = [], []
+            for _, row in frame.iterrows():
+                steps, measurement = json.loads(row["steps"]), json.loads(row["measurement"])
+
+                def signal(y):
+                    return measure.measure(apply_pipeline(Batch(mix.grid, y), steps, mix.resolve), measurement)  # noqa: B023
+
+                try:
+                    y, c = standards[row["compound"]]
+                    slope, intercept = np.polyfit(c, signal(y), 1)
+                    back = lambda y: (signal(y) - intercept) / slope  # noqa: B023, E731
+                    a.append(_relative(back(sim), np.array([s[row["compound"]] for s in amounts])))
+                    b.append(_relative(back(real[0]), np.array([s[row["compound"]] for s in real[1]])) if real else float("nan"))
+                except SpectrumError:
+                    a.append(float("nan"))
+                    b.append(float("nan"))
+            yield frame.assign(simulated=a, real=b)
+
+    got = candidates.mapInPandas(run, schema)
+    known = [F.when(~F.isnan(c), F.col(c)) for c in ("simulated", "real", "robust")]
+    return got.withColumn("score", F.coalesce(F.greatest(*known), F.lit(float("inf"))))
+
+
+def multivariate(mix: Mixture) -> list[dict]:
+    """Errors on simulated mixtures of methods that find all compounds at once."""
+    names = list(mix.units)
+    units = np.stack([mix.units[c] for c in names])
+    y, amounts = simulated(mix)
+    taken = np.array([[s[c] for c in names] for s in amounts])
+    out = []
+
+    def judge(family: str, detail: str, found: np.ndarray) -> None:
+        out.extend({"compound": c, "family": family, "detail": detail, "score": _relative(found[:, i], taken[:, i])} for i, c in enumerate(names))
+
+    bands = [mix.band(c) for c in names]
+    if len(set(bands)) == len(names):
+        at = [int(np.argmin(np.abs(mix.grid - w))) for w in bands]
+        judge("vierordt", ", ".join(f"{w:g}" for w in bands), y[:, at] @ np.linalg.pinv(units[:, at]))
+    if len(names) == 2:
+        i, j = np.triu_indices(len(mix.grid), 1)
+        pair = int(np.argmax(np.abs(units[0, i] * units[1, j] - units[0, j] * units[1, i])))
+        at = [i[pair], j[pair]]
+        judge("bivariate", f"{mix.grid[at[0]]:g}, {mix.grid[at[1]]:g}", y[:, at] @ np.linalg.pinv(units[:, at]))
+    judge("cls", "full spectrum", y @ np.linalg.pinv(units))
+    train, given = simulated(Mixture(mix.grid, mix.units, mix.sigma, mix.offset, mix.scenarios, seed=mix.seed + 7))
+    c = np.array([[s[n] for n in names] for s in given])
+    model = SpectralModel(names, "pls2", min(len(names), len(train) - 2)).fit_matrix(mix.grid, train, c)
+    judge("pls", f"{model.n_components} components", model.predict_matrix(y))
+    return out
+
+
+def progressive(mix: Mixture) -> list[dict]:
+    """Orders in which compounds can be read one after the other, by absorption factors: each where the later ones don't absorb."""
+    names, out = list(mix.units), []
+    y, amounts = simulated(mix)
+    for order in itertools.permutations(names):
+        at = []
+        for i, c in enumerate(order):
+            later = sum((np.abs(mix.units[o]) / np.abs(mix.units[o]).max() for o in order[i + 1 :]), np.zeros(len(mix.grid)))
+            u = mix.units[c] / mix.units[c].max()
+            score = np.where((later < 0.01) & (u > 0.05), u, -1)
+            if score.max() < 0:
+                break
+            at.append(int(np.argmax(score)))
+        if len(at) < len(order):
+            continue
+        rest: list[np.ndarray] = []
+        for i, c in enumerate(order):
+            rest.append((y[:, at[i]] - sum((rest[j] * mix.units[order[j]][at[i]] for j in range(i)), 0.0)) / mix.units[c][at[i]])
+        for i, c in enumerate(order):
+            out.append({"compound": c, "family": "absorption_factor", "detail": " > ".join(f"{o} {mix.grid[w]:g}" for o, w in zip(order, at)), "score": _relative(rest[i], np.array([s[c] for s in amounts]))})
+    for divisor in names:
+        if len(names) != 2:
+            break
+        target = next(n for n in names if n != divisor)
+        flat = mix.plateau(target, divisor)
+        if not flat:
+            continue
+        ratio = y / np.where(np.abs(mix.units[divisor]) < 1e-6, np.nan, 10 * mix.units[divisor])
+        inside = (mix.grid >= flat[0]) & (mix.grid <= flat[1])
+        level = ratio[:, inside].mean(1)
+        unit = mix.units[target] / np.where(np.abs(mix.units[divisor]) < 1e-6, np.nan, 10 * mix.units[divisor])
+        strong = (mix.units[divisor] > 0.05 * mix.units[divisor].max()) & np.isfinite(unit)
+        w = int(np.argmax(np.where(strong, np.abs(unit), -1)))
+        for c, found in ((divisor, 10 * level), (target, (ratio[:, w] - level) / unit[w])):
+            out.append({"compound": c, "family": "amplitude_centering", "detail": f"over {divisor}, {flat[0]:g}-{flat[1]:g}, {mix.grid[w]:g}", "score": _relative(found, np.array([s[c] for s in amounts]))})
+    return out
+
+
+def optimize(spark: SparkSession, mix: Mixture, standards: dict[str, tuple[np.ndarray, np.ndarray]], real: tuple[np.ndarray, list[dict]] | None = None) -> list[dict]:
+    """All families, verified, best first for each compound."""
+    chosen = verify(spark, mix, best(screen(spark, mix), mix.keep), standards, real).collect()
+    rows = [r.asDict() for r in chosen] + multivariate(mix) + progressive(mix)
+    return sorted(rows, key=lambda r: (r["compound"], r["score"] if np.isfinite(r["score"]) else np.inf, r["family"]))
+
+
+def materialize(steps: list[dict], ids: dict[str, int]) -> list[dict]:
+    """A candidate's steps with its divisors' placeholders replaced by identifiers of spectra."""
+    swap = lambda v: ids[v[4:]] if isinstance(v, str) and v.startswith("div:") else v
+    return [{"op": s["op"], "params": {n: swap(v) for n, v in s["params"].items()}} for s in steps]
+
+
+def explain(mix: Mixture, steps: list[dict]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Each compound's unit spectrum after a candidate's steps."""
+    done = apply_pipeline(Batch(mix.grid, np.stack(list(mix.units.values()))), steps, mix.resolve)
+    return {c: (done.x, y) for c, y in zip(mix.units, done.y)}
+
+
