@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lambertlake import catalog_models
 from lambertlake.operators import series, stats
 from lambertlake.plans import pipeline as pl
 
@@ -476,3 +477,6 @@ def cross_validation(spark, sf_dir):
     p = p.withColumn("b", (F.col("r_n") * F.col("r_xy") - F.col("r_x") * F.col("r_y")) / (F.col("r_n") * F.col("r_xx") - F.col("r_x") * F.col("r_x")))
     p = p.withColumn("c0", (F.col("r_y") - F.col("b") * F.col("r_x")) / F.col("r_n"))
     return p.selectExpr("fold", "n", "round(sqrt((yy - 2 * b * xy - 2 * c0 * y + b * b * xx + 2 * b * c0 * x + n * c0 * c0) / n), 3) AS rmsecv")
+
+
+QUERIES.update(catalog_models.QUERIES)
