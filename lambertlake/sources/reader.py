@@ -31,7 +31,10 @@ def parse_file(path: str, raw: bytes, layout: str = "auto") -> list[Found]:
     if raw[:2] == b"PK":
         found, used = sheets.parse_workbook(raw, name, layout)
     elif raw.startswith(sheets.OLE_MAGIC):
-        found, used = sheets.parse_ole(raw, name), "ole"
+        if any(n.lower() in ("workbook", "book") for n in sheets.read_ole(raw)):
+            found, used = sheets.parse_workbook(raw, name, layout)
+        else:
+            found, used = sheets.parse_ole(raw, name), "ole"
     elif (extension == ".spc" or not raw[:512].isascii()) and exchange.is_spc(raw):
         found, used = exchange.parse_spc(raw, name), "spc"
     else:

@@ -15,6 +15,7 @@ import numpy as np
 from lambertlake.sources.text import Found, FormatError, is_axis, parse_grid
 
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "r": "http://schemas.openxmlformats.org/officeDocument/2006/relationships"}
+OLE_MAGIC = bytes.fromhex("d0cf11e0a1b11ae1")
 ROLES = ("standard", "sample", "mixture", "blank", "validation", "calibration", "training", "reference", "test", "placebo")
 
 
@@ -76,7 +77,7 @@ def role_of_sheet(name: str) -> str | None:
 def parse_workbook(raw: bytes, name: str, layout: str = "auto") -> tuple[list[Found], str]:
     """Spectra of every sheet whose name doesn't begin with an underscore; sheets of notes are passed over."""
     found, used = [], "auto"
-    for sheet, rows in read_xlsx(raw):
+    for sheet, rows in read_xls(raw) if raw.startswith(OLE_MAGIC) else read_xlsx(raw):
         if sheet.startswith("_"):
             continue
         try:
@@ -145,9 +146,6 @@ def write_xlsx(sheets: list[tuple[str, list[list]]]) -> bytes:
     return out.getvalue()
 
 
-OLE_MAGIC = bytes.fromhex("d0cf11e0a1b11ae1")
-
-
 def read_ole(raw: bytes) -> dict[str, bytes]:
     """Streams of a compound file by path."""
     if not raw.startswith(OLE_MAGIC):
@@ -203,6 +201,113 @@ def read_ole(raw: bytes) -> dict[str, bytes]:
         raise FormatError(f"damaged compound file: {error}") from error
 
 
+def _rk(v: int) -> float:
+    """A number packed in 30 bits: an integer or the top of a double, perhaps in hundredths."""
+    number = float(struct.unpack("<i", struct.pack("<I", v))[0] >> 2) if v & 2 else struct.unpack("<d", struct.pack("<Q", (v & 0xFFFFFFFC) << 32))[0]
+    return number / 100 if v & 1 else number
+
+
+def _shared_texts(chunks: list[bytes]) -> list[str]:
+    """The table of texts; a text may run over into the next chunk, which then begins with its own width flag."""
+    out: list[str] = []
+    part, at = 0, 8
+    total = struct.unpack_from("<I", chunks[0], 4)[0]
+    while len(out) < total and part < len(chunks):
+        if at >= len(chunks[part]):
+            part, at = part + 1, 0
+            continue
+        data = chunks[part]
+        n, flags = struct.unpack_from("<HB", data, at)
+        at += 3
+        runs = extra = 0
+        if flags & 8:
+            runs = struct.unpack_from("<H", data, at)[0]
+            at += 2
+        if flags & 4:
+            extra = struct.unpack_from("<I", data, at)[0]
+            at += 4
+        text, wide = "", flags & 1
+        while True:
+            take = min(n - len(text), (len(data) - at) // (2 if wide else 1))
+            raw = data[at : at + take * (2 if wide else 1)]
+            text += raw.decode("utf-16-le" if wide else "latin-1", "replace")
+            at += len(raw)
+            if len(text) >= n or part + 1 >= len(chunks):
+                break
+            part += 1
+            data, wide, at = chunks[part], chunks[part][0] & 1, 1
+        at += 4 * runs + extra
+        while part < len(chunks) and at > len(chunks[part]):
+            at -= len(chunks[part])
+            part += 1
+        out.append(text)
+    return out
+
+
+def read_xls(raw: bytes) -> list[tuple[str, list[list]]]:
+    """(name, rows) of each sheet of a binary workbook: numbers, texts and values of formulas."""
+    streams = read_ole(raw)
+    book = next((v for k, v in streams.items() if k.lower() in ("workbook", "book")), None)
+    if book is None:
+        raise FormatError("no workbook in the file")
+    try:
+        records, at = [], 0
+        while at + 4 <= len(book):
+            kind, size = struct.unpack_from("<HH", book, at)
+            records.append((at, kind, book[at + 4 : at + 4 + size]))
+            at += 4 + size
+        texts: list[str] = []
+        sheets: list[tuple[str, int]] = []
+        for i, (_, kind, data) in enumerate(records):
+            if kind == 0x85:  # a sheet's name and place
+                start, n, flags = struct.unpack_from("<I", data)[0], data[6], data[7]
+                sheets.append((data[8 : 8 + n * (2 if flags & 1 else 1)].decode("utf-16-le" if flags & 1 else "latin-1"), start))
+            elif kind == 0xFC:
+                chunks = [data]
+                for _, more, rest in records[i + 1 :]:
+                    if more != 0x3C:
+                        break
+                    chunks.append(rest)
+                texts = _shared_texts(chunks)
+        index = {place: i for i, (place, _, _) in enumerate(records)}
+        out = []
+        for name, start in sheets:
+            cells: dict[tuple[int, int], object] = {}
+            depth = 0
+            for _, kind, data in records[index[start] :]:
+                if kind == 0x809:
+                    depth += 1
+                elif kind == 0x0A:
+                    depth -= 1
+                    if not depth:
+                        break
+                elif kind in (0x203, 0x27E, 0xFD, 0x06, 0x204):
+                    row, column = struct.unpack_from("<HH", data)
+                    if kind == 0x203:
+                        cells[row, column] = struct.unpack_from("<d", data, 6)[0]
+                    elif kind == 0x27E:
+                        cells[row, column] = _rk(struct.unpack_from("<I", data, 6)[0])
+                    elif kind == 0xFD:
+                        cells[row, column] = texts[struct.unpack_from("<I", data, 6)[0]]
+                    elif kind == 0x204:
+                        n, flags = struct.unpack_from("<HB", data, 6)
+                        cells[row, column] = data[9 : 9 + n * (2 if flags & 1 else 1)].decode("utf-16-le" if flags & 1 else "latin-1")
+                    elif data[12:14] != b"\xff\xff":
+                        cells[row, column] = struct.unpack_from("<d", data, 6)[0]
+                elif kind == 0xBD:
+                    row, first = struct.unpack_from("<HH", data)
+                    for j in range((len(data) - 6) // 6):
+                        cells[row, first + j] = _rk(struct.unpack_from("<I", data, 4 + 6 * j + 2)[0])
+            height, width = (1 + max((c[k] for c in cells), default=-1) for k in (0, 1))
+            rows: list[list] = [[None] * width for _ in range(height)]
+            for (r, c), v in cells.items():
+                rows[r][c] = v
+            out.append((name, rows))
+        return out
+    except (struct.error, IndexError, KeyError) as error:
+        raise FormatError(f"damaged workbook: {error}") from error
+
+
 def parse_ole(raw: bytes, name: str) -> list[Found]:
     """Pairs of streams named X Data and Y Data; number width and offset are those that give an axis."""
     streams = read_ole(raw)

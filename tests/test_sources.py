@@ -70,33 +70,58 @@ def test_workbooks():
         parse(b"PKbroken", "b.xlsx")
 
 
-def test_compound_file():
-    size = 512
-    x, y = np.asarray(np.arange(200, 800, 1.0), "<f8").tobytes(), np.asarray(np.linspace(0, 1, 600), "<f8").tobytes()
-    n = -(-len(x) // size)
-    fat = [0xFFFFFFFD, 0xFFFFFFFE] + [i + 1 for i in range(2, 1 + n)] + [0xFFFFFFFE] + [i + 1 for i in range(2 + n, 1 + 2 * n)] + [0xFFFFFFFE]
-
-    def entry(name, kind, left, right, child, start, length):
+def compound(streams):
+    """A compound file of large streams."""
+    size, none, end = 512, 0xFFFFFFFF, 0xFFFFFFFE
+    streams = {n: d + bytes(max(0, 4096 - len(d))) for n, d in streams.items()}
+    fat, place = [0xFFFFFFFD, end], {}
+    for n, d in streams.items():
+        place[n] = len(fat)
+        count = -(-len(d) // size)
+        fat += [len(fat) + i + 1 for i in range(count - 1)] + [end]
+
+    def entry(name, kind, right, child, start, length):
         e = bytearray(128)
         e[: 2 * len(name)] = name.encode("utf-16-le")
         struct.pack_into("<HB", e, 64, 2 * len(name) + 2, kind)
-        struct.pack_into("<III", e, 68, left, right, child)
+        struct.pack_into("<III", e, 68, none, right, child)
         struct.pack_into("<II", e, 116, start, length)
         return bytes(e)
 
-    none = 0xFFFFFFFF
+    names = list(streams)
+    directory = entry("Root", 5, none, 1, end, 0) + b"".join(entry(n, 2, i + 2 if i + 1 < len(names) else none, none, place[n], len(streams[n])) for i, n in enumerate(names))
     head = bytearray(size)
     head[:8] = sheets.OLE_MAGIC
     struct.pack_into("<HH", head, 30, 9, 6)
     struct.pack_into("<II", head, 44, 1, 1)
-    struct.pack_into("<IIII", head, 56, 4096, 0xFFFFFFFE, 0, 0xFFFFFFFE)
-    struct.pack_into("<I", head, 68, 0xFFFFFFFE)
+    struct.pack_into("<IIII", head, 56, 4096, end, 0, end)
+    struct.pack_into("<I", head, 68, end)
     struct.pack_into("<109I", head, 76, 0, *[none] * 108)
-    directory = entry("Root", 5, none, none, 1, 0xFFFFFFFE, 0) + entry("X Data", 2, none, 2, none, 2, len(x)) + entry("Y Data", 2, none, none, none, 2 + n, len(y)) + entry("", 0, none, none, none, 0, 0)
-    table = np.array(fat + [none] * (size // 4 - len(fat)), "<u4").tobytes()
     pad = lambda b: b + bytes(-len(b) % size)
-    (f,) = parse(bytes(head) + table + directory + pad(x) + pad(y), "f.bsw")
+    return bytes(head) + np.array(fat + [none] * (size // 4 - len(fat)), "<u4").tobytes() + pad(directory)[:size] + b"".join(map(pad, streams.values()))
+
+
+def test_compound_file():
+    x, y = np.asarray(np.arange(200, 800, 1.0), "<f8").tobytes(), np.asarray(np.linspace(0, 1, 600), "<f8").tobytes()
+    (f,) = parse(compound({"X Data": x, "Y Data": y}), "f.bsw")
     assert f.x[0] == 200 and f.y[-1] == 1
+    with pytest.raises(text.FormatError):
+        parse(sheets.OLE_MAGIC + bytes(40), "f.bsw")
+
+
+def test_binary_workbook():
+    record = lambda kind, data: struct.pack("<HH", kind, len(data)) + data
+    texts = ["nm", "Probe é"]
+    sst = struct.pack("<II", 2, 2) + b"".join(struct.pack("<HB", len(t), 1) + t.encode("utf-16-le") for t in texts)
+    cells = record(0xFD, struct.pack("<HHHI", 0, 0, 0, 0)) + record(0xFD, struct.pack("<HHHI", 0, 1, 0, 1))
+    for i, (a, b) in enumerate(zip(X, Y), 1):
+        cells += record(0x27E, struct.pack("<HHHI", i, 0, 0, (int(a) << 2) | 2)) + record(0x203, struct.pack("<HHHd", i, 1, 0, b))
+    name = b"Standards"
+    globals_ = lambda at: record(0x809, bytes(16)) + record(0x85, struct.pack("<IBBBB", at, 0, 0, len(name), 0) + name) + record(0xFC, sst) + record(0x0A, b"")
+    book = globals_(len(globals_(0))) + record(0x809, bytes(16)) + cells + record(0x0A, b"")
+    (f,) = parse(compound({"Workbook": book}), "w.xls")
+    assert f.name == "Probe é" and f.metadata["role"] == "standard" and (f.x == X).all() and (f.y == Y).all()
+    assert sheets._rk((12345 << 2) | 3) == 123.45
 
 
 def test_files_as_rows(spark, tmp_path):
