@@ -38,7 +38,7 @@ STEM = 5
 #: Entries the labels may add to the lexicon.
 LEXICON = 2000
 #: Words a worker remembers the weight of.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 
 # Insults in the four languages, and words of the second person.
 INSULTS = (
@@ -293,9 +293,12 @@ def score(df: DataFrame, model: Model, text: str = "text", out: str = "score") -
 
     def run(batches):
         own = given.value
-        for batch in batches:
-            got = own.score(own.matrix(batch.column(text).to_pylist()))
-            yield pa.RecordBatch.from_arrays([*map(batch.column, columns), pa.array(got, pa.float64())], names=[*columns, out])
+        try:
+            for batch in batches:
+                got = own.score(own.matrix(batch.column(text).to_pylist()))
+                yield pa.RecordBatch.from_arrays([*map(batch.column, columns), pa.array(got, pa.float64())], names=[*columns, out])
+        finally:
+            own.known.clear()  # the worker keeps the model for its next task, but needn't keep the words
 
     return df.mapInArrow(run, T.StructType([*kept, T.StructField(out, T.DoubleType(), False)]))
 
