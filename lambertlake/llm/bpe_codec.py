@@ -31,8 +31,8 @@ from pyspark.sql import types as T
 from lambertlake.llm import runtime, wordbpe
 from lambertlake.llm.token_counts import merged_length
 
-#: Distinct words (and pairs of tokens) a worker remembers before it starts anew.
-REMEMBERED = 800_000
+#: Distinct words, and pairs of tokens, a worker remembers before it starts anew: some 200 MB.
+REMEMBERED, REMEMBERED_PAIRS = 500_000, 300_000
 FOREVER = 1 << 60
 
 
@@ -79,7 +79,7 @@ class TrieCodec:
         """Whether merging leaves the neighbours ``a`` and ``b`` as they are."""
         known = self.pairs.get((a, b))
         if known is None:
-            if len(self.pairs) > 4 * REMEMBERED:
+            if len(self.pairs) >= REMEMBERED_PAIRS:
                 self.pairs.clear()
             # Of equal pairs the left one goes first: a's own merge wins a tie, b's loses it.
             known = self.pairs[a, b] = not any(
@@ -170,34 +170,51 @@ def shared(path: str) -> TrieCodec:
     return codec
 
 
-def _with(df: DataFrame, out: str, kind: T.DataType, source: str, work) -> DataFrame:
-    """``df`` with a column ``out`` that ``work()`` makes of the Arrow column ``source``."""
+def _with(df: DataFrame, out: dict[str, T.DataType], source: str, work) -> DataFrame:
+    """``df`` with columns ``out`` that ``work()`` makes of the Arrow column ``source``."""
     runtime.small_batches(df.sparkSession)
-    kept = [f for f in df.schema.fields if f.name != out]
+    kept = [f for f in df.schema.fields if f.name not in out]
     columns = [f.name for f in kept]
 
     def run(batches):
         of = work()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*map(batch.column, columns), of(batch.column(source))], names=[*columns, out])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, columns), *of(batch.column(source))], names=[*columns, *out])
 
-    return df.mapInArrow(run, T.StructType([*kept, T.StructField(out, kind)]))
+    return df.mapInArrow(run, T.StructType([*kept, *(T.StructField(name, kind) for name, kind in out.items())]))
 
 
-def encode(df: DataFrame, text: str = "text", out: str = "ids", path: str | None = None) -> DataFrame:
-    """``df`` with the identifiers of each text in the array<int> column ``out``."""
+def _decoder(path: str):
+    strings = pa.array(wordbpe.load(path).strings)
+
+    def of(column: pa.ListArray) -> pa.Array:
+        tokens = strings.take(column.values)
+        return pc.binary_join(pa.ListArray.from_arrays(column.offsets, tokens, mask=column.is_null()), " ")
+
+    return of
+
+
+def encode(df: DataFrame, text: str = "text", out: str = "ids", decoded: str | None = None, path: str | None = None) -> DataFrame:
+    """``df`` with the identifiers of each text in the array<int> column ``out``.
+
+    With ``decoded`` the identifiers are decoded again in the same pass, into that column:
+    a second one would keep a second worker, with its own memory, for each task.
+    """
     path = path or wordbpe.default_path()
 
     def work():
         codec = shared(path)
+        back = _decoder(path) if decoded else None
 
         def of(column):
             values, ends = (pa.array(np.frombuffer(x, np.int32)) for x in codec.encode(column.to_pylist()))
-            return pa.ListArray.from_arrays(ends, values)
+            ids = pa.ListArray.from_arrays(ends, values)
+            return (ids, back(ids)) if back else (ids,)
 
         return of
 
-    return _with(df, out, T.ArrayType(T.IntegerType()), text, work)
+    columns = {out: T.ArrayType(T.IntegerType())} | ({decoded: T.StringType()} if decoded else {})
+    return _with(df, columns, text, work)
 
 
 def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", path: str | None = None) -> DataFrame:
@@ -208,15 +225,10 @@ def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", path: str | No
     path = path or wordbpe.default_path()
 
     def work():
-        strings = pa.array(wordbpe.load(path).strings)
-
-        def of(column):
-            tokens = strings.take(column.values)
-            return pc.binary_join(pa.ListArray.from_arrays(column.offsets, tokens, mask=column.is_null()), " ")
-
-        return of
+        back = _decoder(path)
+        return lambda column: (back(column),)
 
-    return _with(df, out, T.StringType(), ids, work)
+    return _with(df, {out: T.StringType()}, ids, work)
 
 
 def digests(df: DataFrame, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -231,4 +243,4 @@ def digests(df: DataFrame, ids: str = "ids", decoded: str = "decoded") -> DataFr
 
 def op7_bpe_codec(spark, sf_dir: str) -> DataFrame:
     docs = runtime.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return digests(decode(encode(docs).drop("text")))
+    return digests(encode(docs, decoded="decoded"))

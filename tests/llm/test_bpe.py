@@ -38,9 +38,10 @@ def test_counts_are_those_of_the_library(docs, wanted):
 
 def test_codec_is_that_of_the_library(docs, wanted):
     got = {r.doc_id: r for r in bpe_codec.decode(bpe_codec.encode(docs)).collect()}
+    both = {r.doc_id: r for r in bpe_codec.encode(docs, decoded="decoded").collect()}
     for i, (ids, decoded) in enumerate(zip(*wanted)):
-        assert got[i].ids == ids
-        assert got[i].decoded == decoded
+        assert got[i].ids == both[i].ids == ids
+        assert got[i].decoded == both[i].decoded == decoded
 
 
 def test_digests(docs, wanted):
