@@ -42,7 +42,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, ids, n_tokens, and the digests of identifiers and decoded text."""
-    coded = bpe_codec.decode(bpe_codec.encode(docs.select("doc_id", "lang", "source", "text")).drop("text"))
+    coded = bpe_codec.encode(docs.select("doc_id", "lang", "source", "text"), decoded="decoded")
     return coded.select(
         "doc_id",
         "lang",
