@@ -185,22 +185,32 @@ def _dot(w: np.ndarray, b: float) -> Column:
     return F.aggregate(products, F.lit(b), lambda a, c: a + c)
 
 
-def signals(df: DataFrame, steps: list[dict], measurement: dict, library: Library | None = None, out: str = "signal", mode: str = FAILFAST, fuse: bool = True, raw: bool = False) -> DataFrame:
+def grids_of(df: DataFrame) -> list[list[float]]:
+    """The different x of the spectra, if they are few and proper; told apart by a hash, so no array is sorted or moved."""
+    key = F.xxhash64("x")
+    hashes = df.select(key.alias("h")).distinct().limit(FUSED_GRIDS + 1).collect()
+    if not 0 < len(hashes) <= FUSED_GRIDS:
+        return []
+    found = [df.where(key == h["h"]).select("x").first()["x"] for h in hashes]
+    return found if all(x and len(x) >= 2 for x in found) else []
+
+
+def signals(df: DataFrame, steps: list[dict], measurement: dict, library: Library | None = None, out: str = "signal", mode: str = FAILFAST, fuse: bool = True, raw: bool = False, grid: np.ndarray | None = None) -> DataFrame:
     """``df`` with the measurement of each processed spectrum in the double column ``out``.
 
-    ``raw`` takes a weighted difference's factor from the unprocessed reference.
+    ``grid`` says that all spectra have this x, which saves looking for it. ``raw`` takes a weighted difference's factor from the unprocessed reference.
     """
     library = library or Library({})
     if fuse and mode == FAILFAST and is_linear(steps) and m.KINDS[measurement["kind"]]:
-        grids = df.select("x").distinct().limit(FUSED_GRIDS + 1).collect()
-        if 0 < len(grids) <= FUSED_GRIDS and all(g["x"] and len(g["x"]) >= 2 for g in grids):
+        grids = grids_of(df) if grid is None else [list(map(float, grid))]
+        if grids:
             signal = F.lit(None).cast("double")
             for g in grids:
-                w, b = weights(np.array(g["x"], float), steps, measurement, library, raw)
+                w, b = weights(np.array(g, float), steps, measurement, library, raw)
                 own = _dot(w, b)
                 checked = F.when(own.isNull() | F.isnan(own) | (F.abs(own) == float("inf")), F.raise_error(F.lit("a signal is not finite"))).otherwise(own)
                 # One grid needs no test of which it is; of several, a hash tells them apart.
-                signal = checked if len(grids) == 1 else F.when(F.hash("x") == F.hash(F.array(*(F.lit(float(v)) for v in g["x"]))), checked).otherwise(signal)
+                signal = checked if len(grids) == 1 else F.when(F.xxhash64("x") == F.xxhash64(F.array(*(F.lit(float(v)) for v in g))), checked).otherwise(signal)
             return df.withColumn(out, signal)
     reference = factor_reference(steps, measurement, library, raw)
 
