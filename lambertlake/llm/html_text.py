@@ -38,6 +38,7 @@ _TAG = re.compile(
 )
 _ATTR = re.compile(r"""(?:\b(class|id|role|style|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)|\b(hidden)\b)""", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 # Names of elements, parts of names of page furniture, stop words of four languages.
 BLOCKS = set(
@@ -50,7 +51,7 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 NAMED = re.compile(
     r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|sidebar|side|footer|header|banner|masthead|ad|ads|advert|adverts|advertisement|sponsor|sponsored|promo|"
     r"cookie|cookies|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|login|comment|comments|reply|replies|disqus|respond|"
-    r"related|recommended|share|sharing|social|breadcrumb|breadcrumbs|pagination|pager|toolbar|widget|copyright|search|form|skip|complementary|contentinfo)(?:$|[\s_-]|\d)",
+    r"commentlist|cookiebar|adsbygoogle|related|recommended|share|sharing|social|breadcrumb|breadcrumbs|pagination|pager|toolbar|widget|copyright|search|form|skip|complementary|contentinfo)(?:$|[\s_-]|\d)",
     re.I,
 )
 STOP = set(
@@ -74,7 +75,8 @@ class Block(NamedTuple):
     item: bool
 
 
-def _named_furniture(attrs: str) -> bool:
+def _named_furniture(attrs: str, inside: bool) -> bool:
+    """Whether class, id, role or style say so; an article's own heading part isn't."""
     for key, value, hidden in _ATTR.findall(attrs):
         value = value.strip("\"'")
         if hidden:
@@ -82,8 +84,10 @@ def _named_furniture(attrs: str) -> bool:
         if key.lower() == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                 return True
-        elif NAMED.search(value):
-            return True
+        else:
+            named = {n.strip(" _-0123456789").lower() for n in NAMED.findall(_CAMEL.sub("-", value))}
+            if named - {"header"} or (named and not inside):
+                return True
     return False
 
 
@@ -134,7 +138,7 @@ def blocks(page: str) -> list[Block]:
                 if any(s[0] == name for s in stack[-8:]):
                     flush()
                     pop(max(i for i, s in enumerate(stack) if s[0] == name))
-            elif m["attrs"] and name not in VOID and _named_furniture(m["attrs"]):
+            elif m["attrs"] and name not in VOID and _named_furniture(m["attrs"], inside > 0):
                 flush()
                 stack.append((name, True, False))
                 bad += 1
@@ -159,7 +163,7 @@ def blocks(page: str) -> list[Block]:
                     pop(len(stack) - 1)
                 # The heading part of an article is the article's own.
                 own = inside and name == "header"
-                furniture = not own and (name in FURNITURE or not content and bool(m["attrs"]) and _named_furniture(m["attrs"]))
+                furniture = not own and (name in FURNITURE or not content and bool(m["attrs"]) and _named_furniture(m["attrs"], inside > 0))
                 stack.append((name, furniture, content))
                 bad += furniture
                 inside += content

@@ -17,6 +17,14 @@ def test_article_without_furniture():
     assert ht.main_text(page).split("\n") == ["The <Title>", "Bold.", "One two three", "Be.", LONG.strip(), "A point"]
 
 
+def test_names_of_furniture():
+    kept = "<article><div class='entry-header'><h1>Title</h1></div><p>Text.</p>"
+    for name in ("siteFooter", "user-comments", "cookie_bar", "ad ad-1", "newsletter-signup", "siteHeader"):
+        page = f"<div class='{name}'><p>{LONG}</p></div>{kept}<div id={name}>no</div></article>" if name != "siteHeader" else f"<div class='{name}'><p>{LONG}</p></div>{kept}</article>"
+        assert ht.main_text(page) == "Title\nText.", name
+    assert ht.main_text(f"<article><p class='inside-addition'>{LONG}</p></article>") == LONG.strip()
+
+
 def test_page_without_article():
     page = f"<div><a href=1>one</a> <a href=2>two</a></div><h1>Heading</h1><p>{LONG}</p><p>Short one.</p><p>{LONG}</p><div><a>x</a></div><p>Imprint</p>"
     assert ht.main_text(page).split("\n") == ["Heading", LONG.strip(), "Short one.", LONG.strip()]
