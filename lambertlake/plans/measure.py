@@ -6,7 +6,7 @@ import numpy as np
 
 from lambertlake.functions import kernels as k
 from lambertlake.functions.kernels import SpectrumError
-from lambertlake.plans.ops import Batch, on_grid
+from lambertlake.plans.ops import Batch
 
 #: kind -> whether it is linear in the spectrum
 KINDS = {
@@ -54,4 +54,3 @@ def measure(b: Batch, measurement: dict, reference: Batch | None = None) -> np.n
     return part.max(1) if kind == "maximum" else part.min(1)
 
 
-__all__ = ["KINDS", "measure", "weight_factor", "on_grid"]

@@ -79,7 +79,10 @@ def to_float(cell: object, comma: bool = False) -> float:
 def split_lines(content: str, delimiter: str | None) -> list[list[str]]:
     if delimiter is None:
         return [line.split() for line in content.splitlines()]
-    return list(csv.reader(io.StringIO(content), delimiter=delimiter))
+    try:
+        return list(csv.reader(io.StringIO(content.replace("\r\n", "\n").replace("\r", "\n").replace("\0", "")), delimiter=delimiter))
+    except csv.Error as error:
+        raise FormatError(f"not a table: {error}") from error
 
 
 def detect_format(content: str) -> tuple[str | None, bool]:
@@ -93,7 +96,11 @@ def detect_format(content: str) -> tuple[str | None, bool]:
             if comma and (not has_comma or delimiter == ","):
                 continue
             numbers = cells = lines = 0
-            for row in split_lines(head, delimiter):
+            try:
+                rows = split_lines(head, delimiter)
+            except FormatError:
+                continue
+            for row in rows:
                 own = sum(not math.isnan(to_float(c, comma)) for c in row)
                 if own >= 2:
                     lines += 1
