@@ -78,8 +78,8 @@ _RATIO = "list_transform(range(1, 65), lambda i: y[i] / d[i])"
 _PLATEAU = "(list_sum(list_transform(range(51, 57), lambda j: y[j] / d[j])) / 6)"
 _MEAN = "list_avg(y)"
 _SLOPE = "list_transform(range(2, 64), lambda i: (y[i + 1] - y[i - 1]) / 2)"
-_XREC = "(y[i] - " + _PLATEAU + " * d[i])"
-_PURE = "(e[11] / d[11]) / (e[21] / d[21])"
+_MATCH = f"(list_sum(list_transform(range(1, 65), lambda m: (y[m] - {_PLATEAU} * d[m]) * e[m])) / list_sum(list_transform(range(1, 65), lambda m: e[m] * e[m])))"
+_PURE = "((e[11] / d[11]) / (e[21] / d[21]))"
 _CENTER = f"(y[21] / d[21] - (y[11] / d[11] - y[21] / d[21]) / ({_PURE} - 1))"
 
 for _key, _params, _z in (
@@ -111,8 +111,8 @@ for _key, _params, _z in (
     ("baseline_poly", {}, None),
     ("baseline_als", {}, None),
     ("divide_centered_ratio", {"reference": 1, "divisor": 0, "start": 10, "end": 50, "threshold": 0}, "list_transform(range(11, 52), lambda i: y[i] / (e[i] / d[i] - list_sum(list_transform(range(11, 52), lambda j: e[j] / d[j])) / 41))"),
-    ("extended_ratio_subtraction", {"divisor": 0, "reference": 1, "start": 50, "end": 55}, None),
-    ("constant_center", {"divisor": 0, "reference": 1, "w1": 10, "w2": 20, "target": "Y"}, None),
+    ("extended_ratio_subtraction", {"divisor": 0, "reference": 1, "start": 50, "end": 55}, _each(f"y[i] - {_MATCH} * e[i]")),
+    ("constant_center", {"divisor": 0, "reference": 1, "w1": 10, "w2": 20, "target": "Y"}, _each(f"{_CENTER} * d[i]")),
 ):
     _op_query(_key, _params, _z)
 
