@@ -270,7 +270,8 @@ def _rest(members: DataFrame, labels: DataFrame, nodes: DataFrame, packed: DataF
     sizes = sizes.where("parts > 1").select(
         "key", "main", F.ceil((F.col("all") - F.col("most")) / FEW).cast("int").alias("few"), F.ceil(F.col("all") / MANY).cast("int").alias("many")
     )
-    mine = mine.join(sizes, "key").join(nodes.select("rep", "registers").join(packed, "rep"), "rep")
+    # Written first: then both sides of the join are plain shuffles, of which a hot key can be split.
+    mine = mine.join(runtime.checkpoint(sizes), "key").join(nodes.select("rep", "registers").join(packed, "rep"), "rep")
     place = lambda salt, n: F.pmod(F.xxhash64("rep", F.lit(salt)), F.col(n)).cast("int")
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     asks = mine.where("label <> main").withColumn("i", place(1, "few")).withColumn("j", upto("many")).withColumn("asks", F.lit(True))
@@ -355,6 +356,7 @@ def classes(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD, c
     real = nodes.where(F.col("rep").isNotNull() & (F.size("bands") > 0)).select("rep", "bands", "registers").dropDuplicates(["rep"])
     banded = real.select("rep", F.posexplode("bands").alias("band", "key"))
     pivots = banded.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("_last")).where("pivot <> _last").drop("_last")
+    pivots = runtime.checkpoint(pivots)  # so that the join below has two plain sides, and a hot key can be split
     members = runtime.checkpoint(banded.join(pivots, "key"))
     shared = members.select("rep").distinct()
     packed = runtime.checkpoint(_packed(docs, shared).dropDuplicates(["rep"]))
