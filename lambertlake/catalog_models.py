@@ -101,7 +101,7 @@ def templates(spark, sf_dir):
     for i, (_, t) in enumerate(m.TEMPLATES.items()):
         needs = any(p.kind == "spectrum" for s in t["steps"] for p in pl.OPERATIONS[s["op"]].params)
         if not needs and t["measurement"]["kind"] != "weighted_difference":
-            df = pl.signals(df, t["steps"], t["measurement"], out=f"signal_{i}")
+            df = pl.signals(df, t["steps"], t["measurement"], out=f"signal_{i}", grid=GRID)
             kept.append(f"signal_{i}")
     return df.select("id", *(F.round(c, 8).alias(c) for c in kept))
 

@@ -122,23 +122,30 @@ def _second_differences(n: int, weight: np.ndarray, lam: float) -> np.ndarray:
 
 
 def solve_pentadiagonal(bands: np.ndarray, rhs: np.ndarray) -> np.ndarray:
-    """Solve for a symmetric positive matrix given by its diagonal and two upper bands (L D L')."""
-    diag, one, two = (b.tolist() for b in bands)
-    n = len(diag)
-    d, l1, l2 = [0.0] * n, [0.0] * n, [0.0] * n
-    z = rhs.T.astype(float).copy()
+    """Solve for symmetric positive matrices given by their diagonal and two upper bands (L D L').
+
+    ``rhs`` has a row for each system; ``bands`` is (3, n), the same for all, or (3, rows, n).
+    The recursion runs along the points, for all rows at once.
+    """
+    diag, one, two = (np.ascontiguousarray(b.T) for b in bands)  # points first
+    z = np.ascontiguousarray(rhs.T, dtype=float).copy()
+    n = len(z)
+    if diag.ndim == 1:
+        diag, one, two = (b[:, None] for b in (diag, one, two))
+    d, l1, l2 = np.empty_like(diag, dtype=float), np.zeros_like(diag, dtype=float), np.zeros_like(diag, dtype=float)
     for i in range(n):
-        d[i] = diag[i] - (l1[i - 1] ** 2 * d[i - 1] if i else 0.0) - (l2[i - 2] ** 2 * d[i - 2] if i > 1 else 0.0)
-        l1[i] = (one[i] - (l1[i - 1] * l2[i - 1] * d[i - 1] if i else 0.0)) / d[i]
-        l2[i] = two[i] / d[i]
+        d[i], up = diag[i], one[i]
         if i:
+            d[i] = d[i] - l1[i - 1] ** 2 * d[i - 1]
+            up = up - l1[i - 1] * l2[i - 1] * d[i - 1]
             z[i] -= l1[i - 1] * z[i - 1]
         if i > 1:
+            d[i] -= l2[i - 2] ** 2 * d[i - 2]
             z[i] -= l2[i - 2] * z[i - 2]
-    for i in range(n - 1, -1, -1):
-        z[i] /= d[i]
-        if i + 1 < n:
-            z[i] -= l1[i] * z[i + 1]
+        l1[i], l2[i] = up / d[i], two[i] / d[i]
+    z /= d
+    for i in range(n - 2, -1, -1):
+        z[i] -= l1[i] * z[i + 1]
         if i + 2 < n:
             z[i] -= l2[i] * z[i + 2]
     return z.T
@@ -150,23 +157,20 @@ def whittaker(y: np.ndarray, lam: float) -> np.ndarray:
 
 
 def als_baseline(y: np.ndarray, lam: float, p: float, rounds: int) -> np.ndarray:
-    """Asymmetric least squares, row by row: points above the line weigh ``p``, the others 1 - p."""
+    """Asymmetric least squares: points above the line weigh ``p``, the others 1 - p."""
     if not 0 < p < 1:
         raise SpectrumError("p must lie between 0 and 1")
     n = y.shape[-1]
-    out = np.empty_like(y)
-    base = _second_differences(n, np.zeros(n), lam) if n > 2 else None
-    for row, values in enumerate(y):
-        weight, line = np.ones(n), values
-        for _ in range(rounds):
-            if base is None:
-                break
-            bands = base.copy()
-            bands[0] += weight
-            line = solve_pentadiagonal(bands, (weight * values)[None])[0]
-            weight = np.where(values > line, p, 1 - p)
-        out[row] = line
-    return out
+    if n < 3:
+        return y.copy()
+    base = _second_differences(n, np.zeros(n), lam)
+    weight, line = np.ones_like(y, dtype=float), y
+    for _ in range(rounds):
+        bands = np.repeat(base[:, None, :], len(y), axis=1)
+        bands[0] += weight
+        line = solve_pentadiagonal(bands, weight * y)
+        weight = np.where(y > line, p, 1 - p)
+    return line
 
 
 def polynomial_baseline(x: np.ndarray, y: np.ndarray, order: int, rounds: int) -> np.ndarray:
