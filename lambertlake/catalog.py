@@ -375,8 +375,9 @@ _CYCLE = str(series.design_cycle())
 
 @query(
     "experimental_design",
-    f"""SELECT r AS run, CASE WHEN r = 0 THEN 10.0 ELSE round(10 + 4 * {_CYCLE}[(r - 1) % 24 + 1], 6) END AS c1, CASE WHEN r = 0 THEN 20.0 ELSE round(20 + 2.5 * {_CYCLE}[r % 24 + 1], 6) END AS c2,
-CASE WHEN r = 0 THEN 5.0 ELSE round(5 + 0.5 * {_CYCLE}[(r + 1) % 24 + 1], 6) END AS c3 FROM range(0, 25) t(r)""",
+    f"""SELECT r AS run, CAST(CASE WHEN r = 0 THEN 10.0 ELSE round(10 + 4 * {_CYCLE}[(r - 1) % 24 + 1], 6) END AS DOUBLE) AS c1,
+CAST(CASE WHEN r = 0 THEN 20.0 ELSE round(20 + 2.5 * {_CYCLE}[r % 24 + 1], 6) END AS DOUBLE) AS c2,
+CAST(CASE WHEN r = 0 THEN 5.0 ELSE round(5 + 0.5 * {_CYCLE}[(r + 1) % 24 + 1], 6) END AS DOUBLE) AS c3 FROM range(0, 25) t(r)""",
 )
 def experimental_design(spark, sf_dir):
     return series.design_concentrations(series.brereton_design(spark, 3), [10.0, 20.0, 5.0], [4.0, 2.5, 0.5])
