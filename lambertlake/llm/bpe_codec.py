@@ -19,7 +19,6 @@ from __future__ import annotations
 import array
 import functools
 import gc
-import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +30,7 @@ from pyspark.sql import types as T
 from lambertlake.llm import runtime, wordbpe
 from lambertlake.llm.token_counts import merged_length
 
-#: Distinct words, and pairs of tokens, a worker remembers before it starts anew: some 200 MB.
+#: Distinct words, and pairs of tokens, a worker remembers before it starts anew: some 150 MB.
 REMEMBERED, REMEMBERED_PAIRS = 500_000, 300_000
 FOREVER = 1 << 60
 
@@ -64,7 +63,8 @@ class TrieCodec:
                     until, at = self.rank[parts[at]], parts[at][side]
                 chain.append((at, until))
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.found: dict[str, tuple[int, ...]] = {}
+        #: A word's identifiers as 32-bit integers in a row.
+        self.found: dict[str, bytes] = {}
 
     def width(self, token: str) -> int:
         return len(token) - len(self.bpe.end) * token.endswith(self.bpe.end)
@@ -129,37 +129,35 @@ class TrieCodec:
                     out.append(ids[t])
                     at -= len(t)
                 out.reverse()
-                found[word] = tuple(out)
+                found[word] = array.array("i", out).tobytes()
             if node:
                 states.append(last_token(spelled, states, depth, ""))
                 if depth >= longest:
                     spelled = spelled[1 - longest :]
                 stack += [(depth + 1, spelled + s, child) for s, child in node.items()]
 
-    def encode(self, texts: list[str | None]) -> tuple[array.array, array.array]:
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The identifiers of all texts in a row, and where each text's begin, with the end."""
         found, looked, new = self.found, [], set()
         if len(found) > REMEMBERED:
             found.clear()
-        found.update({s: (i,) for s, i in self.bpe.special.items()})
+        found.update({s: array.array("i", [i]).tobytes() for s, i in self.bpe.special.items()})
         for text in texts:
             words = self.bpe.pieces(text) if text else []
             got = list(map(found.get, words))
             if None in got:
                 new.update(w for w, x in zip(words, got) if x is None)
-                looked.append((words, got))
+                looked.append(words)
             else:
-                looked.append((None, got))
+                looked.append(b"".join(got))
         gc.disable()  # a trie has no cycles, and walking a large one again and again costs more than it
         try:
             self.learn(new)
         finally:
             gc.enable()
-        values, ends, flat = array.array("i"), array.array("i", [0]), itertools.chain.from_iterable
-        for words, got in looked:
-            values.extend(flat(map(found.__getitem__, words) if words else got))
-            ends.append(len(values))
-        return values, ends
+        parts = [x if isinstance(x, bytes) else b"".join(map(found.__getitem__, x)) for x in looked]
+        ends = np.cumsum([0, *(len(p) // 4 for p in parts)], dtype=np.int32)
+        return np.frombuffer(b"".join(parts), np.int32), ends
 
 
 @functools.lru_cache(maxsize=1)
@@ -207,7 +205,7 @@ def encode(df: DataFrame, text: str = "text", out: str = "ids", decoded: str | N
         back = _decoder(path) if decoded else None
 
         def of(column):
-            values, ends = (pa.array(np.frombuffer(x, np.int32)) for x in codec.encode(column.to_pylist()))
+            values, ends = map(pa.array, codec.encode(column.to_pylist()))
             ids = pa.ListArray.from_arrays(ends, values)
             return (ids, back(ids)) if back else (ids,)
 
