@@ -261,7 +261,8 @@ def _rest(members: DataFrame, labels: DataFrame, nodes: DataFrame, packed: DataF
 
     Blocks carry registers and texts, so that a pair is judged where its members meet and only
     links leave the task: for a member and another component the first link found, likeliest
-    pair first. A pair that shares several buckets is judged in the first of them.
+    pair first. A pair that shares several buckets is judged in the first of them, which whole
+    keys tell: bytes of registers may agree by chance where the members have no bucket.
     """
     mine = _labelled(members, labels, "rep")
     mine = mine.select("key", "band", "rep", F.col("rep_label").alias("label"))
@@ -271,15 +272,16 @@ def _rest(members: DataFrame, labels: DataFrame, nodes: DataFrame, packed: DataF
         "key", "main", F.ceil((F.col("all") - F.col("most")) / FEW).cast("int").alias("few"), F.ceil(F.col("all") / MANY).cast("int").alias("many")
     )
     # Written first: then both sides of the join are plain shuffles, of which a hot key can be split.
-    mine = mine.join(runtime.checkpoint(sizes), "key").join(nodes.select("rep", "registers").join(packed, "rep"), "rep")
+    mine = mine.join(runtime.checkpoint(sizes), "key").join(nodes.select("rep", "bands", "registers").join(packed, "rep"), "rep")
+    mine = mine.withColumn("earlier", F.slice("bands", F.lit(1), F.col("band")))
     place = lambda salt, n: F.pmod(F.xxhash64("rep", F.lit(salt)), F.col(n)).cast("int")
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     asks = mine.where("label <> main").withColumn("i", place(1, "few")).withColumn("j", upto("many")).withColumn("asks", F.lit(True))
     told = mine.withColumn("j", place(2, "many")).withColumn("i", upto("few")).withColumn("asks", F.lit(False))
-    columns = ["key", "i", "j", "band", "asks", "rep", "label", "registers", "packed"]
+    columns = ["key", "i", "j", "band", "asks", "rep", "label", "earlier", "registers", "packed"]
     dealt = asks.select(columns).unionByName(told.select(columns)).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
-    def block(band, asks, rep, label, registers, texts, known):
+    def block(asks, rep, label, earlier, registers, texts, known):
         unpack = zstandard.ZstdDecompressor().decompress
 
         def shingles(r):
@@ -297,8 +299,8 @@ def _rest(members: DataFrame, labels: DataFrame, nodes: DataFrame, packed: DataF
             other = many[label[many] != label[r]]
             same = registers[other] == registers[r]
             near = (same.mean(1) - 1 / 256) / (1 - 1 / 256)
-            shared = same.reshape(len(other), BANDS, ROWS).all(2)
-            hit = (near >= threshold - SLACK) & ~shared[:, :band].any(1)
+            hit = near >= threshold - SLACK
+            hit[hit] = ~(earlier[other[hit]] == earlier[r]).any(1)
             order = np.argsort(-near[hit], kind="stable")
             done = set()
             for o in other[hit][order]:
@@ -317,8 +319,8 @@ def _rest(members: DataFrame, labels: DataFrame, nodes: DataFrame, packed: DataF
         held, texts, last, known = [], [], None, {}
 
         def out():
-            band, asks, rep, label, registers = (np.concatenate([h[c] for h in held]) for c in range(5))
-            found = list(block(int(band[0]), asks, rep, label, registers, texts, known))
+            asks, rep, label, earlier, registers = (np.concatenate([h[c] for h in held]) for c in range(5))
+            found = list(block(asks, rep, label, earlier, registers, texts, known))
             held.clear()
             texts.clear()
             if found:
@@ -329,13 +331,16 @@ def _rest(members: DataFrame, labels: DataFrame, nodes: DataFrame, packed: DataF
                 continue
             key, i, j, band, asks, rep, label = (batch.column(c).to_numpy(zero_copy_only=False) for c in columns[:7])
             registers = np.frombuffer(b"".join(batch.column("registers").to_pylist()), np.uint8).reshape(-1, REGISTERS)
+            keys = batch.column("earlier").flatten().to_numpy(zero_copy_only=False)
+            start = np.r_[0, np.cumsum(band)]  # a row has as many earlier keys as its bucket has earlier bands
             own = batch.column("packed").to_pylist()
             cut = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
             for a, b in zip(np.r_[0, cut], np.r_[cut, len(key)]):
                 if last is not None and last != (key[a], i[a], j[a]):
                     yield from out()
                 last = (key[a], i[a], j[a])
-                held.append((band[a:b], asks[a:b].astype(bool), rep[a:b], label[a:b], registers[a:b]))
+                earlier = keys[start[a] : start[b]].reshape(b - a, band[a])
+                held.append((asks[a:b].astype(bool), rep[a:b], label[a:b], earlier, registers[a:b]))
                 texts += own[a:b]
         if held:
             yield from out()
@@ -360,7 +365,7 @@ def classes(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD, c
     members = runtime.checkpoint(banded.join(pivots, "key"))
     shared = members.select("rep").distinct()
     packed = runtime.checkpoint(_packed(docs, shared).dropDuplicates(["rep"]))
-    some = real.join(shared, "rep", "left_semi").select("rep", "registers")
+    some = real.join(shared, "rep", "left_semi")
     star = members.where("rep <> pivot").select(F.col("rep").alias("x"), F.col("pivot").alias("y")).distinct()
     star = runtime.checkpoint(_estimated(star, some, threshold))
     best = star.groupBy("x").agg(F.max_by("y", F.struct("near", -F.col("y"))).alias("y"))

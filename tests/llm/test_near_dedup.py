@@ -2,6 +2,7 @@ import itertools
 import random
 
 import numpy as np
+import zstandard
 
 from lambertlake.llm import near_dedup as nd
 
@@ -74,6 +75,22 @@ def test_registers_estimate_probability_jaccard():
     assert np.abs(np.array(agree) - wanted).max() < 0.17
 
 
+def test_chance_agreement_of_bytes_hides_no_pair(spark):
+    # Band 0 agrees in the bytes kept, but its keys differ: the pair's first bucket is that of band 3, or of band 1.
+    pack = zstandard.ZstdCompressor().compress
+    words = [f"w{k}" for k in range(100)]
+    texts = {1: words, 2: [*words[:-1], "other"]}
+    packed = spark.createDataFrame([(i, bytearray(pack(" ".join(t).encode()))) for i, t in texts.items()], "rep long, packed binary")
+    labels = spark.createDataFrame([(1, 1), (2, 2)], "node long, label long")
+    for same, found in (([3], [3]), ([1, 3], [1])):
+        bands = {i: [7 + b if b in same else 100 * i + b for b in range(nd.BANDS)] for i in texts}
+        nodes = spark.createDataFrame([(i, b, bytearray(nd.REGISTERS)) for i, b in bands.items()], "rep long, bands array<long>, registers binary")
+        for band in same:
+            members = spark.createDataFrame([(7 + band, band, i) for i in texts], "key long, band int, rep long")
+            got = {tuple(sorted(r)) for r in nd._rest(members, labels, nodes, packed, 0.8).collect()}
+            assert got == ({(1, 2)} if band in found else set())
+
+
 def test_odd_rows(spark):
     rows = [(5, None), (6, ""), (7, "  "), (8, "one two"), (9, "one two"), (9, "one two"), (10, "one  two"), (11, "two one"), (None, "one two"), (3, "x " * 50000), (2, "x " * 49000)]
     got = nd.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
