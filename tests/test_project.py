@@ -2,6 +2,7 @@ import json
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lambertlake.operators import methods as m
 from lambertlake.plans import pipeline as pl
@@ -71,6 +72,19 @@ def test_log_and_tampering(spark, assay):
     assert p.verify() == []
 
 
+def test_every_alteration_is_reported(spark, tmp_path, monkeypatch):
+    p = Project.create(spark, str(tmp_path / "p"), "s")
+    with p.commit() as c:
+        for i in range(30):
+            c.log("NOTE", "audit", None, f"note {i}")
+    n = p.state["seq"]
+    log = p.table("audit").withColumn("summary", F.concat("summary", F.lit("!")))
+    points = spark.range(1, 26).select("id", F.array(F.lit(1.0)).alias("x"), F.array(F.lit(2.0)).alias("y"), F.lit("no").alias("data_sha256"))
+    monkeypatch.setattr(p, "table", {"audit": log, "points": points}.__getitem__)
+    assert p.verify() == [f"log entry {i} was altered or its predecessor is missing" for i in range(1, n + 1)] + [f"points of spectrum {i} were altered" for i in range(1, 26)]
+    assert n >= 30
+
+
 def test_failed_changes_leave_no_trace(assay):
     p = assay["p"]
     p._load()
