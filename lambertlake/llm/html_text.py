@@ -11,7 +11,8 @@ from their nearest decided neighbours.
 Character references are decoded, white space inside a block becomes one space, blocks are
 trimmed and joined by one line end. ``br`` is white space. Null and empty pages and pages
 without good blocks give the empty text. Malformed pages are read as far as they go: an
-unended tag at the end is dropped, a closing tag without an opening one is ignored, and an
+unended tag at the end is dropped, a quote opens a value of whatever length only after ``=``
+and only if it closes, a closing tag without an opening one is ignored, and an
 article or main element ends an unclosed menu, header or form before it. Repeated rows are
 extracted each; other columns pass through.
 """
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -32,11 +34,16 @@ from lambertlake.llm import runtime
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(?P<raw>script|style|noscript|template|svg|math|iframe|object|textarea|select|title|canvas|video|audio)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^<>\"']|\"[^\"]{0,4096}\"|'[^']{0,4096}'|[\"'])*+)/?(?:>|\Z)"
+    r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)"
     r"|<[!?/][^>]*(?:>|\Z)",
     re.S | re.I,
 )
-_ATTR = re.compile(r"""(?:\b(class|id|role|style|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)|\b(hidden)\b)""", re.I)
+#: What stands between the quoted values of a tag, a quoted value, and a tag that is none.
+_BARE = re.compile(r"""[^<>=]*+(?:=(?!\s*+["'])[^<>=]*+)*+""")
+_VALUE = re.compile(r"""=\s*+(?:"[^"]*+"|'[^']*+')""")
+_BOGUS = re.compile(r"</[^>]*(?:>|\Z)")
+#: The last case steps over the quoted values of other attributes, which may hold pages of their own.
+_ATTR = re.compile(r"""\b(class|id|role|style|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)|\b(hidden)\b|=\s*(?:"[^"]*"|'[^']*')""", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -81,6 +88,8 @@ def _named_furniture(attrs: str, inside: bool) -> bool:
         value = value.strip("\"'")
         if hidden:
             return True
+        if not key:
+            continue
         if key.lower() == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                 return True
@@ -91,6 +100,42 @@ def _named_furniture(attrs: str, inside: bool) -> bool:
     return False
 
 
+def _tag_end(page: str, at: int, dead: set[int]) -> int:
+    """Where the tag whose name ends at ``at`` ends, or -1 if a "<" makes it no tag.
+
+    ``dead`` keeps the values from which that was found, so that none is read twice and the
+    time is linear in the page.
+    """
+    seen = []
+    while True:
+        at = _BARE.match(page, at).end()
+        if at == len(page) or page[at] == ">":
+            return at
+        if page[at] == "<" or at in dead:
+            dead.update(seen)
+            return -1
+        seen.append(at)
+        value = _VALUE.match(page, at)
+        at = value.end() if value else at + 1
+
+
+def _tags(page: str) -> Iterator[tuple[int, int, str | None, bool, str]]:
+    """Start, end, name, whether closing, and attributes of tags; other markup has no name."""
+    at, dead = 0, set()
+    while m := _TAG.search(page, at):
+        start, at = m.span()
+        name, attrs = m["name"], ""
+        if name is not None:
+            end = _tag_end(page, at, dead)
+            if end >= 0:
+                attrs, at = page[at:end], min(end + 1, len(page))
+            elif m["close"]:
+                name, at = None, _BOGUS.match(page, start).end()
+            else:
+                continue
+        yield start, at, name, m["close"] == "/", attrs
+
+
 def blocks(page: str) -> list[Block]:
     """The page's blocks with text, in order."""
     out: list[Block] = []
@@ -116,18 +161,16 @@ def blocks(page: str) -> list[Block]:
             inside -= content
 
     at = 0
-    for m in _TAG.finditer(page):
-        if m.start() > at:
-            piece = page[at : m.start()]
+    for start, end, name, closing, attrs in _tags(page):
+        if start > at:
+            piece = page[at:start]
             parts.append(piece)
             if in_link:
                 linked.append(piece)
-        at = m.end()
-        name = m["name"]
+        at = end
         if name is None:
             continue
         name = name.lower()
-        closing = m["close"] == "/"
         if name == "a":
             in_link = 0 if closing else 1
         elif name == "br":
@@ -138,7 +181,7 @@ def blocks(page: str) -> list[Block]:
                 if any(s[0] == name for s in stack[-8:]):
                     flush()
                     pop(max(i for i, s in enumerate(stack) if s[0] == name))
-            elif m["attrs"] and name not in VOID and _named_furniture(m["attrs"], inside > 0):
+            elif attrs and name not in VOID and _named_furniture(attrs, inside > 0):
                 flush()
                 stack.append((name, True, False))
                 bad += 1
@@ -163,7 +206,7 @@ def blocks(page: str) -> list[Block]:
                     pop(len(stack) - 1)
                 # The heading part of an article is the article's own.
                 own = inside and name == "header"
-                furniture = not own and (name in FURNITURE or not content and bool(m["attrs"]) and _named_furniture(m["attrs"], inside > 0))
+                furniture = not own and (name in FURNITURE or not content and bool(attrs) and _named_furniture(attrs, inside > 0))
                 stack.append((name, furniture, content))
                 bad += furniture
                 inside += content

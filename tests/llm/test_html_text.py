@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 from lambertlake.llm import html_text as ht
 
@@ -38,6 +39,22 @@ def test_malformed_pages():
     assert ht.main_text("<article><p>" + 'x "' * 50000 + "<b \"" * 2000) != ""
 
 
+def test_values_of_any_length():
+    for n in (10, 4096, 5000, 300_000):
+        for q, other in ("\"'", "'\""):
+            value = f"{q}{'x' * n}<p class={other}ad{other}> hidden > {q}"
+            page = f"<article><p data-a={value}>One.</p><div data-b = {value} class='ad'>no</div><x-frame srcdoc={value}/><p>Two.</article>"
+            assert ht.main_text(page) == "One.\nTwo.", n
+    assert ht.main_text("<article><p title=it's>One.</p><p a='>Two.</p>" + "x" * 5000) == "One.\nTwo.\n" + "x" * 5000
+
+
+def test_quotes_take_linear_time():
+    for unit in ('<b a="', "<b a='<b a=\"", "<b a=\"'>", "<b ='=\"", "'= = ='<b ", '="<b "= = ', '<b =" ="', "<b = "):
+        began = time.process_time()
+        ht.main_text("<article><b =\"" + unit * 40_000 + "<")
+        assert time.process_time() - began < 10, unit
+
+
 def test_whole_table(spark):
     sf = "/root/testdata/sf0.01"
     rows = {r.page_id: r for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
