@@ -1,26 +1,37 @@
 """Main text of web pages by two-pass block rules.
 
 The page is cut into blocks at block-level tags; scripts, styles, comments and other raw
-elements give no text. The first pass decides each block: blocks in menus, headers, footers,
-asides, forms, or in elements whose class, id or role names an advert, notice, comment
-section or the like are bad; inside an article or main element other blocks are good unless
-they are mostly links; elsewhere the share of stop words, the length and the share of linked
-text decide, and short or middling blocks stay open. The second pass lets open blocks inherit
-from their nearest decided neighbours.
+elements give no text. The first pass decides a block by its length, its share of stop words
+and its share of linked text, inside articles as elsewhere: long blocks dense in stop words are
+good, blocks that are mostly links are bad, and short or middling ones stay open. Names are one
+more vote: what stands in menus, headers, footers, asides, forms, or in elements whose class,
+id or role names an advert, notice, comment section or the like, is bad at once. The second
+pass lets open blocks inherit from their nearest decided neighbours. Inside an article or main
+element neighbours are blocks of the same element that the densities decided; where one side
+has none, the element itself counts as a good neighbour, so that short texts, tables and
+listings of an article stay. Outside, on a page whose article or main element has text, open
+blocks are bad.
+
+Inside an article a class or id counts as furniture only if all its parts are names of
+furniture or of mere containers (``ad-slot``, ``share-buttons``), so ``share-price`` doesn't;
+elsewhere one part is enough. An article's own heading part is its own; ``noscript`` is read
+inside articles and left out elsewhere; ``math`` is text, ``svg`` isn't.
 
 Character references are decoded, white space inside a block becomes one space, blocks are
 trimmed and joined by one line end. ``br`` is white space. Null and empty pages and pages
 without good blocks give the empty text. Malformed pages are read as far as they go: an
 unended tag at the end is dropped, a quote opens a value of whatever length only after ``=``
-and only if it closes, a closing tag without an opening one is ignored, and an
-article or main element ends an unclosed menu, header or form before it. Repeated rows are
-extracted each; other columns pass through.
+and only if it closes, a closing tag without an opening one (in the same article) is ignored
+however many elements are open, and an article or main element ends an unclosed menu, header
+or form before it. Time and memory are linear in the page. Repeated rows are extracted each;
+other columns pass through.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -33,7 +44,7 @@ from lambertlake.llm import runtime
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|svg|math|iframe|object|textarea|select|title|canvas|video|audio)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style|template|svg|iframe|object|textarea|select|title|canvas|video|audio)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)"
     r"|<[!?/][^>]*(?:>|\Z)",
     re.S | re.I,
@@ -46,20 +57,25 @@ _BOGUS = re.compile(r"</[^>]*(?:>|\Z)")
 _ATTR = re.compile(r"""\b(class|id|role|style|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)|\b(hidden)\b|=\s*(?:"[^"]*"|'[^']*')""", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+_PART = re.compile(r"[_-]+")
 
 # Names of elements, parts of names of page furniture, stop words of four languages.
 BLOCKS = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
-    "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul option button label".split()
+    "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul option button label noscript".split()
 )
-FURNITURE = set("nav header footer aside form menu dialog button fieldset head legend label option select input figure-menu".split())
+FURNITURE = set("nav header footer aside form menu dialog button fieldset head legend label option select input noscript".split())
 CONTENT = {"article", "main"}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-NAMED = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|sidebar|side|footer|header|banner|masthead|ad|ads|advert|adverts|advertisement|sponsor|sponsored|promo|"
-    r"cookie|cookies|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|login|comment|comments|reply|replies|disqus|respond|"
-    r"commentlist|cookiebar|adsbygoogle|related|recommended|share|sharing|social|breadcrumb|breadcrumbs|pagination|pager|toolbar|widget|copyright|search|form|skip|complementary|contentinfo)(?:$|[\s_-]|\d)",
-    re.I,
+NAMED = set(
+    "nav navbar navigation menu sidebar side footer header banner masthead ad ads advert adverts advertisement sponsor sponsored promo "
+    "cookie cookies cookiebar consent gdpr notice alert popup modal overlay newsletter subscribe signup login comment comments commentlist reply replies "
+    "disqus respond adsbygoogle related recommended share sharing social breadcrumb breadcrumbs pagination pager toolbar widget copyright search form "
+    "skip complementary contentinfo".split()
+)
+HOLDERS = set(
+    "site page post article entry user main top bottom left right inner outer inline bar box block wrap wrapper container content list item section "
+    "area slot unit row group zone panel thread button buttons links icons posts articles media policy message text".split()
 )
 STOP = set(
     "the of and to in is that for it on with as was are this be by at from or an have not which you a "
@@ -78,25 +94,35 @@ class Block(NamedTuple):
     text: str
     linked: int
     furniture: bool
-    content: bool
+    region: int  # the article or main element it stands in, 0 for none
     item: bool
 
 
+def _names_furniture(value: str, inside: bool) -> bool:
+    """Whether a class, id or role does; an article's own heading part isn't."""
+    for name in _CAMEL.sub("-", value).lower().split():
+        parts = [p for x in _PART.split(name) if (p := x.strip("0123456789"))]
+        named = NAMED.intersection(parts)
+        if inside:
+            named.discard("header")
+            if not all(p in NAMED or p in HOLDERS for p in parts):
+                continue
+        if named:
+            return True
+    return False
+
+
 def _named_furniture(attrs: str, inside: bool) -> bool:
-    """Whether class, id, role or style say so; an article's own heading part isn't."""
+    """Whether class, id, role or style say so."""
     for key, value, hidden in _ATTR.findall(attrs):
         value = value.strip("\"'")
         if hidden:
             return True
-        if not key:
-            continue
         if key.lower() == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                 return True
-        else:
-            named = {n.strip(" _-0123456789").lower() for n in NAMED.findall(_CAMEL.sub("-", value))}
-            if named - {"header"} or (named and not inside):
-                return True
+        elif key and _names_furniture(value, inside):
+            return True
     return False
 
 
@@ -136,30 +162,62 @@ def _tags(page: str) -> Iterator[tuple[int, int, str | None, bool, str]]:
         yield start, at, name, m["close"] == "/", attrs
 
 
+class _Open:
+    """The open elements: a stack that knows how often a name is open in the current article."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, bool, bool]] = []  # name, is furniture, is content
+        self.names: list[Counter] = [Counter()]  # outside, then for each open article or main
+        self.furniture: list[int] = []  # places of furniture in the stack
+        self.regions = [0]
+        self.made = 0
+
+    def push(self, name: str, furniture: bool, content: bool = False) -> None:
+        if furniture:
+            self.furniture.append(len(self.stack))
+        if content:
+            self.made += 1
+            self.regions.append(self.made)
+            self.names.append(Counter())
+        self.stack.append((name, furniture, content))
+        self.names[-1][name] += 1
+
+    def cut(self, n: int) -> None:
+        """Close all but the first n."""
+        while len(self.stack) > n:
+            name, furniture, content = self.stack.pop()
+            self.names[-1][name] -= 1
+            if furniture:
+                self.furniture.pop()
+            if content:
+                self.names.pop()
+                self.regions.pop()
+
+    def close(self, name: str) -> None:
+        """Close the innermost element of that name and those left open in it, not across an article's border."""
+        if self.names[-1][name] > 0:
+            n = len(self.stack) - 1
+            while self.stack[n][0] != name:
+                n -= 1
+            self.cut(n)
+
+
 def blocks(page: str) -> list[Block]:
     """The page's blocks with text, in order."""
     out: list[Block] = []
     parts: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, is furniture, is content
-    bad = inside = in_link = 0
+    opened, in_link = _Open(), 0
 
     def flush() -> None:
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
                 link = len(" ".join(entities.unescape("".join(linked)).split())) if linked else 0
-                out.append(Block(text, link, bad > 0, inside > 0, any(s[0] == "li" for s in stack[-3:])))
+                out.append(Block(text, link, bool(opened.furniture), opened.regions[-1], opened.names[-1]["li"] > 0))
             parts.clear()
             linked.clear()
 
-    def pop(n: int) -> None:
-        nonlocal bad, inside
-        while len(stack) > n:
-            _, furniture, content = stack.pop()
-            bad -= furniture
-            inside -= content
-
     at = 0
     for start, end, name, closing, attrs in _tags(page):
         if start > at:
@@ -171,45 +229,39 @@ def blocks(page: str) -> list[Block]:
         if name is None:
             continue
         name = name.lower()
+        inside = opened.regions[-1] > 0
         if name == "a":
             in_link = 0 if closing else 1
         elif name == "br":
             parts.append(" ")
         elif name not in BLOCKS:
-            # An inline element counts only if it is furniture itself, as a span of an advert.
+            # An inline element counts only if it is furniture itself, as a span of an advert; those inside count to its end.
             if closing:
-                if any(s[0] == name for s in stack[-8:]):
+                if opened.names[-1][name] > 0:
                     flush()
-                    pop(max(i for i, s in enumerate(stack) if s[0] == name))
-            elif attrs and name not in VOID and _named_furniture(attrs, inside > 0):
+                    opened.close(name)
+            elif name not in VOID and (attrs and _named_furniture(attrs, inside)):
                 flush()
-                stack.append((name, True, False))
-                bad += 1
+                opened.push(name, True)
+            elif opened.names[-1][name] > 0:
+                opened.push(name, False)
         else:
             flush()
             in_link = 0
             if closing:
-                # A tag closes its own element and those left open in it, but not across an article's border.
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == name:
-                        pop(i)
-                        break
-                    if stack[i][2]:
-                        break
+                opened.close(name)
             elif name not in VOID:
                 content = name in CONTENT
-                if content and bad:
-                    first = next(i for i, s in enumerate(stack) if s[1])
+                stack = opened.stack
+                if content and opened.furniture:
+                    first = opened.furniture[0]
                     if stack[first][0] in ("nav", "header", "form", "head", "menu"):
-                        pop(first)
+                        opened.cut(first)
                 elif name in ("p", "li", "tr", "td", "dt", "dd", "option") and stack and stack[-1][0] == name:
-                    pop(len(stack) - 1)
-                # The heading part of an article is the article's own.
-                own = inside and name == "header"
-                furniture = not own and (name in FURNITURE or not content and bool(attrs) and _named_furniture(attrs, inside > 0))
-                stack.append((name, furniture, content))
-                bad += furniture
-                inside += content
+                    opened.cut(len(stack) - 1)
+                own = inside and name in ("header", "noscript")
+                named = not content and bool(attrs) and _named_furniture(attrs, inside)
+                opened.push(name, not own and (name in FURNITURE or named), content)
     if at < len(page):
         parts.append(page[at:])
         if in_link:
@@ -218,53 +270,64 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-def _first_pass(b: Block) -> str:
+def first_pass(b: Block) -> str:
+    """What names, length and densities say of a block by itself."""
     n = len(b.text)
-    share = b.linked / n
     if b.furniture:
         return BAD
-    if b.content:
-        return GOOD if share <= 0.5 else BAD if b.item else OPEN
-    if share > LINKED or ("©" in b.text and n < LONG):
+    if b.linked > LINKED * n:
+        return BAD if b.item or not b.region else OPEN
+    if not b.region and "©" in b.text and n < LONG:
         return BAD
     if n < SHORT:
-        return BAD if b.linked else OPEN
+        return BAD if b.linked and not b.region else OPEN
     words = _WORD.findall(b.text.lower())
     stop = sum(map(STOP.__contains__, words)) / max(1, len(words))
-    if stop >= STOP_HIGH:
-        return GOOD if n > LONG else NEAR
+    if stop >= STOP_HIGH and n > LONG:
+        return GOOD
     if stop >= STOP_LOW:
         return NEAR
-    return OPEN if not b.linked else BAD
+    return BAD if b.linked and not b.region else OPEN
+
+
+def _neighbours(found: list[Block], first: list[str]) -> list[tuple[str | None, int]]:
+    """For each block the last decided one before it that may lend its label, and how far back that is."""
+    seen: dict[int, tuple[str, int]] = {}
+    place: Counter = Counter()
+    out: list[tuple[str | None, int]] = []
+    for b, x in zip(found, first):
+        label, at = seen.get(b.region, (None, 0))
+        out.append((label, place[b.region] - at))
+        if not (b.region and b.furniture):
+            if x in (GOOD, BAD):
+                seen[b.region] = (x, place[b.region])
+            place[b.region] += 1
+    return out
 
 
 def labels(found: list[Block]) -> list[bool]:
     """Whether each block is main text."""
-    first = [_first_pass(b) for b in found]
-    n = len(first)
-    # Nearest decided neighbours on either side, and how far they are.
-    left: list[tuple[str | None, int]] = []
-    right: list[tuple[str | None, int]] = [(None, 0)] * n
-    seen: tuple[str | None, int] = (None, 0)
-    for x in first:
-        left.append((seen[0], seen[1] + 1))
-        seen = (x, 0) if x in (GOOD, BAD) else (seen[0], seen[1] + 1)
-    seen = (None, 0)
-    for i in range(n - 1, -1, -1):
-        right[i] = (seen[0], seen[1] + 1)
-        seen = (first[i], 0) if first[i] in (GOOD, BAD) else (seen[0], seen[1] + 1)
+    first = [first_pass(b) for b in found]
+    article = any(b.region and not b.furniture for b in found)
+    before = _neighbours(found, first)
+    after = _neighbours(found[::-1], first[::-1])[::-1]
     out = []
-    for x, (a, far_a), (b, far_b) in zip(first, left, right):
+    for block, x, (a, far_a), (b, far_b) in zip(found, first, before, after):
         if x in (GOOD, BAD):
             out.append(x == GOOD)
+        elif block.region:
+            if a is None or b is None or a == b:
+                out.append(GOOD in (a or GOOD, b or GOOD))
+            else:
+                out.append(x == NEAR or (a if far_a < far_b else b) == GOOD or far_a == far_b)
+        elif article:
+            out.append(False)
         elif a is None and b is None:
             out.append(x == NEAR)  # nothing is decided: middling text is all there is
         elif a is None or b is None or a == b:
             out.append((a or b) == GOOD or (x == NEAR and GOOD not in first))
-        elif x == NEAR:
-            out.append(True)
         else:
-            out.append((a if far_a < far_b else b) == GOOD if far_a != far_b else True)
+            out.append(x == NEAR or (a if far_a < far_b else b) == GOOD or far_a == far_b)
     return out
 
 

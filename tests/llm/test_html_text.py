@@ -31,6 +31,41 @@ def test_page_without_article():
     assert ht.main_text(page).split("\n") == ["Heading", LONG.strip(), "Short one.", LONG.strip()]
 
 
+def test_densities_decide_inside_articles():
+    links = "".join(f"<li><a href={i}>Another page that is of some interest to you {i}</a></li>" for i in range(5))
+    page = f"<article><h1>Heading</h1><p>{LONG}</p><ul>{links}<li>Between links</li>{links}</ul><p>{LONG}</p><p><a href=x>All of it a link</a></p><p>Be.</p></article><p>Imprint</p>"
+    assert ht.main_text(page).split("\n") == ["Heading", LONG.strip(), LONG.strip(), "All of it a link", "Be."]
+    first = [ht.first_pass(b) for b in ht.blocks(page)]
+    assert first == [ht.OPEN, ht.GOOD, *[ht.BAD] * 5, ht.OPEN, *[ht.BAD] * 5, ht.GOOD, ht.OPEN, ht.OPEN, ht.OPEN]
+    # Without anything decided the element itself counts as a good neighbour.
+    assert ht.main_text("<main><p>Žádné časté slovo</p><pre>x = 1</pre></main>") == "Žádné časté slovo\nx = 1"
+
+
+def test_whole_names_inside_articles():
+    for attrs in ("class='notice-board'", "id=side-note", "class=share-price", "class='form-factor x'", "class='reply-rate'", "class='article-header'"):
+        assert ht.main_text(f"<article><p {attrs}>Text of it.</p><section {attrs}><p>More</p></section></article>") == "Text of it.\nMore", attrs
+    for attrs in ("class='notice'", "class='cookie-notice x'", "id=ad-slot-3", "class='x share-buttons'", "class=relatedPosts", "role=navigation", "hidden"):
+        assert ht.main_text(f"<article><p>Text.</p><p {attrs}>no</p><section {attrs}><p>no</p></section></article>") == "Text.", attrs
+
+
+def test_deep_elements_are_closed():
+    for n in (3, 9, 60, 3000):
+        deep = "".join(f"<div><em class=x{i}>" for i in range(n))
+        page = f"<article><p>One.</p><div class=ad>no{deep}no</div><p>Two.</p>"
+        assert ht.main_text(page.replace("</div>", "</em></div>" * n + "</div>")) == "One.\nTwo.", n
+        inline = f"<article><p>One.<span class=ad>no{'<div>' * n}no<span>no</span>no{'</div>' * n}</span></p><p>Two.</p>"
+        assert ht.main_text(inline) == "One.\nTwo.", n
+        item = f"<article><p>{LONG}</p><ul><li>{'<section>' * n}<a href=x>Link only</a></ul><p>{LONG}</p>"
+        assert ht.main_text(item) == LONG.strip() + "\n" + LONG.strip(), n
+    began = time.process_time()
+    ht.main_text("<article>" + "<div>" * 30_000 + "</p></section>" * 30_000 + "<aside>" + "<article>" * 30_000)
+    assert time.process_time() - began < 5
+
+
+def test_formulas_and_noscript():
+    assert ht.main_text("<noscript>Turn it on</noscript><article><p>Mass <math><mi>m</mi><mo>=</mo><mn>1</mn></math> g</p><noscript>Still here</noscript><svg><text>no</text></svg></article>") == "Mass m=1 g\nStill here"
+
+
 def test_malformed_pages():
     assert ht.main_text("<article><p>a < b & c &am<p>x</b></div> y <p title='") == "a < b & c &am\nx\ny"
     assert ht.main_text("<nav><ul><li>no<article><p>yes") == "yes"
