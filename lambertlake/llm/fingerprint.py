@@ -1,25 +1,30 @@
-"""Document fingerprints: a Merkle tree over pieces, paragraphs and sections.
+"""Document fingerprints: a Merkle tree over sections, paragraphs and pieces.
 
 A paragraph is a line; a section is a run of paragraphs that ends at a blank line or where a
 paragraph's own hash says so, so that an edit moves no border but those beside it. Inside a
-paragraph the leaves are its sentences, long ones cut every 96 characters. A node's hash is
-that of its children's; the root's covers every code point of the text.
+paragraph the leaves are its sentences, long ones cut every 96 characters. A leaf's hash is
+that of its text, any other node's that of its children's hashes and lengths: 64 bits below,
+128 at the root.
 
 The fingerprint spells the tree: the root's 32 hex digits, the length in code points, then
 for each section its hash and, in brackets, each paragraph's hash with its leaves' hashes
-and lengths. Equal roots mean equal texts. Where roots differ, equal sections and paragraphs
-are matched whole without looking inside, and what is left is compared leaf by leaf; the
-branches that stay unmatched locate the edits. Likeness is the share of both texts' code
-points in matched branches.
+and lengths. Equal texts have equal roots, and different ones have different roots but for
+collisions of hashes. Where roots differ, equal sections and paragraphs are matched whole
+without looking inside, and what is left is compared leaf by leaf; the branches that stay
+unmatched locate the edits. Likeness is the share of both texts' code points in matched
+branches.
 
 Null texts are taken as empty; empty texts have a root and no sections, and are like each
-other by 1 and like anything else by 0. Repeated rows have equal fingerprints.
+other by 1 and like anything else by 0. Repeated rows have equal fingerprints. The next
+document is the one of next lower doc_id, null ones last; rows that share a doc_id follow
+each other by xxhash64 of their texts, then by text.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -40,24 +45,29 @@ SECTION = 4
 Tree = tuple[str, int, list]  # root, length, sections: (hash, length, paragraphs: (hash, length, leaves: (hash, length)))
 
 
-def _hash(data: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(data)
+def _leaf(piece: str) -> tuple[int, int]:
+    return xxhash.xxh3_64_intdigest(piece.encode("utf-8", "surrogatepass")), len(piece)
+
+
+def _spelled(children: list) -> bytes:
+    """The children's hashes and lengths, as their parent hashes them."""
+    return array("Q", [x for c in children for x in c[:2]]).tobytes()
+
+
+def _node(children: list) -> tuple[int, int, list]:
+    return xxhash.xxh3_64_intdigest(_spelled(children)), sum(c[1] for c in children), children
 
 
 def tree(text: str) -> Tree:
-    root = xxhash.xxh3_128_hexdigest(text.encode("utf-8", "surrogatepass"))
-    sections, open_, digest = [], [], 0
-    for line in text.splitlines(keepends=True) if "\n" in text else [text] if text else []:
-        leaves = [(_hash(x.encode("utf-8", "surrogatepass")) & 0xFFFFFFFF, len(x)) for x in _LEAF.findall(line)]
-        own = _hash(repr(leaves).encode())
-        open_.append((own & 0xFFFFFFFFFF, len(line), leaves))
-        digest = _hash(b"%d,%d" % (digest, own))
-        if own % SECTION == 0 or line.isspace():
-            sections.append((digest & 0xFFFFFFFFFFFF, sum(p[1] for p in open_), open_))
-            open_, digest = [], 0
-    if open_:
-        sections.append((digest & 0xFFFFFFFFFFFF, sum(p[1] for p in open_), open_))
-    return root, len(text), sections
+    sections, opened = [], []
+    for line in text.splitlines(keepends=True):
+        opened.append(_node(list(map(_leaf, _LEAF.findall(line)))))
+        if opened[-1][0] % SECTION == 0 or line.isspace():
+            sections.append(_node(opened))
+            opened = []
+    if opened:
+        sections.append(_node(opened))
+    return xxhash.xxh3_128_hexdigest(_spelled(sections)), len(text), sections
 
 
 def spell(t: Tree) -> str:
@@ -157,35 +167,51 @@ def in_order(docs: DataFrame) -> DataFrame:
 
     Every range is followed, in its own partition, by the first row of the next one (after
     the last range: of the first), marked as halo. The texts are shuffled once. The borders,
-    of which there are four per partition, are approximate quantiles; equal doc_ids are in
-    order of their text. Null doc_ids come last.
+    of which there are four per partition, are approximate quantiles; a doc_id that holds
+    several of them, as the rows without doc_id, is cut further by the texts' hashes.
     """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumn("_tie", F.xxhash64("text"))
     cuts = [i / (4 * n) for i in range(1, 4 * n)]
-    found = rows.agg(F.percentile_approx("doc_id", cuts, 40 * n)).first()[0] or []
-    borders = np.array(sorted({-x for x in found}), np.int64)  # ascending, of negated identifiers: range 0 has the largest
+    found = rows.agg(F.percentile_approx("doc_id", cuts, 40 * n), F.count("*"), F.count("doc_id")).first()
+    # Ascending, of identifiers with all bits turned: range 0 has the largest.
+    borders, times = np.unique(~np.array(found[0] or [], np.int64), return_counts=True)
+    # A border's own rows are in the range that ends with it, or in as many of their own as it has quantiles.
+    hot = np.where(times > 1, times, 0)
+    base = np.r_[0, np.cumsum(1 + hot)]
+    unnamed = 1 + (found[1] - found[2]) * 4 * n // max(1, found[1])
 
     @F.pandas_udf("int")
-    def bucket(ids: pd.Series) -> pd.Series:
+    def bucket(ids: pd.Series, ties: pd.Series) -> pd.Series:
         known = ids.notna().to_numpy()
-        at = np.searchsorted(borders, -ids.fillna(0).to_numpy(np.int64), side="left")
-        return pd.Series(np.where(known, at, len(borders) + 1).astype(np.int32))
+        own = ~ids.fillna(0).to_numpy(np.int64)
+        at = np.searchsorted(borders, own, side="left")
+        share = ((ties.to_numpy(np.int64) >> 33) + 2**30) / 2**31  # from 0 to below 1, in order of the hash
+        out = base[at]
+        if len(borders):
+            near = np.minimum(at, len(borders) - 1)
+            parts = np.where((borders[near] == own) & (at == near), hot[near], 0)
+            out = out + np.where(parts > 0, 1 + (share * parts).astype(np.int64), 0)
+        return pd.Series(np.where(known, out, base[-1] + 1 + (share * unnamed).astype(np.int64)).astype(np.int32))
 
     # One row for each range that has rows: as many as partitions, not as documents.
-    top = {r["b"]: r["top"] for r in rows.groupBy(bucket("doc_id").alias("b")).agg(F.max("doc_id").alias("top")).collect()}
+    order = F.struct(F.col("doc_id").isNull(), F.bitwise_not("doc_id"), "_tie")
+    firsts = rows.groupBy(bucket("doc_id", "_tie").alias("b")).agg(F.min(order).alias("first")).collect()
+    top = {r["b"]: (None if r["first"][0] else ~r["first"][1], r["first"][2]) for r in firsts}
     full = sorted(top)
     before = {b: full[i - 1] for i, b in enumerate(full)}  # before the first comes the last
 
     @F.pandas_udf("array<struct<b:int,h:boolean>>")
-    def copies(ids: pd.Series, buckets: pd.Series) -> pd.Series:
-        firsts = [(None if pd.isna(i) else int(i)) == top[b] for i, b in zip(ids, buckets)]
-        return pd.Series([[{"b": b, "h": False}] + [{"b": before[b], "h": True}] * is_first for b, is_first in zip(buckets, firsts)])
-
-    rows = rows.withColumn("_copy", F.explode(copies("doc_id", bucket("doc_id"))))
-    dealt = rows.select("doc_id", "text", F.col("_copy.b").alias("_bucket"), F.col("_copy.h").alias("_halo"))
-    return dealt.repartition(n, "_bucket").sortWithinPartitions("_bucket", "_halo", F.desc_nulls_last("doc_id"), "text")
+    def copies(ids: pd.Series, ties: pd.Series, buckets: pd.Series) -> pd.Series:
+        first = [(None if pd.isna(i) else int(i), t) == top[b] for i, t, b in zip(ids, ties, buckets)]
+        return pd.Series([[{"b": b, "h": False}] + [{"b": before[b], "h": True}] * is_first for b, is_first in zip(buckets, first)])
+
+    rows = rows.withColumn("_copy", F.explode(copies("doc_id", "_tie", bucket("doc_id", "_tie"))))
+    dealt = rows.select("doc_id", "text", "_tie", F.col("_copy.b").alias("_bucket"), F.col("_copy.h").alias("_halo"))
+    dealt = dealt.repartition(n, "_bucket").sortWithinPartitions("_bucket", "_halo", F.desc_nulls_last("doc_id"), "_tie", "text")
+    return dealt.drop("_tie")
 
 
 def with_next(docs: DataFrame) -> DataFrame:
