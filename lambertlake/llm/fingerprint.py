@@ -174,6 +174,8 @@ def in_order(docs: DataFrame) -> DataFrame:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("_tie", F.xxhash64("text"))
+    # Python gets numbers without nulls: with them, large ones would lose their last digits.
+    known = F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), F.col("_tie")
     cuts = [i / (4 * n) for i in range(1, 4 * n)]
     found = rows.agg(F.percentile_approx("doc_id", cuts, 40 * n), F.count("*"), F.count("doc_id")).first()
     # Ascending, of identifiers with all bits turned: range 0 has the largest.
@@ -184,9 +186,8 @@ def in_order(docs: DataFrame) -> DataFrame:
     unnamed = 1 + (found[1] - found[2]) * 4 * n // max(1, found[1])
 
     @F.pandas_udf("int")
-    def bucket(ids: pd.Series, ties: pd.Series) -> pd.Series:
-        known = ids.notna().to_numpy()
-        own = ~ids.fillna(0).to_numpy(np.int64)
+    def bucket(unknown: pd.Series, ids: pd.Series, ties: pd.Series) -> pd.Series:
+        own = ~ids.to_numpy(np.int64)
         at = np.searchsorted(borders, own, side="left")
         share = ((ties.to_numpy(np.int64) >> 33) + 2**30) / 2**31  # from 0 to below 1, in order of the hash
         out = base[at]
@@ -194,21 +195,21 @@ def in_order(docs: DataFrame) -> DataFrame:
             near = np.minimum(at, len(borders) - 1)
             parts = np.where((borders[near] == own) & (at == near), hot[near], 0)
             out = out + np.where(parts > 0, 1 + (share * parts).astype(np.int64), 0)
-        return pd.Series(np.where(known, out, base[-1] + 1 + (share * unnamed).astype(np.int64)).astype(np.int32))
+        return pd.Series(np.where(unknown, base[-1] + 1 + (share * unnamed).astype(np.int64), out).astype(np.int32))
 
     # One row for each range that has rows: as many as partitions, not as documents.
     order = F.struct(F.col("doc_id").isNull(), F.bitwise_not("doc_id"), "_tie")
-    firsts = rows.groupBy(bucket("doc_id", "_tie").alias("b")).agg(F.min(order).alias("first")).collect()
+    firsts = rows.groupBy(bucket(*known).alias("b")).agg(F.min(order).alias("first")).collect()
     top = {r["b"]: (None if r["first"][0] else ~r["first"][1], r["first"][2]) for r in firsts}
     full = sorted(top)
     before = {b: full[i - 1] for i, b in enumerate(full)}  # before the first comes the last
 
     @F.pandas_udf("array<struct<b:int,h:boolean>>")
-    def copies(ids: pd.Series, ties: pd.Series, buckets: pd.Series) -> pd.Series:
-        first = [(None if pd.isna(i) else int(i), t) == top[b] for i, t, b in zip(ids, ties, buckets)]
+    def copies(unknown: pd.Series, ids: pd.Series, ties: pd.Series, buckets: pd.Series) -> pd.Series:
+        first = [(None if u else i, t) == top[b] for u, i, t, b in zip(unknown, ids, ties, buckets)]
         return pd.Series([[{"b": b, "h": False}] + [{"b": before[b], "h": True}] * is_first for b, is_first in zip(buckets, first)])
 
-    rows = rows.withColumn("_copy", F.explode(copies("doc_id", "_tie", bucket("doc_id", "_tie"))))
+    rows = rows.withColumn("_copy", F.explode(copies(*known, bucket(*known))))
     dealt = rows.select("doc_id", "text", "_tie", F.col("_copy.b").alias("_bucket"), F.col("_copy.h").alias("_halo"))
     dealt = dealt.repartition(n, "_bucket").sortWithinPartitions("_bucket", "_halo", F.desc_nulls_last("doc_id"), "_tie", "text")
     return dealt.drop("_tie")
