@@ -156,6 +156,9 @@ class TrieCodec:
         finally:
             gc.enable()
         parts = [x if isinstance(x, bytes) else b"".join(map(found.__getitem__, x)) for x in looked]
+        for word in new:
+            if len(word) > runtime.LONG_WORD:
+                del found[word]
         ends = np.cumsum([0, *(len(p) // 4 for p in parts)], dtype=np.int32)
         return np.frombuffer(b"".join(parts), np.int32), ends
 
@@ -176,7 +179,7 @@ def _with(df: DataFrame, out: dict[str, T.DataType], source: str, work) -> DataF
 
     def run(batches):
         of = work()
-        for batch in batches:
+        for batch in runtime.slices(batches):
             yield pa.RecordBatch.from_arrays([*map(batch.column, columns), *of(batch.column(source))], names=[*columns, *out])
 
     return df.mapInArrow(run, T.StructType([*kept, *(T.StructField(name, kind) for name, kind in out.items())]))
@@ -186,8 +189,9 @@ def _decoder(path: str):
     strings = pa.array(wordbpe.load(path).strings)
 
     def of(column: pa.ListArray) -> pa.Array:
-        tokens = strings.take(column.values)
-        return pc.binary_join(pa.ListArray.from_arrays(column.offsets, tokens, mask=column.is_null()), " ")
+        first, last = column.offsets[0], column.offsets[-1]
+        tokens = strings.take(column.values.slice(first.as_py(), last.as_py() - first.as_py()))
+        return pc.binary_join(pa.ListArray.from_arrays(pc.subtract(column.offsets, first), tokens, mask=column.is_null()), " ")
 
     return of
 

@@ -155,7 +155,7 @@ def fingerprints(df: DataFrame, text: str = "text", out: str = "fingerprint") ->
     columns = [f.name for f in kept]
 
     def run(batches):
-        for batch in batches:
+        for batch in runtime.slices(batches):
             got = [spell(tree(t or "")) for t in batch.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([*map(batch.column, columns), pa.array(got, pa.string())], names=[*columns, out])
 
@@ -225,7 +225,7 @@ def with_next(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         last = None  # doc_id, bucket, text, tree
-        for batch in batches:
+        for batch in runtime.slices(batches):
             out = []
             for doc_id, text, bucket, halo in zip(*(c.to_pylist() for c in batch.columns)):
                 if halo and last is None:

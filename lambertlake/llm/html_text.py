@@ -345,7 +345,7 @@ def extract(df: DataFrame, page: str = "html", out: str = "text") -> DataFrame:
     columns = [f.name for f in kept]
 
     def run(batches):
-        for batch in batches:
+        for batch in runtime.slices(batches):
             got = [main_text(h) for h in batch.column(page).to_pylist()]
             yield pa.RecordBatch.from_arrays([*map(batch.column, columns), pa.array(got, pa.string())], names=[*columns, out])
 

@@ -60,7 +60,9 @@ class _WordHashes(dict):
     def __missing__(self, word: str) -> int:
         if len(self) > 300_000:
             self.clear()
-        found = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        found = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        if len(word) <= runtime.LONG_WORD:
+            self[word] = found
         return found
 
 
@@ -126,7 +128,7 @@ _SIGNED = "doc_id long, text_key binary, bands array<long>, registers binary"
 def _sign(docs: DataFrame, counted: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]):
         hashes = _WordHashes()
-        for batch in batches:
+        for batch in runtime.slices(batches):
             texts = batch.column("text").to_pylist()
             values, has = signatures(texts, hashes, counted)
             bands, low = band_keys(values), (values & np.uint64(0xFF)).astype(np.uint8)
@@ -180,7 +182,7 @@ def _packed(docs: DataFrame, reps: DataFrame) -> DataFrame:
 
     def run(batches):
         pack = zstandard.ZstdCompressor(level=1).compress
-        for batch in batches:
+        for batch in runtime.slices(batches):
             packed = [pack((t or "").encode("utf-8", "surrogatepass")) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(packed, pa.binary())], names=["rep", "packed"])
 
@@ -202,7 +204,7 @@ def _verified(pairs: DataFrame, packed: DataFrame, threshold: float) -> DataFram
                 found = known[ident] = _shingles(unpack(data).decode("utf-8", "surrogatepass"))
             return found
 
-        for batch in batches:
+        for batch in runtime.slices(batches):
             x, y, px, py = (batch.column(c).to_pylist() for c in ("x", "y", "px", "py"))
             keep = []
             for i, j, p, q in zip(x, y, px, py):

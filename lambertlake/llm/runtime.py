@@ -3,29 +3,53 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows of one Arrow batch; a batch of long texts then stays in the tens of MB.
-ARROW_ROWS = 256
+#: Rows that a Python worker works on at once; texts may be hundreds of kB each.
+ROWS = 256
+#: Bytes of one Arrow batch on its way to a Python worker.
+BATCH_BYTES = 8 << 20
+#: Characters beyond which a worker doesn't remember what it found out about a word.
+LONG_WORD = 64
 
+_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
-def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Bound what a Python worker holds at once: texts may be hundreds of kB each."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the bytes that go to a Python worker at once, unless the session has a bound of its own.
+
+    Batches of short rows stay as long as the session's number of records allows.
+    """
+    if spark.conf.get(_BYTES).rstrip("bB") == str(64 << 20):  # Spark's default
+        spark.conf.set(_BYTES, str(BATCH_BYTES))
+
+
+def slices(batches: Iterable[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of few rows, so that what Python makes of them stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
     """Write ``df`` to the session's checkpoint folder and cut its lineage.
 
-    The folder is the one the cluster names in spark.checkpoint.dir; only where that is
-    unset (tests, notebooks) a local one is made.
+    The folder is the one the cluster names in spark.checkpoint.dir. Only a session in one
+    local process gets a temporary one where that is unset; on a cluster, whose machines
+    can't share such a folder, it is an error. Where the session sets
+    spark.cleaner.referenceTracking.cleanCheckpoints, Spark deletes a checkpoint once nothing
+    refers to it.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lambertlake-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and context.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lambertlake-"))
     return df.checkpoint(eager=True)
 
 

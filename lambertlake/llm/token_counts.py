@@ -63,7 +63,9 @@ class _Counts(dict):
         if len(self) > REMEMBERED:
             self.clear()
             self.update(dict.fromkeys(self.bpe.special, 1))
-        found = self[word] = merged_length(self.bpe.symbols(word), self.bpe.merges)
+        found = merged_length(self.bpe.symbols(word), self.bpe.merges)
+        if len(word) <= runtime.LONG_WORD:
+            self[word] = found
         return found
 
 
@@ -84,7 +86,7 @@ def count_tokens(df: DataFrame, text: str = "text", out: str = "n_tokens", path:
     def run(batches):
         bpe = wordbpe.load(path)
         counts = shared(path)
-        for batch in batches:
+        for batch in runtime.slices(batches):
             got = [sum(map(counts.__getitem__, bpe.pieces(t))) if t else 0 for t in batch.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([*map(batch.column, columns), pa.array(got, pa.int64())], names=[*columns, out])
 

@@ -221,7 +221,7 @@ def _lexicon(rows: DataFrame) -> tuple[dict[str, float], dict[str, float], int,
 
     def count(batches):
         seen: dict[str, list[int]] = {}
-        for batch in batches:
+        for batch in runtime.slices(batches):
             for text, toxic in zip(batch.column("_text").to_pylist(), batch.column("_toxic").to_pylist()):
                 words = set(_WORD.findall((text or "").lower()))
                 keys = {f"w{w}" for w in words if len(w) < 40} | {f"s{w[:STEM]}" for w in words if len(w) >= STEM} | {"n"}
@@ -268,7 +268,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", max_rows: int =
         return model
 
     def measure(batches):
-        for batch in batches:
+        for batch in runtime.slices(batches):
             x = model.matrix(batch.column("_text").to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array(x.tolist(), pa.list_(pa.float64())), batch.column("_toxic").cast(pa.int32())], names=["x", "y"])
 
@@ -293,7 +293,7 @@ def score(df: DataFrame, model: Model, text: str = "text", out: str = "score") -
     def run(batches):
         own = given.value
         try:
-            for batch in batches:
+            for batch in runtime.slices(batches):
                 got = own.score(own.matrix(batch.column(text).to_pylist()))
                 yield pa.RecordBatch.from_arrays([*map(batch.column, columns), pa.array(got, pa.float64())], names=[*columns, out])
         finally:

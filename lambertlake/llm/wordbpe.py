@@ -1,16 +1,22 @@
 """A byte-pair vocabulary with word ends, read from a tokenizers JSON file.
 
 Holds what the counting and the encoding operator share: splitting a text into special
-strings and words, spelling a word in byte symbols, and the merge ranks.
+strings and words, spelling a word in byte symbols, and the merge ranks. Which characters are
+letters, and what their lower case is, must be as in the library's Unicode tables: a text with
+characters that Python's own tables don't know is normalised and split by the library.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 import json
+import re
+import sys
 import unicodedata
 
 import regex
+from tokenizers import Regex, normalizers, pre_tokenizers
 
 #: Unicode white space, as the vocabulary's splitting pattern takes it.
 SPACE = "\t-\r \x85\xa0  -     　"
@@ -28,6 +34,14 @@ def byte_symbols() -> list[str]:
     return [chr(b if b in own else next(spare)) for b in range(256)]
 
 
+@functools.lru_cache(maxsize=1)
+def unassigned() -> re.Pattern:
+    """Matches a character that Python's Unicode tables don't know; surrogates are known."""
+    kinds = itertools.groupby(range(sys.maxunicode + 1), lambda c: unicodedata.category(chr(c)) == "Cn")
+    runs = [list(codes) for unknown, codes in kinds if unknown]
+    return re.compile("[" + "".join(f"{re.escape(chr(r[0]))}-{re.escape(chr(r[-1]))}" for r in runs) + "]")
+
+
 class WordBpe:
     """Vocabulary, merge ranks and text splitting of one vocabulary file."""
 
@@ -47,16 +61,27 @@ class WordBpe:
             self.strings[i] = token
         self.byte = byte_symbols()
         self._words = regex.compile(WORDS)
+        self._odd = unassigned()
+        self._library = None
         longest_first = sorted(self.special, key=len, reverse=True)
         self._split = regex.compile("(" + "|".join(map(regex.escape, longest_first)) + ")") if longest_first else None
 
     def words(self, text: str) -> list[str]:
         """Words of a text without special strings, normalised."""
+        if not text.isascii() and self._odd.search(text):
+            return self._library_words(text)
         text = unicodedata.normalize("NFC", text)
         if "Σ" in text:  # lower-cased letter by letter, without the final form
             text = text.replace("Σ", "σ")
         return self._words.findall(text.lower())
 
+    def _library_words(self, text: str) -> list[str]:
+        if self._library is None:
+            normal = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
+            self._library = normal, pre_tokenizers.Split(Regex(WORDS), "removed", invert=True)
+        normal, split = self._library
+        return [word for word, _ in split.pre_tokenize_str(normal.normalize_str(text))]
+
     def pieces(self, text: str) -> list[str]:
         """Words and special strings in order; a special string is a piece of its own."""
         if self._split is None or "<|" not in text:

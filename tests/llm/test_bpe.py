@@ -5,7 +5,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from lambertlake.llm import bpe_codec, token_counts
+from lambertlake.llm import bpe_codec, token_counts, wordbpe
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -44,6 +44,34 @@ def test_codec_is_that_of_the_library(docs, wanted):
         assert got[i].decoded == both[i].decoded == decoded
 
 
+def test_words_are_those_of_the_library_for_every_character():
+    library, bpe = Tokenizer.from_file(PATH), wordbpe.load(PATH)
+    codes = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(codes), 512):
+        text = "".join(f"a{chr(c)}B {chr(c)}" for c in codes[at : at + 512])
+        pieces = library.pre_tokenizer.pre_tokenize_str(library.normalizer.normalize_str(text))
+        assert ["".join(bpe.byte[b] for b in w.encode()) for w in bpe.words(text)] == [p for p, _ in pieces], hex(codes[at])
+
+
+def test_characters_newer_than_pythons_tables(docs):
+    rng = random.Random(3)
+    odd = "\u0558\u058b\u1c89\ua7cb\ua7dc\U00011382\U000113c9\U000105c9\u0307\U00010d50"
+    texts = ["".join(rng.choice(odd + "aÉ 1<") for _ in range(rng.randint(1, 40))) + rng.choice(["", "<|endoftext|>B"]) for _ in range(300)]
+    library = Tokenizer.from_file(PATH)
+    ids = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    df = docs.sparkSession.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.n_tokens for r in token_counts.count_tokens(df).collect()} == {i: len(x) for i, x in enumerate(ids)}
+    assert {r.doc_id: r.ids for r in bpe_codec.encode(df).collect()} == dict(enumerate(ids))
+
+
+def test_long_words_are_not_remembered():
+    bpe = wordbpe.load(PATH)
+    counts, codec = token_counts._Counts(bpe), bpe_codec.TrieCodec(bpe)
+    before = len(counts)
+    assert counts["ab" * 500] == len(codec.encode(["ab" * 500])[0])
+    assert len(counts) == before and max(map(len, codec.found)) <= 64
+
+
 def test_digests(docs, wanted):
     got = {r.doc_id: r for r in bpe_codec.digests(bpe_codec.decode(bpe_codec.encode(docs))).collect()}
     for i, (ids, decoded) in enumerate(zip(*wanted)):
