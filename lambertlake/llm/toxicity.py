@@ -6,21 +6,27 @@ obfuscation (symbols inside words, runs of symbols), and lexicon words that show
 obfuscated word is undone. The lexicon is a short fixed list and what training labels add:
 words, and stems of five letters, that are far more frequent in toxic training rows.
 
-Training reads only rows whose crc32(doc_id as text) mod 3 is not 1, at most ``max_rows`` of
-them (those of lowest hash), so that fitting costs the same however large the corpus; scoring
-reads every text whole. Labels, language, source and identifier are no inputs of a score.
+Training reads only labels whose crc32(doc_id as text) mod 3 is not 1, at most ``max_rows`` of
+them (those of lowest hash) with one text each, so that fitting costs the same however large
+the corpus; scoring reads every text whole. The calibration is out of sample for every row: the
+training rows are dealt to FOLDS parts, each part is scored by a lexicon and trees made from
+the others, and those scores are calibrated together. Labels, language, source and identifier
+are no inputs of a score.
 
 Null and empty texts get the score of a text without any features. Null labels are left out;
-a document labelled twice counts as toxic if either label says so. With no labels of one of
-the two kinds the score is the smoothed share of toxic labels. Repeated rows are scored each;
-other columns pass through.
+a document labelled twice counts as toxic if either label says so; of a labelled doc_id with
+several texts the least text is taken. With no labels of one of the two kinds the score is the
+smoothed share of toxic labels. Rows without doc_id are never learned from and not held out.
+Repeated rows are scored each; other columns pass through.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +38,14 @@ from lambertlake.llm import runtime
 
 #: Labelled rows that training takes at most.
 MAX_ROWS = 30_000
+FOLDS = 3
 REJECT = 0.7
 STEM = 5
 #: Entries the labels may add to the lexicon.
 LEXICON = 2000
-#: Words a worker remembers the weight of.
+#: Words a worker remembers the weight of; words, and characters of them, that it counts at once.
 REMEMBERED = 300_000
+COUNTED, COUNTED_CHARS = 400_000, 16_000_000
 
 # Insults in the four languages, and words of the second person.
 INSULTS = (
@@ -48,8 +56,8 @@ INSULTS = (
 YOU = "you your yours yourself u ur tu te toi ton ta tes vous votre vos du dich dir dein deine ihr euch tú ti usted ustedes vosotros".split()
 
 FEATURES = (
-    "words hits hit_density weight weight_density strongest distinct near_you near_you_density stem_hits "
-    "capitals capital_words punctuation exclamations symbols digits obfuscated symbol_runs undone"
+    "words capitals capital_words punctuation exclamations symbols digits obfuscated symbol_runs "
+    "hits hit_density weight weight_density strongest distinct near_you near_you_density stem_hits undone"
 ).split()
 
 _WORD = re.compile(r"\w+")
@@ -59,6 +67,34 @@ _RUN = re.compile(r"([!?*$%#&@])\1+")
 _UNDO = str.maketrans("013457@$!", "oieastasi", "*#")
 
 
+class Surface(NamedTuple):
+    """What of a text doesn't depend on a lexicon: words, undone obfuscated words, features."""
+
+    words: list[str]
+    undone: list[str]
+    features: list[float]
+
+
+def surface(text: str) -> Surface:
+    words = _WORD.findall(text.lower())
+    n = len(words) or 1
+    seen = np.bincount(np.frombuffer(text.encode("utf-8", "replace"), np.uint8), minlength=256) if text else np.zeros(256, np.int64)
+    size = max(1, int(seen.sum()))
+    letters = max(1, int(seen[65:91].sum() + seen[97:123].sum() + seen[192:].sum()))
+    symbols = int(seen[[35, 36, 37, 38, 42, 64, 94, 126]].sum())
+    undone: list[str] = []
+    runs = 0
+    if symbols or seen[48:58].any() or seen[33]:
+        undone = [found.lower().translate(_UNDO) for found in _OBFUSCATED.findall(text)]
+        runs = len(_RUN.findall(text))
+    measured = [
+        math.log1p(len(words)), seen[65:91].sum() / letters, len(_CAPITAL_WORD.findall(text)) / n if seen[65:91].sum() > 2 else 0.0,
+        (seen[33:48].sum() + seen[58:65].sum() + seen[91:97].sum() + seen[123:127].sum()) / size,
+        seen[33] / size, symbols / size, seen[48:58].sum() / size, len(undone) / n, runs / n,
+    ]
+    return Surface(words, undone, measured)
+
+
 @dataclass
 class Tree:
     """A tree of fixed depth: per inner node a feature and a cut, per leaf a value."""
@@ -94,16 +130,16 @@ class Model:
             found = self.stems.get(word[:STEM], 0.0) if len(word) >= STEM else 0.0
         return found
 
-    def features(self, text: str) -> list[float]:
-        known = self.known
-        words = _WORD.findall(text.lower())
+    def features(self, given: Surface) -> list[float]:
+        known, words = self.known, given.words
         try:
             weights = list(map(known.__getitem__, words))
         except KeyError:
             if len(known) > REMEMBERED:
                 known.clear()
-            known.update((w, self.weight(w)) for w in set(words).difference(known))
-            weights = [known[w] for w in words]
+            fresh = {w: self.weight(w) for w in set(words).difference(known)}
+            known.update((w, x) for w, x in fresh.items() if len(w) <= runtime.LONG_WORD)
+            weights = [known[w] if w in known else fresh[w] for w in words]
         n = len(words) or 1
         hits = near = stem_hits = 0
         total = strongest = 0.0
@@ -119,25 +155,11 @@ class Model:
                     while at + 1 < len(you) and abs(you[at + 1] - i) <= abs(you[at] - i):
                         at += 1
                     near += bool(you) and abs(you[at] - i) <= 5
-        seen = np.bincount(np.frombuffer(text.encode("utf-8", "replace"), np.uint8), minlength=256) if text else np.zeros(256, np.int64)
-        size = max(1, int(seen.sum()))
-        letters = max(1, int(seen[65:91].sum() + seen[97:123].sum() + seen[192:].sum()))
-        symbols = int(seen[[35, 36, 37, 38, 42, 64, 94, 126]].sum())
-        odd = undone = runs = 0
-        if symbols or seen[48:58].any() or seen[33]:
-            for found in _OBFUSCATED.findall(text):
-                odd += 1
-                undone += self.weight(found.lower().translate(_UNDO)) > 0
-            runs = len(_RUN.findall(text))
-        return [
-            math.log1p(len(words)), hits, hits / n, total, total / n, strongest, len(distinct), near, near / n, stem_hits,
-            seen[65:91].sum() / letters, len(_CAPITAL_WORD.findall(text)) / n if seen[65:91].sum() > 2 else 0.0,
-            (seen[33:48].sum() + seen[58:65].sum() + seen[91:97].sum() + seen[123:127].sum()) / size,
-            seen[33] / size, symbols / size, seen[48:58].sum() / size, odd / n, runs / n, undone,
-        ]
+        undone = sum(self.weight(w) > 0 for w in given.undone)
+        return [*given.features, hits, hits / n, total, total / n, strongest, len(distinct), near, near / n, stem_hits, undone]
 
     def matrix(self, texts) -> np.ndarray:
-        return np.array([self.features(t or "") for t in texts], np.float64).reshape(-1, len(FEATURES))
+        return np.array([self.features(surface(t or "")) for t in texts], np.float64).reshape(-1, len(FEATURES))
 
     def raw(self, x: np.ndarray) -> np.ndarray:
         out = np.full(len(x), math.log(self.prior / (1 - self.prior)))
@@ -210,77 +232,96 @@ def isotonic(raw: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _training_rows(docs: DataFrame, labels: DataFrame, text: str, max_rows: int) -> DataFrame:
+    """_text, _toxic, _fold: one row for each label that is learned from."""
     own = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     rows = own.groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)  # so many rows at most, whatever the table's size
-    return docs.select("doc_id", F.col(text).alias("_text")).join(F.broadcast(rows), "doc_id").select("_text", "_toxic")
+    rows = rows.withColumn("_fold", F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(FOLDS)).cast("int"))
+    found = docs.select("doc_id", F.coalesce(text, F.lit("")).alias("_text")).join(F.broadcast(rows), "doc_id")
+    return found.groupBy("doc_id").agg(F.min("_text").alias("_text"), F.first("_toxic").alias("_toxic"), F.first("_fold").alias("_fold")).drop("doc_id")
 
 
-def _lexicon(rows: DataFrame) -> tuple[dict[str, float], dict[str, float], int, int]:
-    """Words and stems far more frequent in toxic rows, and the rows of either label."""
+def _lexicons(rows: DataFrame) -> list[tuple[dict[str, float], dict[str, float], int, int]]:
+    """Words and stems far more frequent in toxic rows, and the rows of either label: without each fold, then of all."""
 
     def count(batches):
         seen: dict[str, list[int]] = {}
+        size = 0
         for batch in runtime.slices(batches):
-            for text, toxic in zip(batch.column("_text").to_pylist(), batch.column("_toxic").to_pylist()):
+            for text, toxic, fold in zip(*(batch.column(c).to_pylist() for c in ("_text", "_toxic", "_fold"))):
                 words = set(_WORD.findall((text or "").lower()))
-                keys = {f"w{w}" for w in words if len(w) < 40} | {f"s{w[:STEM]}" for w in words if len(w) >= STEM} | {"n"}
-                for k in keys:
-                    seen.setdefault(k, [0, 0])[toxic > 0] += 1
-            if len(seen) > 400_000:
+                for k in {f"w{w}" for w in words} | {f"s{w[:STEM]}" for w in words if len(w) >= STEM} | {"n"}:
+                    own = seen.get(k)
+                    if own is None:
+                        own, size = seen.setdefault(k, [0] * (2 * FOLDS)), size + len(k)
+                    own[2 * fold + (toxic > 0)] += 1
+            if len(seen) > COUNTED or size > COUNTED_CHARS:
                 yield _counted(seen)
-                seen = {}
+                seen, size = {}, 0
         yield _counted(seen)
 
-    counts = rows.mapInArrow(count, "key string, clean long, toxic long").groupBy("key").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    counts = runtime.checkpoint(counts.where((F.col("toxic") >= 4) | (F.col("key") == "n")))
+    # n0, n1: clean and toxic rows of the first fold, and so on.
+    names = [f"n{i}" for i in range(2 * FOLDS)]
+    counts = rows.mapInArrow(count, "key string, " + ", ".join(f"{n} long" for n in names)).groupBy("key").agg(*(F.sum(n).alias(n) for n in names))
+    toxic_rows = sum((F.col(n) for n in names[1::2]), F.lit(0))
+    counts = runtime.checkpoint(counts.where((toxic_rows >= 4) | (F.col("key") == "n")))
     total = counts.where(F.col("key") == "n").collect()
     if not total:
-        return {}, {}, 0, 0
-    clean, toxic = total[0]["clean"], total[0]["toxic"]
-    odds = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1))
-    best = counts.where(F.col("key") != "n").withColumn("odds", odds).where("odds > 2.5").orderBy(F.desc("odds"), "key").limit(LEXICON).collect()
-    made = ({}, {})
-    for r in best:
-        made[r["key"][0] == "s"][r["key"][1:]] = float(r["odds"])
-    return *made, clean, toxic
+        return [({}, {}, 0, 0)] * (FOLDS + 1)
+    parts, sizes = [], []
+    for k in range(FOLDS + 1):
+        own = [2 * f for f in range(FOLDS) if f != k]
+        clean, toxic = (sum(total[0][names[i + t]] for i in own) for t in (0, 1))
+        sizes.append((clean, toxic))
+        have, against = (sum((F.col(names[i + t]) for i in own), F.lit(0)) for t in (1, 0))
+        odds = F.log((have + 0.5) / (toxic + 1)) - F.log((against + 0.5) / (clean + 1))
+        best = counts.where((F.col("key") != "n") & (have >= 4)).select(F.lit(k).alias("k"), "key", odds.alias("odds"))
+        parts.append(best.where("odds > 2.5").orderBy(F.desc("odds"), "key").limit(LEXICON))
+    made: list[tuple[dict, dict]] = [({}, {}) for _ in range(FOLDS + 1)]
+    for r in functools.reduce(DataFrame.unionByName, parts).collect():
+        made[r["k"]][r["key"][0] == "s"][r["key"][1:]] = float(r["odds"])
+    return [(*m, *n) for m, n in zip(made, sizes)]
 
 
 def _counted(seen: dict[str, list[int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(list(seen), pa.string()), pa.array([v[0] for v in seen.values()], pa.int64()), pa.array([v[1] for v in seen.values()], pa.int64())],
-        names=["key", "clean", "toxic"],
-    )
+    columns = [pa.array([v[i] for v in seen.values()], pa.int64()) for i in range(2 * FOLDS)]
+    return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), *columns], names=["key", *(f"n{i}" for i in range(2 * FOLDS))])
 
 
 def held_out(doc_id):
-    return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", max_rows: int = MAX_ROWS) -> Model:
     """Learn lexicon, trees and calibration from the labelled rows that aren't held out."""
     runtime.small_batches(docs.sparkSession)
-    rows = _training_rows(docs, labels, text, max_rows)
-    words, stems, clean, toxic = _lexicon(rows)
-    words = dict.fromkeys(INSULTS, 2.0) | words | dict.fromkeys(YOU, -1.0)
-    model = Model(words, stems, (toxic + 0.5) / (clean + toxic + 1))
-    if not clean or not toxic:
-        return model
+    rows = runtime.checkpoint(_training_rows(docs, labels, text, max_rows))
+    models = []
+    for words, stems, clean, toxic in _lexicons(rows):
+        words = dict.fromkeys(INSULTS, 2.0) | words | dict.fromkeys(YOU, -1.0)
+        models.append(Model(words, stems, (toxic + 0.5) / (clean + toxic + 1)))
+    final = models[FOLDS]
+    if not clean or not toxic:  # of all rows
+        return final
 
     def measure(batches):
         for batch in runtime.slices(batches):
-            x = model.matrix(batch.column("_text").to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array(x.tolist(), pa.list_(pa.float64())), batch.column("_toxic").cast(pa.int32())], names=["x", "y"])
-
-    got = rows.mapInArrow(measure, "x array<double>, y int").toPandas()
-    x, y = np.stack(got["x"].to_numpy()), (got["y"].to_numpy() > 0).astype(np.float64)
-    order = np.lexsort([*x.T, y])  # the same model whatever order the rows come in
-    x, y = x[order], y[order]
-    part = np.arange(len(y)) % 4 == 0
-    model.trees = boost(x[~part], y[~part], model.prior)
-    if len(np.unique(y[part])) == 2:
-        model.raw_at, model.score_at = isotonic(model.raw(x[part]), y[part])
-    return model
+            given = [surface(t or "") for t in batch.column("_text").to_pylist()]
+            x = [[v for m in models for v in m.features(g)] for g in given]
+            columns = [pa.array(x, pa.list_(pa.float64())), batch.column("_toxic").cast(pa.int32()), batch.column("_fold")]
+            yield pa.RecordBatch.from_arrays(columns, names=["x", "y", "fold"])
+
+    got = rows.mapInArrow(measure, "x array<double>, y int, fold int").toPandas()
+    x, y, fold = np.stack(got["x"].to_numpy()), (got["y"].to_numpy() > 0).astype(np.float64), got["fold"].to_numpy()
+    order = np.lexsort([*x.T, y, fold])  # the same model whatever order the rows come in
+    x, y, fold = x[order].reshape(len(y), FOLDS + 1, -1), y[order], fold[order]
+    final.trees = boost(x[:, FOLDS], y, final.prior)
+    raw = np.empty(len(y))
+    for k, model in enumerate(models[:FOLDS]):
+        model.trees = boost(x[fold != k, k], y[fold != k], model.prior)
+        raw[fold == k] = model.raw(x[fold == k, k])
+    final.raw_at, final.score_at = isotonic(raw, y)
+    return final
 
 
 def score(df: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
