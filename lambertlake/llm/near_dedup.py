@@ -1,17 +1,18 @@
 """Near duplicates by ProbMinHash, banding and exact verification.
 
-A text is the set of its shingles of five words (all its words, if fewer), weighted. Every
-shingle is a Poisson process of the rate of its weight: its arrivals fall on random registers,
-and a register keeps its earliest arrival. An element stops as soon as its next arrival is
-later than the latest register, so most shingles of a long text cost one arrival. Two texts'
-registers agree with the probability Jaccard of their weights; with weight 1 for each distinct
-shingle (the default) that is their Jaccard similarity.
-
-1. Equal texts are one class from the start; its representative has the smallest doc_id.
+A text is the set of its shingles of five words (all its words, if fewer), each weighted by one
+plus the logarithm of how often it occurs. Every shingle is a Poisson process of the rate of its
+weight: its arrivals fall on random registers, and a register keeps its earliest arrival. An
+element stops as soon as its next arrival is later than the latest register, so most shingles of
+a long text cost one arrival. Two texts' registers agree with the probability Jaccard of their
+weights. Where no shingle repeats that is the Jaccard similarity of the sets; the logarithm keeps
+it close to that where some do, so that the registers find what verification accepts.
+
+1. Equal texts are one node from the start; texts that share a doc_id are linked.
 2. Registers are cut into bands; texts that agree on a band share a bucket. Every member is
-   paired with its buckets' pivots (smallest member), pairs whose registers disagree clearly
-   go, and the rest is verified on the words themselves: first each member's likeliest pivot,
-   then what links not yet joined components.
+   paired with its buckets' pivots (first member), pairs whose registers disagree clearly go,
+   and the rest is verified on the words themselves, by the Jaccard similarity of the sets:
+   first each member's likeliest pivot, then what links not yet joined components.
 3. A bucket that still holds several components is searched completely: members outside its
    largest component are compared with all members, in blocks of bounded size that carry the
    texts, so that pairs the registers don't rule out are verified there (on 64-bit hashes of
@@ -20,8 +21,8 @@ shingle (the default) that is their Jaccard similarity.
 
 The class of a document is the smallest doc_id of its component, links being similarities of
 ``threshold`` or more. Null texts count as empty; texts without words are like their exact
-copies only. Rows that repeat a doc_id are one document; documents without doc_id get no class.
-Other columns are ignored. An empty table gives no rows.
+copies only. Rows that repeat a doc_id are one document, whatever their texts; documents without
+doc_id get no class and link nothing. Other columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -96,7 +97,7 @@ def prob_min_hash(shingles: np.ndarray, weights: np.ndarray, owner: np.ndarray,
     return value.reshape(owners, registers)
 
 
-def signatures(texts: list[str | None], hashes: dict, counted: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def signatures(texts: list[str | None], hashes: dict, weighted: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Register values of the texts that have words, and which those are."""
     sets, weights, has = [], [], []
     for i, text in enumerate(texts):
@@ -105,7 +106,7 @@ def signatures(texts: list[str | None], hashes: dict, counted: bool = False) ->
             found = shingle_hashes(np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)))
             found, times = np.unique(found, return_counts=True)
             sets.append(found)
-            weights.append(times if counted else np.ones(len(found)))
+            weights.append(1 + np.log(times) if weighted else np.ones(len(found)))
             has.append(i)
     if not has:
         return np.zeros((0, REGISTERS), np.uint64), np.zeros(0, np.int64)
@@ -125,22 +126,26 @@ def band_keys(values: np.ndarray) -> np.ndarray:
 _SIGNED = "doc_id long, text_key binary, bands array<long>, registers binary"
 
 
-def _sign(docs: DataFrame, counted: bool) -> DataFrame:
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with text_key, which tells texts apart."""
+    return docs.withColumn("text_key", F.unhex(F.md5(F.col("text").cast("binary"))))
+
+
+def _sign(docs: DataFrame, weighted: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]):
         hashes = _WordHashes()
         for batch in runtime.slices(batches):
             texts = batch.column("text").to_pylist()
-            values, has = signatures(texts, hashes, counted)
+            values, has = signatures(texts, hashes, weighted)
             bands, low = band_keys(values), (values & np.uint64(0xFF)).astype(np.uint8)
             row = dict(zip(has.tolist(), range(len(has))))
-            keys = [xxhash.xxh3_128_digest((t or "").encode("utf-8", "surrogatepass")) for t in texts]
             counts = np.zeros(len(texts) + 1, np.int32)
             counts[has + 1] = BANDS
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum(counts, dtype=np.int32)), pa.array(bands.ravel()))
             registers = pa.array([low[row[i]].tobytes() if i in row else b"" for i in range(len(texts))], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.binary()), lists, registers], names=["doc_id", "text_key", "bands", "registers"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), lists, registers], names=["doc_id", "text_key", "bands", "registers"])
 
-    return docs.mapInArrow(run, _SIGNED)
+    return _keyed(docs).mapInArrow(run, _SIGNED)
 
 
 def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -177,16 +182,17 @@ def _shingles(text: str) -> set:
     return set(zip(*(words[i:] for i in range(WORDS))))
 
 
-def _packed(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """rep and compressed text of the given representatives; the one time that texts are moved."""
+def _packed(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """rep and compressed text of the wanted nodes (text_key, rep); the one time that texts are moved."""
 
     def run(batches):
         pack = zstandard.ZstdCompressor(level=1).compress
         for batch in runtime.slices(batches):
             packed = [pack((t or "").encode("utf-8", "surrogatepass")) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(packed, pa.binary())], names=["rep", "packed"])
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(packed, pa.binary())], names=["rep", "packed"])
 
-    return docs.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").mapInArrow(run, "rep long, packed binary")
+    found = _keyed(docs.where("doc_id IS NOT NULL")).join(wanted, "text_key").select("rep", "text")
+    return found.mapInArrow(run, "rep long, packed binary").dropDuplicates(["rep"])
 
 
 def _verified(pairs: DataFrame, packed: DataFrame, threshold: float) -> DataFrame:
@@ -350,34 +356,44 @@ def _rest(members: DataFrame, labels: DataFrame, nodes: DataFrame, packed: DataF
     return dealt.mapInArrow(run, "x long, y long")
 
 
-def classes(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD, counted: bool = False) -> DataFrame:
+def _same_document(held: DataFrame) -> DataFrame:
+    """Links (x, y) between the texts of one doc_id, given doc_id and node of every row."""
+    several = held.groupBy("doc_id").agg(F.min("rep").alias("y"), F.max("rep").alias("_last")).where("y < _last").drop("_last")
+    return held.join(several, "doc_id").where("rep > y").select(F.col("rep").alias("x"), "y").distinct()
+
+
+def classes(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD, weighted: bool = True) -> DataFrame:
     """doc_id, class_id for every row of ``docs``.
 
-    ``counted`` weighs a shingle by how often it occurs, for the choice of candidates.
+    Without ``weighted`` the registers take all shingles of a text alike.
     """
     runtime.small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
-    signed = runtime.checkpoint(_sign(docs, counted))
-    nodes = signed.groupBy("text_key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("registers").alias("registers"))
-    nodes = runtime.checkpoint(nodes)
-    real = nodes.where(F.col("rep").isNotNull() & (F.size("bands") > 0)).select("rep", "bands", "registers").dropDuplicates(["rep"])
+    signed = runtime.checkpoint(_sign(docs, weighted))
+    nodes = signed.where("doc_id IS NOT NULL").groupBy("text_key")
+    nodes = nodes.agg(F.min("doc_id").alias("lowest"), F.first("bands").alias("bands"), F.first("registers").alias("registers"))
+    # A node's number is any number of its own: results don't depend on which.
+    nodes = runtime.checkpoint(nodes.withColumn("rep", F.monotonically_increasing_id()))
+    held = runtime.checkpoint(signed.select("doc_id", "text_key").join(nodes.select("text_key", "rep"), "text_key", "left").select("doc_id", "rep"))
+    real = nodes.where(F.size("bands") > 0).select("rep", "bands", "registers")
     banded = real.select("rep", F.posexplode("bands").alias("band", "key"))
     pivots = banded.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("_last")).where("pivot <> _last").drop("_last")
     pivots = runtime.checkpoint(pivots)  # so that the join below has two plain sides, and a hot key can be split
     members = runtime.checkpoint(banded.join(pivots, "key"))
     shared = members.select("rep").distinct()
-    packed = runtime.checkpoint(_packed(docs, shared).dropDuplicates(["rep"]))
+    packed = runtime.checkpoint(_packed(docs, nodes.select("text_key", "rep").join(shared, "rep")))
     some = real.join(shared, "rep", "left_semi")
     star = members.where("rep <> pivot").select(F.col("rep").alias("x"), F.col("pivot").alias("y")).distinct()
     star = runtime.checkpoint(_estimated(star, some, threshold))
     best = star.groupBy("x").agg(F.max_by("y", F.struct("near", -F.col("y"))).alias("y"))
-    labels = components(_verified(best, packed, threshold))
+    labels = components(_verified(best, packed, threshold).unionByName(_same_document(held.where("doc_id IS NOT NULL"))))
     tried = star.join(best, ["x", "y"], "left_anti")
     labels = _joined(labels, runtime.checkpoint(_verified(_apart(tried, labels), packed, threshold)))
     labels = _joined(labels, runtime.checkpoint(_rest(members.select("key", "band", "rep"), labels, some, packed, threshold)))
-    reps = nodes.select("text_key", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    reps = reps.select("text_key", F.coalesce("label", "rep").alias("class_id"))
-    return signed.select("doc_id", "text_key").join(reps, "text_key").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"))
+    own = nodes.select("rep", "lowest").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+    names = own.where("label IS NOT NULL").groupBy("label").agg(F.min("lowest").alias("_class"))
+    own = own.join(names, "label", "left").select("rep", F.coalesce("_class", "lowest").alias("class_id"))
+    return held.join(own, "rep", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"))
 
 
 def deduplicated(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -1,5 +1,6 @@
 import itertools
 import random
+from collections import Counter
 
 import numpy as np
 import zstandard
@@ -8,30 +9,35 @@ from lambertlake.llm import near_dedup as nd
 
 
 def brute(rows):
-    """Smallest doc_id of each row's component, over all pairs."""
-    texts: dict = {}
-    for i, t in rows:
-        texts.setdefault(t or "", []).append(i)
-    lead = {t: min(v) for t, v in texts.items()}
-    up = {i: i for i in lead.values()}
-
-    def root(i):
-        while up[i] != i:
-            i = up[i]
-        return i
-
-    have = [(lead[t], nd._shingles(t)) for t in lead]
-    index: dict = {}
-    for i, s in have:
+    """Smallest doc_id of each row's component, over all pairs of texts and all texts of a doc_id."""
+    texts = {t or "": None for i, t in rows if i is not None}
+    sets = [nd._shingles(t) for t in texts]
+    number = {t: k for k, t in enumerate(texts)}
+    up = list(range(len(texts)))
+
+    def root(k):
+        while up[k] != k:
+            k = up[k]
+        return k
+
+    index, shared, of = {}, Counter(), {}
+    for k, s in enumerate(sets):
         for x in s:
-            index.setdefault(x, []).append(i)
-    sets = dict(have)
-    for i, j in {p for v in index.values() for p in itertools.combinations(v, 2)}:
-        a, b = sets[i], sets[j]
-        if len(a & b) >= 0.8 * len(a | b):
-            x, y = sorted((root(i), root(j)))
-            up[y] = x
-    return {i: root(lead[t or ""]) for i, t in rows}
+            index.setdefault(x, []).append(k)
+    for v in index.values():
+        shared.update(itertools.combinations(v, 2))
+    links = [p for p, both in shared.items() if both >= 0.8 * (len(sets[p[0]]) + len(sets[p[1]]) - both)]
+    for i, t in rows:
+        if i is not None:
+            links.append((number[t or ""], of.setdefault(i, number[t or ""])))
+    for a, b in links:
+        x, y = sorted((root(a), root(b)))
+        up[y] = x
+    least = {}
+    for i, t in rows:
+        if i is not None:
+            least[root(number[t or ""])] = min(i, least.get(root(number[t or ""]), i))
+    return {i: least[root(number[t or ""])] for i, t in rows if i is not None}
 
 
 def made(n=120, seed=3):
@@ -60,6 +66,36 @@ def test_classes_are_those_of_all_pairs(spark):
     assert {r.doc_id: r.class_id for r in got} == brute(rows)
 
 
+def test_rows_of_one_document_with_different_texts(spark):
+    # The texts of 5 are near those of 1 and of 2; 8 has an exact copy of 3 and a text of its own.
+    words = [[f"{a}{k}" for k in range(60)] for a in "abcd"]
+    near = lambda k: " ".join([*words[k][:-1], "other"])
+    rows = [(1, " ".join(words[0])), (2, " ".join(words[1])), (5, near(0)), (5, near(1)), (3, " ".join(words[2])), (8, " ".join(words[2])), (8, "x"), (9, "y"), (None, near(2)), (None, "x")]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame([(*r, 1, "x") for r in order], "doc_id long, text string, rep int, label string").repartition(3)
+        got = {(r.doc_id, r.class_id) for r in nd.classes(df).collect()}
+        assert got == {(1, 1), (2, 1), (5, 1), (3, 3), (8, 3), (9, 9), (None, None)}
+    rng = random.Random(4)
+    rows = [(rng.randrange(60), t) for _, t in made(150, 9)]
+    got = nd.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 150 and {r.doc_id: r.class_id for r in got} == brute(rows)
+
+
+def test_repeated_shingles(spark):
+    # The same sentences, some of them many times in one of the two texts: the sets are alike.
+    rng = random.Random(6)
+    rows = []
+    for i in range(40):
+        lines = [" ".join(f"w{rng.randrange(9000)}" for _ in range(12)) + " end of it now." for _ in range(12)]
+        rows.append((2 * i, " ".join(lines)))
+        rows.append((2 * i + 1, " ".join(lines + [lines[rng.randrange(12)]] * rng.choice([1, 8, 50]))))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    wanted = brute(rows)
+    assert sum(wanted[2 * i + 1] == 2 * i for i in range(40)) > 30
+    for weighted in (True, False):
+        assert {r.doc_id: r.class_id for r in nd.classes(df, weighted=weighted).collect()} == wanted
+
+
 def test_registers_estimate_probability_jaccard():
     rng = np.random.default_rng(1)
     shared, a, b = (rng.integers(0, 2**63, 300).astype(np.uint64) for _ in range(3))
