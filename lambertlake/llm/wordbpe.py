@@ -35,11 +35,13 @@ def byte_symbols() -> list[str]:
 
 
 @functools.lru_cache(maxsize=1)
-def unassigned() -> re.Pattern:
-    """Matches a character that Python's Unicode tables don't know; surrogates are known."""
+def unassigned() -> tuple[re.Pattern, re.Pattern]:
+    """Two patterns: characters that Python's Unicode tables may not know, found fast, and those that they don't know."""
     kinds = itertools.groupby(range(sys.maxunicode + 1), lambda c: unicodedata.category(chr(c)) == "Cn")
     runs = [list(codes) for unknown, codes in kinds if unknown]
-    return re.compile("[" + "".join(f"{re.escape(chr(r[0]))}-{re.escape(chr(r[-1]))}" for r in runs) + "]")
+    ranges = [f"{re.escape(chr(r[0]))}-{re.escape(chr(r[-1]))}" for r in runs]
+    low = "".join(x for x, r in zip(ranges, runs) if r[-1] < 0x10000)
+    return re.compile(f"[{low}\U00010000-\U0010ffff]"), re.compile("[" + "".join(ranges) + "]")
 
 
 class WordBpe:
@@ -61,14 +63,14 @@ class WordBpe:
             self.strings[i] = token
         self.byte = byte_symbols()
         self._words = regex.compile(WORDS)
-        self._odd = unassigned()
+        self._maybe_odd, self._odd = unassigned()
         self._library = None
         longest_first = sorted(self.special, key=len, reverse=True)
         self._split = regex.compile("(" + "|".join(map(regex.escape, longest_first)) + ")") if longest_first else None
 
     def words(self, text: str) -> list[str]:
         """Words of a text without special strings, normalised."""
-        if not text.isascii() and self._odd.search(text):
+        if not text.isascii() and (m := self._maybe_odd.search(text)) and self._odd.search(text, m.start()):
             return self._library_words(text)
         text = unicodedata.normalize("NFC", text)
         if "Σ" in text:  # lower-cased letter by letter, without the final form
