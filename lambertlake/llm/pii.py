@@ -1,22 +1,26 @@
-"""Personal data found by weak supervision, with DataFrame functions only.
+"""Personal data and secrets found by weak supervision, with DataFrame functions only.
 
 Candidates are what four strict patterns match, whether or not their checks pass, and what
 looser patterns match (spelled-out addresses, telephone numbers without a plus, card numbers
-with other separators, IPv6). Four labelers vote on each: the pattern, the check (octets,
-Luhn, number of digits), a gazetteer (domain endings, dialling codes, issuers, reserved
-networks) and the words around it. Expectation-maximisation over the counts of vote patterns
-- at most 4 kinds x 81, so a small table however large the corpus - estimates how reliable
-each labeler is for each kind. The posteriors train a logistic span classifier over votes
-and shape, which is then applied as a column expression. Strict matches that pass their
-checks always stay; the classifier adds loose ones, where they overlap no strict one.
+with other separators, IPv6, and credentials: runs of letters and digits). Three labelers vote
+on each: the regular expression with its check (octets, Luhn, number of digits, variety of
+characters; for credentials whether one is assigned), a gazetteer (domain endings, dialling
+codes, issuers, reserved networks, forms of keys) and the words around it. Strict matches that
+pass their check are taken for true, candidates that fail it for false.
+Expectation-maximisation over the counts of vote patterns - at most 5 kinds x 27, so a small
+table however large the corpus - finds the truth of the others and how reliable each labeler
+is: first over all kinds together, then for each kind, starting from what all kinds taught. The
+posteriors train a logistic span classifier over votes and shape, which is then applied as a
+column expression. Strict matches that pass their checks always stay; the classifier adds
+loose ones that pass theirs, where they overlap no strict one.
 
 Offsets are code points, the end is exclusive. Null and empty texts have no spans. Repeated
 rows are treated each on their own; with no candidates at all the classifier adds nothing.
 Columns other than the text pass through.
 
-The strict patterns are written so that a failed attempt isn't tried again from within the
-same run of characters (possessive quantifiers, a start at the run's first character or
-where the last match ended): they match the same strings in linear time.
+The patterns are written so that a failed attempt isn't tried again from within the same run
+of characters (possessive quantifiers, a start at the run's first character or where the last
+match ended): they match the same strings in linear time, and have no limit of length.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ from pyspark.sql import functions as F
 
 from lambertlake.llm import runtime
 
-KINDS = ("email", "ip", "card", "phone")
+KINDS = ("email", "ip", "card", "phone", "secret")
 #: The classifier's probability from which a loose candidate counts.
 THRESHOLD = 0.9
 ROUNDS = 60
@@ -41,14 +45,21 @@ STRICT = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 LOOSE = {
-    "email": rf"(?<!{_LOCAL}){_LOCAL}{{1,64}}+ ?[(\[{{] ?at ?[)\]}}] ?[A-Za-z0-9-]{{1,63}}+(?: ?(?:[(\[{{] ?dot ?[)\]}}]|\.) ?[A-Za-z0-9-]{{1,63}}+){{1,8}}+",
+    "email": rf"(?<!{_LOCAL}){_LOCAL}++ ?[(\[{{] ?at ?[)\]}}] ?[A-Za-z0-9-]++(?: ?(?:[(\[{{] ?dot ?[)\]}}]|\.) ?[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])",
     "card": r"(?<![0-9A-Za-z.])[0-9]{4}([._/])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9A-Za-z])",
     "phone": r"(?<![0-9A-Za-z+.(-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z.-])",
+    "secret": r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])(?=[0-9_+/-]*+[A-Za-z])[A-Za-z0-9_+/-]{12,}+",
 }
 #: What a text must hold before a pattern is tried at all.
-HINT = {"email": "@", "ip": None, "card": None, "phone": "+"}
-LOOSE_HINT = {"email": r"[(\[{] ?at ?[)\]}]", "ip": r"[0-9A-Fa-f]:[0-9A-Fa-f]", "card": r"[0-9][._/][0-9]", "phone": r"[0-9][ .-][0-9]{4}"}
+HINT = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){13}", "phone": r"\+[0-9]"}
+LOOSE_HINT = {
+    "email": r"[(\[{] ?at ?[)\]}]",
+    "ip": r"[0-9A-Fa-f]:[0-9A-Fa-f]",
+    "card": r"[0-9][._/][0-9]{4}[._/]",
+    "phone": r"[0-9][ .-][0-9]{4}",
+    "secret": r"[A-Za-z0-9_+/-]{12}",
+}
 
 # Gazetteers and context words, as patterns.
 ENDINGS = "com|org|net|edu|gov|info|biz|io|dev|app|eu|uk|de|fr|es|it|nl|be|ch|at|pl|se|no|dk|fi|pt|ru|cn|jp|in|br|us|ca|au|mx"
@@ -59,11 +70,15 @@ NEAR = {
     "card": r"card|visa|master|amex|credit|karte|carte|tarjeta|pay",
     "phone": r"tel|phone|call|mobile|fax|cell|ruf|llam|appel|contact|\bmob",
 }
-AGAINST = r"version|\bv\.?$|isbn|issn|order|serial|invoice|ref|page|\bfig|\bid\b|commit|build|bestell|part no"
+NEAR["secret"] = r"token|secret|passw|passphrase|\bpwd|\bkey\b|api.?key|bearer|credential|\bauth|kennwort|contrase|mot de passe|clave"
+#: How a credential is assigned, and forms that keys of known services have.
+ASSIGNED = r"(?:[:=]|\bis|\bist|\bes|\best)\s?[\"'`]?$"
+KEYS = r"^(?:AKIA|ASIA|ghp_|gho_|sk[-_]|pk_|xox[abp]-|eyJ|AIza|glpat-)"
+AGAINST = r"version|\bv\.?$|commit|\bsha|md5|checksum|digest|etag|isbn|issn|order|serial|invoice|ref|page|\bfig|\bid\b|commit|build|bestell|part no"
 
 
 def _matches(text: Column, pattern: str) -> Column:
-    """All matches: array of (start, stop, value, before, after)."""
+    """All matches: array of (start, stop, value, before, after). Only for texts that have some."""
     gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     parts = F.transform(
         found,
@@ -104,6 +119,9 @@ def _passes(kind: str, value: Column) -> Column:
     if kind == "ip":
         octet = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
         return value.rlike(rf"^{octet}(?:\.{octet}){{3}}$") | value.contains(":")
+    if kind == "secret":
+        letters = F.size(F.array_distinct(F.split(F.lower(value), "")))
+        return (letters >= 8) & (F.length(_digits(value)) >= 3) & ~value.rlike("/[a-z]+/")
     digits = _digits(value)
     n = F.length(digits)
     if kind == "card":
@@ -124,12 +142,19 @@ def _votes(kind: str, c: Column, strict: bool) -> list[Column]:
         listed = never, value.rlike(r"^(?:0+|127|10|255|22[4-9]|23[0-9])\.|^192\.168\.")
     elif kind == "card":
         listed = value.rlike("^[3-6]"), value.rlike("^[0127-9]")
+    elif kind == "secret":
+        listed = value.rlike(KEYS), value.rlike("^[A-Za-z]+[-_/]?[0-9]+$|^[0-9]+[-_/]?[A-Za-z]+$")
     else:
-        listed = _digits(value).rlike(rf"^(?:{DIALLING})") & F.lit(strict), _digits(value).rlike("^0?[01]")
+        plan = rf"^(?:{DIALLING})" if strict else "^[2-9][0-9]{2}[2-9]"  # of the world, of North America
+        listed = _digits(value).rlike(plan), ~_digits(value).rlike(plan)
     around = F.lower(F.concat_ws(" ", c["before"], c["after"]))
+    if kind == "secret":
+        around = F.lower(c["before"])  # what follows a credential doesn't name it
+        shaped = F.when(c["before"].rlike(ASSIGNED), 1).otherwise(0)
+    else:
+        shaped = F.lit(1 if strict else 0)
     return [
-        F.lit(1 if strict else 0),
-        _vote(_passes(kind, value), F.lit(True)),
+        F.when(_passes(kind, value), shaped).otherwise(-1),
         _vote(*listed),
         _vote(around.rlike(NEAR[kind]), F.lower(c["before"]).rlike(AGAINST)),
     ]
@@ -155,57 +180,86 @@ def _labeled(k: int, strict: bool):
 
 def candidates(text: Column) -> Column:
     """Array of (kind, strict, start, stop, passes, votes, shape), kind being an index of KINDS."""
-    has_digit = text.rlike("[0-9]")
     none = F.array().cast("array<struct<kind:int,strict:boolean,start:int,stop:int,passes:boolean,votes:array<int>,shape:int>>")
     out = []
     for k, kind in enumerate(KINDS):
-        for strict, patterns in ((True, STRICT), (False, LOOSE)):
-            pattern = patterns[kind]
-            worth = (text.contains(HINT[kind]) if HINT[kind] else has_digit) if strict else text.rlike(LOOSE_HINT[kind])
-            if kind != "email":
-                worth = has_digit & worth
-            found = F.when(worth, _matches(text, pattern))
-            out.append(F.coalesce(F.transform(found, _labeled(k, strict)), none))
+        for strict, patterns, hints in ((True, STRICT, HINT), (False, LOOSE, LOOSE_HINT)):
+            if kind in patterns:
+                worth = text.rlike(hints[kind]) & text.rlike(patterns[kind])
+                found = F.when(worth, _matches(text, patterns[kind]))
+                out.append(F.coalesce(F.transform(found, _labeled(k, strict)), none))
     return F.concat(*out)
 
 
+def reliabilities(counts: dict[tuple[int, ...], float], known: dict[tuple[int, ...], float] | None = None, prior: list | None = None) -> tuple[list, dict]:
+    """Expectation-maximisation over counts of votes: by labeler and vote its rates on true and false candidates; posteriors.
+
+    ``known`` gives the votes whose truth is settled. ``prior`` gives the rates to begin with, which
+    count as four candidates of either sort; without it a labeler is taken to be right three times
+    in four. An abstention says nothing.
+    """
+    known = known or {}
+    width = len(next(iter(counts), ()))
+    rel = prior or [{0: (1.0, 1.0), 1: (0.75, 0.25), -1: (0.25, 0.75)}] * width
+    start, share = rel, 0.5
+    open_ = {v: n for v, n in counts.items() if v not in known}
+    post = dict(known)
+    for _ in range(ROUNDS):
+        for v in open_:
+            odds = math.log(share / (1 - share)) + sum(math.log(rel[j][x][0] / rel[j][x][1]) for j, x in enumerate(v))
+            post[v] = 1 / (1 + math.exp(-max(-40.0, min(40.0, odds))))
+        share = (sum(n * post[v] for v, n in open_.items()) + 1) / (sum(open_.values()) + 2)
+        rel = []
+        for j in range(width):
+            sums = {x: [4 * start[j][x][0], 4 * start[j][x][1]] for x in (1, -1)}
+            for v, n in counts.items():
+                if v[j]:
+                    sums[v[j]][0] += n * post[v]
+                    sums[v[j]][1] += n * (1 - post[v])
+            yes, no = (sums[1][i] + sums[-1][i] for i in (0, 1))
+            rel.append({0: (1.0, 1.0)} | {x: (max(s[0] / yes, 1e-6), max(s[1] / no, 1e-6)) for x, s in sums.items()})
+    return rel, post
+
+
+def _settled(kind: int, counts: dict) -> dict[tuple[int, ...], float]:
+    """The truth that the first labeler's vote settles; for kinds without a strict pattern only what is false."""
+    return {v: float(v[0] > 0) for v in counts if v[0] < 0 or v[0] > 0 and KINDS[kind] in STRICT}
+
+
+def _by_votes(counts: dict) -> dict[tuple[int, ...], float]:
+    out: dict[tuple[int, ...], float] = {}
+    for (votes, _), n in counts.items():
+        out[votes] = out.get(votes, 0) + n
+    return out
+
+
 class Classifier:
     """Labelers' reliabilities and the weights of the span classifier."""
 
     def __init__(self, counts: dict[tuple[int, tuple[int, ...], int], int]) -> None:
         self.reliability: dict[int, list[dict[int, tuple[float, float]]]] = {}
         self.weights: dict[int, list[float]] = {}
-        for kind in range(len(KINDS)):
-            own = {(votes, shape): n for (k, votes, shape), n in counts.items() if k == kind}
-            if own:
-                self._fit(kind, own)
+        by_kind: dict[int, dict] = {}
+        for (kind, votes, shape), n in counts.items():
+            by_kind.setdefault(kind, {})[votes, shape] = n
+        # Every kind has the same say in what all of them teach; secrets' first labeler is of another sort.
+        pooled: dict[tuple[int, ...], float] = {}
+        for kind, own in by_kind.items():
+            votes = _by_votes(own)
+            scale = 10 * math.log1p(sum(votes.values())) / sum(votes.values())
+            for v, n in votes.items():
+                if KINDS[kind] in STRICT:
+                    pooled[v] = pooled.get(v, 0) + n * scale
+        self.shared = reliabilities(pooled, _settled(0, pooled))[0] if pooled else None
+        for kind, own in by_kind.items():
+            self._fit(kind, own)
 
     def _fit(self, kind: int, counts: dict) -> None:
-        by_votes: dict[tuple[int, ...], float] = {}
-        for (votes, _), n in counts.items():
-            by_votes[votes] = by_votes.get(votes, 0) + n
-        total = sum(by_votes.values())
-        width = len(next(iter(by_votes)))
-        # Start from the majority; then alternate between reliabilities and posteriors.
-        post = {v: 0.9 if sum(v) > 1 else 0.5 if sum(v) == 1 else 0.1 for v in by_votes}
-        rel: list[dict[int, tuple[float, float]]] = []
-        for _ in range(ROUNDS):
-            yes = sum(n * post[v] for v, n in by_votes.items())
-            prior = (yes + 1) / (total + 2)
-            rel = []
-            for j in range(width):
-                # Pseudo-counts take a labeler to be right three times in four; an abstention says nothing.
-                sums = {1: [3.0, 1.0], -1: [1.0, 3.0]}
-                for v, n in by_votes.items():
-                    if v[j]:
-                        sums[v[j]][0] += n * post[v]
-                        sums[v[j]][1] += n * (1 - post[v])
-                all_yes, all_no = sums[1][0] + sums[-1][0], sums[1][1] + sums[-1][1]
-                rel.append({0: (1.0, 1.0)} | {x: (s[0] / all_yes, s[1] / all_no) for x, s in sums.items()})
-            for v in by_votes:
-                odds = math.log(prior / (1 - prior)) + sum(math.log(rel[j][x][0] / rel[j][x][1]) for j, x in enumerate(v))
-                post[v] = 1 / (1 + math.exp(-max(-40.0, min(40.0, odds))))
-        self.reliability[kind] = rel
+        votes = _by_votes(counts)
+        shared = self.shared
+        if shared and KINDS[kind] not in STRICT:
+            shared = [{0: (1.0, 1.0), 1: (0.75, 0.25), -1: (0.25, 0.75)}, *shared[1:]]
+        self.reliability[kind], post = reliabilities(votes, _settled(kind, votes), shared)
         # A pattern weighs the log of its count, so that common ones don't drown rare ones.
         weight = sum(math.log1p(n) for n in counts.values())
         rows = [(self.features(votes, shape), math.log1p(n) / weight, post[votes]) for (votes, shape), n in counts.items()]
@@ -237,16 +291,25 @@ class Classifier:
         return out
 
 
+def with_candidates(df: DataFrame, text: str = "text") -> DataFrame:
+    """``df`` with the column ``_candidates``; null texts have none."""
+    return df.withColumn("_candidates", candidates(F.coalesce(F.col(text), F.lit(""))))
+
+
 def fit(df: DataFrame, text: str = "text") -> Classifier:
     """Learn from the candidates of all rows; what is collected are the counts of vote patterns."""
-    one = df.select(F.explode(candidates(F.col(text))).alias("c"))
+    df = df if "_candidates" in df.columns else with_candidates(df, text)
+    one = df.select(F.explode("_candidates").alias("c"))
     rows = one.groupBy("c.kind", "c.votes", "c.shape").agg(F.count("*").alias("n")).collect()
     return Classifier({(r["kind"], tuple(r["votes"]), r["shape"]): r["n"] for r in rows})
 
 
 def find(df: DataFrame, model: Classifier, text: str = "text") -> DataFrame:
-    """``df`` with ``base`` and ``spans``: arrays of (start, kind, stop) in order of start, then kind."""
-    mine = df.withColumn("_candidates", candidates(F.coalesce(F.col(text), F.lit(""))))
+    """``df`` with ``base`` and ``spans``: arrays of (start, kind, stop) in order of start, then kind.
+
+    Candidates are taken from the column ``_candidates``, where there is one.
+    """
+    mine = df if "_candidates" in df.columns else with_candidates(df, text)
     span = lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["stop"].alias("stop"))
     base = F.transform(F.filter("_candidates", lambda c: c["strict"] & c["passes"]), span)
     mine = mine.withColumn("base", F.sort_array(base))
@@ -289,8 +352,9 @@ def redact(df: DataFrame, model: Classifier, text: str = "text") -> DataFrame:
 
 
 def op6_pii(spark, sf_dir: str) -> DataFrame:
-    docs = runtime.table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = with_candidates(runtime.table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "_candidates")
+    docs = runtime.checkpoint(docs)  # learned from and judged without reading the texts again
     found = find(docs, fit(docs))
     counted = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
-    counts = [counted(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
+    counts = [counted(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS) if kind in STRICT]
     return found.select("doc_id", *counts, F.sha2(spelled(F.col("base")), 256).alias("base_sha256"), spelled(F.col("spans")).alias("spans"))

@@ -2,7 +2,7 @@ import corpus_pipeline as cp
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from lambertlake.llm import mixing, runtime, toxicity
+from lambertlake.llm import mixing, pii, runtime, toxicity
 from tests.llm import test_mixing, test_near_dedup, test_pii
 
 SF = "/root/testdata/sf0.001"
@@ -27,9 +27,14 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert {r.doc_id for r in kept[1]} == {i for i, c in lead.items() if i == c}
     before = {r.doc_id: r.text for r in kept[1]}
     assert {r.doc_id for r in kept[2]} == set(before)
+    given = spark.createDataFrame(kept[1], whole.schema)
+    spans = {r.doc_id: r.spans for r in pii.find(given, pii.fit(given)).collect()}
     for r in kept[2]:
-        assert not test_pii.brute(r.text) and r.n_chars == len(r.text)
-        assert test_pii.brute(before[r.doc_id]) or r.text == before[r.doc_id]
+        text = before[r.doc_id]
+        for s in reversed(spans[r.doc_id]):  # none overlap in this table
+            text = f"{text[: s.start]}[{pii.KINDS[s.kind].upper()}]{text[s.stop :]}"
+        assert r.text == text and r.n_chars == len(text) and not test_pii.brute(text)
+        assert {f"{pii.KINDS[s.kind]}:{s.start}:{s.stop}" for s in spans[r.doc_id]} >= set(test_pii.brute(before[r.doc_id]))
     rows = mixing.measured(spark.createDataFrame(kept[2], whole.schema)).collect()
     wanted = test_mixing.brute([(r.doc_id, r.domain, r.lang, r.source, r.n_tokens) for r in rows], mixing.SHARE, 1)
     assert sorted(r.doc_id for r in kept[3]) == sorted(r[0] for r in wanted)
