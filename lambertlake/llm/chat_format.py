@@ -1,12 +1,14 @@
 """Chat formatting in budgeted, turn-aligned windows, with DataFrame functions only.
 
 A conversation is its rows in order of turn (ties by role, then text; null turns first;
-repeated rows stay). Each turn costs tokens; running over their sums, a window takes whole
-turns while they fit the budget. A leading system turn is repeated at the head of every
+repeated rows stay). Each turn costs tokens; differences of their prefix sums tell which whole
+turns fit a window's budget. A leading system turn is repeated at the head of every
 later window, followed by at most two turns of history that fit the history's own budget.
 What is repeated is masked: the loss covers each assistant text once, where it is new. A
 turn that exceeds the budget alone gets a window to itself, without history; nothing is
-cut or dropped.
+cut or dropped. Unless another count is given, a turn's tokens are the pieces that the splitting
+pattern of word vocabularies gives, a piece of letters counting once for every six begun, and
+four for the template.
 
 Template of a turn: ``<|im_start|>role\\ntext<|im_end|>\\n``. Texts can't close a turn:
 ``\\`` is doubled and ``<|`` becomes ``<\\|``, so no control string is left in a text and
@@ -20,6 +22,7 @@ Columns other than the four named are ignored. An empty table gives no windows.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lambertlake.llm import runtime
@@ -47,38 +50,43 @@ def _unescape_role(role: Column) -> Column:
 
 
 def estimated_tokens(text: Column) -> Column:
-    """A quarter of the characters, and four tokens for the template."""
-    return F.ceil(F.char_length(text) / 4).cast("long") + 4
+    """Pieces of at most six letters, digits, and runs of other signs, and four tokens for the template."""
+    return F.regexp_count(text, F.lit(r"\p{L}{1,6}+|\p{N}|[^\s\p{L}\p{N}]++")).cast("long") + 4
 
 
-def _starts(costs: Column, first: Column, capacity: Column, history: int) -> Column:
-    """Where each window's new turns start: array of (at, back), back being turns of history."""
+def _starts(turns: Column, first: Column, capacity: Column, history: int) -> Column:
+    """Where each window's new turns start: array of (at, back), back being turns of history.
+
+    A turn's ``upto`` is the prefix sum of tokens that ends with it. The state keeps the sums
+    before the last three turns of the body, and the one at which the open window begins.
+    """
+    none = F.lit(None).cast("long")
     state = F.struct(
         F.array().cast("array<struct<at:int,back:int>>").alias("starts"),
         F.lit(0).alias("i"),
-        F.lit(0).cast("long").alias("used"),
-        F.lit(None).cast("long").alias("last"),
-        F.lit(None).cast("long").alias("before"),
+        F.lit(0).cast("long").alias("base"),
+        F.lit(0).cast("long").alias("here"),
+        none.alias("one"),
+        none.alias("two"),
     )
 
-    def step(s: Column, cost: Column) -> Column:
-        one = F.coalesce((s["last"] <= history) & (s["last"] + cost <= capacity), F.lit(False))
-        both = s["last"] + s["before"]
-        two = one & F.coalesce((both <= history) & (both + cost <= capacity), F.lit(False))
-        opens = (s["i"] == first) | (s["used"] + cost > capacity)
-        back = F.when(s["i"] == first, 0).when(two, 2).when(one, 1).otherwise(0)
-        again = F.when(back == 2, both).when(back == 1, s["last"]).otherwise(F.lit(0).cast("long"))
-        opened = F.struct(s["i"].alias("at"), back.alias("back"))
+    def step(s: Column, turn: Column) -> Column:
+        fits = lambda since: F.coalesce((s["here"] - since <= history) & (turn["upto"] - since <= capacity), F.lit(False))
+        one = fits(s["one"])
+        two = one & fits(s["two"])
         inside = s["i"] >= first  # a leading system turn is no part of the body
+        opens = inside & ((s["i"] == first) | (turn["upto"] - s["base"] > capacity))
+        opened = F.struct(s["i"].alias("at"), F.when(two, 2).when(one, 1).otherwise(0).alias("back"))
         return F.struct(
-            F.when(inside & opens, F.array_append(s["starts"], opened)).otherwise(s["starts"]).alias("starts"),
+            F.when(opens, F.array_append(s["starts"], opened)).otherwise(s["starts"]).alias("starts"),
             (s["i"] + 1).alias("i"),
-            F.when(~inside, s["used"]).when(opens, again + cost).otherwise(s["used"] + cost).alias("used"),
-            F.when(inside, cost).alias("last"),
-            F.when(inside, s["last"]).alias("before"),
+            F.when(opens, F.when(two, s["two"]).when(one, s["one"]).otherwise(s["here"])).otherwise(s["base"]).alias("base"),
+            turn["upto"].alias("here"),
+            F.when(inside, s["here"]).alias("one"),
+            s["one"].alias("two"),
         )
 
-    return F.aggregate(costs, state, step, lambda s: s["starts"])
+    return F.aggregate(turns, state, step, lambda s: s["starts"])
 
 
 def format_windows(
@@ -90,19 +98,21 @@ def format_windows(
     """One row per window: conv_id, window, formatted, n_repeated, loss_spans.
 
     formatted is the text; its first n_repeated turns are repeated. loss_spans holds
-    (start, stop) in code points, stop exclusive. ``tokens`` makes a turn's cost of its text.
+    (start, stop) in code points, stop exclusive. ``tokens`` makes a turn's cost, 1 or more, of its text.
     """
     clean = df.select(
         "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
     )
-    whole = clean.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
-    whole = whole.withColumn("costs", F.transform("turns", lambda t: tokens(t["text"])))
+    # The prefix sums and the grouping share one shuffle.
+    so_far = W.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(W.unboundedPreceding, 0)
+    clean = clean.withColumn("cost", tokens(F.col("text"))).withColumn("upto", F.sum("cost").over(so_far))
+    whole = clean.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("upto", "turn", "role", "text"))).alias("turns"))
     first = F.when((F.col("turns")[0]["role"] == "system") & (F.size("turns") > 1), 1).otherwise(0)
     whole = whole.withColumn("first", first)
-    head = F.when(F.col("first") == 1, F.col("costs")[0]).otherwise(0)
+    head = F.when(F.col("first") == 1, F.col("turns")[0]["upto"]).otherwise(0)
     capacity = F.greatest(F.lit(budget) - head, F.lit(1)).cast("long")
     whole = whole.withColumn("capacity", capacity)
-    whole = whole.withColumn("starts", _starts(F.col("costs"), F.col("first"), F.col("capacity"), history))
+    whole = whole.withColumn("starts", _starts(F.col("turns"), F.col("first"), F.col("capacity"), history))
     each = whole.select("conv_id", "turns", "first", "starts", F.posexplode("starts").alias("window", "span"))
     stop = F.coalesce(F.try_element_at("starts", F.col("window") + 2)["at"], F.size("turns"))
     at, back = F.col("span")["at"], F.col("span")["back"]

@@ -1,4 +1,7 @@
 import hashlib
+import random
+
+from pyspark.sql import functions as F
 
 from lambertlake.llm import chat_format as cf
 
@@ -44,7 +47,8 @@ def test_round_trip(spark):
 
 def test_windows(spark):
     turns = [(1, 0, "system", "s" * 16)] + [(1, i, "user" if i % 2 else "assistant", str(i % 10) * 40) for i in range(1, 30)]
-    got = cf.format_windows(frame(spark, turns), budget=80, history=30).orderBy("window").collect()
+    quarter = lambda text: F.ceil(F.char_length(text) / 4).cast("long") + 4
+    got = cf.format_windows(frame(spark, turns), budget=80, history=30, tokens=quarter).orderBy("window").collect()
     assert len(got) > 5
     for r in got:
         parts = r.formatted.split("<|im_start|>")[1:]
@@ -53,6 +57,42 @@ def test_windows(spark):
         assert r.n_repeated == (0 if r.window == 0 else 3)
 
 
+def naive_windows(costs, system, budget, history):
+    """(first new turn, turns of history) of each window, adding up one turn after the other."""
+    first = int(system and len(costs) > 1)
+    room = max(1, budget - (costs[0] if first else 0))
+    out, used = [], 0
+    for i in range(first, len(costs)):
+        if i == first or used + costs[i] > room:
+            back = 0
+            for n in (1, 2):
+                past = sum(costs[max(first, i - n) : i])
+                if back == n - 1 and i - n >= first and past <= history and past + costs[i] <= room:
+                    back = n
+            out.append((i, back))
+            used = sum(costs[i - back : i])
+        used += costs[i]
+    return out
+
+
+def test_windows_are_those_of_running_totals(spark):
+    rng = random.Random(2)
+    rows, wanted = [], {}
+    for c in range(60):
+        n, system = rng.randint(1, 25), rng.random() < 0.5
+        texts = [" ".join("word" for _ in range(rng.choice([0, 1, 5, 20, 60]))) for _ in range(n)]
+        rows += [(c, i, "system" if system and i == 0 else rng.choice(["user", "assistant"]), t) for i, t in enumerate(texts)]
+        wanted[c] = naive_windows([len(t.split()) + 4 for t in texts], system, 70, 30)
+    got = {}
+    for r in cf.format_windows(frame(spark, rows), budget=70, history=30).orderBy("conv_id", "window").collect():
+        first = int(r.formatted.startswith("<|im_start|>system") and len(wanted[r.conv_id]) > 0 and len([x for x in rows if x[0] == r.conv_id]) > 1)
+        back = r.n_repeated - first if r.window else 0
+        fresh = r.formatted.count("<|im_start|>") - first - back
+        at = sum(f for *_, f in got.get(r.conv_id, [])) + first
+        got.setdefault(r.conv_id, []).append((at, back, fresh))
+    assert {c: [w[:2] for w in x] for c, x in got.items()} == wanted
+
+
 def test_empty(spark):
     assert cf.read_back(cf.format_windows(frame(spark, []))).count() == 0
 
