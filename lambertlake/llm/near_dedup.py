@@ -250,7 +250,9 @@ def _joined(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
     fresh = more.select(F.col("node").alias("label"), F.col("label").alias("lower"))
     old = labels.join(fresh, "label", "left").select("node", F.coalesce("lower", "label").alias("label"))
     new = more.join(labels, "node", "left_anti")
-    return runtime.checkpoint(old.unionByName(new))
+    done = runtime.checkpoint(old.unionByName(new))
+    runtime.release(edges.sparkSession)
+    return done
 
 
 def _labelled(rows: DataFrame, labels: DataFrame, column: str) -> DataFrame:
@@ -381,15 +383,21 @@ def classes(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD, w
     pivots = runtime.checkpoint(pivots)  # so that the join below has two plain sides, and a hot key can be split
     members = runtime.checkpoint(banded.join(pivots, "key"))
     shared = members.select("rep").distinct()
+    del signed, pivots
+    runtime.release(docs.sparkSession)
     packed = runtime.checkpoint(_packed(docs, nodes.select("text_key", "rep").join(shared, "rep")))
     some = real.join(shared, "rep", "left_semi")
     star = members.where("rep <> pivot").select(F.col("rep").alias("x"), F.col("pivot").alias("y")).distinct()
     star = runtime.checkpoint(_estimated(star, some, threshold))
+    runtime.release(docs.sparkSession)
     best = star.groupBy("x").agg(F.max_by("y", F.struct("near", -F.col("y"))).alias("y"))
     labels = components(_verified(best, packed, threshold).unionByName(_same_document(held.where("doc_id IS NOT NULL"))))
     tried = star.join(best, ["x", "y"], "left_anti")
     labels = _joined(labels, runtime.checkpoint(_verified(_apart(tried, labels), packed, threshold)))
+    del star, best, tried
     labels = _joined(labels, runtime.checkpoint(_rest(members.select("key", "band", "rep"), labels, some, packed, threshold)))
+    del packed, members, banded, real, some, shared
+    runtime.release(docs.sparkSession)
     own = nodes.select("rep", "lowest").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     names = own.where("label IS NOT NULL").groupBy("label").agg(F.min("lowest").alias("_class"))
     own = own.join(names, "label", "left").select("rep", F.coalesce("_class", "lowest").alias("class_id"))

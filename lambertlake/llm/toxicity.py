@@ -315,6 +315,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", max_rows: int =
     x, y, fold = np.stack(got["x"].to_numpy()), (got["y"].to_numpy() > 0).astype(np.float64), got["fold"].to_numpy()
     order = np.lexsort([*x.T, y, fold])  # the same model whatever order the rows come in
     x, y, fold = x[order].reshape(len(y), FOLDS + 1, -1), y[order], fold[order]
+    del rows
+    runtime.release(docs.sparkSession)
     final.trees = boost(x[:, FOLDS], y, final.prior)
     raw = np.empty(len(y))
     for k, model in enumerate(models[:FOLDS]):
