@@ -188,8 +188,8 @@ def interval_hypothesis(mean1: float, sd1: float, n1: int, mean2: float, sd2: fl
     return {"lower": lower, "upper": upper, "accepted": lower >= 1 - theta and upper <= 1 + theta}
 
 
-def standard_addition(df: DataFrame, added: str, response: str, by: list[str] | tuple[str, ...] = ()) -> DataFrame:
-    return linear_regression(df, added, response, by).withColumn("found", F.try_divide("intercept", "slope"))
+def standard_addition(df: DataFrame, added: str, response: str, by: list[str] | tuple[str, ...] = (), strict: bool = True) -> DataFrame:
+    return linear_regression(df, added, response, by, strict=strict).withColumn("found", F.try_divide("intercept", "slope"))
 
 
 def addition_recovery(df: DataFrame, found: str, added: str) -> DataFrame:

@@ -208,7 +208,8 @@ def signals(df: DataFrame, steps: list[dict], measurement: dict, library: Librar
             for g in grids:
                 w, b = weights(np.array(g, float), steps, measurement, library, raw)
                 own = _dot(w, b)
-                checked = F.when(own.isNull() | F.isnan(own) | (F.abs(own) == float("inf")), F.raise_error(F.lit("a signal is not finite"))).otherwise(own)
+                own = F.when(F.size("y") == len(g), own)
+                checked = F.when(own.isNull() | F.isnan(own) | (F.abs(own) == float("inf")), F.raise_error(F.when(F.size("y") == len(g), "a signal is not finite").otherwise("x and y must be arrays of one length, at least 2"))).otherwise(own)
                 # One grid needs no test of which it is; of several, a hash tells them apart.
                 signal = checked if len(grids) == 1 else F.when(F.xxhash64("x") == F.xxhash64(F.array(*(F.lit(float(v)) for v in g))), checked).otherwise(signal)
             return df.withColumn(out, signal)

@@ -109,3 +109,13 @@ def test_measurements():
         value = measure.measure(b, {"kind": kind, "params": {"w1": 240, "w2": 260, "factor": 0.5}})
         assert np.isfinite(value).all()
     assert measure.measure(b, {"kind": "peak_to_peak", "params": {"w1": 260, "w2": 240}})[0] == pytest.approx(np.ptp(PX[(X >= 240) & (X <= 260)]))
+
+
+@pytest.mark.parametrize("grids", [1, 9])
+@pytest.mark.parametrize("length", [4, 6])
+def test_malformed_rows_fail_however_many_grids(spark, grids, length):
+    rows = [(i, [i % grids * 0.1 + j for j in range(5)], [1.0, 2.0, 3.0, 4.0, 5.0]) for i in range(18)]
+    rows.append((99, rows[0][1], [3.0] * length))
+    df = spark.createDataFrame(rows, "id long, x array<double>, y array<double>")
+    with pytest.raises(Exception, match="x and y must be arrays of one length"):
+        pl.signals(df, [], {"kind": "mean", "params": {"w1": 1.0, "w2": 3.0}}).collect()

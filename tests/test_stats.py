@@ -101,3 +101,14 @@ def test_greenness(spark):
     assert one(stats.eco_scale(eco)).rating == "excellent"
     df = spark.createDataFrame([(5.0, 2, "Danger", 1.0)], "v double, p int, w string, k double")
     assert tuple(one(df.select(stats.reagent_penalty(F.col("v"), F.col("p"), F.col("w")), stats.energy_penalty(F.col("k"))))) == (4.0, 1.0)
+
+
+def test_long_lines_of_ancestors(spark):
+    n = 1500
+    edges = spark.createDataFrame([(i + 1, i) for i in range(n)] + [(3, 1), (2, 2)], "child int, parent int")
+    up = series.ascend(edges, spark.createDataFrame([(n,), (5,)], "node int"))
+    rows = {(r.node, r.ancestor): r.depth for r in up.collect()}
+    # From 3 one may go to 1 at once.
+    assert len(rows) == n + 1 + 6 and rows[n, 0] == n - 1 and rows[5, 0] == 4 and rows[5, 3] == 2 and rows[5, 1] == 3
+    ring = spark.createDataFrame([(i, (i + 1) % 7) for i in range(7)], "child int, parent int")
+    assert sorted(r.depth for r in series.descend(ring, spark.createDataFrame([(0,)], "node int")).collect()) == list(range(7))
