@@ -13,7 +13,8 @@ one range where a leaf's prefix ends, so no leaf is brought together in one task
 
 Null languages and sources count as the empty name; names without a weight have ``other``.
 Documents without tokens cost nothing and come with the prefix that reaches them; a leaf
-without any tokens gives nothing. Rows that repeat a doc_id are drawn each. An empty table
+without any tokens gives nothing. Rows that repeat a doc_id are drawn each; rows alike in all
+columns are counted first, so a doc_id of many rows is no load for one task. An empty table
 gives no rows.
 """
 
@@ -33,6 +34,8 @@ WEIGHTS = {
     "source": {"other": 10},
 }
 SEED = 17
+#: Copies of a row that are made at once.
+CHUNK = 1024
 #: The budget, as a share of all tokens.
 SHARE = (9, 10)
 
@@ -97,25 +100,32 @@ def mix(
     ``docs`` has doc_id, domain, lang, source and n_tokens.
     """
     rows = docs.select("doc_id", *(F.coalesce(F.col(c), F.lit("")).alias(c) for c in LEVELS), F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"))
-    leaves = rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"))
+    # Written once: identifiers and counts, so that texts are read once. Rows alike in all are one row with their number.
+    rows = runtime.checkpoint(rows.groupBy("doc_id", *LEVELS, "n_tokens").agg(F.count("*").alias("copies")))
+    leaves = rows.groupBy(*LEVELS).agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens"))
     budgets = leaf_budgets(leaves.where("tokens > 0"), share, max_epochs, weights)
     budgets = budgets.select(*LEVELS, F.expr("CAST(budget DIV tokens AS INT)").alias("whole"), F.expr("budget % tokens").alias("rest"))
     drawn = rows.join(budgets, list(LEVELS))
     ident = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     drawn = drawn.withColumn("key", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("whole").cast("string"), ident).cast("binary")))
-    drawn = drawn.withColumn("range", F.substring("key", 1, 3))
-    ranges = drawn.groupBy(*LEVELS, "range").agg(F.sum("n_tokens").alias("sum"), F.first("rest").alias("rest"))
+    drawn = drawn.withColumn("range", F.substring("key", 1, 3)).withColumn("all", F.col("n_tokens") * F.col("copies"))
+    ranges = drawn.groupBy(*LEVELS, "range").agg(F.sum("all").alias("sum"))
     upto = F.sum("sum").over(W.partitionBy(*LEVELS).orderBy("range").rowsBetween(W.unboundedPreceding, 0))
     ranges = ranges.withColumn("upto", upto).select(*LEVELS, "range", (F.col("upto") - F.col("sum")).alias("before"), "upto")
     drawn = drawn.join(ranges, [*LEVELS, "range"])
     # Only rows of the range in which the prefix ends are put in order.
     clear = drawn.where((F.col("upto") <= F.col("rest")) | (F.col("before") > F.col("rest")))
-    clear = clear.withColumn("more", F.col("upto") <= F.col("rest"))
+    clear = clear.withColumn("more", F.when(F.col("upto") <= F.col("rest"), F.col("copies")).otherwise(0))
     inside = W.partitionBy(*LEVELS, "range").orderBy("key", "n_tokens").rowsBetween(W.unboundedPreceding, 0)
     split = drawn.where((F.col("upto") > F.col("rest")) & (F.col("before") <= F.col("rest")))
-    split = split.withColumn("more", F.col("before") + F.sum("n_tokens").over(inside) <= F.col("rest"))
-    taken = clear.unionByName(split).withColumn("last", F.col("whole") - F.when(F.col("more"), 0).otherwise(1))
-    taken = taken.where("last >= 0").withColumn("epoch", F.explode(F.expr("sequence(0, last)")))
+    split = split.withColumn("left", F.col("rest") - F.col("before") - (F.sum("all").over(inside) - F.col("all")))
+    reached = F.expr("CASE WHEN left < 0 THEN 0 WHEN n_tokens = 0 THEN copies ELSE least(copies, left DIV n_tokens) END")
+    split = split.withColumn("more", reached).drop("left")
+    taken = clear.unionByName(split).withColumn("epoch", F.explode(F.expr("sequence(0, whole)")))
+    taken = taken.withColumn("times", F.when(F.col("epoch") < F.col("whole"), F.col("copies")).otherwise(F.col("more"))).where("times > 0")
+    # As many rows as copies, in two steps so that no array is long.
+    taken = taken.withColumn("chunk", F.explode(F.expr(f"sequence(0, (times - 1) DIV {CHUNK})")))
+    taken = taken.withColumn("one", F.explode(F.expr(f"array_repeat(0, CAST(least({CHUNK}, times - chunk * {CHUNK}) AS INT))")))
     return taken.select("doc_id", *LEVELS, "n_tokens", "epoch")
 
 

@@ -161,7 +161,9 @@ def top_k(
     runtime.small_batches(spark)
     rows = df.where(F.col(ident).isNotNull() & F.col(vector).isNotNull()).select(F.col(ident).cast("long").alias("id"), F.col(vector).alias("v"), is_query.alias("asks"))
     size = rows.agg(F.count("*").alias("n"), F.count_if("asks").alias("asks"), F.max(F.size("v")).alias("width")).first()
-    shards, blocks, width = max(1, -(-size["n"] // shard_rows)), max(1, -(-size["asks"] // block_rows)), max(1, size["width"] or 1)
+    # At least a shard for every core, unless shards would be small; the results are the same.
+    shards = max(1, -(-size["n"] // shard_rows), min(spark.sparkContext.defaultParallelism, -(-8 * size["n"] // shard_rows)))
+    blocks, width = max(1, -(-size["asks"] // block_rows)), max(1, size["width"] or 1)
     padded = F.concat("v", F.array_repeat(F.lit(0).cast("long"), F.lit(width) - F.size("v")))
     empty = F.array().cast("array<long>")
     vectors = rows.select(

@@ -73,3 +73,12 @@ def test_whole_table(spark):
     got = mixing.op3_mixing(spark, sf)
     columns = ", ".join(got.columns)
     assert sorted(map(tuple, got.collect())) == sorted(duckdb.sql(f"SELECT {columns} FROM ({mixing.OP3_SQL})").fetchall())
+
+
+def test_rows_alike(spark):
+    rows = [(7, "d0", "en", "s", 3)] * 5000 + [(None, "d0", "en", "s", 2)] * 700 + [(i, "d0", "en", "s", 5) for i in range(40)] + [(9, "d1", "de", "t", 0)] * 3 + [(8, "d1", "de", "t", 4)] * 2
+    df = spark.createDataFrame(rows, "doc_id long, domain string, lang string, source string, n_tokens long")
+    named = [("" if r[0] is None else str(r[0]), *r[1:]) for r in rows]
+    for share in ((1, 3), (9, 10), (3, 2)):
+        got = sorted(("" if r.doc_id is None else str(r.doc_id), *tuple(r)[1:]) for r in mixing.mix(df, share).collect())
+        assert got == brute(named, share, 2)
