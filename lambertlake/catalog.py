@@ -246,6 +246,34 @@ def grubbs(spark, sf_dir):
     return got.where("n >= 3").select("user_id", "n", F.round("g", 6).alias("g"))
 
 
+_TWO = """g AS (SELECT l_orderkey, count(*) FILTER (l_linestatus = 'F') AS n1, count(*) FILTER (l_linestatus = 'O') AS n2, avg(l_extendedprice) FILTER (l_linestatus = 'F') AS m1,
+avg(l_extendedprice) FILTER (l_linestatus = 'O') AS m2, var_samp(l_extendedprice) FILTER (l_linestatus = 'F') AS v1, var_samp(l_extendedprice) FILTER (l_linestatus = 'O') AS v2 FROM lineitem GROUP BY 1)"""
+
+
+@query(
+    "t_test",
+    # The distribution of t in closed form: sums of powers of cosines, for any whole number of degrees.
+    f"""WITH {_TWO}, t AS (SELECT *, n1 + n2 - 2 AS dof, abs(m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2) * (1.0 / n1 + 1.0 / n2)) AS t FROM g WHERE n1 > 1 AND n2 > 1 AND v1 + v2 > 0),
+a AS (SELECT *, atan(t / sqrt(dof)) AS o FROM t),
+s AS (SELECT *, list_sum(list_transform(range(0, dof // 2), lambda k: CASE WHEN dof % 2 = 0 THEN pow(cos(o), 2 * k) * coalesce(list_product(list_transform(range(1, k + 1), lambda i: (2 * i - 1) / (2.0 * i))), 1)
+ELSE pow(cos(o), 2 * k + 1) * coalesce(list_product(list_transform(range(1, k + 1), lambda i: 2 * i / (2.0 * i + 1))), 1) END)) AS s FROM a)
+SELECT l_orderkey, round(t, 6) AS t, CAST(dof AS DOUBLE) AS dof, round(CASE WHEN dof % 2 = 0 THEN 1 - sin(o) * s ELSE 1 - 2 / pi() * (o + sin(o) * coalesce(s, 0)) END, 7) AS p FROM s""",
+)
+def t_test(spark, sf_dir):
+    got = stats.t_tests(table(spark, sf_dir, "lineitem"), "l_extendedprice", "l_linestatus", "F", "O", ["l_orderkey"]).where("t IS NOT NULL")
+    return got.select("l_orderkey", F.round("t", 6).alias("t"), "dof", F.round("p", 7).alias("p"))
+
+
+@query(
+    "f_test",
+    f"""WITH {_TWO} SELECT l_orderkey, round(least(v1, v2) / greatest(v1, v2), 9) AS inverse_f, CASE WHEN v2 > v1 THEN n2 ELSE n1 END - 1 AS dof1, CASE WHEN v2 > v1 THEN n1 ELSE n2 END - 1 AS dof2
+FROM g WHERE n1 > 1 AND n2 > 1 AND v1 + v2 > 0""",
+)
+def f_test(spark, sf_dir):
+    got = stats.f_tests(table(spark, sf_dir, "lineitem"), "l_extendedprice", "l_linestatus", "F", "O", ["l_orderkey"])
+    return got.where("f IS NOT NULL").select("l_orderkey", F.round(1 / F.col("f"), 9).alias("inverse_f"), "dof1", "dof2")
+
+
 @query(
     "dixon",
     """WITH v AS (SELECT l_orderkey, l_extendedprice AS v, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice) AS i, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem),

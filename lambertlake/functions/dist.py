@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -73,6 +74,7 @@ def t_cdf(t: float, dof: float) -> float:
     return 1 - tail if t > 0 else tail
 
 
+@lru_cache(maxsize=4096)
 def t_ppf(p: float, dof: float) -> float:
     if p < 0.5:
         return -t_ppf(1 - p, dof)
@@ -86,6 +88,7 @@ def f_cdf(f: float, d1: float, d2: float) -> float:
     return beta_cdf(d1 * f / (d1 * f + d2), d1 / 2, d2 / 2) if f > 0 else 0.0
 
 
+@lru_cache(maxsize=4096)
 def f_ppf(p: float, d1: float, d2: float) -> float:
     x = _solve(lambda v: beta_cdf(v, d1 / 2, d2 / 2), p, 0.0, 1.0)
     return d2 * x / (d1 * (1 - x)) if x < 1 else math.inf
@@ -95,6 +98,7 @@ def chi2_cdf(x: float, dof: float) -> float:
     return gamma_cdf(x / 2, dof / 2)
 
 
+@lru_cache(maxsize=4096)
 def chi2_ppf(p: float, dof: float) -> float:
     hi = dof + 10.0
     while chi2_cdf(hi, dof) < p:

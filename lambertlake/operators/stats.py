@@ -145,8 +145,19 @@ def anova(df: DataFrame, value: str, group: str, alpha: float = ALPHA) -> DataFr
     return anova_summary(summaries(df, value, group), alpha)
 
 
+def _check_summary(sd: float, n: int) -> None:
+    if not (math.isfinite(sd) and sd >= 0):
+        raise ValueError("a standard deviation must be finite and not negative")
+    if n != int(n) or n < 2:
+        raise ValueError("two values at least are needed")
+
+
 def t_test(mean1: float, sd1: float, n1: int, mean2: float, sd2: float, n2: int, equal_var: bool = True, alpha: float = ALPHA, welch_dof: bool = True) -> dict:
     """Unpaired test from summaries; without pooling the degrees of freedom are Welch's (for p), or pooled ones for the critical value."""
+    _check_summary(sd1, n1)
+    _check_summary(sd2, n2)
+    if sd1 == sd2 == 0:
+        raise ValueError("both standard deviations are zero")
     a, b = sd1**2 / n1, sd2**2 / n2
     pooled = n1 + n2 - 2
     if equal_var:
@@ -160,6 +171,10 @@ def t_test(mean1: float, sd1: float, n1: int, mean2: float, sd2: float, n2: int,
 
 def f_test(sd1: float, n1: int, sd2: float, n2: int, alpha: float = ALPHA, tails: int = 1) -> dict:
     """Ratio of variances, the larger on top."""
+    _check_summary(sd1, n1)
+    _check_summary(sd2, n2)
+    if tails not in (1, 2):
+        raise ValueError("one tail or two")
     (v1, d1), (v2, d2) = sorted(((sd1**2, n1 - 1), (sd2**2, n2 - 1)), key=lambda v: -v[0])
     if v1 == 0:
         raise ValueError("both standard deviations are zero")
@@ -176,6 +191,51 @@ def compare(df: DataFrame, value: str, group: str, first, second, **options) ->
     return {"t_test": t_test(a["mean"], a["sd"], a["n"], b["mean"], b["sd"], b["n"], welch_dof=False, **options), "f_test": f_test(a["sd"], a["n"], b["sd"], b["n"])}
 
 
+def two_groups(df: DataFrame, value: str, group: str, first, second, by: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """n, mean and variance of two groups side by side, in one pass; v1 and v2 are null below two values."""
+    aggregates = []
+    for k, name in enumerate((first, second), 1):
+        v = F.when(F.col(group) == F.lit(name), F.col(value).cast("double"))
+        aggregates += [F.count(v).alias(f"n{k}"), F.avg(v).alias(f"mean{k}"), F.when(F.count(v) > 1, F.var_samp(v)).alias(f"v{k}")]
+    return _by(df, by).agg(*aggregates)
+
+
+def t_tests(df: DataFrame, value: str, group: str, first, second, by: list[str] | tuple[str, ...] = (), equal_var: bool = True, alpha: float = ALPHA) -> DataFrame:
+    """t test of two groups for each of ``by``; null where a group has one value or none, or neither varies."""
+    out = two_groups(df, value, group, first, second, by)
+    a, b, pooled = F.col("v1") / F.col("n1"), F.col("v2") / F.col("n2"), (F.col("n1") + F.col("n2") - 2).cast("double")
+    if equal_var:
+        se2 = ((F.col("n1") - 1) * F.col("v1") + (F.col("n2") - 1) * F.col("v2")) / pooled * (1 / F.col("n1") + 1 / F.col("n2"))
+        dof = F.when(se2 > 0, pooled)
+    else:
+        se2 = a + b
+        dof = F.try_divide(se2 * se2, a * a / (F.col("n1") - 1) + b * b / (F.col("n2") - 1))
+    out = out.withColumn("t", F.try_divide(F.abs(F.col("mean1") - F.col("mean2")), F.sqrt(se2))).withColumn("dof", dof)
+    out = out.withColumn("p", 2 * (1 - dist.t_probability(F.col("t"), F.col("dof")))).withColumn("t_crit", dist.t_quantile(F.lit(1 - alpha / 2), F.col("dof")))
+    return out.withColumn("significant", F.col("p") < alpha)
+
+
+def f_tests(df: DataFrame, value: str, group: str, first, second, by: list[str] | tuple[str, ...] = (), alpha: float = ALPHA, tails: int = 1) -> DataFrame:
+    """F test of two groups for each of ``by``, the larger variance on top.
+
+    Null where a group has one value or none, or neither varies; infinite where only one varies.
+    """
+    if tails not in (1, 2):
+        raise ValueError("one tail or two")
+    out = two_groups(df, value, group, first, second, by)
+    swap = F.col("v2") > F.col("v1")
+    top, low = F.greatest("v1", "v2"), F.least("v1", "v2")
+    known = F.col("v1").isNotNull() & F.col("v2").isNotNull() & (top > 0)
+    out = out.withColumn("f", F.when(known, F.coalesce(F.try_divide(top, low), F.lit(math.inf))))
+    out = out.withColumn("dof1", F.when(swap, F.col("n2")).otherwise(F.col("n1")) - 1).withColumn("dof2", F.when(swap, F.col("n1")).otherwise(F.col("n2")) - 1)
+    finite = F.when(F.col("f") < math.inf, F.col("f"))
+    p = F.when(F.col("f") == math.inf, 0.0).otherwise(F.least(F.lit(1.0), tails * (1 - dist.f_probability(finite, F.col("dof1"), F.col("dof2")))))
+    out = out.withColumn("p", F.when(F.col("f").isNotNull(), p))
+    enough = lambda c: F.when(F.col("f").isNotNull(), F.col(c))
+    out = out.withColumn("f_crit", dist.f_quantile(F.lit(1 - alpha / tails), enough("dof1"), enough("dof2")))
+    return out.withColumn("significant", F.col("f") > F.col("f_crit"))
+
+
 def interval_hypothesis(mean1: float, sd1: float, n1: int, mean2: float, sd2: float, n2: int, theta: float = 0.02, alpha: float = ALPHA) -> dict:
     """Whether the 1 - 2 alpha interval of the ratio of means lies within 1 +- theta."""
     pooled = ((n1 - 1) * sd1**2 + (n2 - 1) * sd2**2) / (n1 + n2 - 2)
@@ -220,24 +280,32 @@ def grubbs(df: DataFrame, value: str, ident: str, by: list[str] | tuple[str, ...
     return out.withColumn("outlier", F.coalesce((F.col("sd") > 0) & (F.col("g") > F.col("g_crit")), F.lit(False))).drop("_t2", "low", "high")
 
 
-def dixon(df: DataFrame, value: str, by: list[str] | tuple[str, ...] = (), alpha: float = ALPHA) -> DataFrame:
-    """Q of the more isolated end of each group of 3 to 10 values; other groups have null.
+def dixon(df: DataFrame, value: str, by: list[str] | tuple[str, ...] = (), alpha: float = ALPHA, ident: str | None = None) -> DataFrame:
+    """Q of the more isolated end of each group of 3 to 10 values; other groups are left out.
 
-    Only the two smallest and two largest values are kept while aggregating.
+    They are left out before any values are gathered, so no more than ten meet. With ``ident``
+    the column of that name tells which value it is; ties to the smaller identifier.
     """
     v = F.col(value).cast("double")
-    rank = lambda order: F.row_number().over(W.partitionBy(*by).orderBy(order)) if by else F.row_number().over(W.partitionBy(F.lit(0)).orderBy(order))
-    rows = df.where(v.isNotNull()).select(*by, v.alias("v"))
+    rows = df.where(v.isNotNull()).select(*by, v.alias("v"), (F.col(ident) if ident else F.lit(None).cast("int")).alias("ident"))
     counted = _by(rows, by).agg(F.count("*").alias("n")).where(F.col("n").between(3, 10))
-    small = rows.join(counted, list(by)) if by else rows.crossJoin(F.broadcast(counted))
-    ends = small.withColumn("up", rank(F.asc("v"))).withColumn("down", rank(F.desc("v")))
-    at = lambda c, k: F.max(F.when(F.col(c) == k, F.col("v")))
-    out = ends.groupBy(*by, "n").agg(at("up", 1).alias("low"), at("up", 2).alias("low2"), at("down", 1).alias("high"), at("down", 2).alias("high2"))
-    span = F.col("high") - F.col("low")
-    q_low, q_high = F.try_divide(F.col("low2") - F.col("low"), span), F.try_divide(F.col("high") - F.col("high2"), span)
-    out = out.withColumn("q", F.coalesce(F.greatest(q_low, q_high), F.lit(0.0))).withColumn("value", F.when(span == 0, F.lit(None)).when(q_low >= q_high, F.col("low")).otherwise(F.col("high")))
+    if by:
+        keys = [F.col(c).alias(f"_key{i}") for i, c in enumerate(by)]
+        same = [rows[c].eqNullSafe(F.col(f"_key{i}")) for i, c in enumerate(by)]
+        small = rows.join(counted.select("n", *keys), same).drop(*(f"_key{i}" for i in range(len(by))))
+    else:
+        small = rows.crossJoin(F.broadcast(counted))  # one row
+    out = small.groupBy(*by, "n").agg(F.array_sort(F.collect_list(F.struct("v", "ident"))).alias("all"))
+    at = lambda k: F.element_at("all", k)["v"]
+    last = F.array_min(F.transform(F.filter("all", lambda e: e["v"] == F.element_at("all", -1)["v"]), lambda e: e["ident"]))
+    span = at(-1) - at(1)
+    q_low, q_high = F.try_divide(at(2) - at(1), span), F.try_divide(at(-1) - at(-2), span)
+    out = out.withColumn("q", F.coalesce(F.greatest(q_low, q_high), F.lit(0.0)))
+    out = out.withColumn("value", F.when(span == 0, F.lit(None)).when(q_low >= q_high, at(1)).otherwise(at(-1)))
+    out = out.withColumn("ident", F.when(span == 0, F.lit(None)).when(q_low >= q_high, F.element_at("all", 1)["ident"]).otherwise(last))
     out = out.withColumn("q_crit", F.get(F.array(*map(F.lit, DIXON[alpha])), (F.col("n") - 3).cast("int")))
-    return out.withColumn("outlier", F.col("q") > F.col("q_crit")).drop("low", "low2", "high", "high2")
+    out = out.withColumn("outlier", F.col("q") > F.col("q_crit")).drop("all")
+    return out if ident else out.drop("ident")
 
 
 def prediction_error(df: DataFrame, predicted: str, actual: str, by: list[str] | tuple[str, ...] = ()) -> DataFrame:

@@ -7,7 +7,6 @@ import html
 import json
 import math
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -65,9 +64,13 @@ def result_summary(project: Project, result_id: int | None = None) -> DataFrame:
     return stats.describe(result_rows(project, result_id).where(~F.col("excluded") & F.col("recovery").isNotNull()), "recovery", ["result_id", "compound"])
 
 
-def outliers(project: Project, result_id: int, alpha: float = 0.05) -> DataFrame:
-    """Recoveries that stand out, to be looked at; nothing is excluded by this."""
+def outliers(project: Project, result_id: int, alpha: float = 0.05, test: str = "grubbs") -> DataFrame:
+    """Recoveries that stand out by Grubbs' or Dixon's test, to be looked at; nothing is excluded by this."""
+    if test not in ("grubbs", "dixon"):
+        raise ValueError("the test is grubbs or dixon")
     rows = result_rows(project, result_id).where(~F.col("excluded") & F.col("recovery").isNotNull())
+    if test == "dixon":
+        return stats.dixon(rows, "recovery", ["compound"], alpha, "spectrum_id").where("outlier")
     return stats.grubbs(rows, "recovery", "spectrum_id", ["compound"], alpha).where("outlier")
 
 
@@ -191,11 +194,29 @@ def report(project: Project, trial_id: int | None = None, entries: int = 50) ->
     return f"<!DOCTYPE html><html><head><meta charset='utf-8'></head><body>{''.join(parts)}</body></html>"
 
 
+#: Steps between amounts that are easy to prepare, times a power of ten.
+STEPS = (1, 2, 2.5, 5, 10)
+
+
+def round_levels(low: float, high: float, n: int) -> list[float]:
+    """The range's ends and, between them, the multiples of a round step that are half a step from both.
+
+    The step is the smallest that divides the range into n - 1 parts at most, so there may be
+    fewer levels than n, or one more.
+    """
+    if n < 2 or not low < high:
+        raise ValueError("levels need a range and two of them at least")
+    part = (high - low) / (n - 1)
+    power = 10.0 ** math.floor(math.log10(part))
+    step = next(s * power for s in STEPS if s * power >= 0.999 * part)
+    first, last = math.ceil(low / step + 0.5 - 1e-9), math.floor(high / step - 0.5 + 1e-9)
+    return [float(f"{v:.3g}") for v in (low, *(k * step for k in range(first, last + 1)), high)]
+
+
 def validation_plan(compound: str, low: float, high: float, target: float, levels: int = 6, replicates: int = 3, steps: list[dict] = ()) -> list[dict]:
     """Experiments that a validation of a method needs, with the amounts to prepare."""
-    nice = np.linspace(low, high, levels)
     digits = 2 - int(math.floor(math.log10(max(abs(high - low), 1e-12))))
-    amounts = [round(float(v), max(0, digits)) for v in nice]
+    amounts = round_levels(low, high, levels)
     plan = [{"test": "linearity", "compound": compound, "amounts": amounts, "replicates": replicates}]
     plan += [{"test": f"accuracy {p} %", "compound": compound, "amounts": [round(target * p / 100, max(0, digits))], "replicates": replicates} for p in (80, 100, 120)]
     plan += [{"test": "repeatability", "compound": compound, "amounts": [target], "replicates": 6}, {"test": "intermediate precision", "compound": compound, "amounts": [target], "replicates": 6}]

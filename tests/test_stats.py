@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lambertlake.operators import series, stats
+from lambertlake.storage import results as rs
 
 
 def one(df):
@@ -49,6 +50,56 @@ def test_comparisons():
     assert not stats.interval_hypothesis(103, 0.3, 6, 100, 0.3, 6)["accepted"]
 
 
+def test_comparisons_refuse_what_is_undefined():
+    for arguments in ((1, 0.1, 1, 1, 0.1, 5), (1, -0.1, 5, 1, 0.1, 5), (1, float("nan"), 5, 1, 0.1, 5), (1, 0.0, 5, 2, 0.0, 5)):
+        with pytest.raises(ValueError):
+            stats.t_test(*arguments)
+    with pytest.raises(ValueError):
+        stats.f_test(0.1, 5, 0.2, 5, tails=3)
+
+
+def test_comparisons_of_many_groups(spark):
+    rng = np.random.default_rng(5)
+    data = {(s, m): rng.normal(10, 1 + (m == "b"), n).tolist() for s, na, nb in (("x", 6, 8), ("y", 2, 3), (None, 4, 4)) for m, n in (("a", na), ("b", nb))}
+    data |= {("single", "a"): [1.0], ("single", "b"): [1.0, 2.0], ("same", "a"): [1.0, 1.0], ("same", "b"): [1.0, 1.0], ("half", "a"): [1.0, 1.0], ("half", "b"): [1.0, 3.0]}
+    df = spark.createDataFrame([(s, m, v) for (s, m), values in data.items() for v in [*values, None]], "s string, m string, v double")
+    for equal in (True, False):
+        got = {r["s"]: r for r in stats.t_tests(df, "v", "m", "a", "b", ["s"], equal_var=equal).collect()}
+        for s in ("x", "y", None, "half"):
+            a, b = data[s, "a"], data[s, "b"]
+            want = stats.t_test(np.mean(a), np.std(a, ddof=1), len(a), np.mean(b), np.std(b, ddof=1), len(b), equal_var=equal)
+            assert [got[s][c] for c in ("t", "dof", "p", "t_crit")] == pytest.approx([want[c] for c in ("t", "dof", "p", "t_crit")])
+            assert got[s]["significant"] == want["significant"]
+        assert got["single"]["t"] is got["same"]["t"] is got["same"]["p"] is None
+    for tails in (1, 2):
+        got = {r["s"]: r for r in stats.f_tests(df, "v", "m", "a", "b", ["s"], tails=tails).collect()}
+        for s in ("x", "y", None, "half"):
+            a, b = data[s, "a"], data[s, "b"]
+            want = stats.f_test(np.std(a, ddof=1), len(a), np.std(b, ddof=1), len(b), tails=tails)
+            assert [got[s][c] for c in ("f", "p", "f_crit")] == pytest.approx([want[c] for c in ("f", "p", "f_crit")])
+            assert (got[s]["dof1"], got[s]["dof2"]) == want["dof"] and got[s]["significant"] == want["significant"]
+        assert got["single"]["f"] is got["same"]["f"] is got["same"]["p"] is None
+    assert stats.t_tests(df.where("false"), "v", "m", "a", "b", ["s"]).count() == 0
+
+
+def test_dixon_names_the_value(spark):
+    rows = [("a", 1, 5.0), ("a", 2, 1.0), ("a", 3, 1.1), ("a", 4, 5.0), (None, 7, 2.0), (None, 8, 2.1), (None, 9, 9.0), ("flat", 1, 3.0), ("flat", 2, 3.0), ("flat", 3, 3.0)]
+    rows += [("long", i, float(i)) for i in range(11)] + [("short", 1, 1.0), ("short", 2, 2.0)]
+    got = {r["g"]: r for r in stats.dixon(spark.createDataFrame(rows, "g string, i int, v double"), "v", ["g"], ident="i").collect()}
+    assert set(got) == {"a", None, "flat"}
+    assert got[None]["ident"] == 9 and got[None]["value"] == 9.0 and got[None]["outlier"]
+    assert got["flat"]["q"] == 0 and got["flat"]["ident"] is None and not got["flat"]["outlier"]
+    assert got["a"]["ident"] == 2
+
+
+def test_round_levels():
+    assert rs.round_levels(4, 20, 6) == [4, 10, 15, 20]
+    assert rs.round_levels(2, 22, 6) == [2, 5, 10, 15, 22]
+    assert rs.round_levels(0.5, 1.5, 5) == [0.5, 0.75, 1.0, 1.25, 1.5]
+    with pytest.raises(ValueError):
+        rs.round_levels(3, 3, 5)
+
+
 def test_groups(spark):
     rng = np.random.default_rng(2)
     rows = [(g, float(x), float(3 + 2 * x + rng.normal(0, 0.2) + (x - 3) ** 2 * 0.3)) for g in "abc" for x in range(6) for _ in range(3)]
