@@ -163,3 +163,14 @@ def test_long_lines_of_ancestors(spark):
     assert len(rows) == n + 1 + 6 and rows[n, 0] == n - 1 and rows[5, 0] == 4 and rows[5, 3] == 2 and rows[5, 1] == 3
     ring = spark.createDataFrame([(i, (i + 1) % 7) for i in range(7)], "child int, parent int")
     assert sorted(r.depth for r in series.descend(ring, spark.createDataFrame([(0,)], "node int")).collect()) == list(range(7))
+
+
+def test_outliers_of_a_result(spark, monkeypatch):
+    found = [100.1, 99.8, 100.3, 92.0, 99.9, 100.0]
+    rows = [(i, "X", v, False) for i, v in enumerate(found)] + [(9, "X", 50.0, True), (10, "X", None, False), (11, "Y", 100.0, False)]
+    monkeypatch.setattr(rs, "result_rows", lambda *_: spark.createDataFrame(rows, "spectrum_id int, compound string, recovery double, excluded boolean"))
+    for test in ("grubbs", "dixon"):
+        got = rs.outliers(None, 1, test=test).collect()
+        assert [(r["compound"], r["ident"], r["value"]) for r in got] == [("X", 3, 92.0)]
+    with pytest.raises(ValueError, match="grubbs or dixon"):
+        rs.outliers(None, 1, test="other")
