@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from lambertlake.llm.bpe_codec import op7_bpe_codec
 from lambertlake.llm.chat_format import op10_chat_format
+from lambertlake.llm.filter_audit import OP11_SQL, op11_filter_audit
 from lambertlake.llm.fingerprint import op2_fingerprints
 from lambertlake.llm.html_text import op1_html_text
 from lambertlake.llm.mixing import OP3_SQL, op3_mixing
@@ -24,8 +25,10 @@ QUERIES = {
     "op8_near_dedup": op8_near_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_chat_format": op10_chat_format,
+    "op11_filter_audit": op11_filter_audit,
 }
 ORACLES: dict[str, str] = {
     "op3_mixing": OP3_SQL,
     "op4_topk": OP4_SQL,
+    "op11_filter_audit": OP11_SQL,
 }
