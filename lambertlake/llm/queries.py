@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from lambertlake.llm.bpe_codec import op7_bpe_codec
 from lambertlake.llm.chat_format import op10_chat_format
+from lambertlake.llm.divergence import OP13_SQL, op13_divergence
 from lambertlake.llm.filter_audit import OP11_SQL, op11_filter_audit
 from lambertlake.llm.fingerprint import op2_fingerprints
 from lambertlake.llm.html_text import op1_html_text
@@ -26,9 +27,11 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_chat_format": op10_chat_format,
     "op11_filter_audit": op11_filter_audit,
+    "op13_divergence": op13_divergence,
 }
 ORACLES: dict[str, str] = {
     "op3_mixing": OP3_SQL,
     "op4_topk": OP4_SQL,
     "op11_filter_audit": OP11_SQL,
+    "op13_divergence": OP13_SQL,
 }
