@@ -10,6 +10,7 @@ from lambertlake.llm.fingerprint import op2_fingerprints
 from lambertlake.llm.html_text import op1_html_text
 from lambertlake.llm.mixing import OP3_SQL, op3_mixing
 from lambertlake.llm.near_dedup import op8_near_dedup
+from lambertlake.llm.ngram_join import op12_ngram_join
 from lambertlake.llm.pii import op6_pii
 from lambertlake.llm.token_counts import op5_token_counts
 from lambertlake.llm.topk import OP4_SQL, op4_topk
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_chat_format": op10_chat_format,
     "op11_filter_audit": op11_filter_audit,
+    "op12_ngram_join": op12_ngram_join,
     "op13_divergence": op13_divergence,
 }
 ORACLES: dict[str, str] = {
