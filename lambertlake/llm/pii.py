@@ -36,6 +36,8 @@ KINDS = ("email", "ip", "card", "phone", "secret")
 #: The classifier's probability from which a loose candidate counts.
 THRESHOLD = 0.9
 ROUNDS = 60
+#: Spans that are looked at together, so that time grows little faster than their number.
+BLOCK = 128
 
 _LOCAL = "[A-Za-z0-9._%+-]"
 STRICT = {
@@ -77,27 +79,50 @@ KEYS = r"^(?:AKIA|ASIA|ghp_|gho_|sk[-_]|pk_|xox[abp]-|eyJ|AIza|glpat-)"
 AGAINST = r"version|\bv\.?$|commit|\bsha|md5|checksum|digest|etag|isbn|issn|order|serial|invoice|ref|page|\bfig|\bid\b|commit|build|bestell|part no"
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of the value, which is evaluated once: an expression inside a lambda would be for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _blocks(items: Column, size: int = BLOCK) -> Column:
+    """An array cut into arrays of ``size`` at most; none if it is empty."""
+    some = F.when(F.size(items) > 0, F.sequence(F.lit(0), F.floor((F.size(items) - 1) / size).cast("int")))
+    return F.coalesce(F.transform(some, lambda b: F.slice(items, b * size + 1, F.lit(size))), F.filter(F.array(items), lambda _: F.lit(False)))
+
+
+def _before(numbers: Column) -> Column:
+    """For each number the sum of those before it: within blocks, then over blocks, so that no long array grows by ones."""
+
+    def sums(block: Column) -> Column:
+        add = lambda s, x: F.struct((s["at"] + x).alias("at"), F.array_append(s["out"], s["at"]).alias("out"))
+        return F.aggregate(block, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), add)
+
+    def shifted(own: Column) -> Column:
+        starts = sums(F.transform(own, lambda b: b["at"]))["out"]
+        return F.flatten(F.zip_with(own, starts, lambda b, start: F.transform(b["out"], lambda x: x + start)))
+
+    return _let(numbers, lambda n: _let(F.transform(_blocks(n), sums), shifted))
+
+
 def _matches(text: Column, pattern: str) -> Column:
     """All matches: array of (start, stop, value, before, after). Only for texts that have some."""
-    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    parts = F.transform(
-        found,
-        lambda m, i: F.struct(
-            m.alias("value"),
-            F.char_length(F.get(gaps, i)).alias("gap"),
-            F.char_length(m).alias("width"),
-            F.right(F.get(gaps, i), F.lit(24)).alias("before"),
-            F.left(F.get(gaps, i + 1), F.lit(12)).alias("after"),
-        ),
-    )
-    none = F.array().cast("array<struct<start:int,stop:int,value:string,before:string,after:string>>")
 
-    def add(s: Column, p: Column) -> Column:
-        start = s["at"] + p["gap"]
-        one = F.struct(start.alias("start"), (start + p["width"]).alias("stop"), p["value"], p["before"], p["after"])
-        return F.struct((start + p["width"]).alias("at"), F.array_append(s["out"], one).alias("out"))
+    def parts(found: Column, gaps: Column) -> Column:
+        number = F.size(found)
+        ahead = F.zip_with(found, F.slice(gaps, F.lit(1), number), lambda m, g: F.struct(m.alias("value"), F.char_length(g).alias("gap"), F.char_length(m).alias("width"), F.right(g, F.lit(24)).alias("before")))
+        return F.zip_with(ahead, F.slice(gaps, F.lit(2), number), lambda p, g: F.struct(p.alias("p"), F.left(g, F.lit(12)).alias("after")))
+
+    def placed(found: Column) -> Column:
+        starts = _before(F.transform(found, lambda x: x["p"]["gap"] + x["p"]["width"]))
+
+        def one(x: Column, at: Column) -> Column:
+            start = at + x["p"]["gap"]
+            return F.struct(start.alias("start"), (start + x["p"]["width"]).alias("stop"), x["p"]["value"].alias("value"), x["p"]["before"].alias("before"), x["after"].alias("after"))
 
-    return F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("out")), add, lambda s: s["out"])
+        return F.zip_with(found, starts, one)
+
+    found = _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: parts(m, F.split(text, pattern, -1)))
+    return _let(found, placed)
 
 
 def _digits(value: Column) -> Column:
@@ -313,8 +338,12 @@ def find(df: DataFrame, model: Classifier, text: str = "text") -> DataFrame:
     span = lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["stop"].alias("stop"))
     base = F.transform(F.filter("_candidates", lambda c: c["strict"] & c["passes"]), span)
     mine = mine.withColumn("base", F.sort_array(base))
-    free = lambda c: ~F.exists("base", lambda b: (b["start"] < c["stop"]) & (c["start"] < b["stop"]))
-    more = F.filter("_candidates", lambda c: ~c["strict"] & model.accepts(c) & free(c))
+    overlaps = lambda b, c: (b["start"] < c["stop"]) & (c["start"] < b["stop"])
+    hull = lambda own: F.struct(F.array_min(F.transform(own, lambda b: b["start"])).alias("start"), F.array_max(F.transform(own, lambda b: b["stop"])).alias("stop"), own.alias("own"))
+    # A block of base spans is looked into only where its hull overlaps.
+    free = lambda hulls, c: ~F.exists(hulls, lambda h: overlaps(h, c) & F.exists(h["own"], lambda b: overlaps(b, c)))
+    accepted = F.filter("_candidates", lambda c: ~c["strict"] & model.accepts(c))
+    more = _let(F.transform(_blocks(F.col("base")), hull), lambda hulls: F.filter(accepted, lambda c: free(hulls, c)))
     spans = F.sort_array(F.concat("base", F.transform(more, span)))
     return mine.withColumn("spans", spans).drop("_candidates")
 
@@ -334,20 +363,33 @@ def redact(df: DataFrame, model: Classifier, text: str = "text") -> DataFrame:
     found = find(df, model, text)
     source = F.col(text)
     none = F.array().cast("array<string>")
+    name = lambda x: F.upper(F.element_at(F.array(*map(F.lit, KINDS)), x["kind"] + 1))
+
+    def replaced(block: Column, at: Column) -> Column:
+        """The text from ``at`` to the last of the block's spans that begins beyond it, spans replaced."""
+        window = F.substring(source, at + 1, F.greatest(F.array_max(F.transform(block, lambda x: x["start"])) - at, F.lit(0)))
+
+        def put(w: Column):
+            def add(s: Column, x: Column) -> Column:
+                kept = F.substring(w, s["at"] - at + 1, x["start"] - s["at"])
+                fresh = F.concat(s["out"], F.array(kept, F.concat(F.lit("["), name(x), F.lit("]"))))
+                return F.struct(F.greatest(s["at"], x["stop"]).alias("at"), F.when(x["start"] >= s["at"], fresh).otherwise(s["out"]).alias("out"))
+
+            return F.array_join(F.aggregate(block, F.struct(at.alias("at"), none.alias("out")), add)["out"], "")
 
-    def put(s: Column, x: Column) -> Column:
-        name = F.upper(F.element_at(F.array(*map(F.lit, KINDS)), x["kind"] + 1))
-        kept = F.substring(source, s["at"] + 1, x["start"] - s["at"])
-        fresh = x["start"] >= s["at"]
-        return F.struct(
-            F.greatest(s["at"], x["stop"]).alias("at"),
-            F.when(fresh, F.concat(s["out"], F.array(kept, F.concat(F.lit("["), name, F.lit("]"))))).otherwise(s["out"]).alias("out"),
-        )
+        return _let(window, put)
 
-    def end(s: Column) -> Column:
-        return F.concat(F.array_join(s["out"], ""), F.substring(source, s["at"] + 1, F.char_length(source)))
+    def redacted(blocks: Column) -> Column:
+        upto = F.transform(blocks, lambda b: F.array_max(F.transform(b, lambda x: x["stop"])))
+        # The furthest end of all spans before each block, and of all.
+        reach = lambda s, x: F.array_append(s, F.greatest(x, F.element_at(s, -1)))
+        starts = F.aggregate(upto, F.array(F.lit(0)), reach)
+        return _let(starts, lambda at: F.concat(
+            F.array_join(F.zip_with(blocks, F.slice(at, F.lit(1), F.size(blocks)), replaced), ""),
+            F.substring(source, F.element_at(at, -1) + 1, F.char_length(source)),
+        ))
 
-    done = F.aggregate("spans", F.struct(F.lit(0).alias("at"), none.alias("out")), put, end)
+    done = _let(_blocks(F.col("spans")), redacted)
     return found.withColumn(text, F.when(F.size("spans") > 0, done).otherwise(source)).drop("base", "spans")
 
 

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from lambertlake.llm import pii
 
@@ -173,3 +174,25 @@ def test_whole_table(spark):
         want = brute(rows[r.doc_id])
         assert r.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
         assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(x.startswith(k) for x in want) for k in PATTERNS)
+
+
+def test_many_spans_in_one_text(spark):
+    """20,000 spans of two kinds with loose ones between: exact offsets, text and time."""
+    n = 20_000
+    parts, want, at = [], [], 0
+    for k in range(n):
+        piece = f"é{k} " if k % 3 else "𝔸 "
+        span = f"user{k}@mail.example.com" if k % 2 else f"+49.151.2345{k:05d}"
+        want.append(("email" if k % 2 else "phone", at + len(piece), at + len(piece) + len(span)))
+        parts.append(piece + span)
+        at += len(parts[-1]) + 2
+    text = ", ".join(parts)
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    model = pii.fit(df)
+    pii.find(df, model).collect()  # compiles
+    began = time.perf_counter()
+    got = pii.find(df, model).collect()[0].base
+    cleaned = pii.redact(df, model).collect()[0].text
+    assert time.perf_counter() - began < 30
+    assert [(pii.KINDS[s.kind], s.start, s.stop) for s in got] == want
+    assert cleaned == ", ".join((f"é{k} " if k % 3 else "𝔸 ") + ("[EMAIL]" if k % 2 else "[PHONE]") for k in range(n))
