@@ -10,12 +10,17 @@ pass lets open blocks inherit from their nearest decided neighbours. Inside an a
 element neighbours are blocks of the same element that the densities decided; where one side
 has none, the element itself counts as a good neighbour, so that short texts, tables and
 listings of an article stay. Outside, on a page whose article or main element has text, open
-blocks are bad.
-
-Inside an article a class or id counts as furniture only if all its parts are names of
-furniture or of mere containers (``ad-slot``, ``share-buttons``), so ``share-price`` doesn't;
-elsewhere one part is enough. An article's own heading part is its own; ``noscript`` is read
-inside articles and left out elsewhere; ``math`` is text, ``svg`` isn't.
+blocks are bad; on a page without, where nothing is decided, they stay. A page without an
+article none of whose blocks has stop words is in another language: there length decides alone
+(wide characters count threefold).
+
+A class or id counts as furniture only if all its parts are names of furniture or of mere
+containers (``ad-slot``, ``share-buttons``), so ``share-price`` and ``no-sidebar`` don't; those
+of ``html`` and ``body`` never do. Names of layout, and ``form``, don't count on an element
+around an article with most of the text of all articles, or, on a page whose articles hold no
+text, around most of the page's text. An element is hidden by the attribute ``hidden`` or by
+its style. An article's own heading part is its own; ``noscript`` is read inside articles and
+left out elsewhere; ``math`` is text, ``svg`` isn't.
 
 Character references are decoded, white space inside a block becomes one space, blocks are
 trimmed and joined by one line end. ``br`` is white space. Null and empty pages and pages
@@ -44,17 +49,18 @@ from lambertlake.llm import runtime
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|template|svg|iframe|object|textarea|select|title|canvas|video|audio)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)"
     r"|<[!?/][^>]*(?:>|\Z)",
     re.S | re.I,
 )
+#: Elements whose content isn't read, and where it ends.
+_RAW = {x: re.compile(rf"</{x}\s*>", re.I) for x in "script style template svg iframe object textarea select title canvas video audio".split()}
 #: What stands between the quoted values of a tag, a quoted value, and a tag that is none.
 _BARE = re.compile(r"""[^<>=]*+(?:=(?!\s*+["'])[^<>=]*+)*+""")
 _VALUE = re.compile(r"""=\s*+(?:"[^"]*+"|'[^']*+')""")
 _BOGUS = re.compile(r"</[^>]*(?:>|\Z)")
 #: The last case steps over the quoted values of other attributes, which may hold pages of their own.
-_ATTR = re.compile(r"""\b(class|id|role|style|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)|\b(hidden)\b|=\s*(?:"[^"]*"|'[^']*')""", re.I)
+_ATTR = re.compile(r"""(?<![\w:.-])(?:(class|id|role|style|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)|(hidden)(?![\w:.-]))|=\s*(?:"[^"]*"|'[^']*')""", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _PART = re.compile(r"[_-]+")
@@ -73,6 +79,11 @@ NAMED = set(
     "disqus respond adsbygoogle related recommended share sharing social breadcrumb breadcrumbs pagination pager toolbar widget copyright search form "
     "skip complementary contentinfo".split()
 )
+#: Names that tell what a place holds, not where it is: they count whatever stands in it.
+FOREIGN = set(
+    "ad ads advert adverts advertisement sponsor sponsored promo cookie cookies cookiebar consent gdpr notice alert popup modal overlay newsletter "
+    "subscribe signup login comment comments commentlist reply replies disqus respond adsbygoogle related recommended".split()
+)
 HOLDERS = set(
     "site page post article entry user main top bottom left right inner outer inline bar box block wrap wrapper container content list item section "
     "area slot unit row group zone panel thread button buttons links icons posts articles media policy message text".split()
@@ -93,37 +104,41 @@ GOOD, BAD, NEAR, OPEN = "good", "bad", "near", "open"
 class Block(NamedTuple):
     text: str
     linked: int
-    furniture: bool
+    furniture: bool | int  # from labels() on whether it is; before, the number of the innermost such element it stands in, 0 for none
     region: int  # the article or main element it stands in, 0 for none
     item: bool
 
 
-def _names_furniture(value: str, inside: bool) -> bool:
-    """Whether a class, id or role does; an article's own heading part isn't."""
+#: How an element is furniture: not, by a name of layout that what it holds may overrule, for good.
+NOT, LAYOUT, SURE = 0, 1, 2
+
+
+def _names_furniture(value: str, inside: bool) -> int:
+    """How a class, id or role names furniture; an article's own heading part isn't."""
+    most = NOT
     for name in _CAMEL.sub("-", value).lower().split():
         parts = [p for x in _PART.split(name) if (p := x.strip("0123456789"))]
         named = NAMED.intersection(parts)
         if inside:
             named.discard("header")
-            if not all(p in NAMED or p in HOLDERS for p in parts):
-                continue
-        if named:
-            return True
-    return False
+        if named and all(p in NAMED or p in HOLDERS for p in parts):
+            most = max(most, SURE if named & FOREIGN else LAYOUT)
+    return most
 
 
-def _named_furniture(attrs: str, inside: bool) -> bool:
-    """Whether class, id, role or style say so."""
+def _named_furniture(attrs: str, inside: bool) -> int:
+    """How class, id, role or style say so."""
+    most = NOT
     for key, value, hidden in _ATTR.findall(attrs):
         value = value.strip("\"'")
         if hidden:
-            return True
+            return SURE
         if key.lower() == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return True
-        elif key and _names_furniture(value, inside):
-            return True
-    return False
+                return SURE
+        elif key:
+            most = max(most, _names_furniture(value, inside))
+    return most
 
 
 def _tag_end(page: str, at: int, dead: set[int]) -> int:
@@ -155,6 +170,10 @@ def _tags(page: str) -> Iterator[tuple[int, int, str | None, bool, str]]:
             end = _tag_end(page, at, dead)
             if end >= 0:
                 attrs, at = page[at:end], min(end + 1, len(page))
+                raw = None if m["close"] else _RAW.get(name.lower())
+                if raw:
+                    closed = raw.search(page, at)
+                    name, at = None, closed.end() if closed else len(page)
             elif m["close"]:
                 name, at = None, _BOGUS.match(page, start).end()
             else:
@@ -166,19 +185,26 @@ class _Open:
     """The open elements: a stack that knows how often a name is open in the current article."""
 
     def __init__(self) -> None:
-        self.stack: list[tuple[str, bool, bool]] = []  # name, is furniture, is content
+        self.stack: list[tuple[str, int, bool]] = []  # name, how it is furniture, is content
         self.names: list[Counter] = [Counter()]  # outside, then for each open article or main
-        self.furniture: list[int] = []  # places of furniture in the stack
+        self.furniture: list[tuple[int, int]] = []  # place in the stack and number of open furniture
         self.regions = [0]
-        self.made = 0
+        #: For each piece of furniture and each region by number: what it stands in, and more.
+        self.pieces: list[tuple[int, int]] = [(0, NOT)]  # piece around it, how it is furniture
+        self.places: list[tuple[int, int]] = [(0, 0)]  # region around it, piece around it
 
-    def push(self, name: str, furniture: bool, content: bool = False) -> None:
-        if furniture:
-            self.furniture.append(len(self.stack))
+    @property
+    def piece(self) -> int:
+        return self.furniture[-1][1] if self.furniture else 0
+
+    def push(self, name: str, furniture: int, content: bool = False) -> None:
         if content:
-            self.made += 1
-            self.regions.append(self.made)
+            self.places.append((self.regions[-1], self.piece))
+            self.regions.append(len(self.places) - 1)
             self.names.append(Counter())
+        if furniture:
+            self.pieces.append((self.piece, furniture))
+            self.furniture.append((len(self.stack), len(self.pieces) - 1))
         self.stack.append((name, furniture, content))
         self.names[-1][name] += 1
 
@@ -202,6 +228,31 @@ class _Open:
             self.cut(n)
 
 
+def _overruled(found: list[Block], opened: _Open) -> list[Block]:
+    """The blocks with their furniture decided: layout around the page's main text is none."""
+    plain = [len(b.text) - b.linked for b in found]
+    held, read = [0] * len(opened.pieces), [0] * len(opened.places)
+    for b, n in zip(found, plain):
+        held[b.furniture] += n
+        read[b.region] += n
+    for sums, around in ((held, opened.pieces), (read, opened.places)):
+        for k in range(len(sums) - 1, 0, -1):  # what stands in an element has a higher number
+            sums[around[k][0]] += sums[k]
+    within = sum(n for b, n in zip(found, plain) if b.region)
+    free = set()
+    for k in range(1, len(read)):
+        at = opened.places[k][1]
+        while 2 * read[k] > within and at and at not in free:
+            free.add(at)
+            at = opened.pieces[at][0]
+    is_furniture = [False]
+    for k in range(1, len(held)):
+        around, how = opened.pieces[k]
+        most = not within and 2 * held[k] > held[0]
+        is_furniture.append(is_furniture[around] or how == SURE or not (k in free or most))
+    return [b._replace(furniture=is_furniture[b.furniture]) for b in found]
+
+
 def blocks(page: str) -> list[Block]:
     """The page's blocks with text, in order."""
     out: list[Block] = []
@@ -214,7 +265,7 @@ def blocks(page: str) -> list[Block]:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
                 link = len(" ".join(entities.unescape("".join(linked)).split())) if linked else 0
-                out.append(Block(text, link, bool(opened.furniture), opened.regions[-1], opened.names[-1]["li"] > 0))
+                out.append(Block(text, link, opened.piece, opened.regions[-1], opened.names[-1]["li"] > 0))
             parts.clear()
             linked.clear()
 
@@ -240,11 +291,11 @@ def blocks(page: str) -> list[Block]:
                 if opened.names[-1][name] > 0:
                     flush()
                     opened.close(name)
-            elif name not in VOID and (attrs and _named_furniture(attrs, inside)):
+            elif name not in VOID and attrs and (named := _named_furniture(attrs, inside)):
                 flush()
-                opened.push(name, True)
+                opened.push(name, named)
             elif opened.names[-1][name] > 0:
-                opened.push(name, False)
+                opened.push(name, NOT)
         else:
             flush()
             in_link = 0
@@ -254,20 +305,21 @@ def blocks(page: str) -> list[Block]:
                 content = name in CONTENT
                 stack = opened.stack
                 if content and opened.furniture:
-                    first = opened.furniture[0]
+                    first = opened.furniture[0][0]
                     if stack[first][0] in ("nav", "header", "form", "head", "menu"):
                         opened.cut(first)
                 elif name in ("p", "li", "tr", "td", "dt", "dd", "option") and stack and stack[-1][0] == name:
                     opened.cut(len(stack) - 1)
                 own = inside and name in ("header", "noscript")
-                named = not content and bool(attrs) and _named_furniture(attrs, inside)
-                opened.push(name, not own and (name in FURNITURE or named), content)
+                named = _named_furniture(attrs, inside) if attrs and not content and name != "body" else NOT
+                tag = SURE if name in FURNITURE and name != "form" else LAYOUT if name == "form" else NOT
+                opened.push(name, NOT if own else max(tag, named), content)
     if at < len(page):
         parts.append(page[at:])
         if in_link:
             linked.append(page[at:])
     flush()
-    return out
+    return _overruled(out, opened)
 
 
 def first_pass(b: Block) -> str:
@@ -290,6 +342,11 @@ def first_pass(b: Block) -> str:
     return BAD if b.linked and not b.region else OPEN
 
 
+def _by_length(b: Block) -> str:
+    n = len(b.text) + 2 * sum(c >= "\u2e80" for c in b.text)
+    return GOOD if n > LONG else NEAR if n >= SHORT else OPEN
+
+
 def _neighbours(found: list[Block], first: list[str]) -> list[tuple[str | None, int]]:
     """For each block the last decided one before it that may lend its label, and how far back that is."""
     seen: dict[int, tuple[str, int]] = {}
@@ -309,6 +366,8 @@ def labels(found: list[Block]) -> list[bool]:
     """Whether each block is main text."""
     first = [first_pass(b) for b in found]
     article = any(b.region and not b.furniture for b in found)
+    if not article and GOOD not in first and NEAR not in first:  # another language
+        first = [_by_length(b) if x == OPEN else x for b, x in zip(found, first)]
     before = _neighbours(found, first)
     after = _neighbours(found[::-1], first[::-1])[::-1]
     out = []
@@ -323,7 +382,7 @@ def labels(found: list[Block]) -> list[bool]:
         elif article:
             out.append(False)
         elif a is None and b is None:
-            out.append(x == NEAR)  # nothing is decided: middling text is all there is
+            out.append(True)  # nothing is decided
         elif a is None or b is None or a == b:
             out.append((a or b) == GOOD or (x == NEAR and GOOD not in first))
         else:

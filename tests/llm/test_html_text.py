@@ -90,6 +90,45 @@ def test_quotes_take_linear_time():
         assert time.process_time() - began < 10, unit
 
 
+def test_names_around_the_text_do_not_remove_it():
+    article = f"<article><h1>Title</h1><p>{LONG}</p></article>"
+    for around in ("<html class='no-js nav-open'>", "<html class=nav><body class='sidebar header'>", "<body class='home blog no-sidebar'>", "<div class='content-sidebar-wrap'>", "<div class='sidebar-left'>", "<div id=header-main>", "<form action=x>", "<form class=search><div class=menu>", "<div class=menu><main class=sidebar><div class='content-wrap'>"):
+        page = f"{around}<div class='top-menu'><a href=1>one</a> and more</div>{article}<div class=sidebar><p>{LONG}</p></div>"
+        assert ht.main_text(page) == "Title\n" + LONG.strip(), around
+    # On pages without an article or main element, around most of the text.
+    for around in ("<div class='has-header'>", "<body class='nav'>", "<form id=aspnetForm>", "<div class='sidebar-left'><form class=page>", "<div id=header-main>"):
+        page = f"<div class=menu>{'Menu ' * 9}</div>{around}<h1>Title</h1><p>{LONG}</p><p>{LONG}</p><form>Send it</form><div class=sidebar><p>{LONG}</p></div>"
+        assert ht.main_text(page) == "\n".join(["Title", LONG.strip(), LONG.strip()]), around
+
+
+def test_comments_stay_out_whatever_their_share():
+    comments = "".join(f"<article class=comment><p>{LONG * 4}</p></article>" for _ in range(5))
+    for around in ("<div id=comments>", "<section class='comments-area'>", "<div class='related posts'>"):
+        assert ht.main_text(f"<main><p>{LONG * 4}</p></main>{around}{comments}") == (LONG * 4).strip(), around
+
+
+def test_hidden_as_an_attribute_of_its_own():
+    for attrs in ("aria-hidden='false'", "data-hidden-on='print'", "class=hidden-xs", "data-class='ad'", "data-id=nav", "title='hidden'", "x-hidden"):
+        assert ht.main_text(f"<article><p {attrs}>Text.</p></article>") == "Text.", attrs
+    for attrs in ("hidden", "HIDDEN=''", "class=x hidden id=y", "hidden=until-found"):
+        assert ht.main_text(f"<article><p>Text.</p><p {attrs}>no</p></article>") == "Text.", attrs
+
+
+def test_other_languages_and_undecided_pages():
+    han = "\u6c49\u5b57\u7684\u6587\u7ae0" * 24
+    menu = "<ul><li><a href=1>\u4e00</a><li><a href=2>\u4e8c</a></ul>"
+    assert ht.main_text(f"<body>{menu}<h1>\u9898</h1><p>{han}</p><p>{han}</p><div class=footer>{han}</div>") == f"\u9898\n{han}\n{han}"
+    assert ht.main_text("<body><p>Dobry</p><p>den</p>") == "Dobry\nden"
+
+
+def test_raw_elements_take_linear_time():
+    for unit in ("<title ", "<script>", "<svg>x", "<style </style", "<title><script "):
+        began = time.process_time()
+        assert ht.main_text(f"<article><p>{LONG}</p>" + unit * 100_000).startswith(LONG.strip())
+        assert time.process_time() - began < 10, unit
+    assert ht.main_text("<article><script a='>'>no</SCRIPT ><p>yes<title>no</title></p><textarea>no</article>") == "yes"
+
+
 def test_whole_table(spark):
     sf = "/root/testdata/sf0.01"
     rows = {r.page_id: r for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
