@@ -20,8 +20,8 @@ link where their sets' Jaccard similarity is 0.8 or more.
    paired with its bucket's pivot; pairs are verified on the words themselves, first those that
    share most buckets, then those between components. A bucket that still has several components
    is searched: members outside its largest component are compared with all others, in blocks of
-   bounded size, by sizes and parity bitmaps, which never rule out a link; what is left is
-   verified on the words. So every link is found or implied, and no group is expanded into all
+   bounded size, by sizes and parity bitmaps, which never rule out a link; the pairs that are
+   left are verified on the words. So every link is found or implied, and no group is expanded into all
    its pairs.
 
 A document's component is the smallest doc_id that it can reach by links. Null text counts as
@@ -41,7 +41,6 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -61,6 +60,8 @@ SLOTS, HOT = 1 << 20, 16
 BITS = 1024
 #: Members of a block: outside the largest component, and of all.
 FEW, MANY = 64, 256
+#: Bytes of text that are hashed at once.
+PIECE = 1 << 17
 #: Texts and sets that a task remembers.
 KNOWN = 4 * MANY
 
@@ -83,21 +84,59 @@ def linked(a: set, b: set) -> bool:
     return both > 0 and 100 * both >= LEAST * (len(a) + len(b) - both)
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
-            self.clear()
-        found = xxhash.xxh3_64_intdigest(word)
-        if len(word) <= runtime.LONG_WORD:
-            self[word] = found
-        return found
+#: A value for each byte (A-Z as a-z), which bytes are between words, and a factor with its inverse.
+_BYTE = _mix(np.arange(1, 257, dtype=_U))
+_BYTE[65:91] = _BYTE[97:123]
+_SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
+_FACTOR = 0xD6E8FEB86659FD93
+_INVERSE = pow(_FACTOR, -1, 1 << 64)
 
 
-def hashed(own: list[bytes], hashes: dict) -> np.ndarray:
-    """The set's shingles as sorted 64-bit hashes."""
-    if not own:
-        return np.zeros(0, _U)
-    return np.unique(shingle_hashes(np.fromiter(map(hashes.__getitem__, own), _U, len(own))))
+@cache
+def _powers(base: int, steps: int) -> np.ndarray:
+    """Powers of ``base``, PIECE * 2 ** steps of them."""
+    out = np.full(PIECE << steps, base, _U)
+    out[0] = 1
+    return np.cumprod(out, dtype=_U)
+
+
+def word_hashes(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and start of each word of a text given as bytes: polynomials of the bytes, all words at once."""
+    space = np.concatenate([[True], _SPACE[text], [True]])
+    start = np.flatnonzero(space[:-1] & ~space[1:])
+    stop = np.flatnonzero(~space[:-1] & space[1:])
+    steps = max(0, (len(text) // PIECE).bit_length())
+    upto = np.zeros(len(text) + 1, _U)
+    np.cumsum(_BYTE[text] * _powers(_FACTOR, steps)[: len(text)], out=upto[1:])
+    return _mix((upto[stop] - upto[start]) * _powers(_INVERSE, steps)[start] + (stop - start).astype(_U)), start
+
+
+def _all_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all texts' words, and each text's number of words."""
+    joined = b"\n".join(texts) + b"\n"
+    data = np.frombuffer(joined, np.uint8)
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    found, count, at = [], np.zeros(len(texts), np.int64), 0
+    while at < len(data):
+        to = min(at + PIECE, len(data))
+        while not _SPACE[data[to - 1]]:  # pieces end between words
+            gap = _SPACE[data[to : to + PIECE]]
+            to += int(np.argmax(gap)) + 1 if gap.any() else len(gap)
+        hashes, start = word_hashes(data[at:to])
+        found.append(hashes)
+        count += np.bincount(np.searchsorted(ends, start + at, side="right"), minlength=len(texts))
+        at = to
+    return np.concatenate(found), count
+
+
+def hashed(texts: list[bytes]) -> list[np.ndarray]:
+    """The texts' sets of shingles as sorted 64-bit hashes."""
+    if not texts:
+        return []
+    hashes, count = _all_hashes(texts)
+    stop = np.cumsum(count)
+    found = [np.sort(shingle_hashes(hashes[b - n : b])) if n else np.zeros(0, _U) for b, n in zip(stop, count)]
+    return [s[np.r_[True, s[1:] != s[:-1]]] if len(s) else s for s in found]
 
 
 @cache
@@ -165,7 +204,7 @@ class Signer:
             for k in bands(len(s)) if len(s) else ():
                 by.setdefault(k, []).append(i)
         self.sets += len(sets)
-        keys, owners, hot = [], [], []
+        keys, owners = [], []
         for k, members in by.items():
             found, owner = self._band(k, [sets[i] for i in members])
             keys.append(found)
@@ -174,6 +213,8 @@ class Signer:
             return np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, bool)
         keys, owners = np.concatenate(keys), np.concatenate(owners)
         hot = self._seen(keys) > max(64, self.sets / HOT)
+        self.met += np.bincount(((keys >> _U(20)) % _U(SLOTS)).astype(np.int64), minlength=SLOTS).astype(np.int32)
+        self.total += len(keys)
         return keys, owners, hot
 
     def _band(self, k: int, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -209,8 +250,6 @@ class Signer:
         drop[order] = rank < may[owners[order]]
         keep_full = ~drop[: len(full)]
         keys, whose = [full[keep_full]], [of[keep_full]]
-        np.add.at(self.met, ((keys[0] >> _U(20)) % _U(SLOTS)).astype(np.int64), 1)
-        self.total += len(keys[0])
         kept_near = np.zeros(len(full), bool)
         kept_near[around] = ~drop[len(full) :]
         some = kept_near[segment]
@@ -221,25 +260,30 @@ class Signer:
         return np.concatenate(keys), np.concatenate(whose)
 
 
-_DEALT = "cell int, doc_id long, row long, n long, set_key binary, text_key binary, keys binary, sets binary, hot boolean"
-_FOUND = "doc_id long, row long, n long, set_key binary, text_key binary, key long, pivot long"
+def parity(own: np.ndarray) -> bytes:
+    """Of each of BITS classes of shingles whether the set has an odd number."""
+    return np.packbits(np.bincount((own % _U(BITS)).astype(np.int64), minlength=BITS).astype(np.uint8) & 1).tobytes()
+
+
+_DEALT = "cell int, doc_id long, row long, n long, set_key binary, text_key binary, bitmap binary, keys binary, sets binary, hot boolean"
+_FOUND = "doc_id long, row long, n long, set_key binary, text_key binary, bitmap binary, key long, pivot long"
 
 
 def _signed(docs: DataFrame, cells: int) -> DataFrame:
     """Rows of three kinds: documents; entries of a cell (keys, sets); members of hot keys."""
 
     def run(batches: Iterator[pa.RecordBatch]):
-        hashes, signer, known = _Hashes(), Signer(), set()
-        schema = pa.schema([("cell", pa.int32()), ("doc_id", pa.int64()), ("row", pa.int64()), ("n", pa.int64()), *((c, pa.binary()) for c in ("set_key", "text_key", "keys", "sets")), ("hot", pa.bool_())])
+        signer, known = Signer(), set()
+        schema = pa.schema([("cell", pa.int32()), ("doc_id", pa.int64()), ("row", pa.int64()), ("n", pa.int64()), *((c, pa.binary()) for c in ("set_key", "text_key", "bitmap", "keys", "sets")), ("hot", pa.bool_())])
 
         def rows(count, **columns):
             return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(count, f.type) for f in schema], schema=schema)
 
         for batch in runtime.slices(batches, DOCS):
             ident, row = batch.column("doc_id").to_pylist(), batch.column("row").to_pylist()
-            sets = [hashed(words(t.as_py()), hashes) for t in batch.column("text").cast(pa.binary())]
+            sets = hashed(batch.column("text").cast(pa.binary()).to_pylist())
             set_keys = [hashlib.md5(s.tobytes()).digest() if len(s) else None for s in sets]
-            yield rows(len(sets), cell=[r % cells for r in row], doc_id=ident, row=row, n=[len(s) for s in sets], set_key=set_keys, text_key=batch.column("text_key"))
+            yield rows(len(sets), cell=[r % cells for r in row], doc_id=ident, row=row, n=[len(s) for s in sets], set_key=set_keys, text_key=batch.column("text_key"), bitmap=[parity(s) for s in sets])
             # A set that this task has signed before needs no more entries.
             new = []
             for i, key in enumerate(set_keys):
@@ -273,7 +317,7 @@ def _buckets(signed: DataFrame) -> DataFrame:
     """Documents, and members (key, row, pivot) of the keys that several sets have; hot keys' members without pivot."""
 
     def run(batches: Iterator[pa.RecordBatch]):
-        schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n", pa.int64()), ("set_key", pa.binary()), ("text_key", pa.binary()), ("key", pa.int64()), ("pivot", pa.int64())])
+        schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n", pa.int64()), ("set_key", pa.binary()), ("text_key", pa.binary()), ("bitmap", pa.binary()), ("key", pa.int64()), ("pivot", pa.int64())])
 
         def rows(n, columns):
             return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
@@ -297,7 +341,7 @@ def _buckets(signed: DataFrame) -> DataFrame:
         for batch in batches:
             documents = batch.filter(batch.column("n").is_valid())
             if documents.num_rows:
-                yield rows(documents.num_rows, {c: documents.column(c) for c in ("doc_id", "row", "n", "set_key", "text_key")})
+                yield rows(documents.num_rows, {c: documents.column(c) for c in ("doc_id", "row", "n", "set_key", "text_key", "bitmap")})
             hot = batch.filter(batch.column("hot").is_valid())
             if hot.num_rows:
                 keys = np.frombuffer(b"".join(hot.column("keys").to_pylist()), np.int64)
@@ -315,7 +359,7 @@ def _buckets(signed: DataFrame) -> DataFrame:
 
 
 def _packed(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """rep, n, parity bitmap and compressed words of the wanted sets (text_key, rep)."""
+    """rep and compressed words of the wanted sets (text_key, rep); the one time that texts are moved."""
 
     def pack(batches):
         compress = zstandard.ZstdCompressor(level=1).compress
@@ -332,18 +376,9 @@ def _packed(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             texts = batch.column("text").cast(pa.binary()).take(pa.array(new, pa.int32())).to_pylist()
             yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in new], pa.binary()), pa.array([compress(b" ".join(words(t))) for t in texts], pa.binary())], names=["text_key", "packed"])
 
-    def describe(batches):
-        hashes = _Hashes()
-        for batch in runtime.slices(batches):
-            decompress = zstandard.ZstdDecompressor().decompress
-            sets = [hashed(words(decompress(p)), hashes) for p in batch.column("packed").to_pylist()]
-            maps = [np.packbits(np.bincount((s % _U(BITS)).astype(np.int64), minlength=BITS).astype(np.uint8) & 1).tobytes() for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array([len(s) for s in sets], pa.int64()), pa.array(maps, pa.binary()), batch.column("packed")], names=["rep", "n", "bitmap", "packed"])
-
     own = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("text_key"), "text")
     own = own.mapInArrow(pack, "text_key binary, packed binary")
-    found = own.join(wanted, "text_key").dropDuplicates(["rep"]).select("rep", "packed")
-    return found.mapInArrow(describe, "rep long, n long, bitmap binary, packed binary")
+    return own.join(wanted, "text_key").dropDuplicates(["rep"]).select("rep", "packed")
 
 
 def near(n: np.ndarray, m: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -399,10 +434,9 @@ def _verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _remaining(members: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Links between components that share a bucket of at least three sets.
+    """The pairs (x, y), x < y, in different components, of buckets of at least three sets, that may link.
 
-    In a block, a member outside its bucket's largest component meets all others; of another
-    component the likeliest are tried first, until one links.
+    In a block, a member outside its bucket's largest component meets all others.
     """
     mine = _labelled(members, labels, "rep").select("key", "rep", F.col("rep_label").alias("label"))
     sizes = mine.groupBy("key", "label").agg(F.count("*").alias("n"))
@@ -415,33 +449,26 @@ def _remaining(members: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataF
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     asks = mine.where("label <> main").withColumn("i", place(1, "few")).withColumn("j", upto("many")).withColumn("asks", F.lit(True))
     told = mine.withColumn("j", place(2, "many")).withColumn("i", upto("few")).withColumn("asks", F.lit(False))
-    columns = ["key", "i", "j", "asks", "rep", "label", "n", "bitmap", "packed"]
+    columns = ["key", "i", "j", "asks", "rep", "label", "n", "bitmap"]
     dealt = asks.select(columns).unionByName(told.select(columns)).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def run(batches):
-        sets, held, last = _Sets(), [], None
+        held, last = [], None
         judged: set = set()
 
         def out():
-            asks, rep, label, n, bitmap, packed = ([x for h in held for x in h[c]] if c == 5 else np.concatenate([h[c] for h in held]) for c in range(6))
+            asks, rep, label, n, bitmap = (np.concatenate([h[c] for h in held]) for c in range(5))
             held.clear()
-            found = []
+            found = set()
             told = np.flatnonzero(~asks)
-            if len(judged) > 1_000_000:
-                judged.clear()
             for r in np.flatnonzero(asks):
                 other = told[label[told] != label[r]]
                 other = other[near(n[r], n[other], bitmap[r], bitmap[other])]
-                other = other[np.argsort(np.bitwise_count(bitmap[r] ^ bitmap[other]).sum(1), kind="stable")]
-                done = set()
-                for o in other:
-                    pair = (min(rep[r], rep[o]), max(rep[r], rep[o]))
-                    if label[o] in done or pair in judged:
-                        continue
-                    judged.add(pair)
-                    if linked(sets.of(rep[r], packed[r]), sets.of(rep[o], packed[o])):
-                        done.add(label[o])
-                        found.append((int(rep[r]), int(rep[o])))
+                found.update((int(min(rep[r], o)), int(max(rep[r], o))) for o in rep[other])
+            if len(judged) > 1_000_000:
+                judged.clear()
+            found -= judged  # a pair may meet in many buckets
+            judged.update(found)
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["x", "y"])
 
@@ -449,17 +476,17 @@ def _remaining(members: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataF
             if not batch.num_rows:
                 continue
             key, i, j, asks, rep, label, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in columns[:7])
-            bitmap, packed = _bitmaps(batch.column("bitmap")), batch.column("packed").to_pylist()
+            bitmap = _bitmaps(batch.column("bitmap"))
             cut = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
             for a, b in zip(np.r_[0, cut], np.r_[cut, len(key)]):
                 if last is not None and last != (key[a], i[a], j[a]):
                     yield from out()
                 last = (key[a], i[a], j[a])
-                held.append((asks[a:b].astype(bool), rep[a:b], label[a:b], n[a:b], bitmap[a:b], packed[a:b]))
+                held.append((asks[a:b].astype(bool), rep[a:b], label[a:b], n[a:b], bitmap[a:b]))
         if held:
             yield from out()
 
-    return dealt.mapInArrow(run, "x long, y long")
+    return dealt.mapInArrow(run, "x long, y long").distinct()
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -470,9 +497,9 @@ def join(docs: DataFrame) -> DataFrame:
     cells = CELLS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = runtime.checkpoint(_buckets(_signed(docs, cells)))
     runtime.release(spark)
-    rows = found.where("n IS NOT NULL").select("doc_id", "row", "n", "text_key", F.coalesce("set_key", F.col("row").cast("string").cast("binary")).alias("set_key"))
+    rows = found.where("n IS NOT NULL").select("doc_id", "row", "n", "text_key", "bitmap", F.coalesce("set_key", F.col("row").cast("string").cast("binary")).alias("set_key"))
     reps = runtime.checkpoint(rows.where("doc_id IS NOT NULL").groupBy("set_key").agg(F.min("row").alias("rep")))
-    held = runtime.checkpoint(rows.where("doc_id IS NOT NULL").join(reps, "set_key").select("doc_id", "row", "text_key", "rep", "n"))
+    held = runtime.checkpoint(rows.where("doc_id IS NOT NULL").join(reps, "set_key").select("doc_id", "row", "text_key", "rep", "n", "bitmap"))
     of = held.select("row", "rep")
     entries = found.where("key IS NOT NULL").select("key", "row", "pivot")
     members = runtime.checkpoint(entries.join(of, "row").select("key", "rep", "pivot"))
@@ -484,18 +511,21 @@ def join(docs: DataFrame) -> DataFrame:
     stars = stars.where("x <> y").groupBy("x", "y").agg(F.sum("shared").alias("shared"))
     members = members.select("key", "rep").distinct()
     shared = members.select("rep").distinct()
-    wanted = held.where(F.col("row") == F.col("rep")).select("text_key", "rep").join(shared, "rep")
-    nodes = runtime.checkpoint(_packed(docs, wanted))
-    stars = runtime.checkpoint(_may(stars, nodes.select("rep", "n", "bitmap")))
+    nodes = runtime.checkpoint(held.where(F.col("row") == F.col("rep")).select("text_key", "rep", "n", "bitmap").join(shared, "rep"))
+    stars = runtime.checkpoint(_may(stars, nodes))
+    packed = runtime.checkpoint(_packed(docs, nodes.select("text_key", "rep")))
+    nodes = nodes.drop("text_key")
     runtime.release(spark)
     # Rows of one doc_id are one document.
     several = held.groupBy("doc_id").agg(F.min("rep").alias("y"), F.max("rep").alias("_last")).where("y < _last").drop("_last")
     same = held.join(several, "doc_id").where("rep > y").select(F.col("rep").alias("x"), "y").distinct()
     best = stars.groupBy("x").agg(F.max_by("y", F.struct("shared", -F.col("y"))).alias("y"))
-    labels = components(_verified(best, nodes).unionByName(same))
+    labels = components(_verified(best, packed).unionByName(same))
     tried = stars.join(best, ["x", "y"], "left_anti")
-    labels = _joined(labels, runtime.checkpoint(_verified(_apart(tried, labels), nodes)))
-    labels = _joined(labels, runtime.checkpoint(_remaining(members, labels, nodes)))
+    labels = _joined(labels, runtime.checkpoint(_verified(_apart(tried, labels), packed)))
+    compared = stars.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    rest = _remaining(members, labels, nodes).join(compared, ["x", "y"], "left_anti")
+    labels = _joined(labels, runtime.checkpoint(_verified(rest, packed)))
     lowest = held.groupBy("rep").agg(F.min("doc_id").alias("lowest")).join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     names = lowest.where("label IS NOT NULL").groupBy("label").agg(F.min("lowest").alias("named"))
     lowest = lowest.join(names, "label", "left").select("rep", F.coalesce("named", "lowest").alias("component_id"))
