@@ -5,8 +5,10 @@ plus the logarithm of how often it occurs. Every shingle is a Poisson process of
 weight: its arrivals fall on random registers, and a register keeps its earliest arrival. An
 element stops as soon as its next arrival is later than the latest register, so most shingles of
 a long text cost one arrival. Two texts' registers agree with the probability Jaccard of their
-weights. Where no shingle repeats that is the Jaccard similarity of the sets; the logarithm keeps
-it close to that where some do, so that the registers find what verification accepts.
+weights. Where no shingle repeats that is the Jaccard similarity of the sets. Where some do it can
+be far below it, so such texts have registers of equal weights beside: a pair is a candidate by
+either, is ruled out only by both, and is verified by the similarity of the sets, so that what
+repeats in a text loses no link.
 
 1. Equal texts are one node from the start; texts that share a doc_id are linked.
 2. Registers are cut into bands; texts that agree on a band share a bucket. Every member is
@@ -98,8 +100,8 @@ def prob_min_hash(shingles: np.ndarray, weights: np.ndarray, owner: np.ndarray,
 
 
 def signatures(texts: list[str | None], hashes: dict, weighted: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Register values of the texts that have words, and which those are."""
-    sets, weights, has = [], [], []
+    """Register values of the texts that have words (texts x 2 x registers: weighted, of equal weights), and which those are."""
+    sets, weights, has, again = [], [], [], []
     for i, text in enumerate(texts):
         words = text.split() if text else []
         if words:
@@ -107,20 +109,27 @@ def signatures(texts: list[str | None], hashes: dict, weighted: bool = True) ->
             found, times = np.unique(found, return_counts=True)
             sets.append(found)
             weights.append(1 + np.log(times) if weighted else np.ones(len(found)))
+            if weighted and len(found) < times.sum():
+                again.append(len(has))
             has.append(i)
     if not has:
-        return np.zeros((0, REGISTERS), np.uint64), np.zeros(0, np.int64)
-    owner = np.repeat(np.arange(len(has)), [len(s) for s in sets])
-    return prob_min_hash(np.concatenate(sets), np.concatenate(weights).astype(np.float64), owner, len(has)), np.array(has)
+        return np.zeros((0, 2, REGISTERS), np.uint64), np.zeros(0, np.int64)
+    # Texts in which shingles repeat once more, with equal weights.
+    all_sets, all_weights = sets + [sets[k] for k in again], weights + [np.ones(len(sets[k])) for k in again]
+    owner = np.repeat(np.arange(len(all_sets)), [len(s) for s in all_sets])
+    values = prob_min_hash(np.concatenate(all_sets), np.concatenate(all_weights).astype(np.float64), owner, len(all_sets))
+    equal = np.arange(len(has))
+    equal[again] = np.arange(len(has), len(all_sets))
+    return np.stack([values[: len(has)], values[equal]], axis=1), np.array(has)
 
 
 def band_keys(values: np.ndarray) -> np.ndarray:
-    """One 64-bit key per band, different for each band."""
-    each = values.reshape(-1, BANDS, ROWS)
-    out = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), each.shape[:2]).copy()
+    """64-bit keys, different for each band (texts x bands x 2: of both kinds of registers)."""
+    each = values.reshape(-1, 2, BANDS, ROWS)
+    out = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), each.shape[:3]).copy()
     for i in range(ROWS):
-        out = _mix(out * _PRIME + each[:, :, i])
-    return out.view(np.int64)
+        out = _mix(out * _PRIME + each[..., i])
+    return np.ascontiguousarray(out.transpose(0, 2, 1)).view(np.int64)
 
 
 _SIGNED = "doc_id long, text_key binary, bands array<long>, registers binary"
@@ -140,7 +149,7 @@ def _sign(docs: DataFrame, weighted: bool) -> DataFrame:
             bands, low = band_keys(values), (values & np.uint64(0xFF)).astype(np.uint8)
             row = dict(zip(has.tolist(), range(len(has))))
             counts = np.zeros(len(texts) + 1, np.int32)
-            counts[has + 1] = BANDS
+            counts[has + 1] = 2 * BANDS
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum(counts, dtype=np.int32)), pa.array(bands.ravel()))
             registers = pa.array([low[row[i]].tobytes() if i in row else b"" for i in range(len(texts))], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), lists, registers], names=["doc_id", "text_key", "bands", "registers"])
@@ -149,8 +158,9 @@ def _sign(docs: DataFrame, weighted: bool) -> DataFrame:
 
 
 def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Estimated similarity of rows of registers kept in a byte each, of which one in 256 agrees by chance."""
-    return ((a == b).mean(-1) - 1 / 256) / (1 - 1 / 256)
+    """Estimated similarity of rows of registers kept in a byte each, of which one in 256 agrees by chance: the higher of both kinds."""
+    same = (a == b).reshape(*np.broadcast_shapes(a.shape, b.shape)[:-1], 2, REGISTERS).mean(-1).max(-1)
+    return (same - 1 / 256) / (1 - 1 / 256)
 
 
 def _estimated(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
@@ -161,7 +171,7 @@ def _estimated(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFram
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, REGISTERS) for c in ("rx", "ry"))
+                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, 2 * REGISTERS) for c in ("rx", "ry"))
                 near = agreement(a, b)
                 keep = pa.array(near >= threshold - SLACK)
                 yield pa.RecordBatch.from_arrays([batch.column("x").filter(keep), batch.column("y").filter(keep), pa.array(near).filter(keep)], names=["x", "y", "near"])
@@ -283,7 +293,7 @@ def _rest(members: DataFrame, labels: DataFrame, nodes: DataFrame, packed: DataF
     )
     # Written first: then both sides of the join are plain shuffles, of which a hot key can be split.
     mine = mine.join(runtime.checkpoint(sizes), "key").join(nodes.select("rep", "bands", "registers").join(packed, "rep"), "rep")
-    mine = mine.withColumn("earlier", F.slice("bands", F.lit(1), F.col("band")))
+    mine = mine.withColumn("earlier", F.slice("bands", F.lit(1), 2 * F.col("band")))
     place = lambda salt, n: F.pmod(F.xxhash64("rep", F.lit(salt)), F.col(n)).cast("int")
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     asks = mine.where("label <> main").withColumn("i", place(1, "few")).withColumn("j", upto("many")).withColumn("asks", F.lit(True))
@@ -307,10 +317,9 @@ def _rest(members: DataFrame, labels: DataFrame, nodes: DataFrame, packed: DataF
         many = np.flatnonzero(~asks)
         for r in np.flatnonzero(asks):
             other = many[label[many] != label[r]]
-            same = registers[other] == registers[r]
-            near = (same.mean(1) - 1 / 256) / (1 - 1 / 256)
+            near = agreement(registers[other], registers[r])
             hit = near >= threshold - SLACK
-            hit[hit] = ~(earlier[other[hit]] == earlier[r]).any(1)
+            hit[hit] = ~(earlier[other[hit]][:, :, :, None] == earlier[r][None, :, None, :]).any((1, 2, 3))
             order = np.argsort(-near[hit], kind="stable")
             done = set()
             for o in other[hit][order]:
@@ -340,16 +349,16 @@ def _rest(members: DataFrame, labels: DataFrame, nodes: DataFrame, packed: DataF
             if not batch.num_rows:
                 continue
             key, i, j, band, asks, rep, label = (batch.column(c).to_numpy(zero_copy_only=False) for c in columns[:7])
-            registers = np.frombuffer(b"".join(batch.column("registers").to_pylist()), np.uint8).reshape(-1, REGISTERS)
+            registers = np.frombuffer(b"".join(batch.column("registers").to_pylist()), np.uint8).reshape(-1, 2 * REGISTERS)
             keys = batch.column("earlier").flatten().to_numpy(zero_copy_only=False)
-            start = np.r_[0, np.cumsum(band)]  # a row has as many earlier keys as its bucket has earlier bands
+            start = np.r_[0, np.cumsum(2 * band)]  # a row has two keys of each band earlier than its bucket's
             own = batch.column("packed").to_pylist()
             cut = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
             for a, b in zip(np.r_[0, cut], np.r_[cut, len(key)]):
                 if last is not None and last != (key[a], i[a], j[a]):
                     yield from out()
                 last = (key[a], i[a], j[a])
-                earlier = keys[start[a] : start[b]].reshape(b - a, band[a])
+                earlier = keys[start[a] : start[b]].reshape(b - a, band[a], 2)
                 held.append((asks[a:b].astype(bool), rep[a:b], label[a:b], earlier, registers[a:b]))
                 texts += own[a:b]
         if held:
@@ -367,7 +376,7 @@ def _same_document(held: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD, weighted: bool = True) -> DataFrame:
     """doc_id, class_id for every row of ``docs``.
 
-    Without ``weighted`` the registers take all shingles of a text alike.
+    Without ``weighted`` both kinds of registers take all shingles of a text alike.
     """
     runtime.small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
@@ -378,7 +387,8 @@ def classes(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD, w
     nodes = runtime.checkpoint(nodes.withColumn("rep", F.monotonically_increasing_id()))
     held = runtime.checkpoint(signed.select("doc_id", "text_key").join(nodes.select("text_key", "rep"), "text_key", "left").select("doc_id", "rep"))
     real = nodes.where(F.size("bands") > 0).select("rep", "bands", "registers")
-    banded = real.select("rep", F.posexplode("bands").alias("band", "key"))
+    keyed = F.array_distinct(F.transform("bands", lambda key, i: F.struct(F.floor(i / 2).cast("int").alias("band"), key.alias("key"))))
+    banded = real.select("rep", F.inline(keyed).alias("band", "key"))
     pivots = banded.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("_last")).where("pivot <> _last").drop("_last")
     pivots = runtime.checkpoint(pivots)  # so that the join below has two plain sides, and a hot key can be split
     members = runtime.checkpoint(banded.join(pivots, "key"))

@@ -108,6 +108,20 @@ def test_repeated_shingles(spark):
         assert {r.doc_id: r.class_id for r in nd.classes(df, weighted=weighted).collect()} == wanted
 
 
+def test_passages_repeated_up_to_two_hundred_times(spark):
+    # A quarter of one text once more, 1 to 200 times: the sets stay alike, the weights don't.
+    rng = random.Random(11)
+    rows = []
+    for i in range(80):
+        words = [f"w{rng.randrange(9000)}" for _ in range(200)]
+        start = rng.randrange(150)
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words + words[start : start + 50] * [1, 10, 50, 200][i % 4]))]
+    wanted = brute(rows)
+    assert all(wanted[2 * i + 1] == 2 * i for i in range(80))
+    got = {r.doc_id: r.class_id for r in nd.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == wanted
+
+
 def test_registers_estimate_probability_jaccard():
     rng = np.random.default_rng(1)
     shared, a, b = (rng.integers(0, 2**63, 300).astype(np.uint64) for _ in range(3))
@@ -131,8 +145,8 @@ def test_chance_agreement_of_bytes_hides_no_pair(spark):
     packed = spark.createDataFrame([(i, bytearray(pack(" ".join(t).encode()))) for i, t in texts.items()], "rep long, packed binary")
     labels = spark.createDataFrame([(1, 1), (2, 2)], "node long, label long")
     for same, found in (([3], [3]), ([1, 3], [1])):
-        bands = {i: [7 + b if b in same else 100 * i + b for b in range(nd.BANDS)] for i in texts}
-        nodes = spark.createDataFrame([(i, b, bytearray(nd.REGISTERS)) for i, b in bands.items()], "rep long, bands array<long>, registers binary")
+        bands = {i: [7 + b if b in same else 100 * i + b for b in range(nd.BANDS) for _ in range(2)] for i in texts}
+        nodes = spark.createDataFrame([(i, b, bytearray(2 * nd.REGISTERS)) for i, b in bands.items()], "rep long, bands array<long>, registers binary")
         for band in same:
             members = spark.createDataFrame([(7 + band, band, i) for i in texts], "key long, band int, rep long")
             got = {tuple(sorted(r)) for r in nd._rest(members, labels, nodes, packed, 0.8).collect()}
