@@ -11,8 +11,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lambertlake import catalog_models
+from lambertlake.functions.shared import fresh_folder
 from lambertlake.operators import series, stats
 from lambertlake.plans import pipeline as pl
+from lambertlake.sources import blocks
 
 FLAGSHIP = "ratio_difference_assay"
 QUERIES: dict = {}
@@ -473,6 +475,26 @@ def audit_search(spark, sf_dir):
     return rows.orderBy(F.desc("event_id")).limit(200).select("event_id", "event_type")
 
 
+# Files written by tasks and read in parts
+
+@query("files_in_parts", f"WITH {SPECTRA} SELECT id AS vec_id, CAST(len(y) AS BIGINT) AS n_points, round(list_sum(list_transform(y, lambda v, i: v * i)), 4) AS checksum FROM s")
+def files_in_parts(spark, sf_dir):
+    """Spectra written as compound JCAMP files, each of which several tasks read."""
+    folder = fresh_folder(spark, "jcamp")
+    blocks.write(spectra(spark, sf_dir).withColumn("name", F.concat(F.lit("vector "), F.col("id").cast("string"))), folder, per_file=250)
+    back = blocks.read(spark, folder, part_bytes=1 << 16)
+    return _checksum(back.select(F.substring_index("name", " ", -1).cast("long").alias("id"), "y"))
+
+
+@query("files_by_name", f"WITH {SPECTRA} SELECT id AS vec_id, CAST(len(y) AS BIGINT) AS n_points, round(list_sum(list_transform(y, lambda v, i: CAST(v AS FLOAT) * i)), 4) AS checksum FROM s WHERE id IN (3, 77, 250)")
+def files_by_name(spark, sf_dir):
+    """Three spectra by name from such files: the source is handed the filter and parses no others."""
+    folder = fresh_folder(spark, "jcamp")
+    blocks.write(spectra(spark, sf_dir).withColumn("name", F.concat(F.lit("vector "), F.col("id").cast("string"))), folder)
+    back = blocks.read(spark, folder, part_bytes=1 << 16).where(F.col("name").isin("vector 3", "vector 77", "vector 250"))
+    return _checksum(back.select(F.substring_index("name", " ", -1).cast("long").alias("id"), "y"))
+
+
 # Calibration by normal equations, cross-validation
 
 @query(

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -11,8 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
 from lambertlake.functions import kernels as k
-
-
+from lambertlake.functions.shared import checkpoint
 
 
 def value_at(x: Column, y: Column, at: Column | float) -> Column:
@@ -133,32 +130,21 @@ def ascend(edges: DataFrame, start: DataFrame) -> DataFrame:
     round is written to the checkpoint folder.
     """
     edges = edges.select("child", "parent").where("child IS NOT NULL AND parent IS NOT NULL").distinct()
-    jumps = _written(edges.select(F.col("child").alias("a"), F.col("parent").alias("b")))
-    found = _written(start.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("depth")).distinct())
+    jumps = checkpoint(edges.select(F.col("child").alias("a"), F.col("parent").alias("b")))
+    found = checkpoint(start.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("depth")).distinct())
     n, length = found.count(), 1
     while True:
         # Found are all ancestors less than length steps away; jumps are the pairs length steps apart, in a tree one for each node.
         far = found.join(jumps, found["ancestor"] == jumps["a"]).select("node", F.col("b").alias("ancestor"), (F.col("depth") + length).alias("depth"))
-        found = _written(found.unionByName(far).groupBy("node", "ancestor").agg(F.min("depth").alias("depth")))
+        found = checkpoint(found.unionByName(far).groupBy("node", "ancestor").agg(F.min("depth").alias("depth")))
         before, n = n, found.count()
         if n == before:
             return found
         other = jumps.select(F.col("a").alias("b"), F.col("b").alias("c"))
-        jumps = _written(jumps.join(other, "b").select("a", F.col("c").alias("b")).distinct())
+        jumps = checkpoint(jumps.join(other, "b").select("a", F.col("c").alias("b")).distinct())
         length *= 2
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """``df`` in the checkpoint folder; only a session in one local process makes a temporary one."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and context.master.split("[")[0] != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lambertlake-"))
-    return df.checkpoint(eager=True)
-
-
 def descend(edges: DataFrame, start: DataFrame) -> DataFrame:
     """node, descendant, depth."""
     turned = edges.select(F.col("parent").alias("child"), F.col("child").alias("parent"))

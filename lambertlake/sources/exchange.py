@@ -107,9 +107,10 @@ def _spectrum(block: dict[str, str], name: str) -> Found:
     return Found(block.get("TITLE") or name, x, y, kept).tidy()
 
 
-def parse_jcamp(content: str, name: str) -> list[Found]:
+def parse_jcamp(content: str, name: str, none: bool = False) -> list[Found]:
+    """The spectra of all blocks; that there are none is an error, unless allowed."""
     found = [_spectrum(b, name) for b in _blocks(content)]
-    if not found:
+    if not found and not none:
         raise FormatError(f"{name}: no data block")
     return found
 

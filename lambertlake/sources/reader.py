@@ -1,8 +1,8 @@
 """Files of spectra as DataFrames.
 
 ``read_files`` reads whole files as binary rows and parses each where it is read; a file that
-can't be parsed is a row with a message instead of spectra, or an error. The data source
-``spectra_files`` does the same behind ``spark.read.format``.
+can't be parsed is a row with a message instead of spectra, or an error. Large files are read in
+parts by the data source of ``lambertlake.sources.blocks``.
 """
 
 from __future__ import annotations
@@ -13,7 +13,6 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from lambertlake.sources import exchange, sheets, text
 from lambertlake.sources.text import Found, FormatError
@@ -72,48 +71,3 @@ def read_files(spark: SparkSession, path: str, layout: str = "auto", strict: boo
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     return parsed(reader.load(path).select("path", "content"), layout, strict)
-
-
-class _File(InputPartition):
-    def __init__(self, path: str) -> None:
-        self.path = path
-
-
-class SpectraReader(DataSourceReader):
-    def __init__(self, options: dict) -> None:
-        self.paths = [p for p in options["path"].split(",") if p]
-        self.layout = options.get("layout", "auto")
-
-    def partitions(self) -> list[InputPartition]:
-        out = []
-        for path in self.paths:
-            names = sorted(os.path.join(path, n) for n in os.listdir(path)) if os.path.isdir(path) else [path]
-            out += [_File(n) for n in names if os.path.isfile(n)]
-        return out
-
-    def read(self, partition: _File):
-        import hashlib
-
-        with open(partition.path, "rb") as f:
-            raw = f.read()
-        digest = hashlib.sha256(raw).hexdigest()
-        for f in parse_file(partition.path, raw, self.layout):
-            yield f.name, f.x.tolist(), f.y.tolist(), f.metadata, partition.path, digest, None
-
-
-class SpectraFiles(DataSource):
-    """``spark.read.format("spectra_files").load(folder)`` for folders that every executor sees."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "spectra_files"
-
-    def schema(self) -> str:
-        return SCHEMA
-
-    def reader(self, schema) -> SpectraReader:
-        return SpectraReader(self.options)
-
-
-def register(spark: SparkSession) -> None:
-    spark.dataSource.register(SpectraFiles)

@@ -4,7 +4,7 @@ import struct
 import numpy as np
 import pytest
 
-from lambertlake.sources import exchange, reader, sheets, text, writer
+from lambertlake.sources import blocks, exchange, reader, sheets, text, writer
 
 X = np.arange(200, 230.5, 1.0)
 Y = np.exp(-(((X - 215) / 6) ** 2))
@@ -136,7 +136,7 @@ def test_files_as_rows(spark, tmp_path):
     assert next(r for r in got if r.source_file.endswith("bad.csv")).source_sha256 == hashlib.sha256(b"no\n").hexdigest()
     with pytest.raises(Exception, match="no spectra"):
         reader.read_files(spark, str(tmp_path), glob="bad.csv").collect()
-    reader.register(spark)
+    blocks.register(spark)
     assert spark.read.format("spectra_files").load(str(tmp_path / "t.csv")).count() == 2
     digest = writer.data_sha256(df.where("id = 1")).collect()[0].data_sha256
     assert digest == hashlib.sha256(X.astype("<f8").tobytes() + Y.astype("<f8").tobytes()).hexdigest()
