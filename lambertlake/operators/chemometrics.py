@@ -1,8 +1,10 @@
-"""Multivariate calibration: fitted on the driver from a calibration set, applied to any number of spectra.
+"""Multivariate calibration, applied to any number of spectra.
 
-A calibration set has some thousand rows at most and is collected; everything that grows with
-the data - prediction, diagnostics, the fits of cross-validation - runs on the executors. A
-fitted model is frozen into plain arrays, and prediction always runs from those.
+Linear models (CLS, ILS, PCR, PLS) are fitted on tables of any length from Gram matrices, see
+``gram``. MCR, networks and support vectors need the spectra themselves: their calibration set
+has some thousand rows at most and is collected. Everything else that grows with the data -
+prediction, diagnostics, the fits of cross-validation - runs on the executors. A fitted model is
+frozen into plain arrays, and prediction always runs from those.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from pyspark.sql import types as T
 
 from lambertlake.functions import dist
 from lambertlake.functions.kernels import SpectrumError, covered, lerp
+from lambertlake.operators import gram
 from lambertlake.sources.writer import common_grid
 
 TYPES = ("cls", "ils", "pcr", "pls1", "pls2", "mcr", "ann", "svr")
@@ -191,6 +194,8 @@ class SpectralModel:
         return mask
 
     def fit(self, df: DataFrame) -> SpectralModel:
+        if self.kind in gram.KINDS and self.preprocessing in PREPROCESSING:
+            return gram.fit_table(self, df)
         return self.fit_matrix(*design(df, self.compounds))
 
     def fit_matrix(self, grid: np.ndarray, a: np.ndarray, c: np.ndarray) -> SpectralModel:
