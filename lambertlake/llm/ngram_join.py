@@ -56,7 +56,7 @@ DOCS = 512
 CELLS = 16
 #: Slots of a task's count of the keys it met, and the part of its sets that makes a key hot.
 SLOTS, HOT = 1 << 20, 16
-#: Bits of the parity bitmap.
+#: Bits of the smallest parity bitmap.
 BITS = 1024
 #: Members of a block: outside the largest component, and of all.
 FEW, MANY = 64, 256
@@ -260,13 +260,27 @@ class Signer:
         return np.concatenate(keys), np.concatenate(whose)
 
 
-def parity(own: np.ndarray) -> bytes:
-    """Of each of BITS classes of shingles whether the set has an odd number."""
-    return np.packbits(np.bincount((own % _U(BITS)).astype(np.int64), minlength=BITS).astype(np.uint8) & 1).tobytes()
+def parity(own: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """Of each of ``bits`` classes of shingles whether the set has an odd number; as 64-bit words."""
+    return np.packbits(np.bincount((own % _U(bits)).astype(np.int64), minlength=bits).astype(np.uint8) & 1, bitorder="little").view(_U)
 
 
-_DEALT = "cell int, doc_id long, row long, n long, set_key binary, text_key binary, bitmap binary, keys binary, sets binary, hot boolean"
-_FOUND = "doc_id long, row long, n long, set_key binary, text_key binary, bitmap binary, key long, pivot long"
+def fine(own: np.ndarray) -> np.ndarray:
+    """The parity bitmap of two to four bits for each shingle, BITS times a power of two."""
+    return parity(own, BITS << max(0, (2 * len(own) - 1) // BITS).bit_length())
+
+
+def folded(bitmap: np.ndarray, words: int) -> np.ndarray:
+    """The bitmap of fewer classes that a bitmap implies."""
+    while len(bitmap) > words:
+        bitmap = bitmap[: len(bitmap) // 2] ^ bitmap[len(bitmap) // 2 :]
+    return bitmap
+
+
+_DOC = "struct<doc_id:bigint,n:bigint,set_key:binary,text_key:binary,bitmap:binary>"
+_DEALT = f"cell int, row long, doc {_DOC}, keys binary, sets binary, hot boolean"
+_FOUND = f"row long, key long, pivot long, doc {_DOC}"
+_ARROW_DOC = pa.struct([("doc_id", pa.int64()), ("n", pa.int64()), ("set_key", pa.binary()), ("text_key", pa.binary()), ("bitmap", pa.binary())])
 
 
 def _signed(docs: DataFrame, cells: int) -> DataFrame:
@@ -274,7 +288,7 @@ def _signed(docs: DataFrame, cells: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]):
         signer, known = Signer(), set()
-        schema = pa.schema([("cell", pa.int32()), ("doc_id", pa.int64()), ("row", pa.int64()), ("n", pa.int64()), *((c, pa.binary()) for c in ("set_key", "text_key", "bitmap", "keys", "sets")), ("hot", pa.bool_())])
+        schema = pa.schema([("cell", pa.int32()), ("row", pa.int64()), ("doc", _ARROW_DOC), ("keys", pa.binary()), ("sets", pa.binary()), ("hot", pa.bool_())])
 
         def rows(count, **columns):
             return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(count, f.type) for f in schema], schema=schema)
@@ -283,7 +297,8 @@ def _signed(docs: DataFrame, cells: int) -> DataFrame:
             ident, row = batch.column("doc_id").to_pylist(), batch.column("row").to_pylist()
             sets = hashed(batch.column("text").cast(pa.binary()).to_pylist())
             set_keys = [hashlib.md5(s.tobytes()).digest() if len(s) else None for s in sets]
-            yield rows(len(sets), cell=[r % cells for r in row], doc_id=ident, row=row, n=[len(s) for s in sets], set_key=set_keys, text_key=batch.column("text_key"), bitmap=[parity(s) for s in sets])
+            described = [pa.array(ident, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(set_keys, pa.binary()), batch.column("text_key"), pa.array([fine(s).tobytes() for s in sets], pa.binary())]
+            yield rows(len(sets), cell=[r % cells for r in row], row=row, doc=pa.StructArray.from_arrays(described, fields=list(_ARROW_DOC)))
             # A set that this task has signed before needs no more entries.
             new = []
             for i, key in enumerate(set_keys):
@@ -295,18 +310,20 @@ def _signed(docs: DataFrame, cells: int) -> DataFrame:
             keys, owner, hot = signer.sign([sets[i] for i in new])
             if not len(keys):
                 continue
-            who = np.array(row, np.int64)[new][owner]
+            # Within these documents a row is a small number.
+            first_row, row = row[0], np.array(row, np.int64)
+            who = row[new][owner]
             if hot.any():
                 yield rows(int(hot.sum()), cell=(who[hot] % cells).astype(np.int32), row=who[hot], hot=np.ones(int(hot.sum()), bool), keys=[x.tobytes() for x in keys[hot]])
                 first = np.zeros(len(keys), bool)
                 first[np.flatnonzero(hot)[np.unique(keys[hot], return_index=True)[1]]] = True
                 keys, who = keys[~hot | first], who[~hot | first]
             order = np.argsort(keys, kind="stable")
-            keys, who = keys[order], who[order]
+            keys, who = keys[order], (who[order] - first_row).astype(np.uint16)
             cell = ((keys >> _U(32)) * _U(cells) >> _U(32)).astype(np.int32)
             cut = np.flatnonzero(np.diff(cell, prepend=-1))
             ends = np.r_[cut[1:], len(cell)]
-            yield rows(len(cut), cell=cell[cut], keys=[keys[a:b].tobytes() for a, b in zip(cut, ends)], sets=[who[a:b].tobytes() for a, b in zip(cut, ends)])
+            yield rows(len(cut), cell=cell[cut], row=[first_row] * len(cut), keys=[keys[a:b].tobytes() for a, b in zip(cut, ends)], sets=[who[a:b].tobytes() for a, b in zip(cut, ends)])
 
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("text_key"), F.monotonically_increasing_id().alias("row"))
@@ -317,7 +334,7 @@ def _buckets(signed: DataFrame) -> DataFrame:
     """Documents, and members (key, row, pivot) of the keys that several sets have; hot keys' members without pivot."""
 
     def run(batches: Iterator[pa.RecordBatch]):
-        schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n", pa.int64()), ("set_key", pa.binary()), ("text_key", pa.binary()), ("bitmap", pa.binary()), ("key", pa.int64()), ("pivot", pa.int64())])
+        schema = pa.schema([("row", pa.int64()), ("key", pa.int64()), ("pivot", pa.int64()), ("doc", _ARROW_DOC)])
 
         def rows(n, columns):
             return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
@@ -325,7 +342,8 @@ def _buckets(signed: DataFrame) -> DataFrame:
         held, at = [], None
 
         def out():
-            keys, sets = (np.frombuffer(b"".join(h[c] for h in held), np.int64) for c in (0, 1))
+            keys = np.frombuffer(b"".join(k for k, _, _ in held), np.int64)
+            sets = np.concatenate([np.frombuffer(s, np.uint16) + np.int64(first) for _, s, first in held])
             held.clear()
             order = np.lexsort((sets, keys))
             keys, sets = keys[order], sets[order]
@@ -339,19 +357,19 @@ def _buckets(signed: DataFrame) -> DataFrame:
                 yield rows(int(several.sum()), {"row": pa.array(sets[several]), "key": pa.array(keys[several]), "pivot": pa.array(pivot[several])})
 
         for batch in batches:
-            documents = batch.filter(batch.column("n").is_valid())
+            documents = batch.filter(batch.column("doc").is_valid())
             if documents.num_rows:
-                yield rows(documents.num_rows, {c: documents.column(c) for c in ("doc_id", "row", "n", "set_key", "text_key", "bitmap")})
+                yield rows(documents.num_rows, {c: documents.column(c) for c in ("row", "doc")})
             hot = batch.filter(batch.column("hot").is_valid())
             if hot.num_rows:
                 keys = np.frombuffer(b"".join(hot.column("keys").to_pylist()), np.int64)
                 yield rows(hot.num_rows, {"row": hot.column("row"), "key": pa.array(keys)})
             entries = batch.filter(batch.column("sets").is_valid())
-            for cell, keys, sets in zip(*(entries.column(c).to_pylist() for c in ("cell", "keys", "sets"))):
+            for cell, keys, sets, first in zip(*(entries.column(c).to_pylist() for c in ("cell", "keys", "sets", "row"))):
                 if cell != at and held:
                     yield from out()
                 at = cell
-                held.append((keys, sets))
+                held.append((keys, sets, first))
         if held:
             yield from out()
 
@@ -387,8 +405,8 @@ def near(n: np.ndarray, m: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarr
     return (100 * np.minimum(n, m) >= LEAST * np.maximum(n, m)) & (differ * (100 + LEAST) <= (100 - LEAST) * (n + m))
 
 
-def _bitmaps(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, BITS // 64)
+def _words(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(b, np.uint64) for b in column.to_pylist()]
 
 
 def _may(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -399,13 +417,29 @@ def _may(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                keep = pa.array(near(*(batch.column(c).to_numpy() for c in ("nx", "ny")), *(_bitmaps(batch.column(c)) for c in ("bx", "by"))))
+                sizes = zip(*(batch.column(c).to_pylist() for c in ("nx", "ny")))
+                keep = []
+                for (n, m), a, b in zip(sizes, _words(batch.column("bx")), _words(batch.column("by"))):
+                    fewer = min(len(a), len(b))
+                    keep.append(bool(near(n, m, folded(a, fewer), folded(b, fewer))))
+                keep = pa.array(keep)
                 yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("x", "y", "shared")], names=["x", "y", "shared"])
 
     columns = ["x", "y", "shared", "nx", "ny", "bx", "by"]
     return pairs.join(other, "y").join(own, "x").select(columns).mapInArrow(run, "x long, y long, shared long")
 
 
+def _short(nodes: DataFrame) -> DataFrame:
+    """rep, n and the bitmap of BITS classes."""
+
+    def run(batches):
+        for batch in batches:
+            maps = [folded(b, BITS // 64).tobytes() for b in _words(batch.column("bitmap"))]
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("n"), pa.array(maps, pa.binary())], names=["rep", "n", "bitmap"])
+
+    return nodes.select("rep", "n", "bitmap").mapInArrow(run, "rep long, n long, bitmap binary")
+
+
 class _Sets(dict):
     """Sets of shingles by node, given their packed words."""
 
@@ -476,7 +510,7 @@ def _remaining(members: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataF
             if not batch.num_rows:
                 continue
             key, i, j, asks, rep, label, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in columns[:7])
-            bitmap = _bitmaps(batch.column("bitmap"))
+            bitmap = np.frombuffer(b"".join(batch.column("bitmap").to_pylist()), np.uint64).reshape(len(key), -1)
             cut = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
             for a, b in zip(np.r_[0, cut], np.r_[cut, len(key)]):
                 if last is not None and last != (key[a], i[a], j[a]):
@@ -497,40 +531,44 @@ def join(docs: DataFrame) -> DataFrame:
     cells = CELLS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = runtime.checkpoint(_buckets(_signed(docs, cells)))
     runtime.release(spark)
-    rows = found.where("n IS NOT NULL").select("doc_id", "row", "n", "text_key", "bitmap", F.coalesce("set_key", F.col("row").cast("string").cast("binary")).alias("set_key"))
-    reps = runtime.checkpoint(rows.where("doc_id IS NOT NULL").groupBy("set_key").agg(F.min("row").alias("rep")))
-    held = runtime.checkpoint(rows.where("doc_id IS NOT NULL").join(reps, "set_key").select("doc_id", "row", "text_key", "rep", "n", "bitmap"))
-    of = held.select("row", "rep")
-    entries = found.where("key IS NOT NULL").select("key", "row", "pivot")
-    members = runtime.checkpoint(entries.join(of, "row").select("key", "rep", "pivot"))
+    rows = found.where("doc IS NOT NULL").select("row", "doc.*")
+    reps = runtime.checkpoint(rows.where("doc_id IS NOT NULL AND set_key IS NOT NULL").groupBy("set_key").agg(F.min("row").alias("rep")))
+    # Documents without words are sets of their own.
+    held = rows.join(reps, "set_key", "left").withColumn("rep", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "row")))
+    held = runtime.checkpoint(held.select("doc_id", "row", "rep", "n", "text_key", F.when(F.col("row") == F.col("rep"), F.col("bitmap")).alias("bitmap")))
+    of = held.where("rep IS NOT NULL").select("row", "rep")
+    members = runtime.checkpoint(found.where("doc IS NULL").join(of, "row").select("key", "rep", "pivot"))
+    del found, rows, reps
+    runtime.release(spark)
     hot = members.where("pivot IS NULL").select("key", "rep").distinct()
     stars = members.where("pivot IS NOT NULL").select("rep", F.col("pivot").alias("row")).groupBy("rep", "row").agg(F.count("*").alias("shared"))
     stars = stars.join(of.withColumnRenamed("rep", "y"), "row").select(F.col("rep").alias("x"), "y", "shared")
     pivots = runtime.checkpoint(hot.groupBy("key").agg(F.min("rep").alias("y")))
     stars = stars.unionByName(hot.join(pivots, "key").select(F.col("rep").alias("x"), "y", F.lit(1).cast("long").alias("shared")))
     stars = stars.where("x <> y").groupBy("x", "y").agg(F.sum("shared").alias("shared"))
-    members = members.select("key", "rep").distinct()
-    shared = members.select("rep").distinct()
-    nodes = runtime.checkpoint(held.where(F.col("row") == F.col("rep")).select("text_key", "rep", "n", "bitmap").join(shared, "rep"))
+    members = members.select("key", "rep")
+    nodes = held.where("bitmap IS NOT NULL").select("text_key", "rep", "n", "bitmap")
+    nodes = runtime.checkpoint(nodes.join(members.select("rep").distinct(), "rep"))
     stars = runtime.checkpoint(_may(stars, nodes))
     packed = runtime.checkpoint(_packed(docs, nodes.select("text_key", "rep")))
     nodes = nodes.drop("text_key")
     runtime.release(spark)
     # Rows of one doc_id are one document.
-    several = held.groupBy("doc_id").agg(F.min("rep").alias("y"), F.max("rep").alias("_last")).where("y < _last").drop("_last")
-    same = held.join(several, "doc_id").where("rep > y").select(F.col("rep").alias("x"), "y").distinct()
+    own = held.where("doc_id IS NOT NULL").select("doc_id", "rep")
+    several = own.groupBy("doc_id").agg(F.min("rep").alias("y"), F.max("rep").alias("_last")).where("y < _last").drop("_last")
+    same = own.join(several, "doc_id").where("rep > y").select(F.col("rep").alias("x"), "y").distinct()
     best = stars.groupBy("x").agg(F.max_by("y", F.struct("shared", -F.col("y"))).alias("y"))
     labels = components(_verified(best, packed).unionByName(same))
     tried = stars.join(best, ["x", "y"], "left_anti")
     labels = _joined(labels, runtime.checkpoint(_verified(_apart(tried, labels), packed)))
     compared = stars.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-    rest = _remaining(members, labels, nodes).join(compared, ["x", "y"], "left_anti")
+    rest = _remaining(members, labels, _short(nodes)).join(compared, ["x", "y"], "left_anti")
+    rest = _may(rest.withColumn("shared", F.lit(0).cast("long")), nodes)
     labels = _joined(labels, runtime.checkpoint(_verified(rest, packed)))
-    lowest = held.groupBy("rep").agg(F.min("doc_id").alias("lowest")).join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+    lowest = own.groupBy("rep").agg(F.min("doc_id").alias("lowest")).join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     names = lowest.where("label IS NOT NULL").groupBy("label").agg(F.min("lowest").alias("named"))
     lowest = lowest.join(names, "label", "left").select("rep", F.coalesce("named", "lowest").alias("component_id"))
-    out = held.join(lowest, "rep").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return out.unionByName(rows.where("doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id")))
+    return held.join(lowest, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def op12_ngram_join(spark, sf_dir: str) -> DataFrame:

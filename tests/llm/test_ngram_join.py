@@ -92,6 +92,14 @@ def test_bitmaps_never_rule_out_a_link(a, b):
         assert nj.near(np.int64(len(a)), np.int64(len(b)), *maps)
 
 
+@given(st.sets(st.integers(0, 2**64 - 1)))
+def test_finer_bitmaps_fold_to_coarser_ones(own):
+    own = np.array(sorted(own), np.uint64)
+    for bits in (nj.BITS, 2 * nj.BITS, 8 * nj.BITS):
+        assert (nj.folded(nj.parity(own, bits), nj.BITS // 64) == nj.parity(own)).all()
+    assert [len(nj.fine(np.arange(n, dtype=np.uint64))) * 64 // nj.BITS for n in (1, 512, 513, 1024, 1025, 4096, 4097)] == [1, 1, 2, 2, 4, 8, 16]
+
+
 def made(seed, n=150, length=60):
     rng = random.Random(seed)
     vocabulary = [f"w{k}" for k in range(400)]
