@@ -11,10 +11,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lambertlake import catalog_models
-from lambertlake.functions.shared import fresh_folder
-from lambertlake.operators import series, stats
+from lambertlake.functions.shared import checkpoint, fresh_folder
+from lambertlake.operators import gram, ordered, series, stats
+from lambertlake.operators.chemometrics import SpectralModel
 from lambertlake.plans import pipeline as pl
 from lambertlake.sources import blocks
+from lambertlake.storage import chain
 
 FLAGSHIP = "ratio_difference_assay"
 QUERIES: dict = {}
@@ -350,7 +352,15 @@ def moving_average(spark, sf_dir):
     "SELECT user_id, event_id, round(median(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING), 6) AS median FROM events",
 )
 def running_median(spark, sf_dir):
-    return series.running_median(events(spark, sf_dir), "user_id", "event_id", "y", 9).select("user_id", "event_id", F.round("median", 6).alias("median"))
+    return ordered.running_median(events(spark, sf_dir), "user_id", "event_id", "y", 9).select("user_id", "event_id", F.round("median", 6).alias("median"))
+
+
+@query(
+    "running_median_wide",
+    "SELECT user_id, event_id, round(median(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 500 PRECEDING AND 500 FOLLOWING), 6) AS median FROM events",
+)
+def running_median_wide(spark, sf_dir):
+    return ordered.running_median(events(spark, sf_dir), "user_id", "event_id", "y", 1001).select("user_id", "event_id", F.round("median", 6).alias("median"))
 
 
 @query(
@@ -400,17 +410,19 @@ def kaiser_selection(spark, sf_dir):
     return series.kaiser_pairs(grid).select("w1", "w2", F.round("det", 9).alias("det"))
 
 
-_CYCLE = str(series.design_cycle())
+# The 24 levels of the cyclic five-level design.
+_CYCLE = "[-2, 0, 1, 1, -1, -2, -1, 0, -2, -2, 2, -1, 2, 0, -1, -1, 1, 2, 1, 0, 2, 2, -2, 1]"
 
 
 @query(
     "experimental_design",
-    f"""SELECT r AS run, CAST(CASE WHEN r = 0 THEN 10.0 ELSE round(10 + 4 * {_CYCLE}[(r - 1) % 24 + 1], 6) END AS DOUBLE) AS c1,
-CAST(CASE WHEN r = 0 THEN 20.0 ELSE round(20 + 2.5 * {_CYCLE}[r % 24 + 1], 6) END AS DOUBLE) AS c2,
-CAST(CASE WHEN r = 0 THEN 5.0 ELSE round(5 + 0.5 * {_CYCLE}[(r + 1) % 24 + 1], 6) END AS DOUBLE) AS c3 FROM range(0, 25) t(r)""",
+    f"""SELECT s_suppkey, r AS run, round(CAST(100 + CASE WHEN r = 0 THEN 0 ELSE {_CYCLE}[(r - 1) % 24 + 1] * 2.5 END AS DOUBLE), 6) AS c1,
+round(s_acctbal + CAST(CASE WHEN r = 0 THEN 0 ELSE {_CYCLE}[r % 24 + 1] * (1 + s_nationkey) END AS DOUBLE), 6) AS c2 FROM supplier, range(0, 25) t(r)""",
 )
 def experimental_design(spark, sf_dir):
-    return series.design_concentrations(series.brereton_design(spark, 3), [10.0, 20.0, 5.0], [4.0, 2.5, 0.5])
+    """The design around each supplier's balance."""
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", F.lit(100.0).alias("m1"), F.lit(2.5).alias("d1"), F.col("s_acctbal").alias("m2"), (F.col("s_nationkey") + 1.0).alias("d2"))
+    return series.designs(rows, ["m1", "m2"], ["d1", "d2"]).select("s_suppkey", "run", "c1", "c2")
 
 
 @query(
@@ -460,10 +472,22 @@ UNION ALL SELECT e.user_id, e.i, sha256(c.h || chr(31) || e.event_id || chr(31)
 SELECT user_id, max(i) AS n, arg_max(h, i) AS head FROM c GROUP BY user_id""",
 )
 def audit_chain(spark, sf_dir):
-    """Head of each user's hash chain; a chain is followed by its own task, entry by entry."""
-    rows = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))).alias("e"))
-    link = lambda h, e: F.sha2(F.concat_ws("\x1f", h, e["event_id"].cast("string"), e["event_type"]), 256)
-    return rows.select("user_id", F.size("e").cast("long").alias("n"), F.aggregate("e", F.lit("genesis"), link).alias("head"))
+    """Head of each user's hash chain."""
+    return chain.heads(table(spark, sf_dir, "events"), "user_id", "event_id", ["event_id", "event_type"])
+
+
+@query(
+    "audit_altered",
+    """WITH e AS (SELECT user_id, event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events)
+SELECT user_id, event_id, 'content' AS problem FROM e WHERE event_id % 97 = 5 AND event_id % 89 <> 7
+UNION ALL SELECT user_id, event_id, 'link' FROM e WHERE before % 89 = 7 AND event_id % 89 <> 7
+UNION ALL SELECT e.user_id, e.event_id, 'link' FROM e JOIN (SELECT user_id, min(event_id) AS first, min(event_id) FILTER (event_id % 89 <> 7) AS left FROM e GROUP BY user_id) f ON e.user_id = f.user_id AND e.event_id = f.left AND f.left <> f.first AND e.before % 89 <> 7""",
+)
+def audit_altered(spark, sf_dir):
+    """Entries whose type was changed afterwards, and those whose predecessor was taken out."""
+    made = checkpoint(chain.chained(table(spark, sf_dir, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id", ["event_id", "event_type"]))
+    changed = made.withColumn("event_type", F.when(F.col("event_id") % 97 == 5, "other").otherwise(F.col("event_type"))).where("event_id % 89 <> 7")
+    return chain.altered(changed, "user_id", "event_id", ["event_id", "event_type"])
 
 
 @query(
@@ -530,4 +554,58 @@ def cross_validation(spark, sf_dir):
     return p.selectExpr("fold", "n", "round(sqrt((yy - 2 * b * xy - 2 * c0 * y + b * b * xx + 2 * b * c0 * x + n * c0 * c0) / n), 3) AS rmsecv")
 
 
+# Linear models fitted on a whole table from its Gram matrix: the label of a vector from its points
+
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spectra(spark, sf_dir).withColumn("concentrations", F.create_map(F.lit("A"), F.col("label").cast("double")))
+
+
+_POINTS = f"{SPECTRA}, p AS (SELECT id, label, unnest(y) AS v, generate_subscripts(y, 1) AS i FROM s)"
+
+
+def _found(kind: str, **ask):
+    def run(spark, sf_dir):
+        df = labelled(spark, sf_dir)
+        return SpectralModel(["A"], kind, 1, **ask).fit(df).predict(df).select(F.col("id").alias("vec_id"), F.round("found_A", 5).alias("found"))
+
+    return run
+
+
+query(
+    "calibration_ils",
+    f"""WITH {SPECTRA}, v AS (SELECT id, label AS c, y[4] AS a, y[18] AS b FROM s),
+m AS (SELECT avg(a) AS ma, avg(b) AS mb, avg(c) AS mc, var_pop(a) AS aa, var_pop(b) AS bb, covar_pop(a, b) AS ab, covar_pop(a, c) AS ac, covar_pop(b, c) AS bc FROM v)
+SELECT id AS vec_id, round(mc + ((ac * bb - bc * ab) * (a - ma) + (bc * aa - ac * ab) * (b - mb)) / (aa * bb - ab * ab), 5) AS found FROM v, m""",
+)(_found("ils", wavelengths=[3.0, 17.0]))
+
+query(
+    "calibration_cls",
+    f"""WITH {_POINTS}, w AS (SELECT i, avg(v) AS m, covar_pop(v, label) / var_pop(label) AS k FROM p GROUP BY i)
+SELECT id AS vec_id, round((SELECT avg(label) FROM s) + sum((v - m) * k) / (SELECT sum(k * k) FROM w), 5) AS found FROM p JOIN w USING (i) GROUP BY id""",
+)(_found("cls"))
+
+query(
+    "calibration_pls",
+    f"""WITH {_POINTS}, w AS (SELECT i, avg(v) AS m, covar_pop(v, label) AS k FROM p GROUP BY i),
+t AS (SELECT id, any_value(label) AS c, sum((v - m) * k) AS t FROM p JOIN w USING (i) GROUP BY id)
+SELECT id AS vec_id, round((SELECT avg(c) FROM t) + t * (SELECT covar_pop(t, c) / var_pop(t) FROM t), 5) AS found FROM t""",
+)(_found("pls1"))
+
+
+@query(
+    "calibration_left_out",
+    f"""WITH {_POINTS}, f AS (SELECT unnest(range(0, 5)) AS f),
+w AS (SELECT f, i, avg(v) AS m, covar_pop(v, label) AS k FROM f JOIN p ON id % 5 <> f GROUP BY f, i),
+t AS (SELECT f, id, any_value(label) AS c, sum((v - m) * k) AS t FROM p JOIN w USING (i) GROUP BY f, id),
+q AS (SELECT f, avg(c) AS mc, covar_pop(t, c) / var_pop(t) AS q FROM t WHERE id % 5 <> f GROUP BY f)
+SELECT CAST(f AS BIGINT) AS fold, count(*) AS n, round(sqrt(avg((mc + q * t - c) ** 2)), 6) AS rmsecv FROM t JOIN q USING (f) WHERE id % 5 = f GROUP BY f""",
+)
+def calibration_left_out(spark, sf_dir):
+    """Error of a PLS component in each fold of vectors, from one scan for all folds."""
+    parts = gram.gram(labelled(spark, sf_dir), ["A"], 5, F.col("id") % 5)
+    errors = gram.press(SpectralModel(["A"], "pls1", 1), parts)[:, 0, 0]
+    rows = [(f, int(p.n), float((e / p.n) ** 0.5)) for f, (p, e) in enumerate(zip(parts, errors))]
+    return spark.createDataFrame(rows, "fold long, n long, rmsecv double").withColumn("rmsecv", F.round("rmsecv", 6))
+
+
 QUERIES.update(catalog_models.QUERIES)

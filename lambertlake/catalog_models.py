@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lambertlake.operators import chemometrics as ch
+from lambertlake.operators import gram
 from lambertlake.operators import methods as m
 from lambertlake.operators import optimizer as op
 from lambertlake.operators.series import design_cycle
@@ -60,20 +61,26 @@ def _model(kind: str, **options):
     return run
 
 
+def _vectors(spark: SparkSession, sf_dir: str) -> list[gram.Moments]:
+    """Gram matrices by fold of the vectors, whose label and last point take the part of concentrations."""
+    points = F.transform("embedding", lambda v: v.cast("double"))
+    df = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), points.alias("y"), F.col("label").cast("double").alias("A"))
+    x = F.array(*(F.lit(float(i)) for i in range(63)))
+    df = df.select("id", x.alias("x"), F.slice("y", 1, 63).alias("y"), F.create_map(F.lit("A"), F.col("A"), F.lit("B"), F.element_at("y", 64)).alias("concentrations"))
+    return gram.gram(df, ["A", "B"], 5, F.col("id") % 5)
+
+
 def cross_validation(spark, sf_dir):
-    c, a = training()
-    got = ch.cross_validate(spark, ch.SpectralModel(list(UNITS), "pls2", 3), GRID, a, c, "venetian", 5, most=6)
+    got = gram.cross_validate(ch.SpectralModel(["A", "B"], "pls2", 3), _vectors(spark, sf_dir), most=8)
     return spark.createDataFrame(pd.DataFrame({"n_components": list(got["press"]), "press": list(got["press"].values())}).assign(chosen=got["chosen"]))
 
 
 def interval_selection(spark, sf_dir):
-    c, a = training()
-    return spark.createDataFrame(pd.DataFrame(ch.intervals(spark, ch.SpectralModel(list(UNITS), "pls2", 3), GRID, a, c, parts=8)))
+    return spark.createDataFrame(pd.DataFrame(gram.intervals(ch.SpectralModel(["A", "B"], "pls2", 3), _vectors(spark, sf_dir), 8)))
 
 
 def genetic_selection(spark, sf_dir):
-    c, a = training()
-    got = ch.genetic_selection(spark, ch.SpectralModel(list(UNITS), "pls2", 3), GRID, a, c, parts=8, population=8, generations=3)
+    got = gram.genetic(ch.SpectralModel(["A", "B"], "pls2", 3), _vectors(spark, sf_dir))
     return spark.createDataFrame([(lo, hi, got["rmsecv"]) for lo, hi in got["ranges"]], "start double, stop double, rmsecv double")
 
 

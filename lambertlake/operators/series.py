@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -80,11 +81,6 @@ def moving_average(df: DataFrame, series: str, position: str, y: str, window: in
     return df.withColumn(out, F.avg(y).over(w))
 
 
-def running_median(df: DataFrame, series: str, position: str, y: str, window: int, out: str = "median") -> DataFrame:
-    w = W.partitionBy(series).orderBy(position).rowsBetween(-(window // 2), window // 2)
-    return df.withColumn(out, F.expr(f"percentile({y}, 0.5)").over(w))
-
-
 def resample(df: DataFrame, series: str, x: str, y: str, step: float) -> DataFrame:
     """Even grid from each series' first x, by the bracket of neighbouring rows; no point is compared with all."""
     w = W.partitionBy(series).orderBy(x)
@@ -168,14 +164,24 @@ def brereton_design(spark, factors: int) -> DataFrame:
 def design_cycle() -> list[int]:
     """24 levels: the linear recurrence of a primitive polynomial over the integers mod 5, mapped to -2..2."""
     # x^2 = x + 3 has a root of order 24 mod 5.
-    a, b, out = 0, 1, []
+    a, b, out = 1, 0, []
     for _ in range(24):
         out.append(a)
         a, b = b, (b + 3 * a) % 5
-    levels = {0: 0, 1: -1, 2: 2, 3: -2, 4: 1}
+    levels = {0: 0, 1: -2, 2: -1, 3: 1, 4: 2}
     return [levels[v] for v in out]
 
 
+def designs(df: DataFrame, centres: list[str], steps: list[str]) -> DataFrame:
+    """The 25 runs of the design for each row of ``df``, with c1, c2, .. around its centres by its steps."""
+    if not 1 <= len(centres) <= 6:
+        raise ValueError("between one and six factors")
+    row = F.array(*map(F.lit, design_cycle()))
+    runs = df.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(24).cast("long"))))
+    level = lambda j: F.when(F.col("run") == 0, 0).otherwise(F.get(row, ((F.col("run") - 1 + j) % 24).cast("int")))
+    return runs.select("*", *(F.round(F.col(c) + level(j) * F.col(s), 6).alias(f"c{j + 1}") for j, (c, s) in enumerate(zip(centres, steps))))
+
+
 def design_concentrations(design: DataFrame, centres: list[float], steps: list[float]) -> DataFrame:
     """Concentrations c1, c2, .. of a coded design."""
     return design.select("run", *(F.round(F.lit(c) + F.col(f"f{j + 1}") * s, 6).alias(f"c{j + 1}") for j, (c, s) in enumerate(zip(centres, steps))))
@@ -195,11 +201,63 @@ def concentrations_from_name(name: Column, compounds: list[str]) -> Column:
     return F.when(F.size(named) > 0, named).when(F.size(numbers) >= len(compounds), placed).otherwise(F.create_map().cast("map<string,double>"))
 
 
+def hull_layers(v: np.ndarray, k: int) -> np.ndarray:
+    """The rows of ``v`` on the first k convex hulls of the points and their mirror images, peeled one after another."""
+    left, found = np.arange(len(v)), []
+    for _ in range(k):
+        if not len(left):
+            break
+        both = np.vstack([v[left], -v[left]])
+        order = np.lexsort((both[:, 1], both[:, 0]))
+        # What lies on an edge, or as near to it as rounding may put it, counts as on the hull.
+        slack = 1e-12 * float(np.abs(both).max() or 1.0) ** 2
+        on: set[int] = set()
+        for turn in (order, order[::-1]):
+            chain: list[int] = []
+            for i in turn:
+                while len(chain) > 1:
+                    (ax, ay), (bx, by), (cx, cy) = both[chain[-2]], both[chain[-1]], both[i]
+                    if (bx - ax) * (cy - ay) - (by - ay) * (cx - ax) >= -slack:
+                        break
+                    chain.pop()
+                chain.append(i)
+            on.update(int(i) % len(left) for i in chain)
+        here = np.array(sorted(on))
+        found.append(left[here])
+        left = np.delete(left, here)
+    return np.sort(np.concatenate(found)) if found else left
+
+
 def kaiser_pairs(grid: DataFrame, k: int = 10) -> DataFrame:
-    """w1, w2, det: the k pairs of wavelengths with the largest |a1 b2 - a2 b1|, of rows (w, a, b).
+    """w1, w2, det: the k pairs of wavelengths, w1 < w2, with the largest |a1 b2 - a2 b1|, of rows (w, a, b).
 
-    All pairs of one grid are compared; a grid has some thousand points at most.
+    For a given first point the determinant is linear in the second, so each convex hull of the
+    points and their mirror images has a partner better than any point inside it: the k best
+    pairs are among the points of the first k hulls. Every task peels its own rows, what is left
+    is peeled once more and compared. Ties go to smaller wavelengths; rows with nulls don't count.
     """
-    left, right = grid.select(F.col("w").alias("w1"), F.col("a").alias("a1"), F.col("b").alias("b1")), grid.select(F.col("w").alias("w2"), F.col("a").alias("a2"), F.col("b").alias("b2"))
-    pairs = left.join(right, F.col("w1") < F.col("w2")).withColumn("det", F.abs(F.col("a1") * F.col("b2") - F.col("a2") * F.col("b1")))
-    return pairs.orderBy(F.desc("det"), "w1", "w2").limit(k).select("w1", "w2", "det")
+    schema = "w double, a double, b double"
+
+    def candidates(batches):
+        tables = [b for b in batches if b.num_rows]
+        if tables:
+            w, a, b = (np.concatenate([t.column(c).to_numpy() for t in tables]) for c in ("w", "a", "b"))
+            # Pairs of determinant 0 are ranked by wavelength alone.
+            keep = np.union1d(hull_layers(np.stack([a, b], axis=1), k), np.argsort(w, kind="stable")[: k + 1])
+            yield pa.RecordBatch.from_arrays([pa.array(v[keep]) for v in (w, a, b)], names=["w", "a", "b"])
+
+    def best(batches):
+        for t in candidates(batches):
+            w, a, b = (t.column(c).to_numpy() for c in ("w", "a", "b"))
+            order = np.argsort(w, kind="stable")
+            w, a, b = w[order], a[order], b[order]
+            found: list[tuple] = []
+            for i in range(len(w) - 1):
+                det = np.abs(a[i] * b[i + 1 :] - a[i + 1 :] * b[i])
+                top = np.argsort(-det, kind="stable")[:k]
+                found = sorted([*found, *((-float(det[j]), float(w[i]), float(w[i + 1 + j])) for j in top if w[i + 1 + j] > w[i])])[:k]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in ([f[1] for f in found], [f[2] for f in found], [-f[0] for f in found])], names=["w1", "w2", "det"])
+
+    points = grid.select(*(F.col(c).cast("double").alias(c) for c in ("w", "a", "b"))).dropna()
+    return points.mapInArrow(candidates, schema).coalesce(1).mapInArrow(best, "w1 double, w2 double, det double")
