@@ -363,9 +363,14 @@ class Project:
             c.log("IMPORT", "file", None, f"{len(ids)} spectra from {path}", {"outputs": ids, "sha256": sorted({r["source_sha256"] for r in rows})})
         return ids
 
-    def import_frame(self, spectra: DataFrame, role: str = "") -> None:
-        """Bulk import of any number of rows (name, x, y, metadata, concentrations) without bringing them to the driver."""
+    def import_frame(self, spectra: DataFrame, role: str = "", meta: dict[str, str] | None = None, details: dict | None = None) -> None:
+        """Bulk import of any number of rows (name, x, y, metadata, concentrations) without bringing them to the driver.
+
+        ``meta`` is set in the same commit, ``details`` are added to the log entry.
+        """
         with self.commit() as c:
+            for key, value in (meta or {}).items():
+                c.put("meta", key=key, value=value)
             base = c.next.get("spectra", 1)
             rows = spectra.withColumn("id", F.lit(base) + F.monotonically_increasing_id())
             staged = f"{self.files.root}/_staged/bulk"
@@ -377,8 +382,8 @@ class Project:
             c.frame("spectra", rows.select("id", F.lit(None).cast("long").alias("trial_id"), "name", F.lit("raw").alias("kind"), F.lit(role).alias("role"), F.array().cast("array<long>").alias("parent_ids"), F.lit("[]").alias("pipeline"), F.size("x").alias("npoints"), has("metadata", "map<string,string>").alias("metadata"), has("concentrations", "map<string,double>").alias("concentrations"), F.lit("").alias("notes"), F.lit(None).cast("string").alias("source_file"), F.lit(None).cast("string").alias("source_sha256"), F.lit(utc_now()).alias("created_utc"), F.lit(False).alias("archived"), F.lit(c.next["version"]).cast("long").alias("version")))
             c.frame("points", writer.data_sha256(rows.select("id", "x", "y")))
             top = rows.agg(F.max("id").alias("m"), F.count("*").alias("n")).first()
-            c.next["spectra"], c.next["version"] = (top["m"] or base) + 1, c.next["version"] + 1
-            c.log("IMPORT", "spectrum", None, f"{top['n']} spectra", {"n": top["n"]})
+            c.next["spectra"], c.next["version"] = (base if top["m"] is None else top["m"] + 1), c.next["version"] + 1
+            c.log("IMPORT", "spectrum", None, f"{top['n']} spectra", {"n": top["n"]} | (details or {}))
         self.files.delete("_staged/bulk")
 
     def process(self, ids: list[int], steps: list[dict], suffix: str = "processed", role: str | None = None) -> list[int]:

@@ -26,13 +26,33 @@ def import_stream(stream: DataFrame, checkpoint: str, batch: Callable[[DataFrame
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def into_project(project, stream: DataFrame, checkpoint: str) -> StreamingQuery:
-    """Append each micro-batch to a project, one commit and one log entry at a time."""
+def rejected(project) -> DataFrame:
+    """batch, stream, source_file, source_sha256, message: a row for each file that into_project could not read."""
+    schema = "source_file string, source_sha256 string, message string, stream string, batch long"
+    if not project.files.names("_rejected"):
+        return project.spark.createDataFrame([], schema)
+    return project.spark.read.schema(schema).parquet(f"{project.files.root}/_rejected")
 
-    def batch(df: DataFrame, _: int) -> None:
+
+def into_project(project, stream: DataFrame, checkpoint: str, name: str = "import") -> StreamingQuery:
+    """Append each micro-batch to a project, one commit and one log entry at a time, exactly once.
+
+    The commit that adds a batch's spectra also notes the batch's number under the stream's
+    ``name``, so a batch that Spark hands over again after a failure is left alone. Files that
+    can't be read are rows of ``rejected``, in a folder by batch that is written anew if the batch
+    comes again; the log entry counts them. A new ``checkpoint`` needs a new ``name``.
+    """
+    ledger = f"stream:{name}"
+
+    def batch(df: DataFrame, n: int) -> None:
+        done = project.meta(ledger)
+        if done is not None and int(done) >= n:
+            return
+        bad = df.where(F.col("_error").isNotNull()).select("source_file", "source_sha256", F.col("_error").alias("message"))
+        bad.write.mode("overwrite").parquet(f"{project.files.root}/_rejected/stream={name}/batch={n}")
+        failed = project.spark.read.parquet(f"{project.files.root}/_rejected/stream={name}/batch={n}").count()
         good = df.where(F.col("_error").isNull()).select("name", "x", "y", "metadata")
-        if not good.isEmpty():
-            project.import_frame(good)
+        project.import_frame(good, meta={ledger: str(n)}, details={"stream": name, "batch": n, "rejected": failed})
 
     return import_stream(stream, checkpoint, batch)
 
