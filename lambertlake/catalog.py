@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lambertlake import catalog_models
 from lambertlake.functions.shared import checkpoint, fresh_folder
-from lambertlake.operators import gram, ordered, series, stats
+from lambertlake.operators import gram, ordered, series, stats, views
 from lambertlake.operators.chemometrics import SpectralModel
 from lambertlake.plans import pipeline as pl
 from lambertlake.sources import blocks
@@ -110,7 +110,8 @@ for _key, _params, _z in (
     ("constant_multiplication", {"divisor": 0, "start": 50, "end": 55}, _each(f"{_PLATEAU} * d[i]")),
     ("factorized_recovery", {"reference": 0, "wavelength": 30}, _each("y[31] / d[31] * d[i]")),
     ("spectrum_subtraction", {"reference": 0, "wavelength": 30, "wavelength_end": 35}, _each("y[i] - list_sum(list_transform(range(31, 37), lambda j: y[j] / d[j])) / 6 * d[i]")),
-    ("smooth_sg", {"window": 7, "polyorder": 2}, None),
+    # A parabola through seven points, evaluated t away from their middle; at the ends the last seven are used.
+    ("smooth_sg", {"window": 7, "polyorder": 2}, _each("list_sum(list_transform(range(-3, 4), lambda j: y[least(greatest(i, 4), 61) + j] * (1.0 / 7 + (i - least(greatest(i, 4), 61)) * j / 28.0 + ((i - least(greatest(i, 4), 61)) ** 2 - 4) * (j * j - 4) / 84.0)))")),
     ("smooth_whittaker", {}, None),
     ("baseline_poly", {}, None),
     ("baseline_als", {}, None),
@@ -121,6 +122,18 @@ for _key, _params, _z in (
     _op_query(_key, _params, _z)
 
 
+def _f_tail(f: str, d1: str, d2: str) -> str:
+    """The probability of an F beyond ``f`` in closed form, for one even number of degrees at least."""
+    terms = lambda n, other, x: f"list_sum(list_transform(range(0, CAST({n} AS BIGINT) // 2), lambda a_: pow({x}, a_) * coalesce(list_product(list_transform(range(1, a_ + 1), lambda b_: ({other} / 2.0 + b_ - 1) / b_)), 1)))"
+    x = f"(CASE WHEN isinf({f}) THEN 0 ELSE {d2} / ({d2} + {d1} * {f}) END)"
+    return f"CASE WHEN {d1} % 2 = 0 THEN pow({x}, {d2} / 2.0) * {terms(d1, d2, f'(1 - {x})')} WHEN {d2} % 2 = 0 THEN 1 - pow(1 - {x}, {d1} / 2.0) * {terms(d2, d1, x)} END"
+
+
+def _closed(p: str, d1: str, d2: str, digits: int):
+    """p where it has the closed form."""
+    return F.when((F.col(d1) % 2 == 0) | (F.col(d2) % 2 == 0), F.round(p, digits)).alias("p")
+
+
 # Measurements
 
 @query(
@@ -203,10 +216,10 @@ def absorptivity(spark, sf_dir):
 g AS (SELECT x, count(*) AS n, avg(y) AS m, var_pop(y) * count(*) AS pure FROM v GROUP BY x),
 s AS (SELECT regr_syy(y, x) - regr_sxy(y, x) ** 2 / regr_sxx(y, x) AS sse, count(*) AS n FROM v),
 t AS (SELECT sum(pure) AS pure, count(*) AS k FROM g)
-SELECT k AS levels, round((sse - pure) / (k - 2) / (pure / (n - k)), 5) AS f FROM s, t""",
+SELECT k AS levels, round((sse - pure) / (k - 2) / (pure / (n - k)), 5) AS f, round(""" + _f_tail("((sse - pure) / (k - 2) / (pure / (n - k)))", "(k - 2)", "(n - k)") + """, 5) AS p FROM s, t""",
 )
 def lack_of_fit(spark, sf_dir):
-    return stats.lack_of_fit(table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice").select("levels", F.round("f", 5).alias("f"))
+    return stats.lack_of_fit(table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice").select("levels", F.round("f", 5).alias("f"), _closed("p", "dof_lack", "dof_pure", 5))
 
 
 @query(
@@ -233,11 +246,12 @@ def recovery(spark, sf_dir):
     "anova",
     """WITH g AS (SELECT event_type, count(value) AS n, avg(value) AS m, var_samp(value) AS v FROM events GROUP BY 1),
 a AS (SELECT count(*) AS k, sum(n) AS n, sum(n * m) / sum(n) AS gm, sum((n - 1) * v) AS w FROM g), b AS (SELECT sum(g.n * (m - gm) * (m - gm)) AS s FROM g, a)
-SELECT CAST(k AS BIGINT) AS groups, CAST(n AS BIGINT) AS n, round((s / (k - 1)) / (w / (n - k)), 5) AS f FROM a, b""",
+SELECT CAST(k AS BIGINT) AS groups, CAST(n AS BIGINT) AS n, round((s / (k - 1)) / (w / (n - k)), 5) AS f,
+round(""" + _f_tail("((s / (k - 1)) / (w / (n - k)))", "(k - 1)", "(n - k)") + """, 6) AS p FROM a, b""",
 )
 def anova(spark, sf_dir):
     got = stats.anova(table(spark, sf_dir, "events"), "value", "event_type")
-    return got.select("groups", "n", F.round("f", 5).alias("f"))
+    return got.select("groups", "n", F.round("f", 5).alias("f"), _closed("p", "dof_between", "dof_within", 6))
 
 
 @query(
@@ -270,12 +284,38 @@ def t_test(spark, sf_dir):
 
 @query(
     "f_test",
-    f"""WITH {_TWO} SELECT l_orderkey, round(least(v1, v2) / greatest(v1, v2), 9) AS inverse_f, CASE WHEN v2 > v1 THEN n2 ELSE n1 END - 1 AS dof1, CASE WHEN v2 > v1 THEN n1 ELSE n2 END - 1 AS dof2
-FROM g WHERE n1 > 1 AND n2 > 1 AND v1 + v2 > 0""",
+    f"""WITH {_TWO}, f AS (SELECT *, CASE WHEN least(v1, v2) = 0 THEN CAST('infinity' AS DOUBLE) ELSE greatest(v1, v2) / least(v1, v2) END AS f, CASE WHEN v2 > v1 THEN n2 ELSE n1 END - 1 AS dof1, CASE WHEN v2 > v1 THEN n1 ELSE n2 END - 1 AS dof2
+FROM g WHERE n1 > 1 AND n2 > 1 AND v1 + v2 > 0)
+SELECT l_orderkey, round(least(v1, v2) / greatest(v1, v2), 9) AS inverse_f, dof1, dof2, round({_f_tail('f', 'dof1', 'dof2')}, 7) AS p FROM f""",
 )
 def f_test(spark, sf_dir):
     got = stats.f_tests(table(spark, sf_dir, "lineitem"), "l_extendedprice", "l_linestatus", "F", "O", ["l_orderkey"])
-    return got.where("f IS NOT NULL").select("l_orderkey", F.round(1 / F.col("f"), 9).alias("inverse_f"), "dof1", "dof2")
+    return got.where("f IS NOT NULL").select("l_orderkey", F.round(1 / F.col("f"), 9).alias("inverse_f"), "dof1", "dof2", _closed("p", "dof1", "dof2", 7))
+
+
+@query(
+    "t_test_welch",
+    f"""WITH {_TWO}, w AS (SELECT *, v1 / n1 AS a, v2 / n2 AS b FROM g WHERE n1 > 1 AND n2 > 1 AND v1 + v2 > 0)
+SELECT l_orderkey, round(abs(m1 - m2) / sqrt(a + b), 6) AS t, round((a + b) ** 2 / (a * a / (n1 - 1) + b * b / (n2 - 1)), 6) AS dof FROM w""",
+)
+def t_test_welch(spark, sf_dir):
+    got = stats.t_tests(table(spark, sf_dir, "lineitem"), "l_extendedprice", "l_linestatus", "F", "O", ["l_orderkey"], equal_var=False).where("t IS NOT NULL")
+    return got.select("l_orderkey", F.round("t", 6).alias("t"), F.round("dof", 6).alias("dof"))
+
+
+@query(
+    "interval_hypothesis",
+    # The 95 % quantiles of t for one to seven degrees of freedom.
+    f"""WITH {_TWO}, t AS (SELECT *, n1 + n2 - 2 AS dof, [6.313751514675043, 2.919985580353726, 2.353363434801823, 2.131846786326649, 2.015048373333024, 1.943180280515302, 1.894578605090006][n1 + n2 - 2] AS t,
+((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2) AS v FROM g WHERE n1 > 1 AND n2 > 1 AND n1 + n2 <= 9),
+a AS (SELECT *, m2 * m2 - t * t * v / n2 AS a, m1 * m1 - t * t * v / n1 AS c FROM t), r AS (SELECT *, m1 * m2 * m1 * m2 - a * c AS r FROM a),
+b AS (SELECT l_orderkey, CASE WHEN a > 0 AND r >= 0 THEN (m1 * m2 - sqrt(greatest(r, 0))) / a END AS lower, CASE WHEN a > 0 AND r >= 0 THEN (m1 * m2 + sqrt(greatest(r, 0))) / a END AS upper FROM r)
+SELECT l_orderkey, round(lower, 4) AS lower, round(upper, 4) AS upper, CAST(coalesce(lower >= 0.5 AND upper <= 1.5, false) AS INTEGER) AS accepted FROM b WHERE upper < 100 OR upper IS NULL""",
+)
+def interval_hypothesis(spark, sf_dir):
+    got = stats.interval_hypotheses(table(spark, sf_dir, "lineitem"), "l_extendedprice", "l_linestatus", "F", "O", ["l_orderkey"], theta=0.5)
+    got = got.where("dof <= 7 AND (upper < 100 OR upper IS NULL)")  # the quantiles listed; beyond, rounding decides the digits
+    return got.select("l_orderkey", F.round("lower", 4).alias("lower"), F.round("upper", 4).alias("upper"), F.col("accepted").cast("int").alias("accepted"))
 
 
 @query(
@@ -385,6 +425,36 @@ def longest_runs(spark, sf_dir):
     return series.longest_runs(rows, "user_id", "event_id", "flag").select("user_id", "start", "stop", "n")
 
 
+@query(
+    "unlike_grids",
+    f"""WITH {SPECTRA}, g AS (SELECT id, (id % 5) AS c, y, unnest(range(0, 70)) AS k FROM s),
+p AS (SELECT id, c, y[1:64 - c] AS y, 1.0 + c / 8.0 AS d, k * (0.75 + c / 16.0) - 1 AS pos, k FROM g),
+v AS (SELECT id, k, CASE WHEN pos >= 0 AND pos <= d * (len(y) - 1) THEN y[least(CAST(floor(pos / d) AS INTEGER), len(y) - 2) + 1]
+ + (y[least(CAST(floor(pos / d) AS INTEGER), len(y) - 2) + 2] - y[least(CAST(floor(pos / d) AS INTEGER), len(y) - 2) + 1]) * (pos / d - least(CAST(floor(pos / d) AS INTEGER), len(y) - 2)) END AS v FROM p)
+SELECT id AS vec_id, count(v) AS n_points, round(sum(v * (k + 1)), 4) AS checksum FROM v GROUP BY id""",
+)
+def unlike_grids(spark, sf_dir):
+    """Each spectrum on a grid of its own (60 to 64 points), read on another of its own."""
+    c = F.col("id") % 5
+    df = spectra(spark, sf_dir).withColumn("y", F.slice("y", F.lit(1), (64 - c).cast("int"))).withColumn("x", F.transform("y", lambda _, i: i * (1 + c / 8)))
+    grid = F.transform(F.sequence(F.lit(0), F.lit(69)), lambda k: k * (0.75 + c / 16) - 1)
+    found = df.withColumn("found", series.resampled(F.col("x"), F.col("y"), grid))
+    sums = F.aggregate(F.transform("found", lambda v, i: F.coalesce(v * (i + 1), F.lit(0.0))), F.lit(0.0), lambda a, b: a + b)
+    return found.select(F.col("id").alias("vec_id"), F.size(F.array_compact("found")).cast("long").alias("n_points"), F.round(sums, 4).alias("checksum"))
+
+
+@query(
+    "figure_series",
+    f"""WITH {SPECTRA}, b AS (SELECT id, b, y[b * 8 + 1:b * 8 + 8] AS v FROM s, range(0, 8) t(b)),
+i AS (SELECT id, unnest(list_distinct([b * 8, b * 8 + list_position(v, list_min(v)) - 1, b * 8 + list_position(v, list_max(v)) - 1, b * 8 + 7])) AS i FROM b)
+SELECT id AS vec_id, CAST(i AS DOUBLE) AS x, y[i + 1] AS y FROM i JOIN s USING (id)""",
+)
+def figure_series(spark, sf_dir):
+    """What eight columns of pixels show of each vector."""
+    drawn = views.decimated(spectra(spark, sf_dir), 8).withColumn("name", F.col("id").cast("string"))
+    return views.figure_series(drawn).select(F.col("name").cast("long").alias("vec_id"), "x", "y")
+
+
 @query("extrema")
 def extrema(spark, sf_dir):
     df = spectra(spark, sf_dir)

@@ -137,6 +137,13 @@ def gram(df: DataFrame, compounds: list[str], folds: int = 1, fold: Column | Non
     return [Moments(grid, compounds, g, shift) for g in out]
 
 
+def of_matrix(grid: np.ndarray, compounds: list[str], a: np.ndarray, c: np.ndarray, folds: int = 1) -> list[Moments]:
+    """The matrix of each fold of rows that are at hand; every ``folds``-th row is of the same."""
+    shift = np.r_[a[0], c[0]]
+    z = np.hstack([np.ones((len(a), 1)), np.hstack([a, c]) - shift])
+    return [Moments(grid, compounds, own.T @ own, shift) for own in (z[f::folds] for f in range(folds))]
+
+
 def total(parts: list[Moments]) -> Moments:
     first = parts[0]
     return Moments(first.grid, first.compounds, sum(p.g for p in parts), first.shift)

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import itertools
 import json
+import math
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 
 from lambertlake.functions import kernels as k
 from lambertlake.functions.kernels import SpectrumError
+from lambertlake.operators import gram
 from lambertlake.operators import methods as m
 from lambertlake.operators.chemometrics import SpectralModel
 from lambertlake.plans import measure
@@ -390,7 +392,12 @@ def multivariate(mix: Mixture, standards: dict[str, tuple[np.ndarray, np.ndarray
             pair = int(np.argmax(np.abs(units[0, i] * units[1, j] - units[0, j] * units[1, i])))
             out += chosen("bivariate", f"{mix.grid[i[pair]]:g}, {mix.grid[j[pair]]:g}", [i[pair], j[pair]])
         out += judge("cls", "full spectrum", np.linalg.pinv(units))
-        model = SpectralModel(names, "pls2", min(len(names), len(train) - 2)).fit_matrix(mix.grid, judge.processed(train), c)
+        # As many components as cross-validation of the training mixtures asks for.
+        folds = min(5, len(train))
+        rows = judge.processed(train)
+        most = min(10, len(train) - math.ceil(len(train) / folds) - 1, len(mix.grid))
+        chosen_k = gram.cross_validate(SpectralModel(names, "pls2", 1), gram.of_matrix(mix.grid, names, rows, c, folds), most)["chosen"] if most > 1 else 1
+        model = SpectralModel(names, "pls2", chosen_k).fit_matrix(mix.grid, rows, c)
         # The model is affine in the spectrum.
         base = model.predict_matrix(np.zeros((1, len(mix.grid))))[0]
         out += judge("pls", f"{model.n_components} components", model.predict_matrix(np.eye(len(mix.grid))) - base, base, calibrate=False)

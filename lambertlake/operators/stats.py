@@ -248,6 +248,26 @@ def interval_hypothesis(mean1: float, sd1: float, n1: int, mean2: float, sd2: fl
     return {"lower": lower, "upper": upper, "accepted": lower >= 1 - theta and upper <= 1 + theta}
 
 
+def interval_hypotheses(df: DataFrame, value: str, group: str, first, second, by: list[str] | tuple[str, ...] = (), theta: float = 0.02, alpha: float = ALPHA) -> DataFrame:
+    """lower, upper, accepted for each of ``by``: whether the 1 - 2 alpha interval of the ratio of two groups' means lies within 1 +- theta.
+
+    Bounds are null, and nothing is accepted, where a group has one value or none or the second
+    mean can't be told from zero.
+    """
+    out = two_groups(df, value, group, first, second, by)
+    dof = (F.col("n1") + F.col("n2") - 2).cast("double")
+    pooled = ((F.col("n1") - 1) * F.col("v1") + (F.col("n2") - 1) * F.col("v2")) / F.when(dof > 0, dof)
+    out = out.withColumn("dof", F.when(pooled.isNotNull(), dof)).withColumn("_t", dist.t_quantile(F.lit(1 - alpha), F.col("dof")))
+    t2 = F.col("_t") * F.col("_t") * pooled
+    a, c = F.col("mean2") * F.col("mean2") - t2 / F.col("n2"), F.col("mean1") * F.col("mean1") - t2 / F.col("n1")
+    both = F.col("mean1") * F.col("mean2")
+    out = out.withColumn("_a", a).withColumn("_root", both * both - a * c)
+    known = (F.col("_a") > 0) & (F.col("_root") >= 0)
+    bound = lambda sign: F.when(known, (both + sign * F.sqrt(F.greatest("_root", F.lit(0.0)))) / F.col("_a"))
+    out = out.withColumn("lower", bound(-1)).withColumn("upper", bound(1)).drop("_t", "_a", "_root")
+    return out.withColumn("accepted", F.coalesce((F.col("lower") >= 1 - theta) & (F.col("upper") <= 1 + theta), F.lit(False)))
+
+
 def standard_addition(df: DataFrame, added: str, response: str, by: list[str] | tuple[str, ...] = (), strict: bool = True) -> DataFrame:
     return linear_regression(df, added, response, by, strict=strict).withColumn("found", F.try_divide("intercept", "slope"))
 

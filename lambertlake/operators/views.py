@@ -38,9 +38,44 @@ def figure_series(df: DataFrame) -> DataFrame:
     return df.select("name", F.explode(F.arrays_zip("x", "y")).alias("p")).select("name", "p.x", "p.y")
 
 
+def decimated(df: DataFrame, pixels: int) -> DataFrame:
+    """``df`` with x and y cut to what a line of ``pixels`` columns shows: of each column of points its first, lowest, highest and last.
+
+    A column holds equally many points (the last may hold fewer), so that drawing the line through
+    what is left covers the same pixels; spectra of four points a column or fewer stay as they are.
+    """
+    if pixels < 1:
+        raise ValueError("one pixel at least")
+    points = F.transform(F.arrays_zip("x", "y"), lambda p, i: F.struct(p["x"].alias("x"), p["y"].alias("y"), i.alias("i")))
+    each = F.ceil(F.size("y") / pixels).cast("int")
+    bins = F.transform(F.sequence(F.lit(0), F.floor((F.size("y") - 1) / each).cast("int")), lambda b: F.slice("_points", b * each + 1, each))
+
+    def drawn(own):
+        by_y = F.transform(own, lambda p: F.struct(p["y"].alias("y"), p["i"].alias("i"), p["x"].alias("x")))
+        # Of equal values the first: the lowest of (y, i), and the highest of (y, -i).
+        high = F.array_max(F.transform(own, lambda p: F.struct(p["y"].alias("y"), (-p["i"]).alias("i"), p["x"].alias("x"))))
+        low = F.array_min(by_y)
+        four = F.array(F.struct(F.get(own, F.lit(0))["i"].alias("i"), F.get(own, F.lit(0))["x"].alias("x"), F.get(own, F.lit(0))["y"].alias("y")),
+                       F.struct(low["i"].alias("i"), low["x"].alias("x"), low["y"].alias("y")),
+                       F.struct((-high["i"]).alias("i"), high["x"].alias("x"), high["y"].alias("y")),
+                       F.struct(F.element_at(own, -1)["i"].alias("i"), F.element_at(own, -1)["x"].alias("x"), F.element_at(own, -1)["y"].alias("y")))
+        return F.array_sort(F.array_distinct(four))
+
+    kept = df.withColumn("_points", F.when(F.size("y") > 4 * pixels, points))
+    kept = kept.withColumn("_kept", F.when(F.col("_points").isNotNull(), F.flatten(F.transform(bins, drawn))))
+    kept = kept.withColumn("x", F.coalesce(F.col("_kept.x"), F.col("x"))).withColumn("y", F.coalesce(F.col("_kept.y"), F.col("y")))
+    return kept.drop("_points", "_kept")
+
+
 def tree_filter(nodes: DataFrame, edges: DataFrame, text: str) -> DataFrame:
-    """Nodes (node, label) whose label holds the text, and the ancestors of those."""
-    hit = nodes.where(F.lower("label").contains(text.lower())).select("node")
+    """Nodes (node, label) whose label holds the text, and the ancestors of those.
+
+    Where there are columns role, points (a number) and concentrations (a map), what they say counts too.
+    """
+    said = {"label": F.col("label"), "role": F.col("role"), "points": F.col("points").cast("string")}
+    given = F.array_join(F.transform(F.map_entries("concentrations"), lambda e: F.concat_ws(" ", e["key"], F.format_string("%.6g", e["value"]), e["value"].cast("string"))), ", ")
+    shown_as = [c for n, c in (said | {"concentrations": given}).items() if n in nodes.columns]
+    hit = nodes.where(F.lower(F.concat_ws("\n", *shown_as)).contains(text.lower())).select("node")
     shown = series.ascend(edges, hit).select(F.col("ancestor").alias("node")).distinct()
     return nodes.join(shown, "node", "left_semi")
 

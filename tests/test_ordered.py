@@ -140,3 +140,19 @@ def test_one_chain_of_many_entries(spark):
         head = hashlib.sha256(f"{head}\x1f{i}\x1fw".encode()).hexdigest()
     (row,) = chain.heads(df, "k", "i", FIELDS).collect()
     assert (row.n, row["head"]) == (n, head)
+
+
+def test_reading_on_grids_of_their_own(spark):
+    rng = random.Random(5)
+    rows = []
+    for i in range(40):
+        x = sorted({rng.randrange(60) / 2 for _ in range(rng.randint(2, 20))} | {0.0, 30.0})
+        grid = sorted(rng.choice([rng.uniform(-2, 33), rng.choice(x)]) for _ in range(rng.randint(0, 25)))
+        rows.append((i, x, [rng.uniform(-1, 1) for _ in x], grid))
+    df = spark.createDataFrame([*rows, (99, None, None, [1.0]), (98, [1.0], [1.0], [1.0])], "id int, x array<double>, y array<double>, grid array<double>")
+    got = {r.id: r.v for r in df.select("id", series.resampled(F.col("x"), F.col("y"), F.col("grid")).alias("v")).collect()}
+    assert got[99] is None and got[98] == [None]
+    for i, x, y, grid in rows:
+        want = [None if g < x[0] or g > x[-1] else float(np.interp(g, x, y)) for g in grid]
+        assert [v is None for v in got[i]] == [v is None for v in want]
+        assert [v for v in got[i] if v is not None] == pytest.approx([v for v in want if v is not None])
