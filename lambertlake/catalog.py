@@ -14,6 +14,7 @@ from lambertlake import catalog_models
 from lambertlake.functions.shared import checkpoint, fresh_folder
 from lambertlake.operators import gram, ordered, series, stats, views
 from lambertlake.operators.chemometrics import SpectralModel
+from lambertlake.plans import derived
 from lambertlake.plans import pipeline as pl
 from lambertlake.sources import blocks
 from lambertlake.storage import chain
@@ -569,6 +570,30 @@ def audit_search(spark, sf_dir):
     return rows.orderBy(F.desc("event_id")).limit(200).select("event_id", "event_type")
 
 
+# Spectra derived from derived ones, every row by a pipeline of its own
+
+@query(
+    "derived_levels",
+    f"""WITH {SPECTRA}, r AS (SELECT id AS r, y AS d FROM s WHERE id < 7), v AS (SELECT id, list_transform(range(1, 65), lambda i: y[i] * (1 + id % 3)) AS a, d FROM s JOIN r ON r = id % 7),
+b AS (SELECT id, a, list_transform(range(1, 65), lambda i: a[i] - 0.5 * d[i]) AS b FROM v),
+u AS (SELECT id + 1000000 AS id, 1 AS level, a AS y FROM b UNION ALL SELECT id + 2000000, 2, b FROM b UNION ALL SELECT id + 3000000, 3, list_transform(range(11, 52), lambda i: b[i] + 0.25) FROM b)
+SELECT id AS vec_id, level, CAST(len(y) AS BIGINT) AS n_points, round(list_sum(list_transform(range(1, len(y) + 1), lambda i: y[i] * i)), 4) AS checksum FROM u""",
+)
+def derived_levels(spark, sf_dir):
+    """Three generations: scaled, less half of one of seven vectors, cropped and raised."""
+    raw = spectra(spark, sf_dir)
+    step = lambda op, **params: F.struct(F.lit(op).alias("op"), F.struct(*(v.alias(n) for n, v in params.items())).alias("params"))
+    kinds = {
+        1: F.to_json(F.array(step("scale", factor=1 + F.col("id") % 3))),
+        2: F.to_json(F.array(step("subtract", reference=F.col("id") % 7, factor=F.lit(0.5)))),
+        3: F.concat(F.lit("["), F.to_json(step("crop", start=F.lit(10.0), end=F.lit(50.0))), F.lit(","), F.to_json(step("offset", value=F.lit(0.25))), F.lit("]")),
+    }
+    plans = [raw.select((F.col("id") + k * 1000000).alias("id"), (F.col("id") + (k - 1) * 1000000).alias("parent"), text.alias("pipeline")) for k, text in kinds.items()]
+    made = derived.derive(raw, plans[0].unionByName(plans[1]).unionByName(plans[2]))
+    levels = made.select("id", "level")
+    return _checksum(made.where("_error IS NULL").select("id", "y")).join(levels.withColumnRenamed("id", "vec_id"), "vec_id")
+
+
 # Files written by tasks and read in parts
 
 @query("files_in_parts", f"WITH {SPECTRA} SELECT id AS vec_id, CAST(len(y) AS BIGINT) AS n_points, round(list_sum(list_transform(y, lambda v, i: v * i)), 4) AS checksum FROM s")

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lambertlake.operators import series
+from lambertlake.plans import derived
 from lambertlake.plans import pipeline as pl
 from lambertlake.sources import reader, writer
 
@@ -418,20 +419,14 @@ class Project:
         return [r["descendant"] for r in rows.collect()]
 
     def replay(self, rtol: float = 1e-9) -> DataFrame:
-        """id, reproduced of every current derived spectrum, recomputed from its parents."""
-        found = None
-        rows = self.records(include_archived=True).where("kind = 'derived'").select("id", "parent_ids", "pipeline")
-        for p in rows.select("pipeline").distinct().collect():  # as many jobs as different pipelines
-            steps = json.loads(p["pipeline"])
-            own = rows.where(F.col("pipeline") == p["pipeline"]).select("id", F.col("parent_ids")[0].alias("parent"))
-            given = own.join(self.table("points").withColumnRenamed("id", "parent"), "parent").select("id", "x", "y")
-            again = pl.process(given, steps, pl.Library.of(self.table("points"), steps), pl.PERMISSIVE).select("id", F.col("y").alias("new"), F.col("x").alias("new_x"))
-            both = again.join(self.table("points"), "id", "left")
-            size = F.array_max(F.transform("y", F.abs))
-            near = F.forall(F.zip_with("y", "new", lambda a, b: F.abs(a - b) <= rtol * F.abs(a) + rtol * size + 1e-15), lambda v: v)
-            one = both.select("id", F.coalesce((F.size("x") == F.size("new_x")) & near, F.lit(False)).alias("reproduced"))
-            found = one if found is None else found.unionByName(one)
-        return found if found is not None else self.spark.createDataFrame([], "id long, reproduced boolean")
+        """id, reproduced of every current derived spectrum, recomputed from its parents; one job for all pipelines."""
+        points = self.table("points")
+        rows = self.records(include_archived=True).where("kind = 'derived'").select("id", F.get("parent_ids", F.lit(0)).alias("parent"), "pipeline")
+        again = derived.rerun(rows, points.select("id", "x", "y")).select("id", F.col("y").alias("new"), F.col("x").alias("new_x"))
+        both = again.join(points, "id", "left")
+        size = F.array_max(F.transform("y", F.abs))
+        near = F.forall(F.zip_with("y", "new", lambda a, b: F.abs(a - b) <= rtol * F.abs(a) + rtol * size + 1e-15), lambda v: v)
+        return both.select("id", F.coalesce((F.size("x") == F.size("new_x")) & near, F.lit(False)).alias("reproduced"))
 
     def revise_processing(self, ident: int, steps: list[dict], reason: str) -> dict[int, int]:
         """Process again with other steps, rebuild what depends on it, archive the old. Gives {old: new}."""
