@@ -123,6 +123,18 @@ for _key, _params, _z in (
     _op_query(_key, _params, _z)
 
 
+# The system of five bands (1 and ten times the second differences' squares) factored, then solved forwards and backwards.
+ORACLE_SQL["operation_smooth_whittaker"] = f"""WITH RECURSIVE {SPECTRA},
+a AS (SELECT i, 1 + 10.0 * CASE WHEN i IN (1, 64) THEN 1 WHEN i IN (2, 63) THEN 5 ELSE 6 END AS a, CASE WHEN i = 64 THEN 0 WHEN i IN (1, 63) THEN -20.0 ELSE -40.0 END AS b, CASE WHEN i < 63 THEN 10.0 ELSE 0 END AS c FROM range(1, 65) t(i)),
+l AS (SELECT i, CAST(a AS DOUBLE) AS d, CAST(b / a AS DOUBLE) AS e, CAST(c / a AS DOUBLE) AS f, CAST(0 AS DOUBLE) AS dp, CAST(0 AS DOUBLE) AS fp FROM a WHERE i = 1
+UNION ALL SELECT i, d, (b - e * f * d0) / d, c / d, d0, f FROM (SELECT a.i, a.b, a.c, l.e, l.f, l.d AS d0, a.a - l.e * l.e * l.d - l.fp * l.fp * l.dp AS d FROM l JOIN a ON a.i = l.i + 1)),
+z AS (SELECT id, CAST(1 AS BIGINT) AS i, y[1] AS z, CAST(0 AS DOUBLE) AS zp FROM s
+UNION ALL SELECT z.id, z.i + 1, s.y[z.i + 1] - l.e * z.z - l.fp * z.zp, z.z FROM z JOIN s ON s.id = z.id JOIN l ON l.i = z.i WHERE z.i < 64),
+x AS (SELECT z.id, z.i, z.z / l.d AS x, CAST(0 AS DOUBLE) AS xn FROM z JOIN l ON l.i = z.i WHERE z.i = 64
+UNION ALL SELECT x.id, z.i, z.z / l.d - l.e * x.x - l.f * x.xn, x.x FROM x JOIN z ON z.id = x.id AND z.i = x.i - 1 JOIN l ON l.i = z.i)
+SELECT id AS vec_id, count(*) AS n_points, round(sum(x * i), 4) AS checksum FROM x GROUP BY id"""
+
+
 def _f_tail(f: str, d1: str, d2: str) -> str:
     """The probability of an F beyond ``f`` in closed form, for one even number of degrees at least."""
     terms = lambda n, other, x: f"list_sum(list_transform(range(0, CAST({n} AS BIGINT) // 2), lambda a_: pow({x}, a_) * coalesce(list_product(list_transform(range(1, a_ + 1), lambda b_: ({other} / 2.0 + b_ - 1) / b_)), 1)))"
@@ -459,14 +471,15 @@ def figure_series(spark, sf_dir):
 @query("extrema")
 def extrema(spark, sf_dir):
     df = spectra(spark, sf_dir)
-    return df.lateralJoin(series.Extrema(F.col("x").outer(), F.col("y").outer(), F.lit(0.2))).select("id", F.col("kind"))
+    found = df.lateralJoin(series.Extrema(F.col("x").outer(), F.col("y").outer(), F.lit(0.2)).alias("e"))
+    return found.select("id", "e.kind", F.round("e.x", 6).alias("at"), F.round("e.y", 6).alias("value"))
 
 
 @query("plateaus")
 def plateaus(spark, sf_dir):
-    series.register(spark)
-    spectra(spark, sf_dir).createOrReplaceTempView("_plateau_spectra")
-    return spark.sql("SELECT id, p.start, p.stop, p.mean FROM _plateau_spectra, LATERAL plateaus(x, y, 0.3D, 4D) p")
+    df = spectra(spark, sf_dir)
+    found = df.lateralJoin(series.Plateaus(F.col("x").outer(), F.col("y").outer(), F.lit(0.3), F.lit(4.0)).alias("p"))
+    return found.select("id", "p.start", "p.stop", "p.mean")
 
 
 @query(

@@ -530,16 +530,20 @@ class Project:
 
     # Undoing
 
-    def undoable(self, limit: int = 30) -> list[dict]:
+    def _undoable(self) -> DataFrame:
+        """The changes of the whole log that can be undone and haven't been."""
         undone = self.audit(action="UNDO").select(F.get_json_object("details", "$.undoes").cast("long").alias("seq"))
         kinds = self.spark.createDataFrame(sorted(UNDOABLE), "action string, entity string")
-        rows = self.audit(limit=400).join(F.broadcast(kinds), ["action", "entity"]).join(undone, "seq", "left_anti")
-        return [r.asDict() for r in rows.orderBy(F.desc("seq")).limit(limit).collect()]
+        return self.table("audit").join(F.broadcast(kinds), ["action", "entity"]).join(undone, "seq", "left_anti")
+
+    def undoable(self, limit: int = 30) -> list[dict]:
+        """The latest changes that can be undone, newest first."""
+        return [r.asDict() for r in self._undoable().orderBy(F.desc("seq")).limit(limit).collect()]
 
     def undo(self, seq: int, reason: str) -> None:
         """Bring back what a change replaced, if nothing later has changed it again."""
         self._reason(reason)
-        entry = next((e for e in self.undoable(400) if e["seq"] == seq), None)
+        entry = self._undoable().where(F.col("seq") == seq).first()
         if entry is None:
             raise ProjectError("this change can't be undone")
         details, ident = json.loads(entry["details"]), entry["entity_id"]
