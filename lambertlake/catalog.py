@@ -468,18 +468,31 @@ def figure_series(spark, sf_dir):
     return views.figure_series(drawn).select(F.col("name").cast("long").alias("vec_id"), "x", "y")
 
 
-@query("extrema")
+@query(
+    "extrema",
+    # A point is as prominent as it stands above the higher of the lowest points on either side, up to where the line is higher than it.
+    f"""WITH {SPECTRA}, b AS (SELECT id, 'max' AS kind, 1 AS f, y FROM s UNION ALL SELECT id, 'min', -1, list_transform(y, lambda v: -v) FROM s),
+k AS (SELECT *, k FROM b, range(2, 64) t(k) WHERE y[k] > y[k - 1] AND y[k] > y[k + 1]),
+e AS (SELECT *, coalesce(list_max(list_filter(range(1, k), lambda i: y[i] > y[k])), 0) AS l, coalesce(list_min(list_filter(range(k + 1, 65), lambda i: y[i] > y[k])), 65) AS r FROM k)
+SELECT id, kind, CAST(k - 1 AS DOUBLE) AS at, round(f * y[k], 6) AS value FROM e
+WHERE y[k] - greatest(list_min(y[l + 1:k - 1]), list_min(y[k + 1:r - 1])) >= 0.2 * (list_max(y) - list_min(y))""",
+)
 def extrema(spark, sf_dir):
     df = spectra(spark, sf_dir)
     found = df.lateralJoin(series.Extrema(F.col("x").outer(), F.col("y").outer(), F.lit(0.2)).alias("e"))
     return found.select("id", "e.kind", F.round("e.x", 6).alias("at"), F.round("e.y", 6).alias("value"))
 
 
-@query("plateaus")
+@query(
+    "plateaus",
+    f"""WITH RECURSIVE {SPECTRA}, j AS (SELECT id, y, i, list_max(list_filter(range(i, 65), lambda j: list_max(y[i:j]) - list_min(y[i:j]) <= 0.3 * (list_max(y) - list_min(y)))) AS j FROM s, range(1, 64) t(i)),
+w AS (SELECT id, CAST(1 AS BIGINT) AS i FROM s UNION ALL SELECT w.id, CASE WHEN j.j - j.i >= 4 THEN j.j ELSE j.i END + 1 FROM w JOIN j ON j.id = w.id AND j.i = w.i)
+SELECT id, CAST(i - 1 AS DOUBLE) AS start, CAST(j - 1 AS DOUBLE) AS stop, round(list_avg(y[i:j]), 6) AS mean FROM w JOIN j USING (id, i) WHERE j - i >= 4""",
+)
 def plateaus(spark, sf_dir):
     df = spectra(spark, sf_dir)
     found = df.lateralJoin(series.Plateaus(F.col("x").outer(), F.col("y").outer(), F.lit(0.3), F.lit(4.0)).alias("p"))
-    return found.select("id", "p.start", "p.stop", "p.mean")
+    return found.select("id", "p.start", "p.stop", F.round("p.mean", 6).alias("mean"))
 
 
 @query(
