@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lambertlake import catalog_models
 from lambertlake.functions.shared import checkpoint, fresh_folder
-from lambertlake.operators import gram, ordered, series, stats, views
+from lambertlake.operators import gram, methods, ordered, series, stats, views
 from lambertlake.operators.chemometrics import SpectralModel
 from lambertlake.plans import derived
 from lambertlake.plans import pipeline as pl
@@ -596,6 +596,62 @@ def audit_search(spark, sf_dir):
     return rows.orderBy(F.desc("event_id")).limit(200).select("event_id", "event_type")
 
 
+# Ready-made methods by their names, on vectors taken as spectra from 200 nm in steps of 2.5
+
+def _slope(v: str, i: str = "i") -> str:
+    """The derivative at a point, given what v is there."""
+    return f"(({v.replace('[i]', f'[{i} + 1]')}) - ({v.replace('[i]', f'[{i} - 1]')})) / 5"
+
+
+def _over(v: str, a: int, b: int, by: str = "list_avg") -> str:
+    return f"{by}(list_transform(range({a}, {b + 1}), lambda i: {v}))"
+
+
+_Q, _QD = "y[i] / d[i]", "y[i] / (d[i] + e[i])"
+_AT = lambda v, i: v.replace("[i]", f"[{i}]")
+_FIT = f"({_over('(y[i] - ' + _over('y[k] / d[k]', 41, 49).replace('lambda i', 'lambda k') + ' * d[i]) * e[i]', 1, 64, 'list_sum')} / {_over('e[i] * e[i]', 1, 64, 'list_sum')})"
+#: Name, parameters set for the steps in their order, for the measurement, and the signal in SQL (point 25 is 260 nm).
+_READY = (
+    ("Direct (zero order, λmax)", (), {}, "y[25]"),
+    ("Zero-crossing derivative (D1)", ({"delta_lambda": 5.0},), {}, _slope("y[i]", "25")),
+    ("Derivative peak-to-peak", ({"delta_lambda": 5.0},), {}, f"{_over(_slope('y[i]'), 17, 41, 'list_max')} - {_over(_slope('y[i]'), 17, 41, 'list_min')}"),
+    ("Dual wavelength", (), {}, "y[21] - y[33]"),
+    ("Induced dual wavelength", (), {"factor": 0.5}, "y[21] - 0.5 * y[33]"),
+    ("Dual wavelength in derivative mode", ({"delta_lambda": 5.0},), {}, f"{_slope('y[i]', '21')} - {_slope('y[i]', '33')}"),
+    ("Area under curve (single component)", (), {}, _over("(y[i] + y[i + 1]) / 2 * 2.5", 17, 32, "list_sum")),
+    ("Derivative ratio (DD1)", ({"reference": 0, "threshold": 0}, {"delta_lambda": 5.0}), {}, _slope(_Q, "25")),
+    ("Ratio difference (RD)", ({"reference": 0, "threshold": 0},), {}, f"{_AT(_Q, 21)} - {_AT(_Q, 33)}"),
+    ("Mean centering of ratio spectra (MCR)", ({"reference": 0, "threshold": 0}, {}), {}, f"{_AT(_Q, 25)} - {_over(_Q, 9, 41)}"),
+    ("Double divisor ratio derivative (ternary)", ({"reference": 0, "reference2": 1, "threshold": 0}, {"delta_lambda": 5.0}), {}, _slope(_QD, "25")),
+    ("Dual amplitude difference (ternary)", ({"reference": 0, "threshold": 0},), {"factor": 0.5}, f"{_AT(_Q, 17)} - 0.5 * {_AT(_Q, 25)}"),
+    ("Extended ratio subtraction (Y)", ({"divisor": 0, "reference": 1},), {}, f"y[31] - {_FIT} * e[31]"),
+    ("Ratio subtraction / spectrum subtraction (X)", ({"divisor": 0},), {}, f"y[25] - {_over(_Q, 41, 49)} * d[25]"),
+    ("Constant multiplication / SS-CM (extended Y)", ({"divisor": 0},), {}, f"{_over(_Q, 41, 49)} * d[25]"),
+    ("Ratio plateau / constant value (Y)", ({"reference": 0, "threshold": 0},), {}, _over(_Q, 41, 49)),
+    ("Spectrum subtraction", ({"reference": 0, "wavelength": 300.0},), {}, "y[25] - y[41] / d[41] * d[25]"),
+    ("Factorized zero-order (FZM)", ({"reference": 0, "wavelength": 300.0, "derivative_order": 0},), {}, "y[41] / d[41] * d[25]"),
+    ("Concentration value (unit divisor plateau, no regression)", ({"reference": 0, "threshold": 0},), {}, _over(_Q, 53, 54)),
+)
+
+
+@query(
+    "template_signals",
+    f"WITH {REFS} SELECT id AS vec_id, {', '.join(f'round({sql}, 4) AS s{k}' for k, (*_, sql) in enumerate(_READY))} FROM s, d, e",
+)
+def template_signals(spark, sf_dir):
+    """The signals of nineteen ready-made methods, all read from one scan."""
+    df = spectra(spark, sf_dir).withColumn("x", F.transform("x", lambda v: 200 + 2.5 * v))
+    grid = [200 + 2.5 * i for i in range(64)]
+    library = pl.Library.of(df, [{"op": "divide_sum", "params": {"reference": 0, "reference2": 1}}])
+    out = df
+    for k, (name, set_, measured, _) in enumerate(_READY):
+        t = methods.TEMPLATES[name]
+        steps = [{"op": s["op"], "params": s["params"] | given} for s, given in zip(t["steps"], set_)]
+        measurement = t["measurement"] | {"params": t["measurement"]["params"] | measured}
+        out = pl.signals(out, steps, measurement, library, out=f"s{k}", grid=grid)
+    return out.select(F.col("id").alias("vec_id"), *(F.round(f"s{k}", 4).alias(f"s{k}") for k in range(len(_READY))))
+
+
 # Spectra derived from derived ones, every row by a pipeline of its own
 
 @query(
