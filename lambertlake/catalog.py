@@ -652,6 +652,23 @@ def template_signals(spark, sf_dir):
     return out.select(F.col("id").alias("vec_id"), *(F.round(f"s{k}", 4).alias(f"s{k}") for k in range(len(_READY))))
 
 
+@query(
+    "signal_equations_of_vectors",
+    f"""WITH {SPECTRA}, v AS (SELECT id, label + 1.0 AS a, id % 9 + 1.0 AS b, y[11] - y[12] AS r, y[31] + 2.0 AS q FROM s),
+g AS (SELECT sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb, sum(a * r) AS ar, sum(b * r) AS br, sum(a * q) AS aq, sum(b * q) AS bq FROM v),
+k AS (SELECT (ar * bb - br * ab) / (aa * bb - ab * ab) AS kar, (br * aa - ar * ab) / (aa * bb - ab * ab) AS kbr, (aq * bb - bq * ab) / (aa * bb - ab * ab) AS kaq, (bq * aa - aq * ab) / (aa * bb - ab * ab) AS kbq FROM g)
+SELECT id AS vec_id, round((r * kbq - q * kbr) / (kar * kbq - kaq * kbr), 3) AS a, round((q * kar - r * kaq) / (kar * kbq - kaq * kbr), 3) AS b FROM v, k""",
+)
+def signal_equations_of_vectors(spark, sf_dir):
+    """Two amounts from two signals, calibrated on all vectors by one aggregation."""
+    amounts = F.create_map(F.lit("A"), F.col("label") + 1.0, F.lit("B"), F.col("id") % 9 + 1.0)
+    df = spectra(spark, sf_dir).withColumn("concentrations", amounts)
+    raised = [{"op": "offset", "params": {"value": 2.0}}]
+    signals = [{"measurement": {"kind": "difference", "params": {"w1": 10.0, "w2": 11.0}}}, {"steps": raised, "measurement": {"kind": "amplitude", "params": {"w1": 30.0}}}]
+    got = methods.SignalEquations(["A", "B"], signals).fit(df).predict(df)
+    return got.select(F.col("id").alias("vec_id"), F.round("found_A", 3).alias("a"), F.round("found_B", 3).alias("b"))
+
+
 # Spectra derived from derived ones, every row by a pipeline of its own
 
 @query(
