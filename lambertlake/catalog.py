@@ -669,6 +669,31 @@ def signal_equations_of_vectors(spark, sf_dir):
     return got.select(F.col("id").alias("vec_id"), F.round("found_A", 3).alias("a"), F.round("found_B", 3).alias("b"))
 
 
+@query(
+    "univariate_of_vectors",
+    f"""WITH {SPECTRA}, v AS (SELECT id, label AS c, (y[12] - y[10]) / 2 - (y[42] - y[40]) / 2 + 0.1 * label AS r FROM s)
+SELECT id AS vec_id, round((r - (SELECT regr_intercept(r, c) FROM v)) / (SELECT regr_slope(r, c) FROM v), 4) AS found FROM v""",
+)
+def univariate_of_vectors(spark, sf_dir):
+    """A dual-wavelength derivative method calibrated on all vectors and read back."""
+    df = spectra(spark, sf_dir)
+    tilted = df.withColumn("y", F.transform("y", lambda v, i: v - F.col("label") * 0.05 * i * (i - 51) / 30))
+    # Of the added parabola the derivatives at 10 and 40 differ by a tenth of the label.
+    method = methods.Univariate("A", [{"op": "derivative", "params": {"order": 1, "delta_lambda": 2.0}}], {"kind": "difference", "params": {"w1": 10.0, "w2": 40.0}})
+    rows = tilted.withColumn("concentrations", F.create_map(F.lit("A"), F.col("label").cast("double")))
+    return method.fit(rows).predict(rows).select(F.col("id").alias("vec_id"), F.round("found_A", 4).alias("found"))
+
+
+@query(
+    "q_analysis_of_vectors",
+    f"""WITH {SPECTRA}, v AS (SELECT id, abs(y[11]) + 1 AS i, abs(y[21]) + 0.5 AS o FROM s)
+SELECT id AS vec_id, round((o / i - 0.4) / (1.3 - 0.4) * i / 0.02, 6) AS a, round((1 - (o / i - 0.4) / (1.3 - 0.4)) * i / 0.02, 6) AS b FROM v""",
+)
+def q_analysis_of_vectors(spark, sf_dir):
+    a, b = methods.q_analysis(1.3, 0.4, 0.02)(F.abs(F.get("y", F.lit(10))) + 1, F.abs(F.get("y", F.lit(20))) + 0.5)
+    return spectra(spark, sf_dir).select(F.col("id").alias("vec_id"), F.round(a, 6).alias("a"), F.round(b, 6).alias("b"))
+
+
 # Spectra derived from derived ones, every row by a pipeline of its own
 
 @query(
