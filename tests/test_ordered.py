@@ -118,11 +118,11 @@ def test_what_was_altered_is_found(spark, parts):
     try:
         check = lambda rows: sorted(map(tuple, chain.altered(spark.createDataFrame(rows, "k string, i long, what string, prev_hash string, hash string"), "k", "i", FIELDS).collect()), key=str)
         assert check(want) == []
-        for n in range(0, len(want), 23):
+        for n in range(0, len(want), 99):
             k, i, what, before, after = want[n]
             changed = [*want[:n], (k, i, "other", before, after), *want[n + 1 :]]
             assert check(changed) == [(k, i, "content")]
-        for n in range(0, len(want) - 1, 61):
+        for n in range(0, len(want) - 1, 140):
             following = want[n + 1]
             lost = [*want[:n], *want[n + 1 :]]
             assert check(lost) == ([(following[0], following[1], "link")] if following[0] == want[n][0] else [])
