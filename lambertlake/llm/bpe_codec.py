@@ -17,7 +17,6 @@ null. Other columns pass through; an input column with an output's name is repla
 from __future__ import annotations
 
 import array
-import functools
 import gc
 
 import numpy as np
@@ -44,7 +43,8 @@ class TrieCodec:
         parts = {joined: pair for pair, (_, joined) in bpe.merges.items()}
         self.single = {*bpe.byte, *(b + bpe.end for b in bpe.byte)}
         # A token that merging doesn't give from its own symbols is never the last one of anything.
-        self.tokens = {t for t in (*self.single, *parts) if t in bpe.ids and self.reached(t)}
+        # Each gives itself, so that the pairs remembered share one copy of it.
+        self.tokens = {t: t for t in (*self.single, *parts) if t in bpe.ids and self.reached(t)}
         self.longest = max(map(self.width, self.tokens))
         #: By a token's last three symbols (and word end), the widths of tokens so ending, longest first.
         self.widths: dict[str, list[int]] = {}
@@ -98,12 +98,12 @@ class TrieCodec:
         end = spelled[-3:] + suffix
         for width in self.widths.get(end, ()):
             if width <= n:
-                t = spelled[n - width :] + suffix
-                if t in self.tokens and (width == depth or self.apart(states[depth - width], t)):
+                t = self.tokens.get(spelled[n - width :] + suffix)
+                if t is not None and (width == depth or self.apart(states[depth - width], t)):
                     return t
         if n > 1:
-            t = spelled[-2:] + suffix
-            if t in self.tokens and (depth == 2 or self.apart(states[depth - 2], t)):
+            t = self.tokens.get(spelled[-2:] + suffix)
+            if t is not None and (depth == 2 or self.apart(states[depth - 2], t)):
                 return t
         return spelled[-1] + suffix
 
@@ -163,7 +163,7 @@ class TrieCodec:
         return np.frombuffer(b"".join(parts), np.int32), ends
 
 
-@functools.lru_cache(maxsize=1)
+@runtime.kept
 def shared(path: str) -> TrieCodec:
     """One codec for each Python worker, which keeps what it has learned from task to task."""
     codec = TrieCodec(wordbpe.load(path))

@@ -46,6 +46,8 @@ BANDS, ROWS = 28, 5
 REGISTERS = BANDS * ROWS
 #: Registers agree within four and a half standard deviations of the similarity.
 SLACK = 4.5 / (2 * REGISTERS**0.5) * 0.8
+#: Words a worker remembers the hash of; hashing one anew costs little.
+REMEMBERED = 50_000
 #: Members of a block: outside the largest component, and of all.
 FEW, MANY = 64, 256
 
@@ -61,7 +63,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 class _WordHashes(dict):
     def __missing__(self, word: str) -> int:
-        if len(self) > 300_000:
+        if len(self) > REMEMBERED:
             self.clear()
         found = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
         if len(word) <= runtime.LONG_WORD:
@@ -142,6 +144,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def _sign(docs: DataFrame, weighted: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]):
+        runtime.forget()
         hashes = _WordHashes()
         for batch in runtime.slices(batches):
             texts = batch.column("text").to_pylist()

@@ -11,7 +11,6 @@ the output's name is replaced.
 
 from __future__ import annotations
 
-import functools
 import heapq
 
 import pyarrow as pa
@@ -69,7 +68,7 @@ class _Counts(dict):
         return found
 
 
-@functools.lru_cache(maxsize=1)
+@runtime.kept
 def shared(path: str) -> _Counts:
     """One memory for each Python worker, kept from task to task."""
     return _Counts(wordbpe.load(path))

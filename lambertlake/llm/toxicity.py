@@ -44,8 +44,8 @@ STEM = 5
 #: Entries the labels may add to the lexicon.
 LEXICON = 2000
 #: Words a worker remembers the weight of; words, and characters of them, that it counts at once.
-REMEMBERED = 300_000
-COUNTED, COUNTED_CHARS = 400_000, 16_000_000
+REMEMBERED = 50_000
+COUNTED, COUNTED_CHARS = 100_000, 4_000_000
 
 # Insults in the four languages, and words of the second person.
 INSULTS = (
@@ -245,6 +245,7 @@ def _lexicons(rows: DataFrame) -> list[tuple[dict[str, float], dict[str, float],
     """Words and stems far more frequent in toxic rows, and the rows of either label: without each fold, then of all."""
 
     def count(batches):
+        runtime.forget()
         seen: dict[str, list[int]] = {}
         size = 0
         for batch in runtime.slices(batches):
@@ -305,6 +306,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", max_rows: int =
         return final
 
     def measure(batches):
+        runtime.forget()
         for batch in runtime.slices(batches):
             given = [surface(t or "") for t in batch.column("_text").to_pylist()]
             x = [[v for m in models for v in m.features(g)] for g in given]
@@ -334,6 +336,7 @@ def score(df: DataFrame, model: Model, text: str = "text", out: str = "score") -
     given = df.sparkSession.sparkContext.broadcast(model)  # at most LEXICON words and 60 trees
 
     def run(batches):
+        runtime.forget()
         own = given.value
         try:
             for batch in runtime.slices(batches):

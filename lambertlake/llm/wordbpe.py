@@ -18,6 +18,8 @@ import unicodedata
 import regex
 from tokenizers import Regex, normalizers, pre_tokenizers
 
+from lambertlake.llm import runtime
+
 #: Unicode white space, as the vocabulary's splitting pattern takes it.
 SPACE = "\t-\r \x85\xa0  -     　"
 #: Fixed value: the splitting pattern of the vocabulary file.
@@ -103,7 +105,7 @@ class WordBpe:
         return out
 
 
-@functools.lru_cache(maxsize=4)
+@runtime.kept
 def load(path: str) -> WordBpe:
     """One copy for each Python worker."""
     return WordBpe(path)

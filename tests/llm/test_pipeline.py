@@ -1,8 +1,11 @@
+import tracemalloc
+
 import corpus_pipeline as cp
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
-from lambertlake.llm import mixing, pii, runtime, toxicity
+from lambertlake.llm import bpe_codec, mixing, near_dedup, pii, runtime, toxicity
 from tests.llm import test_mixing, test_near_dedup, test_pii
 
 SF = "/root/testdata/sf0.001"
@@ -50,3 +53,39 @@ def test_odd_rows(spark):
         for _, stage in cp.STAGES:
             given = stage(spark, given, SF)
             given.collect()
+
+
+class _OneWorker:
+    """Stands for a DataFrame whose tasks all run here, as in one Python worker that is reused."""
+
+    def __init__(self, real, batches):
+        self.real, self.batches, self.schema, self.sparkSession = real, batches, real.schema, real.sparkSession
+
+    def mapInArrow(self, run, schema):
+        self.peak = 0
+        for _ in run(iter(self.batches)):
+            self.peak = max(self.peak, tracemalloc.get_traced_memory()[0])
+
+
+def test_a_reused_worker_forgets_what_other_stages_learned(spark, monkeypatch):
+    real = spark.createDataFrame([], "doc_id long, text string, text_key binary")
+    texts = [" ".join(f"w{k}x" for k in range(at, at + 1000)) for at in range(0, 150_000, 1000)]
+    rows = pa.table({"doc_id": range(len(texts)), "text": texts, "text_key": [b"k"] * len(texts)}).to_batches()
+    worker = _OneWorker(real, rows)
+    monkeypatch.setattr(near_dedup, "_keyed", lambda docs: docs)
+    tracemalloc.start()
+    try:
+        before = tracemalloc.get_traced_memory()[0]
+        bpe_codec.encode(worker)
+        codec = worker.peak - before
+        assert codec > 30e6  # the vocabulary and the words
+        assert tracemalloc.get_traced_memory()[0] - before > 30e6  # kept for the operator's next task
+        near_dedup._sign(worker, True)
+        assert worker.peak - before < 0.7 * codec
+        assert tracemalloc.get_traced_memory()[0] - before < 10e6
+        bpe_codec.encode(worker)
+        toxicity.score(worker, toxicity.Model({"w1x": 1.0}, {}, 0.5))
+        assert worker.peak - before < 0.7 * codec
+        assert tracemalloc.get_traced_memory()[0] - before < 10e6
+    finally:
+        tracemalloc.stop()
